@@ -31,4 +31,4 @@ def load_all() -> None:
         importlib.import_module(f"quire.queries.{part}")
 
 
-PARTS = ("catalogue",)
+PARTS = ("catalogue", "changes", "orderings")
