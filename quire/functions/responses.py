@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, functions as F
 
 from quire.functions import rules
-from quire.functions.text import SPACE, chain, col, strip, sub, word_count
+from quire.functions.text import SPACE, col, let, strip, sub, word_count
 
 MARK = r"===\s*[A-Z_]+\s*==="
 
@@ -117,14 +117,18 @@ def scene_script(c) -> Column:
     told = F.when(F.size(long_ones) > 0, long_ones).otherwise(F.array(story))
     step = F.greatest(F.lit(1), F.floor(F.size(told) / 7)).cast("int")
     labels = F.array(*[F.lit(e) for e in rules.FALLBACK_EMOTIONS])
-    cut = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(told) - 1) / step).cast("int")),
-        lambda i: F.struct(
-            F.array_join(F.slice(told, i * step + 1, step), " ").alias("text"),
-            F.element_at(labels, i % len(rules.FALLBACK_EMOTIONS) + 1).alias("emotion"),
-            F.lit("").alias("action"), F.lit("").alias("setting"),
-        ),
-    )
+
+    def chunks(x):
+        return F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(x["s"]) - 1) / x["n"]).cast("int")),
+            lambda i: F.struct(
+                F.array_join(F.slice(x["s"], i * x["n"] + 1, x["n"]), " ").alias("text"),
+                F.element_at(labels, i % len(rules.FALLBACK_EMOTIONS) + 1).alias("emotion"),
+                F.lit("").alias("action"), F.lit("").alias("setting"),
+            ),
+        )
+
+    cut = let(F.struct(told.alias("s"), step.alias("n")), chunks)
     none = F.array().cast("array<struct<text:string,emotion:string,action:string,setting:string>>")
     scenes = F.when(F.size(parsed) > 0, parsed).when(story != "", cut).otherwise(none)
     numbered = F.transform(

@@ -11,7 +11,7 @@ from functools import lru_cache
 from pyspark.sql import Column, functions as F
 
 from quire.functions import rules
-from quire.functions.text import col, sub
+from quire.functions.text import col, let, sub
 
 _TONED = "".join(row[1:] for row in rules.TONES.values())
 _BASES = "".join(base * 5 for base in rules.TONES)
@@ -132,7 +132,10 @@ def collapse_candidates(low: Column) -> list[Column]:
 
 def deletion_candidates(low: Column) -> Column:
     """For neighbouring vowels of different base, the word without the left and without the right one."""
+    return let(low, _deletions)
 
+
+def _deletions(low: Column) -> Column:
     def at(i):
         return F.substring(low, i, F.lit(1))
 

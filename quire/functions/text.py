@@ -23,6 +23,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body`` applied to ``value``, computed once: a lambda would compute an outer expression again per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sub(c: Column, pattern: str, replacement: str = "") -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(replacement))
 
@@ -285,7 +290,10 @@ def sentence_excerpt(c, limit) -> Column:
 
 def contexts(c, terms: Column, window: int = 150, marker: str = "\n…\n") -> Column:
     """``window`` characters round the first hit of each term; overlapping snippets are merged."""
-    c = col(c)
+    return let(col(c), lambda x: _contexts(x, terms, window, marker))
+
+
+def _contexts(c: Column, terms: Column, window: int, marker: str) -> Column:
     hits = F.filter(
         F.transform(F.array_distinct(terms), lambda t: F.struct(F.instr(c, t).alias("at"), F.length(t).alias("n"))),
         lambda h: h["at"] > 0,
@@ -376,7 +384,10 @@ def short_title(c, suffix: str, brand: str, limit: int = 100) -> Column:
 
 def wrap_title(c, limit: int = 28) -> Column:
     """Break a long title after the first ``...``, else at the blank nearest its middle."""
-    c = col(c)
+    return let(col(c), lambda x: _wrapped(x, limit))
+
+
+def _wrapped(c: Column, limit: int) -> Column:
     dots = F.instr(c, "...")
     at_dots = F.concat(
         strip(F.substring(c, F.lit(1), dots - 1)), F.lit("...\n"), strip(F.substring(c, dots + 3, F.length(c)))

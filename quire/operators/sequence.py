@@ -48,16 +48,17 @@ def merge_plan(works: DataFrame, sections: DataFrame, min_words: int, width: int
     facts = facts.select(
         "work_id", "number", (F.coalesce("_short", F.lit(False)) & F.col("_open").isNotNull()).alias("short")
     )
-    return _fold_first(run_heads(facts, "work_id", "number", F.col("short") & (F.col("number") != 1), **args))
+    runs = run_heads(facts, "work_id", "number", F.col("short") & (F.col("number") != 1), **args)
+    return _fold_first(runs, facts)
 
 
-def _fold_first(runs: DataFrame) -> DataFrame:
-    """Move number 1 under 2 where 1 is short and 2 heads a run of its own."""
-    pair = runs.filter(F.col("number").isin(1, 2)).groupBy("work_id").agg(
+def _fold_first(runs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Move number 1 under 2 where 1 is short and 2 exists and is not (a short 2 has joined 1)."""
+    pair = facts.filter(F.col("number").isin(1, 2)).groupBy("work_id").agg(
         F.max(F.when(F.col("number") == 1, F.col("short"))).alias("_s1"),
-        F.max(F.when(F.col("number") == 2, F.col("head"))).alias("_h2"),
+        F.max(F.when(F.col("number") == 2, F.col("short"))).alias("_s2"),
     )
-    folding = pair.filter(F.col("_s1") & (F.col("_h2") == 2)).select("work_id", F.lit(1).alias("number"), F.lit(2).alias("_to"))
+    folding = pair.filter(F.col("_s1") & ~F.col("_s2")).select("work_id", F.lit(1).alias("number"), F.lit(2).alias("_to"))
     moved = runs.join(folding, ["work_id", "number"], "left")
     return moved.select("work_id", "number", "short", F.coalesce("_to", "head").alias("head"))
 

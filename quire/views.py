@@ -2,65 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from quire.functions.text import word_count
 from quire.operators.ordered import row_number
 
 RAW_GENRES = ("Ngôn tình,Hiện đại,abc", "Tiên hiệp,xyz", "", "Romance, Urban", "Ngược")
 
-
-def _mod(c, cases: dict[int, Column], k: int, other: Column) -> Column:
-    out = None
-    for r, v in cases.items():
-        out = F.when(c % k == r, v) if out is None else out.when(c % k == r, v)
-    return out.otherwise(other)
+_WORK_COLUMNS = (
+    "work_id",
+    "work_id AS slug",
+    "concat('Work ', work_id) AS title",
+    "CASE w % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat('Author ', w % 7) END AS author",
+    "CASE w % 4 WHEN 0 THEN NULL WHEN 1 THEN substr(first_text, 1, 60) ELSE first_text END AS description",
+    "element_at(array(" + ", ".join(f"'{g}'" for g in RAW_GENRES) + "), int(w % 5) + 1) AS genres",
+    "'' AS tags",
+    "CASE w % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'ongoing' ELSE '' END AS status",
+    "CASE w % 6 WHEN 5 THEN 'pending' ELSE 'published' END AS publish_status",
+    "concat('https://site', w % 3, '.example/work/', work_id, '/') AS source_url",
+    "CASE w % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'review' END AS editorial_review",
+    "CASE w % 2 WHEN 0 THEN NULL ELSE 'analysis' END AS character_analysis",
+    """CASE w % 5 WHEN 0 THEN NULL WHEN 1 THEN '[]' ELSE '[{"q":"x","a":"y"}]' END AS faq""",
+    "'' AS cover_image",
+    "timestamp_millis(1704067200000 + w * 3600000) AS created_at",
+    "timestamp_millis(1704067200000 + w * 7200000) AS updated_at",
+)
+_SECTION_COLUMNS = (
+    "concat('s', r) AS section_id",
+    "work_id",
+    "int(number) AS number",
+    "concat(CASE WHEN r % 4 = 0 THEN 'Phần ' ELSE 'Section ' END, number) AS title",
+    "content",
+    "word_count",
+    "CASE WHEN r % 3 = 0 THEN NULL WHEN r % 7 = 0 THEN '' ELSE substr(content, 1, 40) END AS summary",
+    "CASE WHEN r % 5 = 0 THEN NULL WHEN r % 11 = 0 THEN '' ELSE substr(content, 1, 30) END AS highlight",
+    "CASE WHEN r % 2 = 0 THEN NULL WHEN r % 13 = 0 THEN '' ELSE substr(content, 1, 20) END AS next_preview",
+    "CASE WHEN r % 6 = 0 THEN concat('audio/chapter_', number, '.mp3') END AS audio_url",
+    "CASE WHEN r % 10 = 9 THEN 'pending' ELSE 'published' END AS publish_status",
+    "timestamp_millis(1704067200000 + r * 60000) AS created_at",
+    "timestamp_millis(1704067200000 + r * 120000) AS updated_at",
+)
 
 
 def _works(base: DataFrame) -> DataFrame:
     """``base``: work_id, w (a number), first_text."""
-    w, null = F.col("w"), F.lit(None).cast("string")
-    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    text = F.col("first_text")
-    return base.select(
-        "work_id",
-        F.col("work_id").alias("slug"),
-        F.concat(F.lit("Work "), F.col("work_id")).alias("title"),
-        _mod(w, {0: null, 1: F.lit("")}, 4, F.concat(F.lit("Author "), (w % 7).cast("string"))).alias("author"),
-        _mod(w, {0: null, 1: F.substring(text, 1, 60)}, 4, F.substring(text, 1, 120)).alias("description"),
-        F.element_at(F.array(*[F.lit(g) for g in RAW_GENRES]), (w % 5).cast("int") + 1).alias("genres"),
-        F.lit("").alias("tags"),
-        _mod(w, {0: F.lit("completed"), 1: F.lit("ongoing")}, 3, F.lit("")).alias("status"),
-        _mod(w, {5: F.lit("pending")}, 6, F.lit("published")).alias("publish_status"),
-        F.concat(F.lit("https://site"), (w % 3).cast("string"), F.lit(".example/work/"), F.col("work_id"), F.lit("/")).alias("source_url"),
-        _mod(w, {0: null, 1: F.lit("")}, 3, F.lit("review")).alias("editorial_review"),
-        _mod(w, {0: null}, 2, F.lit("analysis")).alias("character_analysis"),
-        _mod(w, {0: null, 1: F.lit("[]")}, 5, F.lit('[{"q":"x","a":"y"}]')).alias("faq"),
-        F.lit("").alias("cover_image"),
-        (start + F.make_interval(hours=w.cast("int"))).alias("created_at"),
-        (start + F.make_interval(hours=(w * 2).cast("int"))).alias("updated_at"),
-    )
+    return base.selectExpr(*_WORK_COLUMNS)
 
 
 def _sections(base: DataFrame) -> DataFrame:
     """``base``: work_id, r (a number unique over all rows), number, content, word_count."""
-    r, null, text = F.col("r"), F.lit(None).cast("string"), F.col("content")
-    n = F.col("number").cast("string")
-    return base.select(
-        F.concat(F.lit("s"), r.cast("string")).alias("section_id"),
-        "work_id",
-        F.col("number").cast("int").alias("number"),
-        F.when(r % 4 == 0, F.concat(F.lit("Phần "), n)).otherwise(F.concat(F.lit("Section "), n)).alias("title"),
-        "content",
-        "word_count",
-        F.when(r % 3 == 0, null).when(r % 7 == 0, F.lit("")).otherwise(F.substring(text, 1, 40)).alias("summary"),
-        F.when(r % 5 == 0, null).when(r % 11 == 0, F.lit("")).otherwise(F.substring(text, 1, 30)).alias("highlight"),
-        F.when(r % 2 == 0, null).when(r % 13 == 0, F.lit("")).otherwise(F.substring(text, 1, 20)).alias("next_preview"),
-        F.when(r % 6 == 0, F.concat(F.lit("audio/chapter_"), n, F.lit(".mp3"))).alias("audio_url"),
-        F.when(r % 10 == 9, F.lit("pending")).otherwise(F.lit("published")).alias("publish_status"),
-        F.timestamp_millis(F.lit(1704067200000) + r * 60000).alias("created_at"),
-        F.timestamp_millis(F.lit(1704067200000) + r * 120000).alias("updated_at"),
-    )
+    return base.selectExpr(*_SECTION_COLUMNS)
 
 
 def document_sections(documents: DataFrame) -> DataFrame:
