@@ -86,13 +86,13 @@ def is_safe_prompt(c, terms=rules.UNSAFE_PROMPT_TERMS) -> Column:
 
 def is_blocked_sentence(c) -> Column:
     """one of the block-list patterns matches."""
-    return col(c).rlike("(?iU)" + "|".join(f"(?:{p})" for p in rules.BLOCKED_SENTENCES))
+    return col(c).rlike("(?diU)" + "|".join(f"(?:{p})" for p in rules.BLOCKED_SENTENCES))
 
 
 def is_call_to_action(c) -> Column:
     """F16: asks the reader to listen on; three patterns."""
     c = col(c)
-    return c.rlike("(?iU)" + rules.CTA_START) | c.rlike("(?iU)" + rules.CTA_FULL) | c.rlike("(?iU)" + rules.CTA_END)
+    return c.rlike("(?diU)" + rules.CTA_START) | c.rlike("(?diU)" + rules.CTA_FULL) | c.rlike("(?diU)" + rules.CTA_END)
 
 
 def has_cjk(c) -> Column:

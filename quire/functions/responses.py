@@ -56,7 +56,7 @@ def embedded_json(c, schema: str) -> Column:
 
 def fenced_json(c) -> Column:
     """A text with an optional code fence round it removed."""
-    return strip(sub(strip(col(c)), r"(?m)^```(?:json)?\s*|```\s*$"))
+    return strip(sub(strip(col(c)), r"(?dm)^```(?:json)?\s*|```\s*$"))
 
 
 def split_plan(c, n_paragraphs, n_pieces) -> Column:

@@ -191,7 +191,7 @@ def drop_corrupted_words(c) -> Column:
     c = sub(col(c), r"[\x{0900}-\x{097F}\x{4E00}-\x{9FFF}\x{3000}-\x{303F}]+")
     pieces = F.regexp_extract_all(c, F.lit(r"(?sU)\b[\wÀ-ỹ]{3,}\b|\b[\wÀ-ỹ]{1,2}\b|[^\wÀ-ỹ]+|."), F.lit(0))
     kept = F.array_join(F.filter(pieces, lambda p: ~is_corrupted_word(p)), "")
-    return sub(sub(kept, "  +", " "), r"(?m)^ +")
+    return sub(sub(kept, "  +", " "), r"(?dm)^ +")
 
 
 def invalid_tokens(c) -> Column:

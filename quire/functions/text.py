@@ -116,8 +116,9 @@ def strip_foreign(c) -> Column:
     c = sub(c, r"[\x{0400}-\x{04ff}]+")
     c = sub(c, r"[\x{ac00}-\x{d7af}\x{1100}-\x{11ff}]+")
     c = sub(c, r"[\x{3040}-\x{30ff}]+")
-    c = sub(c, rf"(?<![a-zA-Z])(?:[a-zA-Z]+[{SPACE}]+){{3,}}[a-zA-Z]+(?![a-zA-Z])")
-    return strip(chain(c, [("  +", " "), (r"(?m)^ +| +$", ""), (r"\n{3,}", "\n\n")]))
+    # possessive, so that a long run is matched without recursion
+    c = sub(c, rf"(?<![a-zA-Z])[a-zA-Z]++(?:[{SPACE}]++[a-zA-Z]++){{3,}}+")
+    return strip(chain(c, [("  +", " "), (r"(?dm)^ +| +$", ""), (r"\n{3,}", "\n\n")]))
 
 
 def reflow(c) -> Column:
@@ -148,11 +149,11 @@ def clean_body(c, lexicon=(), drop_unknown: bool = False) -> Column:
     characters outside letters, digits, blanks and common punctuation.
     """
     h = r"[^\S\n]*"
-    c = sub(col(c), rf"(?imU)^[^\S\r\n]*chương[^\S\n]+([IVXLCDM]+|\d+)({h}[:\-–—.]?{h}[^\n]*)?$")
-    c = sub(c, rf"(?imU)^[^\S\r\n]*[-–—~*\[\](【】]?{h}H[EÉẾ]T{h}[-–—~*\[\](【】]?{h}$")
-    c = sub(c, rf"(?m)^[{SPACE}]*\d+[{SPACE}]+(?=[{UPPER}][{LOWER}])")
-    c = sub(c, rf"(?m)^[^\S\r\n]*[-_─—═=]{{3,}}{h}$")
-    c = sub(c, rf"(?m)^[^\S\r\n]*\d+\.[{UPPER}].*$")
+    c = sub(col(c), rf"(?dimU)^[^\S\r\n]*chương[^\S\n]+([IVXLCDM]+|\d+)({h}[:\-–—.]?{h}[^\n]*)?$")
+    c = sub(c, rf"(?dimU)^[^\S\r\n]*[-–—~*\[\](【】]?{h}H[EÉẾ]T{h}[-–—~*\[\](【】]?{h}$")
+    c = sub(c, rf"(?dm)^[{SPACE}]*\d+[{SPACE}]+(?=[{UPPER}][{LOWER}])")
+    c = sub(c, rf"(?dm)^[^\S\r\n]*[-_─—═=]{{3,}}{h}$")
+    c = sub(c, rf"(?dm)^[^\S\r\n]*\d+\.[{UPPER}].*$")
     c = undot(sub(c, r"\n{3,}", "\n\n"))
     c = sub(c, rf"[{SPACE}]*\*{{3}}g[{SPACE}]*", " ")
     c = sub(c, r"[\x{1D400}-\x{1D7FF}\x{1F300}-\x{1FAFF}]")
@@ -229,7 +230,7 @@ def remove_hesitation(c) -> Column:
         ],
     )
     for cut, whole in rules.CUT_LINE_HEADS.items():
-        c = sub(c, rf"(?mU)^{cut}\b", whole)
+        c = sub(c, rf"(?dmU)^{cut}\b", whole)
     return c
 
 
