@@ -31,4 +31,4 @@ def load_all() -> None:
         importlib.import_module(f"quire.queries.{part}")
 
 
-PARTS = ("catalogue", "changes", "orderings", "segments", "texts", "repair", "extract")
+PARTS = ("catalogue", "changes", "orderings", "segments", "texts", "repair", "extract", "export", "increments")

@@ -1,14 +1,179 @@
-"""Readers for the files round the catalogue: JSON, text, XML and binary listings."""
+"""Readers for the files round the catalogue. Each scan has its parsing step as a function of its own, so that it works
+on any DataFrame of the raw rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quire import schemas
-from quire.functions.text import strip
+from quire.functions.text import col, lines, strip
 
 
-def lexicon_lines(lines: DataFrame) -> DataFrame:
+def _file(part: str) -> Column:
+    return F.col(f"_metadata.{part}")
+
+
+def _dir_name(levels_up: int) -> Column:
+    return F.element_at(F.split(_file("file_path"), "/"), -1 - levels_up)
+
+
+# --- fixed values: column types of the works and sections tables are in quire.schemas -------------------------------
+
+
+def catalogue_table(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A catalogue table with its declared schema."""
+    return spark.read.schema(schema).parquet(path)
+
+
+def _section_documents(spark: SparkSession, paths) -> DataFrame:
+    return (
+        spark.read.schema(schemas.SECTION_JSON)
+        .option("multiLine", True)
+        .option("columnNameOfCorruptRecord", "_corrupt_record")
+        .json(paths)
+    )
+
+
+def staged_sections(spark: SparkSession, root: str, slug: str = "*", day: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sections, unreadable files) of ``root/[day/]slug/chapters/*.json``."""
+    middle = f"{day}/" if day else ""
+    raw = _section_documents(spark, f"{root}/{middle}{slug}/chapters/*.json").withColumn("slug", _dir_name(2)).withColumn("file", _file("file_name"))
+    good = raw.filter("_corrupt_record is null").drop("_corrupt_record", "file").withColumn("number", F.coalesce("number", F.lit(0)))
+    return good, raw.filter("_corrupt_record is not null").select("slug", "file")
+
+
+def _stem_number(stem: Column) -> Column:
+    digits = F.regexp_extract(stem, r"\A\s*(\d+)\s*\z", 1)
+    return F.when(digits != "", digits.cast("int"))
+
+
+def mixed_sections(spark: SparkSession, folder: str) -> DataFrame:
+    """S3: (stem, number, title, content) of a folder of .json and .txt sections; JSON wins where both exist."""
+    stem = F.regexp_replace(_file("file_name"), r"\.[^.]+\z", "")
+    documents = _section_documents(spark, f"{folder}/*.json").withColumn("stem", stem)
+    documents = documents.select("stem", "number", "title", "content", (F.col("_corrupt_record").isNotNull()).alias("broken"))
+    plain = spark.read.option("wholetext", True).text(f"{folder}/*.txt").select("value", stem.alias("stem"))
+    plain = plain.join(documents.select("stem"), "stem", "left_anti")
+    by_stem = _stem_number(F.col("stem"))
+    numbered = documents.filter("not broken").select("stem", F.coalesce("number", by_stem).alias("number"), "title", "content").filter("number is not null")
+    texts = plain.select(
+        "stem", F.coalesce(by_stem, F.lit(0)).alias("number"), F.when(by_stem.isNull(), F.col("stem")).otherwise("").alias("title"),
+        F.col("value").alias("content"),
+    )
+    return numbered.unionByName(texts)
+
+
+def listed_urls(documents: DataFrame) -> DataFrame:
+    """The non-empty ``stories[].url`` of list documents."""
+    return documents.select(F.explode("stories").alias("_s")).select(F.col("_s.url").alias("url")).filter("coalesce(url, '') <> ''")
+
+
+def url_list(spark: SparkSession, path: str) -> DataFrame:
+    """S4."""
+    return listed_urls(spark.read.schema(schemas.URL_LIST).option("multiLine", True).json(path))
+
+
+def feed_rows(items: DataFrame, base: str, order: str = "pos") -> DataFrame:
+    """(pos, url, title) of feed items (title, link, guid): the guid stands in for a missing link, each URL once."""
+    link = strip(F.coalesce("link", F.lit("")))
+    href = F.when(link != "", link).otherwise(strip(F.coalesce("guid", F.lit(""))))
+    rows = items.select(F.col(order).alias("pos"), href.alias("_h"), strip(F.coalesce("title", F.lit(""))).alias("title")).filter("_h <> '' and title <> ''")
+    rows = rows.withColumn("url", F.when(F.startswith("_h", F.lit("http")), F.col("_h")).otherwise(F.concat(F.lit(base), "_h")))
+    return rows.groupBy("url").agg(F.min("pos").alias("pos"), F.min_by("title", "pos").alias("title"))
+
+
+def feed(spark: SparkSession, path: str, base: str, limit: int = 80) -> DataFrame:
+    """The first ``limit`` works of an RSS feed."""
+    items = spark.read.format("xml").option("rowTag", "item").schema("title STRING, link STRING, guid STRING").load(path)
+    place = F.struct(_file("file_path"), _file("file_block_start"), F.monotonically_increasing_id())
+    return feed_rows(items.withColumn("pos", place), base).orderBy("pos").limit(limit).select("url", "title")
+
+
+# --- fixed values: the two log line formats -------------------------------------------------------------------------
+RESIDUAL_LINE = r"\w+: \d+ âm tiết không tự sửa được \(ví dụ: (\[.*?\])\)"
+REPAIR_LINE = r"\w+: sửa thêm \d+ âm tiết bằng \S+ \(ví dụ: (\[.*?\])\)"
+
+
+def log_residuals(log: DataFrame) -> DataFrame:
+    """(bad) words the log lists as not repairable, one row per mention."""
+    listed = F.regexp_extract("value", RESIDUAL_LINE, 1)
+    return log.select(F.explode(F.regexp_extract_all(listed, F.lit("""'([^']*)'|"([^"]*)\""""), F.lit(0))).alias("_q")).select(
+        F.expr("substring(_q, 2, length(_q) - 2)").alias("bad")
+    )
+
+
+def log_repairs(log: DataFrame) -> DataFrame:
+    """(bad, variant) repairs the log reports; a line of the first kind is not read as one of the second."""
+    listed = F.when(~F.col("value").rlike(RESIDUAL_LINE), F.regexp_extract("value", REPAIR_LINE, 1))
+    pair = r"\('([^']*)', '([^']*)'\)"
+    rows = log.select(F.explode(F.regexp_extract_all(listed, F.lit(pair), F.lit(0))).alias("_p"))
+    return rows.select(F.regexp_extract("_p", pair, 1).alias("bad"), F.regexp_extract("_p", pair, 2).alias("variant"))
+
+
+def quality_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    log = spark.read.text(path)
+    return log_residuals(log), log_repairs(log)
+
+
+def lexicon_lines(rows: DataFrame) -> DataFrame:
     """One syllable per line, trimmed and lowercased, blank lines dropped."""
     word = F.lower(strip(F.col("value")))
-    return lines.select(word.alias("syllable")).filter("syllable <> ''")
+    return rows.select(word.alias("syllable")).filter("syllable <> ''")
+
+
+def lexicon(spark: SparkSession, path: str) -> DataFrame:
+    """S7."""
+    return lexicon_lines(spark.read.text(path)).distinct()
+
+
+def header_fields(text, slug) -> list[Column]:
+    """Title, genres and author of a sidecar text; the title falls back to the slug in words."""
+    rows = lines(col(text))
+    titles = F.filter(rows, lambda x: ~F.startswith(x, F.lit("=")) & ~F.startswith(x, F.lit("#")))
+
+    def last(pattern):
+        hits = F.filter(F.transform(rows, lambda x: strip(F.regexp_extract(x, pattern, 1))), lambda x: x != "")
+        return F.coalesce(F.get(hits, F.size(hits) - 1), F.lit(""))
+
+    return [
+        F.coalesce(F.get(titles, F.lit(0)), F.initcap(F.replace(col(slug), F.lit("-"), F.lit(" ")))).alias("title"),
+        last(r"(?i)The loai[:\s]+([^\s|]+)").alias("genres"),
+        last(r"(?i)Tac gia[:\s]+([^|]+)").alias("author"),
+    ]
+
+
+def sidecars(spark: SparkSession, pattern: str) -> DataFrame:
+    """(slug, title, genres, author) of the sidecar files, the slug being the folder's name."""
+    raw = spark.read.option("wholetext", True).text(pattern).withColumn("slug", _dir_name(1))
+    return raw.select("slug", *header_fields("value", "slug"))
+
+
+def audio_files(listing: DataFrame) -> DataFrame:
+    """(path, number, bytes) of files named chapter_N.mp3; ``listing``: path, length."""
+    n = F.regexp_extract("path", r"(?:\A|/)chapter_(\d+)\.mp3\z", 1)
+    return listing.filter(n != "").select("path", n.cast("int").alias("number"), F.col("length").alias("bytes"))
+
+
+def file_listing(spark: SparkSession, pattern: str) -> DataFrame:
+    """Paths and sizes; the contents are not read."""
+    return spark.read.format("binaryFile").load(pattern).select("path", "length")
+
+
+def pending_uploads(audio: DataFrame, listing: DataFrame, force: bool = False, marker: str = ".uploaded") -> DataFrame:
+    """Audio files without a marker file beside them; all of them with ``force``."""
+    if force:
+        return audio
+    marked = listing.filter(F.endswith("path", F.lit(marker))).select(F.expr(f"substring(path, 1, length(path) - {len(marker)})").alias("path")).distinct()
+    return audio.join(marked, "path", "left_anti")
+
+
+def scenes_with_images(scenes: DataFrame, listing: DataFrame, folder: str = "images") -> DataFrame:
+    """Scenes whose named image exists, else their conventional one; the others drop out.
+
+    ``scenes``: work_id, scene, image; ``listing``: path, relative to the work's folder as ``work_id/...``.
+    """
+    paths = listing.select("path").distinct()
+    usual = F.concat("work_id", F.lit(f"/{folder}/scene_"), F.lpad(F.col("scene").cast("string"), 3, "0"), F.lit(".jpg"))
+    out = scenes.join(paths.select(F.col("path").alias("_named")), F.col("image") == F.col("_named"), "left")
+    out = out.withColumn("_u", usual).join(paths.select(F.col("path").alias("_usual")), F.col("_u") == F.col("_usual"), "left")
+    return out.withColumn("image", F.coalesce("_named", "_usual")).filter("image is not null").select(*scenes.columns)
