@@ -17,6 +17,7 @@ _TONED = "".join(row[1:] for row in rules.TONES.values())
 _BASES = "".join(base * 5 for base in rules.TONES)
 _VOWELS = "".join(rules.TONES.values())
 _VOWEL_BASES = "".join(base * 6 for base in rules.TONES)
+_VOWEL_RANGES = "aeiouyAEIOUYÀ-ÃÈ-ÊÌÍÒ-ÕÙÚÝà-ãè-êìíò-õùúýĂăĨĩŨũƠơƯưẠ-ỹ"
 _TONE_DIGITS = "012345" * len(rules.TONES)
 FRONT = ("e", "ê", "i")
 
@@ -28,7 +29,7 @@ def strip_tones(c) -> Column:
 
 def tone_marks(c) -> Column:
     """Number of letters that carry a tone mark."""
-    return F.length(sub(col(c), f"[^{_TONED}{_TONED.upper()}]+"))
+    return F.length(col(c)) - F.length(F.translate(col(c), _TONED + _TONED.upper(), ""))
 
 
 def fits(onset: str, rhyme: str) -> bool:
@@ -80,7 +81,12 @@ def is_valid(c) -> Column:
 def is_suspicious(c) -> Column:
     """C4: two or more letters, at least one with a tone mark or a Vietnamese vowel or đ."""
     marks = _TONED + _TONED.upper() + "ăâđêôơưĂÂĐÊÔƠƯ"
-    return col(c).rlike(rf"\A\p{{L}}{{2,}}\z") & col(c).rlike(f"[{marks}]")
+    # most words are ASCII and leave at the first test
+    return (
+        col(c).rlike(r"[^\x00-\x7f]")
+        & col(c).rlike(r"\A\p{L}{2,}\z")
+        & (F.length(F.translate(col(c), marks, "")) < F.length(col(c)))
+    )
 
 
 def has_doubled_vowel(c) -> Column:
@@ -100,7 +106,7 @@ def tokens(c) -> Column:
 
 def segments(c) -> Column:
     """Tokens and what lies between them; joined together they give the text back."""
-    return F.regexp_extract_all(col(c), F.lit(f"(?s){rules.TOKEN}|[^{rules.TOKEN[1:-2]}]+"), F.lit(0))
+    return F.regexp_extract_all(col(c), F.lit(f"{rules.TOKEN}|[^{rules.TOKEN[1:-2]}]+"), F.lit(0))
 
 
 def onset(c) -> Column:
@@ -137,7 +143,9 @@ def collapse_same_base(c: Column) -> Column:
         )
 
     letters = F.filter(F.split(c, ""), lambda x: x != "")
-    return F.aggregate(letters, start, step, lambda s: F.concat(s["done"], s["open"]))
+    folded = F.aggregate(letters, start, step, lambda s: F.concat(s["done"], s["open"]))
+    pairs = "([" + "".join(rules.TONES) + r"])\1"
+    return F.when(base(c).rlike(pairs), folded).otherwise(c)
 
 
 def collapse_candidates(low: Column) -> list[Column]:
@@ -190,10 +198,9 @@ def is_corrupted_word(c) -> Column:
     marks, or when neither it nor its first three or two vowels (with at most one left over) form a known cluster.
     """
     c = col(c)
-    vowels = _VOWELS + _VOWELS.upper()
     before_gi = "".join(row for base, row in rules.TONES.items() if base not in "iy")
     plain = sub(c, rf"(?iu)(?<=g)i(?=[{before_gi}])|(?<=q)u", "-")
-    runs = F.regexp_extract_all(plain, F.lit(f"[{vowels}]{{2,}}"), F.lit(0))
+    runs = F.regexp_extract_all(plain, F.lit(f"[{_VOWEL_RANGES}]{{2,}}"), F.lit(0))
     known = "|".join(sorted(rules.VOWEL_CLUSTERS, key=lambda x: -len(x)))
     two = "|".join(x for x in rules.VOWEL_CLUSTERS if len(x) == 2)
     three = "|".join(x for x in rules.VOWEL_CLUSTERS if len(x) == 3)
@@ -202,7 +209,7 @@ def is_corrupted_word(c) -> Column:
         lambda r: (tone_marks(r) >= 2)
         | ~strip_tones(F.lower(r)).rlike(rf"\A(?:{known}|(?:{three}).?|(?:{two}).?)\z"),
     )
-    return (F.length(c) >= 3) & c.rlike(r"[^\x00-\x7f]") & bad
+    return c.rlike(r"[^\x00-\x7f]") & (F.length(c) >= 3) & bad
 
 
 def drop_corrupted_words(c) -> Column:

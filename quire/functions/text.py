@@ -14,9 +14,10 @@ from quire.functions import rules
 SPACE = (
     r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
-LETTERS = "a-zA-Z" + rules.VIETNAMESE_LETTERS
-UPPER = "A-Z" + "".join(c for c in rules.VIETNAMESE_LETTERS if c.isupper())
-LOWER = "a-z" + "".join(c for c in rules.VIETNAMESE_LETTERS if c.islower())
+# the Vietnamese alphabet as ranges: a class of single characters is tested one by one
+LETTERS = "a-zA-ZÀ-ÃÈ-ÊÌÍÒ-ÕÙÚÝà-ãè-êìíò-õùúýĂăĐđĨĩŨũƠơƯưẠ-ỹ"
+UPPER = r"A-ZÀ-ÃÈ-ÊÌÍÒ-ÕÙÚÝĂĐĨŨƠƯ[Ạ-ỹ&&\p{Lu}]"
+LOWER = r"a-zà-ãè-êìíò-õùúýăđĩũơư[Ạ-ỹ&&\p{Ll}]"
 
 
 def col(c) -> Column:

@@ -13,10 +13,23 @@ from quire.operators.sequence import top_by_margin
 from quire.session import checkpoint
 
 
+def marked_words(sections: DataFrame, key: list[str], text: str = "content") -> DataFrame:
+    """(key, words): the distinct damaged words of each text that has any."""
+    found = F.filter(F.array_distinct(sy.tokens(text)), sy.is_damaged)
+    # exploding a one-element array keeps the filter from judging the words a second time
+    return sections.select(*key, F.explode(F.array(found)).alias("words")).filter(F.size("words") > 0)
+
+
 def damaged_words(sections: DataFrame, text: str = "content") -> DataFrame:
     """Distinct damaged words (bad). Tokens are made distinct per text before they leave the row."""
-    per_text = F.filter(F.array_distinct(sy.tokens(text)), sy.is_damaged)
-    return sections.select(F.explode(per_text).alias("bad")).distinct()
+    return marked_words(sections, [], text).select(F.explode("words").alias("bad")).distinct()
+
+
+def _spread_words(words: DataFrame) -> DataFrame:
+    """Words over all slots: judging one costs far more than its bytes suggest, so sizes alone would gather them."""
+    spark = words.sparkSession
+    slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return words.repartition(slots, "bad")
 
 
 def collapse_fixes(words: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -26,8 +39,8 @@ def collapse_fixes(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     result stands in the lexicon or, if none does, exactly one is valid.
     """
     rows = words.select("bad", F.lower("bad").alias("_low"))
-    rows = rows.withColumn("_safe", F.get(F.filter(F.array(*sy.collapse_candidates(F.col("_low"))), sy.is_valid), F.lit(0)))
-    # the lambda of the filter would rebuild the candidates, so this step stays a projection of its own
+    safe_pick = F.get(F.filter(F.array(*sy.collapse_candidates(F.col("_low"))), sy.is_valid), F.lit(0))
+    rows = rows.select("bad", "_low", F.explode(F.array(safe_pick)).alias("_safe"))
     safe = rows.filter("_safe is not null").select("bad", F.col("_safe").alias("_fix"))
     rest = rows.filter("_safe is null").select("bad", F.explode(sy.deletion_candidates(F.col("_low"))).alias("_cand"))
     known = lexicon.select(F.col("syllable").alias("_cand"), F.lit(True).alias("_known"))
@@ -113,7 +126,7 @@ def supplied_fixes(words: DataFrame, fixes: DataFrame) -> DataFrame:
 
 def cascade(words: DataFrame, lexicon: DataFrame, scores: DataFrame | None = None, supplied: DataFrame | None = None) -> DataFrame:
     """(bad, good, tier) for every damaged word; ``good`` and ``tier`` are null where no tier could repair it."""
-    words = checkpoint(words.select("bad").distinct())
+    words = checkpoint(_spread_words(words.select("bad").distinct()))
     lexicon = checkpoint(lexicon.select("syllable").distinct())
     first = checkpoint(collapse_fixes(words, lexicon))
     left = words.join(first, "bad", "left_anti")
@@ -160,19 +173,18 @@ def agreement(chosen: DataFrame, variants: DataFrame) -> DataFrame:
     )
 
 
-def apply_fixes(sections: DataFrame, fixes: DataFrame, key: list[str], text: str = "content") -> DataFrame:
+def apply_fixes(sections: DataFrame, fixes: DataFrame, key: list[str], text: str = "content", marked: DataFrame | None = None) -> DataFrame:
     """Replace damaged words, keep everything between tokens.
 
     Texts without a damaged word pass by. For the others the distinct (text, word) pairs meet the fixes, come back as
-    one small map per text, and only these texts are shuffled.
+    one small map per text, and only these texts are shuffled. ``marked`` is a stored result of ``marked_words``.
     """
-    found = F.filter(F.array_distinct(sy.tokens(text)), sy.is_damaged)
-    marked = sections.withColumn("_bad", found)
-    clean = marked.filter(F.size("_bad") == 0).drop("_bad")
-    dirty = marked.filter(F.size("_bad") > 0)
-    pairs = dirty.select(*key, F.explode("_bad").alias("bad")).join(fixes.select("bad", "good"), "bad")
+    marked = marked_words(sections, key, text) if marked is None else marked
+    pairs = marked.select(*key, F.explode("words").alias("bad")).join(fixes.select("bad", "good"), "bad")
     maps = pairs.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("bad", "good"))).alias("_map"))
-    joined = dirty.drop("_bad").join(maps, key, "left")
+    is_dirty = F.exists(sy.tokens(text), sy.is_damaged)
+    clean = sections.filter(~F.coalesce(is_dirty, F.lit(False)))
+    joined = sections.filter(is_dirty).join(maps, key, "left")
     fixed = F.array_join(F.transform(sy.segments(text), lambda s: F.coalesce(F.try_element_at(F.col("_map"), s), s)), "")
     joined = joined.withColumn(text, F.when(F.col("_map").isNull(), F.col(text)).otherwise(fixed))
-    return clean.select(*sections.columns).unionByName(joined.select(*sections.columns))
+    return clean.unionByName(joined.select(*sections.columns))

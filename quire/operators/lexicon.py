@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from quire.functions import syllable as sy
-from quire.functions.text import col
+from quire.functions.text import col, let
 
 
 def token_counts(sections: DataFrame, *columns: str) -> DataFrame:
@@ -33,11 +33,17 @@ def verdicts(tokens: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
 
 
 def quality(sections: DataFrame, key: list[str], text: str = "content") -> DataFrame:
-    """A10: per text total and damaged words, their ratio and the damaged words in order. One projection, no shuffle."""
-    rows = sections.select(*key, sy.tokens(text).alias("_t"))
-    rows = rows.select(*key, F.size("_t").alias("total"), F.filter("_t", sy.is_damaged).alias("words"))
-    invalid = F.size("words")
+    """A10: per text total and damaged words, their ratio and the damaged words in order. One projection, no shuffle.
+
+    The one-element explode keeps a later filter from being pushed below and judging every word again.
+    """
+
+    def judged(found):
+        return F.struct(F.size(found).alias("total"), F.filter(found, sy.is_damaged).alias("words"))
+
+    rows = sections.select(*key, F.explode(F.array(let(sy.tokens(text), judged))).alias("_q"))
+    total, words = F.col("_q.total"), F.col("_q.words")
     return rows.select(
-        *key, "total", invalid.alias("invalid"),
-        F.when(F.col("total") == 0, F.lit(0.0)).otherwise(invalid / F.col("total")).alias("ratio"), "words",
+        *key, total.alias("total"), F.size(words).alias("invalid"),
+        F.when(total == 0, F.lit(0.0)).otherwise(F.size(words) / total).alias("ratio"), words.alias("words"),
     )

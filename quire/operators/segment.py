@@ -281,25 +281,46 @@ def pack_sections(sections: DataFrame, limit: int = 60_000, width: int = WIDTH)
                 chars = chars + b.total
         return pd.DataFrame({"work_id": pdf["work_id"], BLOCK: pdf[BLOCK], "entry_chars": entry_chars, "entry_part": entry_part})
 
-    def pack_block(pdf):
-        pdf = pdf.sort_values("number")
-        lengths = pdf["length"].to_numpy()
-        sums, nxt, _, _ = _first_breaks(lengths, limit)
-        chars, part = int(pdf["entry_chars"].iloc[0]), int(pdf["entry_part"].iloc[0])
-        start = 0 if part == 0 else int(np.searchsorted(sums, limit - chars, side="right"))
-        parts = np.full(len(lengths), part, dtype=np.int64)
-        while start < len(lengths):
-            part += 1
-            parts[start : nxt[start]] = part
-            start = int(nxt[start])
-        return pd.DataFrame({"work_id": pdf["work_id"], "number": pdf["number"], "length": pdf["length"], "part": parts})
-
-    reduced = rows.groupBy("work_id", BLOCK).applyInPandas(
+    def pack(frame):
+        works, blocks = frame["work_id"].to_numpy(), frame[BLOCK].to_numpy()
+        lengths, chars_in, part_in = frame["length"].tolist(), frame["entry_chars"].tolist(), frame["entry_part"].tolist()
+        first = np.ones(len(frame), dtype=bool)
+        first[1:] = (works[1:] != works[:-1]) | (blocks[1:] != blocks[:-1])
+        parts, part, chars = [], 0, 0
+        for n, new_group, chars_0, part_0 in zip(lengths, first.tolist(), chars_in, part_in):
+            if new_group:
+                part, chars = part_0, chars_0
+            if part == 0 or chars + n > limit:
+                part, chars = part + 1, 0
+            chars += n
+            parts.append(part)
+        return frame[["work_id", "number", "length"]].assign(part=parts)
+
+    def pack_sorted(frames):
+        """Rows come sorted by work and block; the last block of a frame waits for the next frame."""
+        held = None
+        for frame in frames:
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            if not len(frame):
+                continue
+            last = (frame["work_id"] == frame["work_id"].iloc[-1]) & (frame[BLOCK] == frame[BLOCK].iloc[-1])
+            cut = int(last.to_numpy().argmax())
+            held = frame.iloc[cut:]
+            if cut:
+                yield pack(frame.iloc[:cut])
+        if held is not None and len(held):
+            yield pack(held)
+
+    # a work that fits one block starts empty; only longer ones need their blocks followed
+    long_works = rows.groupBy("work_id").agg(F.min(BLOCK).alias("_a"), F.max(BLOCK).alias("_z")).filter("_a < _z").select("work_id")
+    reduced = rows.join(long_works, "work_id", "left_semi").groupBy("work_id", BLOCK).applyInPandas(
         reduce_block,
         f"work_id string, {BLOCK} bigint, total bigint, first_opened bigint, first_tail bigint, sums array<bigint>, opened array<bigint>, tails array<bigint>",
     )
     entries = reduced.groupBy("work_id").applyInPandas(follow_blocks, f"work_id string, {BLOCK} bigint, entry_chars bigint, entry_part bigint")
-    packed = rows.join(entries, ["work_id", BLOCK]).groupBy("work_id", BLOCK).applyInPandas(
-        pack_block, "work_id string, number bigint, length bigint, part bigint"
+    placed = rows.join(entries, ["work_id", BLOCK], "left").select(
+        "work_id", BLOCK, "number", "length", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("entry_chars", "entry_part")]
     )
+    placed = placed.repartition("work_id", BLOCK).sortWithinPartitions("work_id", BLOCK, "number")
+    packed = placed.mapInPandas(pack_sorted, "work_id string, number bigint, length bigint, part bigint")
     return packed.select("work_id", F.col("number").cast("int").alias("number"), "length", F.col("part").cast("int").alias("part"))

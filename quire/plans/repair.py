@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from quire.functions import syllable as sy
 from quire.functions import text as t
 from quire.operators import correct
 from quire.operators.normalise import nfc
+from quire.session import checkpoint
 
 
 def repair_words(sections: DataFrame, lexicon: DataFrame, key: list[str], text: str = "content", scores=None, supplied=None):
     """(repaired sections, repairs): damaged words replaced by the first tier that knows a repair."""
     composed = nfc(sections, text)
-    repairs = correct.cascade(correct.damaged_words(composed, text), lexicon, scores, supplied)
-    return correct.apply_fixes(composed, repairs.filter("good is not null"), key, text), repairs
+    # keys and damaged words only: the vocabulary and the fix maps both start from here
+    marked = checkpoint(correct.marked_words(composed, key, text))
+    words = marked.select(F.explode("words").alias("bad")).distinct()
+    repairs = correct.cascade(words, lexicon, scores, supplied)
+    return correct.apply_fixes(composed, repairs.filter("good is not null"), key, text, marked), repairs
 
 
 def clean_and_repair(sections: DataFrame, lexicon: DataFrame, key: list[str], text: str = "content", phrases=(), foreign=(),
                      body_lexicon=(), collapse: bool = False) -> DataFrame:
     """The whole section cleaner; phrase and word lists are the caller's."""
-    body = sections.withColumn(text, t.clean_body(text, body_lexicon))
+    # the repair reads the cleaned text three times
+    body = checkpoint(sections.withColumn(text, t.clean_body(text, body_lexicon)))
     fixed, _ = repair_words(body, lexicon, key, text)
     fixed = fixed.withColumn(text, sy.drop_corrupted_words(text)).withColumn(text, t.repair_punctuation(text))
     if collapse:

@@ -10,10 +10,10 @@ from quire.sources import readers as rd
 from quire.sources import sinks
 
 
-@query("K1_stage_sections", on_c("""SELECT work_id AS slug, number, CASE WHEN number IN (2, 3) THEN 'new ' || title ELSE title END AS title FROM sections_c"""))
+@query("K1_stage_sections", on_v("""SELECT work_id AS slug, number, CASE WHEN number IN (2, 3) THEN 'new ' || title ELSE title END AS title FROM sections_v"""))
 def _(spark, d):
     path = sinks.scratch(spark, "staged")
-    s = sections_c(spark, d).select(F.col("work_id").alias("slug"), "number", "title")
+    s = sections_v(spark, d).select(F.col("work_id").alias("slug"), "number", "title")
     sinks.stage_sections(None, s.filter("number <> 3"), path)
     ddl = "number INT, title STRING, slug STRING"
     stored = spark.read.schema(ddl).json(path)

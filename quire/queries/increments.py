@@ -13,7 +13,7 @@ from quire.streaming import incremental as inc
 
 def stream(spark, d, name):
     """A file stream over one of the tables."""
-    schema = table(spark, d, name).schema
+    schema = spark.read.parquet(f"{d}/{name}.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 

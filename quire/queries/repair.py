@@ -9,7 +9,6 @@ from quire.operators import correct, lexicon as lx
 from quire.plans.repair import clean_and_repair, repair_words
 from quire.queries.texts import docs
 from quire.registry import query, table
-from quire.session import spread
 
 TONED = "".join(row[1:] for row in rules.TONES.values())
 PLAIN = "".join(b * 5 for b in rules.TONES)
@@ -106,7 +105,7 @@ def _(spark, d):
 
 def damaged(spark, d):
     """The damaged words of the conversations."""
-    return correct.damaged_words(spread(table(spark, d, "conversations").select("text")), "text")
+    return correct.damaged_words(table(spark, d, "conversations").select("text"), "text")
 
 
 @query("C5_collapse_fixes")
@@ -204,7 +203,7 @@ def _(spark, d):
 
 @query("T14_token_rewrite")
 def _(spark, d):
-    rows = spread(table(spark, d, "conversations").select("conv_id", "turn", "text"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "text")
     fixed, _ = repair_words(rows, lexicon(spark, d), ["conv_id", "turn"], "text")
     return fixed.select("conv_id", "turn", F.md5("text").alias("digest"))
 
@@ -213,7 +212,7 @@ def _(spark, d):
 seg AS (SELECT conv_id, turn, segs, unnest(range(1, len(segs) + 1)) AS i FROM (SELECT conv_id, turn, regexp_extract_all(text, '{rules.TOKEN}|[^A-Za-zÀ-ỹĐđ]+') AS segs FROM conversations))
 SELECT conv_id, turn, md5(string_agg(coalesce(good, segs[i]), '' ORDER BY i)) AS digest FROM seg LEFT JOIN fix ON fix.bad = segs[i] GROUP BY conv_id, turn""")
 def _(spark, d):
-    rows = spread(table(spark, d, "conversations").select("conv_id", "turn", "text"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "text")
     words = correct.damaged_words(rows, "text")
     fixes = correct.supplied_fixes(words, words.select("bad", sy.strip_tones(F.lower("bad")).alias("good")))
     return correct.apply_fixes(rows, fixes, ["conv_id", "turn"], "text").select("conv_id", "turn", F.md5("text").alias("digest"))
@@ -236,6 +235,6 @@ def _(spark, d):
 
 @query("T8_clean_and_repair")
 def _(spark, d):
-    rows = spread(table(spark, d, "conversations").select("conv_id", "turn", "text"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "text")
     out = clean_and_repair(rows, lexicon(spark, d), ["conv_id", "turn"], "text", foreign=(("the", "le"),))
     return out.select("conv_id", "turn", F.md5("text").alias("digest"))

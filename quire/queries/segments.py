@@ -24,9 +24,9 @@ def _(spark, d):
     return sg.allocate(sections_c(spark, d), 12, 20)
 
 
-@query("W7_allocation_documents", on_v("SELECT work_id, number, words, pieces FROM alloc", _alloc("sections_v", 60, 100)))
+@query("W7_allocation_documents", on_v("SELECT work_id, number, words, pieces FROM alloc", _alloc("sections_v", 600, 20)))
 def _(spark, d):
-    return sg.allocate(sections_v(spark, d), 60, 100)
+    return sg.allocate(sections_v(spark, d), 600, 20)
 
 
 def trimmed_list(c, sep):
@@ -82,7 +82,7 @@ def _(spark, d):
 
 @query("G4_split_documents")
 def _(spark, d):
-    out = sg.split_to_target(sections_v(spark, d), 60, 100)
+    out = sg.split_to_target(sections_v(spark, d), 600, 20)
     return out.select("work_id", "number", "title", F.md5("content").alias("digest"), "word_count")
 
 

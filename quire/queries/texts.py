@@ -11,11 +11,10 @@ from quire.operators.normalise import nfc
 from quire.queries.base import sections_c, works_v
 from quire.queries.sql import SPACE, on_c, on_v, strip, wc
 from quire.registry import query, table
-from quire.session import spread
 
 
 def docs(spark, d):
-    return spread(table(spark, d, "documents").select("doc_id", "text"))
+    return table(spark, d, "documents").select("doc_id", "text")
 
 
 def digest(name, sql_expr, column):

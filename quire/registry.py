@@ -21,7 +21,11 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    from quire.session import spread
+
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # the text tables come as one file each; the work on them is bound by the processor
+    return spread(rows) if name in ("documents", "pages", "conversations") else rows
 
 
 def load_all() -> None:

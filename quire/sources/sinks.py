@@ -10,7 +10,7 @@ from quire.functions import text as t
 from quire.functions import urls
 from quire.functions.predicates import is_published
 from quire.operators.changes import upsert
-from quire.operators.ordered import Running, global_rank, ordered
+from quire.operators.ordered import WIDTH, Running, global_rank, ordered
 from quire.operators.segment import pack_sections
 from quire.session import checkpoint, checkpoint_dir
 
@@ -29,6 +29,8 @@ def stage_sections(stored: DataFrame | None, incoming: DataFrame, path: str) ->
     if stored is not None:
         touched = stored.join(incoming.select("slug").distinct(), "slug", "left_semi")
         rows = upsert(touched, incoming, ["slug", "number"])
+    # a work's rows meet in few files, a very long work in one file per block of numbers
+    rows = rows.repartition("slug", F.floor(F.col("number") / WIDTH))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slug").json(path)
 
 
