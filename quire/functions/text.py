@@ -14,6 +14,8 @@ from quire.functions import rules
 SPACE = (
     r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+# the complement; the ASCII part comes first because it decides for most characters
+WORD = rf"[!-~[^{SPACE}]]+"
 # the Vietnamese alphabet as ranges: a class of single characters is tested one by one
 LETTERS = "a-zA-ZÀ-ÃÈ-ÊÌÍÒ-ÕÙÚÝà-ãè-êìíò-õùúýĂăĐđĨĩŨũƠơƯưẠ-ỹ"
 UPPER = r"A-ZÀ-ÃÈ-ÊÌÍÒ-ÕÙÚÝĂĐĨŨƠƯ[Ạ-ỹ&&\p{Lu}]"
@@ -52,12 +54,12 @@ def lstrip(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(rf"[^{SPACE}]+"), F.lit(0))
+    return F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
 
 
 def word_count(c) -> Column:
     """Number of blank-separated words."""
-    return F.coalesce(F.regexp_count(col(c), F.lit(rf"[^{SPACE}]+")), F.lit(0))
+    return F.coalesce(F.regexp_count(col(c), F.lit(WORD)), F.lit(0))
 
 
 def lines(c: Column) -> Column:

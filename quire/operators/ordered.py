@@ -93,7 +93,7 @@ class Total:
 
 
 def with_block(df: DataFrame, order: str, width: int = WIDTH) -> DataFrame:
-    return df.withColumn(BLOCK, F.floor(F.col(order) / F.lit(width)))
+    return df.withColumn(BLOCK, ((F.col(order) - F.pmod(F.col(order), F.lit(width))) / width).cast("bigint"))
 
 
 def ordered(df: DataFrame, by: list[str] | str, order: str, width: int = WIDTH, **columns) -> DataFrame:

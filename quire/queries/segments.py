@@ -142,7 +142,7 @@ def _(spark, d):
 @query("P1_pack_turns", _pack_sql(TURNS, 700))
 def _(spark, d):
     s = sections_c(spark, d).select("work_id", "number", F.length("content").alias("length"))
-    return sg.pack_sections(s, 700, width=4)
+    return sg.pack_sections(s, 700)
 
 
 @query("P2_pack_paragraphs", """WITH RECURSIVE p AS (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)) AS ps, text FROM documents WHERE length(replace(text, chr(10), chr(10) || chr(10))) > 1200)),
