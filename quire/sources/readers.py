@@ -36,10 +36,11 @@ def _section_documents(spark: SparkSession, paths) -> DataFrame:
 
 def staged_sections(spark: SparkSession, root: str, slug: str = "*", day: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(sections, unreadable files) of ``root/[day/]slug/chapters/*.json``."""
-    middle = f"{day}/" if day else ""
-    raw = _section_documents(spark, f"{root}/{middle}{slug}/chapters/*.json").withColumn("slug", _dir_name(2)).withColumn("file", _file("file_name"))
-    good = raw.filter("_corrupt_record is null").drop("_corrupt_record", "file").withColumn("number", F.coalesce("number", F.lit(0)))
-    return good, raw.filter("_corrupt_record is not null").select("slug", "file")
+    paths = f"{root}/{day}/{slug}/chapters/*.json" if day else f"{root}/{slug}/chapters/*.json"
+    good = _section_documents(spark, paths).withColumn("slug", _dir_name(2)).filter("_corrupt_record is null").drop("_corrupt_record")
+    texts = spark.read.text(paths, wholetext=True).select("value", _dir_name(2).alias("slug"), _file("file_name").alias("file"))
+    unreadable = texts.filter(F.get_json_object("value", "$").isNull()).select("slug", "file")
+    return good.withColumn("number", F.coalesce("number", F.lit(0))), unreadable
 
 
 def _stem_number(stem: Column) -> Column:
@@ -52,7 +53,7 @@ def mixed_sections(spark: SparkSession, folder: str) -> DataFrame:
     stem = F.regexp_replace(_file("file_name"), r"\.[^.]+\z", "")
     documents = _section_documents(spark, f"{folder}/*.json").withColumn("stem", stem)
     documents = documents.select("stem", "number", "title", "content", (F.col("_corrupt_record").isNotNull()).alias("broken"))
-    plain = spark.read.option("wholetext", True).text(f"{folder}/*.txt").select("value", stem.alias("stem"))
+    plain = spark.read.text(f"{folder}/*.txt", wholetext=True).select("value", stem.alias("stem"))
     plain = plain.join(documents.select("stem"), "stem", "left_anti")
     by_stem = _stem_number(F.col("stem"))
     numbered = documents.filter("not broken").select("stem", F.coalesce("number", by_stem).alias("number"), "title", "content").filter("number is not null")
@@ -144,7 +145,7 @@ def header_fields(text, slug) -> list[Column]:
 
 def sidecars(spark: SparkSession, pattern: str) -> DataFrame:
     """(slug, title, genres, author) of the sidecar files, the slug being the folder's name."""
-    raw = spark.read.option("wholetext", True).text(pattern).withColumn("slug", _dir_name(1))
+    raw = spark.read.text(pattern, wholetext=True).withColumn("slug", _dir_name(1))
     return raw.select("slug", *header_fields("value", "slug"))
 
 

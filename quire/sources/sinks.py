@@ -77,7 +77,8 @@ def export_texts(works: DataFrame, sections: DataFrame, limit: int = 60_000, cha
     packed = checkpoint(pack_sections(sections.select("work_id", "number", F.length(F.coalesce("content", F.lit(""))).alias("length")), limit))
     totals = packed.groupBy("work_id").agg(F.max("part").alias("parts"), F.sum("length").alias("_chars"))
     body = F.flatten(F.transform(t.lines(clean(F.coalesce("content", F.lit("")))), lambda x: F.array(x, F.lit(""))))
-    rows = sections.select("work_id", "number", body.alias("_lines")).join(packed.select("work_id", "number", "part"), ["work_id", "number"])
+    # the one-element explode keeps the filter below from cleaning every text a second time
+    rows = sections.select("work_id", "number", F.explode(F.array(body)).alias("_lines")).join(packed.select("work_id", "number", "part"), ["work_id", "number"])
     filled = rows.filter(F.size("_lines") > 0).groupBy("work_id", "part").agg(F.array_sort(F.collect_list(F.struct("number", "_lines"))).alias("_s"))
     parts = packed.select("work_id", "part").distinct().join(filled, ["work_id", "part"], "left").join(totals, "work_id")
     parts = parts.join(works.select("work_id", "slug", "title", "author"), "work_id")
