@@ -143,18 +143,15 @@ def cascade(words: DataFrame, lexicon: DataFrame, scores: DataFrame | None = Non
 
 def tier_coverage(repairs: DataFrame, tiers: int = 4) -> DataFrame:
     """Per tier the words it repaired, the words left after it and the share of its input it repaired."""
-    spark = repairs.sparkSession
-    counts = repairs.groupBy("tier").agg(F.count(F.lit(1)).alias("_n"))  # at most five rows
-    grid = spark.range(1, tiers + 1).select(F.col("id").cast("int").alias("_k"))
-    per = grid.join(F.broadcast(counts)).groupBy("_k").agg(
-        F.coalesce(F.sum(F.when(F.col("tier") == F.col("_k"), F.col("_n"))), F.lit(0)).alias("fixed"),
-        F.coalesce(F.sum(F.when(F.col("tier").isNull() | (F.col("tier") > F.col("_k")), F.col("_n"))), F.lit(0)).alias("remaining"),
+    tier = F.col("tier")
+    one = repairs.agg(
+        *[F.count_if(tier == k).alias(f"_f{k}") for k in range(1, tiers + 1)],
+        *[F.count_if(tier.isNull() | (tier > k)).alias(f"_r{k}") for k in range(1, tiers + 1)],
     )
+    per = [F.struct(F.lit(k).alias("tier"), F.col(f"_f{k}").alias("fixed"), F.col(f"_r{k}").alias("remaining")) for k in range(1, tiers + 1)]
+    out = one.select(F.explode(F.array(*per)).alias("_t")).select("_t.*")
     given = F.col("fixed") + F.col("remaining")
-    return per.select(
-        F.col("_k").alias("tier"), "fixed", "remaining",
-        F.when(given == 0, F.lit(0.0)).otherwise(F.round(100 * F.col("fixed") / given, 6)).alias("percent"),
-    )
+    return out.withColumn("percent", F.when(given == 0, F.lit(0.0)).otherwise(F.round(100 * F.col("fixed") / given, 6)))
 
 
 def residuals(repairs: DataFrame) -> DataFrame:

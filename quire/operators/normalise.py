@@ -15,5 +15,5 @@ def _nfc(texts: pd.Series) -> pd.Series:
 
 def nfc(df: DataFrame, column: str) -> DataFrame:
     """T4: NFC form of ``column``. Only rows that hold combining marks leave the JVM."""
-    marked = F.coalesce(F.col(column).rlike(r"\p{M}"), F.lit(False))
+    marked = F.coalesce(F.col(column).rlike(r"[[^\x00-\x{2ff}]&&\p{M}]"), F.lit(False))
     return df.filter(~marked).unionByName(df.filter(marked).withColumn(column, _nfc(column)))

@@ -154,12 +154,9 @@ def _(spark, d):
     return sections_c(spark, d).filter(p.long_enough("content", 100)).select("work_id", "number", F.length("content").alias("chars"))
 
 
-@query("F12_recent_works", on_c("""SELECT slug FROM works_c, (SELECT max(created_at) AS m FROM works_c)
-WHERE created_at > m - INTERVAL 48 HOUR AND created_at <= m"""))
+@query("F12_recent_works", on_c("""SELECT slug FROM works_c WHERE created_at > TIMESTAMP '2024-01-02 06:00:00' - INTERVAL 24 HOUR AND created_at <= TIMESTAMP '2024-01-02 06:00:00'"""))
 def _(spark, d):
-    works = works_c(spark, d)
-    as_of = works.agg(F.max("created_at").alias("m"))
-    return works.join(F.broadcast(as_of)).filter(p.within_hours("created_at", F.col("m"), 48)).select("slug")
+    return works_c(spark, d).filter(p.within_hours("created_at", F.lit("2024-01-02 06:00:00").cast("timestamp"), 24)).select("slug")
 
 
 @query("F13_work_urls", """WITH u AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages)
@@ -318,8 +315,8 @@ def _(spark, d):
 
 @query("A4_catalogue_totals", on_v("SELECT (SELECT count(*) FROM works_v) AS works, (SELECT count(*) FROM sections_v) AS sections"))
 def _(spark, d):
-    works = works_v(spark, d).agg(F.count(F.lit(1)).alias("works"))
-    return works.join(F.broadcast(sections_v(spark, d).agg(F.count(F.lit(1)).alias("sections"))))
+    both = works_v(spark, d).select(F.lit(1).alias("w"), F.lit(0).alias("s")).unionAll(sections_v(spark, d).select(F.lit(0).alias("w"), F.lit(1).alias("s")))
+    return both.agg(F.sum("w").alias("works"), F.sum("s").alias("sections"))
 
 
 @query("A5_sections_per_work", on_v("SELECT work_id, count(*) AS sections FROM sections_v GROUP BY work_id"))

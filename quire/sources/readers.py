@@ -3,6 +3,8 @@ on any DataFrame of the raw rows."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quire import schemas
@@ -156,12 +158,33 @@ def audio_files(listing: DataFrame) -> DataFrame:
 
 
 def file_listing(spark: SparkSession, pattern: str) -> DataFrame:
-    """Paths and sizes; the contents are not read."""
+    """Paths and sizes of non-empty files; the contents are not read."""
     return spark.read.format("binaryFile").load(pattern).select("path", "length")
 
 
+def folder_listing(folders: DataFrame) -> DataFrame:
+    """Paths and sizes of all files, empty ones included, in the given folders; every task lists its share of them."""
+
+    def listed(frames):
+        import pandas as pd
+        from pyarrow import fs
+
+        for frame in frames:
+            rows = []
+            for folder in frame["folder"]:
+                store, path = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", folder))
+                found = store.get_file_info(fs.FileSelector(path, allow_not_found=True))
+                rows += [(f"{folder.rstrip('/')}/{f.base_name}", f.size) for f in found if f.is_file]
+            yield pd.DataFrame(rows, columns=["path", "length"])
+
+    return folders.select("folder").mapInPandas(listed, "path string, length bigint")
+
+
 def pending_uploads(audio: DataFrame, listing: DataFrame, force: bool = False, marker: str = ".uploaded") -> DataFrame:
-    """Audio files without a marker file beside them; all of them with ``force``."""
+    """Audio files without a marker file beside them; all of them with ``force``.
+
+    Markers are empty files, so ``listing`` has to come from ``folder_listing``.
+    """
     if force:
         return audio
     marked = listing.filter(F.endswith("path", F.lit(marker))).select(F.expr(f"substring(path, 1, length(path) - {len(marker)})").alias("path")).distinct()

@@ -54,7 +54,8 @@ def test_sidecars_and_audio(spark, tmp_path):
     assert rows == {"ten-hay": ("The loai: x", "x", ""), "khac": ("Tên Thật", "drama", "Bà A"), "rong-tuech": ("Rong Tuech", "", "")}
     for name, text in (("chapter_1.mp3", "abc"), ("chapter_1.mp3.uploaded", ""), ("chapter_02.mp3", "abcd"), ("x.mp3", "a")):
         put(tmp_path / "audio" / name, text)
-    listing = rd.file_listing(spark, f"{tmp_path}/audio/*")
+    assert rd.audio_files(rd.file_listing(spark, f"{tmp_path}/audio/*")).count() == 2
+    listing = rd.folder_listing(spark.createDataFrame([(f"file:{tmp_path}/audio",), (f"file:{tmp_path}/none",)], "folder string"))
     audio = rd.audio_files(listing)
     assert sorted((r["number"], r["bytes"]) for r in audio.collect()) == [(1, 3), (2, 4)]
     assert [r["number"] for r in rd.pending_uploads(audio, listing).collect()] == [2]
