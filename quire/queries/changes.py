@@ -146,3 +146,27 @@ def _(spark, d):
     iso = F.when(even, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"))
     ms = F.when(~even, F.unix_millis(ts))
     return e.select("event_id", F.date_format(ch.normal_time(iso, ms), "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query("T43_retitle", on_v("""SELECT section_id, CASE WHEN title GLOB 'Phần [0-9]*' AND number % 3 <> 0 THEN 'New name ' || number ELSE title END AS title FROM sections_v"""))
+def _(spark, d):
+    from quire.plans.ingest import retitle
+
+    s = sections_v(spark, d).select("section_id", "number", "title")
+    n = F.col("number").cast("string")
+    answers = s.select("section_id", F.when(F.col("number") % 3 == 0, F.lit("word " * 16)).otherwise(F.concat(F.lit('"New name '), n, F.lit('."'))).alias("text"))
+    return retitle(s, answers).select("section_id", "title")
+
+
+@query("ingest_new_sections")
+def _(spark, d):
+    from quire.operators.ordered import Running, ordered
+    from quire.plans.ingest import new_sections
+
+    pages = table(spark, d, "pages").withColumn("work_id", F.concat(F.lit("h"), (F.col("page_id") % 7).cast("string")))
+    pages = ordered(pages, "work_id", "page_id", pos=Running(F.lit(1), inclusive=False)).withColumn("pos", F.col("pos").cast("int"))
+    pages = pages.withColumn("url", F.concat("url", F.lit("/chuong-"), (F.col("pos") + 1).cast("string")))
+    stored = pages.filter("pos % 4 = 0").select("work_id", (F.col("pos") + 1).alias("number"))
+    domains = spark.createDataFrame([("example.com", "a", 1), ("example.net", "b", 2)], "domain string, source string, reg_order int")
+    out = new_sections(pages, stored, domains)
+    return out.select("work_id", "number", "word_count", F.md5("content").alias("digest"))
