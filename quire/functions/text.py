@@ -14,6 +14,7 @@ from quire.functions import rules
 SPACE = (
     r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+BLANKS = "".join(chr(cp) for cp in range(0x3001) if chr(cp).isspace())
 # the complement; the ASCII part comes first because it decides for most characters
 WORD = rf"[!-~[^{SPACE}]]+"
 # the Vietnamese alphabet as ranges: a class of single characters is tested one by one
@@ -42,15 +43,15 @@ def chain(c: Column, steps) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return sub(c, rf"\A[{SPACE}]+|[{SPACE}]+\z")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def rstrip(c: Column) -> Column:
-    return sub(c, rf"[{SPACE}]+\z")
+    return F.rtrim(c, F.lit(BLANKS))
 
 
 def lstrip(c: Column) -> Column:
-    return sub(c, rf"\A[{SPACE}]+")
+    return F.ltrim(c, F.lit(BLANKS))
 
 
 def words(c: Column) -> Column:
@@ -140,9 +141,16 @@ def reflow(c) -> Column:
 def undot(c) -> Column:
     """Drop the dots inside spelled-out words such as ``T.i.ế.n``."""
     dotted = rf"(?U)\b[{LETTERS}]+\.[{LETTERS}.]+\b"
-    pieces = F.regexp_extract_all(col(c), F.lit(rf"(?sU)\b[{LETTERS}]+\.[{LETTERS}.]+\b|.+?(?=\b[{LETTERS}]+\.[{LETTERS}]|\z)"), F.lit(0))
-    fixed = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(rf"\A{dotted}\z"), F.replace(p, F.lit("."), F.lit(""))).otherwise(p)), "")
-    return F.when(col(c).rlike(dotted), fixed).otherwise(col(c))
+    piece = rf"(?sU)\b[{LETTERS}]+\.[{LETTERS}.]+\b|.+?(?=\b[{LETTERS}]+\.[{LETTERS}]|\z)"
+
+    def join(x):
+        fixed = F.transform(
+            F.regexp_extract_all(x, F.lit(piece), F.lit(0)),
+            lambda p: F.when(p.rlike(rf"\A{dotted}\z"), F.replace(p, F.lit("."), F.lit(""))).otherwise(p),
+        )
+        return F.when(x.rlike(dotted), F.array_join(fixed, "")).otherwise(x)
+
+    return let(col(c), join)
 
 
 def clean_body(c, lexicon=(), drop_unknown: bool = False) -> Column:
@@ -158,7 +166,8 @@ def clean_body(c, lexicon=(), drop_unknown: bool = False) -> Column:
     c = sub(c, rf"(?dm)^[^\S\r\n]*[-_─—═=]{{3,}}{h}$")
     c = sub(c, rf"(?dm)^[^\S\r\n]*\d+\.[{UPPER}].*$")
     c = undot(sub(c, r"\n{3,}", "\n\n"))
-    c = sub(c, rf"[{SPACE}]*\*{{3}}g[{SPACE}]*", " ")
+    starred = rf"[{SPACE}]*\*{{3}}g[{SPACE}]*"
+    c = let(c, lambda x: F.when(F.contains(x, F.lit("***g")), sub(x, starred, " ")).otherwise(x))
     c = sub(c, r"[\x{1D400}-\x{1D7FF}\x{1F300}-\x{1FAFF}]")
     for phrase, replacement in sorted(lexicon, key=lambda pair: -len(pair[0])):
         c = sub(c, rf"(?iU)\b{re.escape(phrase)}\b", replacement)
