@@ -29,13 +29,14 @@ def local_session(cpus: str | int = "*", partitions: int = 8, app: str = "quire"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only in local mode where none is set."""
+    """The shared folder the cluster names. Where none is set, as in tests, a local session gets one of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="quire-checkpoint-")
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        named = tempfile.mkdtemp(prefix="quire-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
