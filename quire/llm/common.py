@@ -111,6 +111,11 @@ class Words:
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray
+    total: np.ndarray
+
+    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of parts of the batch; that of a whole word is its ``hash``."""
+        return mix((self.total[end] - self.total[start]) * _powers(_P_INVERSE, len(self.total))[start])
 
     @property
     def doc(self) -> np.ndarray:
@@ -129,7 +134,7 @@ def words_of(column: pa.Array, is_word: np.ndarray = NOT_SPACE) -> Words:
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * _powers(_P, n), out=total[1:])
     hashes = mix((total[end] - total[start]) * _powers(_P_INVERSE, n + 1)[start])
-    return Words(data, start, end, hashes, np.searchsorted(start, offsets))
+    return Words(data, start, end, hashes, np.searchsorted(start, offsets), total)
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:

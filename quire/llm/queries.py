@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, mixing, quality_rules
+from quire.llm import decontaminate, line_quality, mixing, preference, quality_rules, toxicity, url_filter
 from quire.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,47 @@ JOIN extra e ON d.source IS NOT DISTINCT FROM e.source AND d.place = e.place
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+CHAT_SQL = r"""
+WITH last AS (SELECT conv_id, max(turn) AS turn FROM conversations WHERE role = 'assistant' GROUP BY conv_id
+), answers AS (SELECT conv_id - 1 AS conv_id, text AS answer FROM conversations JOIN last USING (conv_id, turn)
+), rejected AS (
+  SELECT c.conv_id, c.turn, role, CASE WHEN l.conv_id IS NULL THEN text ELSE answer END AS text
+  FROM conversations c LEFT JOIN last l ON c.conv_id = l.conv_id AND c.turn = l.turn LEFT JOIN answers a ON l.conv_id = a.conv_id
+  WHERE l.conv_id IS NULL OR answer IS NOT NULL
+), differ AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, min(coalesce(c.turn, r.turn)) AS first
+  FROM conversations c FULL JOIN rejected r ON c.conv_id = r.conv_id AND c.turn = r.turn
+  WHERE c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text GROUP BY 1
+), parts AS (
+  SELECT c.conv_id, CASE WHEN first IS NULL OR turn < first THEN 'prompt' ELSE 'chosen' END AS part, turn, role, text
+  FROM conversations c LEFT JOIN differ USING (conv_id)
+  UNION ALL
+  SELECT r.conv_id, 'rejected', turn, role, text FROM rejected r JOIN differ USING (conv_id) WHERE turn >= first
+)
+SELECT conv_id AS pair_id, part, turn, '<|im_start|>' || role || chr(10) || replace(text, '<|im_', '<| im_') || '<|im_end|>' || chr(10) AS rendered,
+  part <> 'prompt' AND role = 'assistant' AS loss FROM parts
+"""
+
+
+@query("op5_preference_format", CHAT_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = read(spark, sf_dir, "conversations")
+    return preference.prefer(chosen, preference.other_answers(chosen), pair="conv_id")
+
+
+@query("op8_url_filter")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op10_line_quality")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
