@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, line_quality, mixing, preference, quality_rules, toxicity, url_filter
+from quire.llm import decontaminate, line_quality, mixing, pii, preference, quality_rules, toxicity, url_filter
 from quire.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,3 +178,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_line_quality")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+#: The key of the surrogates; a production job passes its own secret.
+PII_KEY = "surrogates of the sample tables"
+
+
+@query("op9_pii_surrogates")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.replace(read(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    kinds = F.array_join(F.transform("entities", lambda e: e["kind"]), ",")
+    return done.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), kinds.alias("kinds"))
