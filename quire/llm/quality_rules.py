@@ -123,8 +123,10 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text",
     w, m = fresh(docs, "w", "m")
     raw = F.coalesce(F.col(text), F.lit(""))
     counted = docs.select(*[F.col(f"`{c}`") for c in rest], split_words(F.col(text)).alias(w))
+    # as a generator's result: a filter on the verdict must not take the measures apart and compute them once for every rule
     counted = counted.select(
-        *[F.col(f"`{c}`") for c in rest], F.struct(*[c.alias(k) for k, c in measures(F.col(w), raw).items()]).alias(m)
+        *[F.col(f"`{c}`") for c in rest],
+        F.explode(F.array(F.struct(*[c.alias(k) for k, c in measures(F.col(w), raw).items()]))).alias(m),
     )
 
     def value(name: str) -> Column:
