@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, line_quality, mixing, near_join, pii, preference, quality_rules, toxicity, url_filter
+from quire.llm import decontaminate, line_quality, lm_score, mixing, near_join, pii, preference, quality_rules, toxicity, url_filter
 from quire.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -216,3 +216,8 @@ FROM words w LEFT JOIN sizes USING (doc_id) JOIN (SELECT a, min(b) AS component_
 @query("op3_near_join", NEAR_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_copies(read(spark, sf_dir, "documents"))
+
+
+@query("op1_lm_score")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(read(spark, sf_dir, "documents"))
