@@ -91,7 +91,7 @@ def mix(
     are replaced.
     """
     rest = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "taken")]
-    s, p, n, q = fresh(docs, "s_", "p_", "n_", "q_")
+    s, p, n, q, v = fresh(docs, "s_", "p_", "n_", "q_", "v_")
     placed = docs.select(
         *[F.col(f"`{c}`") for c in rest], F.col(source).alias(s), place(F.col(key), F.col(text)).alias(p),
         F.size(split_words(F.col(text))).cast("long").alias(n),
@@ -99,8 +99,8 @@ def mix(
     rows = stored(placed.select(F.col(s).alias("source"), F.col(p).alias("place"), F.col(n).alias("size")))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     per = thresholds(rows, targets(sizes, weights, cap, budget))
-    per = checked_broadcast(per.select(F.col("source").alias(q), F.struct("source_size", "target", "whole", "below").alias(q + "v")))
-    got = F.col(q + "v")
+    per = checked_broadcast(per.select(F.col("source").alias(q), F.struct("source_size", "target", "whole", "below").alias(v)))
+    got = F.col(v)
     return placed.join(per, F.col(s).eqNullSafe(F.col(q)), "left").select(
         *[F.col(f"`{c}`") for c in rest], F.col(n).alias("size"), got["source_size"].alias("source_size"), got["target"].alias("target"),
         (F.col(n) * (got["whole"] + (F.col(p) < got["below"]).cast("long"))).alias("taken"),

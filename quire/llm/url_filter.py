@@ -135,7 +135,7 @@ def judge(
     spark = pages.sparkSession
     new = ("host", "path", "rule", "block_score", "verdict")
     rest = [c for c in pages.columns if c.lower() not in new]
-    h, p, s = fresh(pages, "host_", "path_", "shape_")
+    h, p, s, hk, hv, sk, sw = fresh(pages, "host_", "path_", "shape_", "host_key", "host_got", "shape_key", "shape_got")
     host, path = parts(F.col(url))
     rows = pages.select(*[F.col(f"`{c}`") for c in rest], host.alias(h), path.alias(p)).withColumn(s, path_shape(F.col(p)))
     table = spark.createDataFrame(
@@ -172,16 +172,16 @@ def judge(
         return asked.join(weights, "token").groupBy(key).agg(F.sum("w").alias("w"))
 
     by_host = hosts.join(scored(tokens, "host"), "host", "left").select(
-        F.col("host").alias(h + "k"), F.struct("rules", F.coalesce("w", F.lit(0.0)).alias("w")).alias(h + "v")
+        F.col("host").alias(hk), F.struct("rules", F.coalesce("w", F.lit(0.0)).alias("w")).alias(hv)
     )
     shapes = seen.select("shape").distinct()
     by_shape = scored(shapes.select("shape", F.explode(path_tokens(F.col("shape"))).alias("token")), "shape").select(
-        F.col("shape").alias(s + "k"), F.col("w").alias(s + "w")
+        F.col("shape").alias(sk), F.col("w").alias(sw)
     )
     by_host, by_shape = checked_broadcast(stored(by_host)), checked_broadcast(stored(by_shape))
-    joined = rows.join(by_host, F.col(h) == F.col(h + "k"), "left").join(by_shape, F.col(s) == F.col(s + "k"), "left")
-    rule = F.get(F.filter(F.col(h + "v")["rules"], lambda r: F.startswith(F.col(p), r["rule_path"])), F.lit(0))
-    score = F.round(F.lit(prior) + F.coalesce(F.col(h + "v")["w"], F.lit(0.0)) + F.coalesce(F.col(s + "w"), F.lit(0.0)), 9)
+    joined = rows.join(by_host, F.col(h) == F.col(hk), "left").join(by_shape, F.col(s) == F.col(sk), "left")
+    rule = F.get(F.filter(F.col(hv)["rules"], lambda r: F.startswith(F.col(p), r["rule_path"])), F.lit(0))
+    score = F.round(F.lit(prior) + F.coalesce(F.col(hv)["w"], F.lit(0.0)) + F.coalesce(F.col(sw), F.lit(0.0)), 9)
     return joined.select(
         *[F.col(f"`{c}`") for c in rest], F.col(h).alias("host"), F.col(p).alias("path"), rule["rule"].alias("rule"), score.alias("block_score"),
         F.coalesce(rule["rule_verdict"], F.when(score > 0, "block").otherwise("allow")).alias("verdict"),
