@@ -36,7 +36,9 @@ def _decoded(c: Column) -> Column:
     found = F.filter(found, lambda e: e != "&amp;")
 
     def char(code):
-        return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        # what is no character, a surrogate or beyond the last one, reads as the replacement character
+        bad = (code <= 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        return F.decode(F.unhex(F.lpad(F.hex(F.when(bad, F.lit(0xFFFD).cast("bigint")).otherwise(code)), 8, "0")), "UTF-32")
 
     def value(e):
         name = F.substring(e, F.lit(2), F.length(e) - 2)
@@ -178,7 +180,7 @@ def next_data_text(html) -> Column:
 def option_numbers(html) -> Column:
     """H7: numeric values of the options."""
     found = F.regexp_extract_all(col(html), F.lit(r"""(?is)<option[^>]*\bvalue=["'](\d+)["']"""), F.lit(1))
-    return F.transform(found, lambda x: x.cast("int"))
+    return F.filter(F.transform(found, lambda x: x.try_cast("int")), lambda x: x.isNotNull())
 
 
 def canonical(html) -> Column:

@@ -32,7 +32,7 @@ def path(c) -> Column:
 def work_slug(c, detail_prefix: str = "truyen/", section_mark: str = "/chuong-") -> Column:
     """Work slug of a detail or section URL."""
     p = sub(sub(path(trimmed(col(c))), r"\A/+"), r"/+\z")
-    return F.when(F.startswith(p, F.lit(detail_prefix)), F.substring(p, len(detail_prefix) + 1, 10**6)).otherwise(
+    return F.when(F.startswith(p, F.lit(detail_prefix)), F.substr(p, F.lit(len(detail_prefix) + 1))).otherwise(
         F.substring_index(p, section_mark, 1)
     )
 
@@ -43,10 +43,10 @@ def book_id(c) -> Column:
 
 
 def section_number(c, index) -> Column:
-    """Number in the URL, else the 0-based index plus one."""
+    """Number in the URL, else (none, or one above int) the 0-based index plus one."""
     c = col(c)
     found = F.coalesce(
         F.nullif(F.regexp_extract(c, r"chuong[- ]?(\d+)", 1), F.lit("")),
         F.nullif(F.regexp_extract(c, r"chapter[- ]?(\d+)", 1), F.lit("")),
     )
-    return F.coalesce(found.cast("int"), (col(index) + 1).cast("int"))
+    return F.coalesce(found.try_cast("int"), (col(index) + 1).cast("int"))

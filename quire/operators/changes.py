@@ -22,20 +22,26 @@ def latest(df: DataFrame, key: list[str], version: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), F.col(version)).alias("_row")).select("_row.*")
 
 
-def upsert(stored: DataFrame, incoming: DataFrame, key: list[str] = KEY, version: str | None = None) -> DataFrame:
+def earliest(df: DataFrame, key: list[str], order: str) -> DataFrame:
+    """The row that comes first of each key; rows that share a place by all their columns."""
+    keys = [F.col(k).alias(f"_{k}") for k in key]
+    return df.groupBy(*keys).agg(F.min(F.struct(F.col(order).alias("_order"), F.struct(*df.columns).alias("_row"))).alias("_first")).select("_first._row.*")
+
+
+def upsert(stored: DataFrame, incoming: DataFrame, key: list[str] = KEY, *, version: str) -> DataFrame:
     """Incoming rows replace stored rows of the same key; among incoming rows the highest version wins."""
-    new = latest(incoming, key, version) if version else incoming
+    new = latest(incoming, key, version)
     kept = stored.join(new.select(*key), key, "left_anti")
     return kept.unionByName(new.select(*stored.columns))
 
 
-def resume(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Insert only the numbers a work does not have; a number sent twice is inserted once."""
-    return stored.unionByName(resume_inserts(stored, incoming).select(*stored.columns))
+def resume(stored: DataFrame, incoming: DataFrame, order: str) -> DataFrame:
+    """Insert only the numbers a work does not have; of a number sent twice the first by ``order`` is inserted."""
+    return stored.unionByName(resume_inserts(stored, incoming, order).select(*stored.columns))
 
 
-def resume_inserts(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    return incoming.join(stored.select(*KEY), KEY, "left_anti").dropDuplicates(KEY)
+def resume_inserts(stored: DataFrame, incoming: DataFrame, order: str) -> DataFrame:
+    return earliest(incoming.join(stored.select(*KEY), KEY, "left_anti"), KEY, order)
 
 
 def resume_counts(stored: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -65,9 +71,11 @@ def replace_counts(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
-def update_filled(stored: DataFrame, incoming: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """Incoming values that are not blank overwrite; the rest stays."""
-    new = incoming.select(*key, *[F.nullif(F.col(c), F.lit("")).alias(f"_n_{c}") for c in columns])
+def update_filled(stored: DataFrame, incoming: DataFrame, key: list[str], columns: list[str], version: str | None = None) -> DataFrame:
+    """Incoming values that are not blank overwrite; the rest stays. Of a key sent twice the highest version counts, or
+    without one the smallest row by all columns."""
+    new = latest(incoming, key, version) if version else earliest(incoming.withColumn("_all", F.lit(0)), key, "_all")
+    new = new.select(*key, *[F.nullif(F.col(c), F.lit("")).alias(f"_n_{c}") for c in columns])
     joined = stored.join(new, key, "left")
     return joined.select(
         *[F.coalesce(f"_n_{c}", c).alias(c) if c in columns else F.col(c) for c in stored.columns]

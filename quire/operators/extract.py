@@ -82,12 +82,16 @@ def listing_cards(pages: DataFrame, pattern: str = "", base: str = "", suffix: s
 
 
 def generated_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """H7: section URLs 1..max from the dropdown, under the slug of the canonical link."""
+    """H7: section URLs 1..max from the dropdown, under the slug of the canonical link.
+
+    A page that claims more than a hundred thousand sections gives one row without number and URL.
+    """
     top = F.coalesce(F.array_max(h.option_numbers(html)), F.lit(1))
+    top = F.when(top <= 100_000, top)
     real = F.nullif(urls.work_slug(h.canonical(html)), F.lit(""))
     slug = F.coalesce(real, urls.work_slug(url))
     site = F.regexp_extract(url, r"\A(https?://[^/]+)", 1)
-    rows = pages.select(*[c for c in pages.columns if c != html], site.alias("_s"), slug.alias("_g"), F.explode(F.sequence(F.lit(1), top)).alias("number"))
+    rows = pages.select(*[c for c in pages.columns if c != html], site.alias("_s"), slug.alias("_g"), F.explode_outer(F.sequence(F.lit(1), top)).alias("number"))
     return rows.withColumn("section_url", F.concat("_s", F.lit("/"), "_g", F.lit("/chuong-"), F.col("number").cast("string"))).drop("_s", "_g")
 
 

@@ -13,7 +13,28 @@ def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
+def _not_composed() -> str:
+    """A class of the code points that a composed text cannot be sure to hold: marks, and all that change on their own or may
+    combine with what stands before them (jamo among them)."""
+    doubtful = [c for c in range(0x300, 0x110000) if not 0xD800 <= c <= 0xDFFF and _may_change(chr(c))]
+    runs: list[list[int]] = []
+    for c in doubtful:
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(rf"\x{{{a:x}}}" if a == b else rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs) + "]"
+
+
+def _may_change(c: str) -> bool:
+    hangul = "\u1161" <= c <= "\u1175" or "\u11a8" <= c <= "\u11c2"
+    return hangul or unicodedata.category(c)[0] == "M" or unicodedata.normalize("NFC", c) != c
+
+
+_DOUBTFUL = _not_composed()
+
+
 def nfc(df: DataFrame, column: str) -> DataFrame:
-    """T4: NFC form of ``column``. Only rows that hold combining marks leave the JVM."""
-    marked = F.coalesce(F.col(column).rlike(r"[[^\x00-\x{2ff}]&&\p{M}]"), F.lit(False))
+    """T4: NFC form of ``column``. Only rows with a code point that may not be composed leave the JVM."""
+    marked = F.coalesce(F.col(column).rlike(_DOUBTFUL), F.lit(False))
     return df.filter(~marked).unionByName(df.filter(marked).withColumn(column, _nfc(column)))

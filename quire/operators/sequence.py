@@ -128,9 +128,11 @@ def merge_short(works: DataFrame, sections: DataFrame, min_words: int, renumber:
 def merge_one(sections: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Merge chosen sections into the one before or after. ``seeds``: work_id, number, direction (prev / next).
 
-    Returns the new sections and one status row per seed: ok, no_previous, missing_source or missing_target. The
-    section numbered one less or one more is the target, whatever its status.
+    Returns the new sections and one status row per different seed: ok, no_previous, missing_source, missing_target or
+    overlap. The section numbered one less or one more is the target, whatever its status. Seeds that share a section with
+    another one (2 into 1 and 3 into 2) are not applied, as the order of the two would decide the outcome.
     """
+    seeds = seeds.select("work_id", "number", "direction").distinct()
     step = F.when(F.col("direction") == "prev", -1).otherwise(1)
     keys = sections.select("work_id", "number")
     goal = seeds.withColumn("target", F.col("number") + step)
@@ -143,6 +145,13 @@ def merge_one(sections: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFra
         .when(F.col("_source").isNull(), "missing_source").when(F.col("_target").isNull(), "missing_target").otherwise("ok")
     )
     goal = goal.withColumn("status", status)
+    members = goal.filter("status = 'ok'").select("work_id", F.explode(F.array("number", "target")).alias("_member"))
+    shared = members.groupBy("work_id", "_member").count().filter("count > 1")
+    crossing = shared.select("work_id", F.explode(F.array(F.col("_member") - 1, "_member", F.col("_member") + 1)).alias("number"), "_member")
+    crossing = crossing.groupBy("work_id", "number").agg(F.collect_set("_member").alias("_shared"))
+    overlaps = F.coalesce(F.array_contains("_shared", F.col("number")) | F.array_contains("_shared", F.col("target")), F.lit(False))
+    goal = goal.join(crossing, ["work_id", "number"], "left")
+    goal = goal.withColumn("status", F.when((F.col("status") == "ok") & overlaps, "overlap").otherwise(F.col("status")))
     good = goal.filter("status = 'ok'")
     plan = good.select("work_id", "number", F.col("target").alias("head")).unionByName(
         good.select("work_id", F.col("target").alias("number"), F.col("target").alias("head"))

@@ -24,12 +24,12 @@ def new_sections(pages: DataFrame, stored: DataFrame, domains: DataFrame, min_le
     fetches = lengths.select("work_id", "pos", "length", F.col("_have").isNotNull().alias("loaded"))
     wanted = usable_fetches(fetches, min_length).filter("not loaded").select("work_id", "pos")
     body = t.reflow("content")
-    rows = texts.join(wanted, ["work_id", "pos"], "left_semi").select("work_id", "number", F.explode(F.array(body)).alias("content"))
+    rows = texts.join(wanted, ["work_id", "pos"], "left_semi").select("work_id", "number", "pos", F.explode(F.array(body)).alias("content"))
     rows = rows.select(
         ch.section_id().alias("section_id"), "work_id", "number", F.concat(F.lit("Chương "), F.col("number").cast("string")).alias("title"),
-        "content", t.word_count("content").alias("word_count"), F.lit("published").alias("publish_status"),
+        "content", t.word_count("content").alias("word_count"), F.lit("published").alias("publish_status"), "pos",
     )
-    return ch.resume_inserts(stored, rows)
+    return ch.resume_inserts(stored, rows, "pos").drop("pos")
 
 
 def retitle(sections: DataFrame, answers: DataFrame) -> DataFrame:

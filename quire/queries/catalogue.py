@@ -201,11 +201,11 @@ def _(spark, d):
 
 @query("F18_truncated_texts", f"""SELECT 'd' || doc_id AS id, s = '' OR strpos('.!?…。！？"”'')’', right(s, 1)) = 0 AS truncated
 FROM (SELECT doc_id, {strip('text')} AS s FROM documents)
-UNION ALL SELECT 'b' || item_id, s = '' OR strpos('.!?…。！？"”'')’', right(s, 1)) = 0 FROM (SELECT item_id, {strip('substr(text, 1, 40)')} AS s FROM benchmark)""")
+UNION ALL SELECT 'b' || item_id, s = '' OR strpos('.!?…。！？"”'')’', right(s, 1)) = 0 FROM (SELECT item_id, {strip('text')} AS s FROM benchmark)""")
 def _(spark, d):
     docs = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), p.is_truncated("text").alias("truncated"))
     cut = table(spark, d, "benchmark").select(
-        F.concat(F.lit("b"), "item_id").alias("id"), p.is_truncated(F.substring("text", 1, 40)).alias("truncated"))
+        F.concat(F.lit("b"), "item_id").alias("id"), p.is_truncated("text").alias("truncated"))
     return docs.unionByName(cut)
 
 
@@ -416,6 +416,18 @@ def _(spark, d):
         F.count(F.lit(1)).alias("works"), F.min("slug").alias("first_slug"), F.max("slug").alias("last_slug")).orderBy(F.desc("load_date"))
 
 
+@query("K2_write_dated", on_c("""SELECT load_date, work_id, title FROM (SELECT strftime(updated_at, '%Y-%m-%d') AS load_date, work_id, 'first ' || title AS title FROM works_c WHERE w_odd
+UNION ALL SELECT strftime(updated_at, '%Y-%m-%d'), work_id, title FROM works_c WHERE NOT w_odd)""".replace("w_odd", "right(work_id, 1) IN ('1', '3', '5', '7', '9')")))
+def _(spark, d):
+    from quire.sources.sinks import scratch, write_dated
+
+    path, works = scratch(spark, "dated"), works_c(spark, d).select("work_id", "title", "updated_at")
+    # the second load meets days and works that are there already; they stay as they are
+    write_dated(works.filter(F.col("work_id").rlike("[13579]$")).withColumn("title", F.concat(F.lit("first "), "title")), path)
+    write_dated(works, path)
+    return spark.read.parquet(path).select(F.date_format("load_date", "yyyy-MM-dd").alias("load_date"), "work_id", "title")
+
+
 COPIES = """copies AS (SELECT 'c' || conv_id AS slug, CASE WHEN turn = 3 AND conv_id % 4 = 0 THEN NULL ELSE '2024-01-0' || turn END AS day, 'out/' || turn || '/c' || conv_id AS path FROM conversations)"""
 
 

@@ -36,11 +36,12 @@ def _(spark, d):
     return ch.upsert(s, _incoming(s), version="v").orderBy("work_id", "number")
 
 
-@query("X3_resume_import", on_v("""SELECT work_id, number, title FROM sections_v UNION ALL SELECT work_id, number, title FROM incoming i
-WHERE NOT EXISTS (SELECT 1 FROM sections_v s WHERE i.work_id = s.work_id AND i.number = s.number)""", INCOMING_V))
+@query("X3_resume_import", on_v("""SELECT work_id, number, title FROM sections_v UNION ALL SELECT work_id, number, arg_min(title, v) FROM twice i
+WHERE NOT EXISTS (SELECT 1 FROM sections_v s WHERE i.work_id = s.work_id AND i.number = s.number) GROUP BY work_id, number""", INCOMING_V))
 def _(spark, d):
     s = sections_v(spark, d).select("work_id", "number", "title")
-    return ch.resume(s, _incoming(s).filter("v = 1"))
+    incoming = _incoming(s)
+    return ch.resume(s, incoming, "v")
 
 
 @query("X3_resume_counts", on_v("""SELECT work_id, count(*) FILTER (NOT known) AS inserted, count(*) FILTER (known) AS skipped FROM (

@@ -14,11 +14,12 @@ from quire.sources import sinks
 def _(spark, d):
     path = sinks.scratch(spark, "staged")
     s = sections_v(spark, d).select(F.col("work_id").alias("slug"), "number", "title")
-    sinks.stage_sections(None, s.filter("number <> 3"), path)
+    s = s.withColumn("sent", F.lit(1)).unionByName(s.withColumn("title", F.lit("sent before")).withColumn("sent", F.lit(0)))  # every number twice
+    sinks.stage_sections(None, s.filter("number <> 3"), path, "sent")
     ddl = "number INT, title STRING, slug STRING"
     stored = spark.read.schema(ddl).json(path)
     before = sinks.snapshot(stored, sinks.scratch(spark, "staged-copy"))
-    sinks.stage_sections(spark.read.parquet(before), s.filter("number in (2, 3)").withColumn("title", F.concat(F.lit("new "), "title")), path)
+    sinks.stage_sections(spark.read.parquet(before), s.filter("number in (2, 3)").withColumn("title", F.concat(F.lit("new "), "title")), path, "sent")
     return spark.read.schema(ddl).json(path).select("slug", "number", "title")
 
 
@@ -82,22 +83,23 @@ def _(spark, d):
     return rd.feed_rows(items, "https://f.example")
 
 
-WORD = f"regexp_extract(text, '[A-Za-zÀ-ỹ]+')"
+WORDS_OF = "(SELECT unnest(list_distinct(regexp_extract_all(text, '[A-Za-zÀ-ỹ]+'))) AS w FROM documents)"
 
 
 def _log(spark, d):
-    w = F.regexp_extract("text", "[A-Za-zÀ-ỹ]+", 0)
+    w = F.col("w")
     bad = F.concat(F.lit("12:00 WARN q: 2 âm tiết không tự sửa được (ví dụ: ['"), w, F.lit("', \""), w, F.lit("x\"])"))
     fix = F.concat(F.lit("12:01 INFO r: sửa thêm 1 âm tiết bằng model (ví dụ: [('"), w, F.lit("', '"), F.lower(w), F.lit("')])"))
-    return table(spark, d, "documents").select(F.explode(F.array(bad, fix, F.lit("noise"))).alias("value"))
+    rows = table(spark, d, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-zÀ-ỹ]+"), F.lit(0)))).alias("w"))
+    return rows.select(F.explode(F.array(bad, fix, F.lit("noise"))).alias("value"))
 
 
-@query("S6_log_residuals", f"SELECT {WORD} AS bad FROM documents UNION ALL SELECT {WORD} || 'x' FROM documents")
+@query("S6_log_residuals", f"SELECT w AS bad FROM {WORDS_OF} UNION ALL SELECT w || 'x' FROM {WORDS_OF}")
 def _(spark, d):
     return rd.log_residuals(_log(spark, d))
 
 
-@query("S6_log_repairs", f"SELECT {WORD} AS bad, lower({WORD}) AS variant FROM documents")
+@query("S6_log_repairs", f"SELECT w AS bad, lower(w) AS variant FROM {WORDS_OF}")
 def _(spark, d):
     return rd.log_repairs(_log(spark, d))
 
@@ -131,11 +133,11 @@ def _(spark, d):
     return rd.pending_uploads(rd.audio_files(listing), listing).groupBy("number").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
 
 
-@query("J15_scenes_with_images", on_c("""SELECT work_id, number AS scene, CASE WHEN number % 3 = 1 THEN work_id || '/own.jpg' ELSE work_id || '/images/scene_' || lpad(number::VARCHAR, 3, '0') || '.jpg' END AS image
-FROM sections_c WHERE number % 3 = 1 OR number % 2 = 0"""))
+@query("J15_scenes_with_images", on_c("""SELECT work_id, scene, CASE WHEN number % 3 = 1 THEN work_id || '/own.jpg' ELSE work_id || '/images/scene_' || CASE WHEN scene > 999 THEN scene::VARCHAR ELSE lpad(scene::VARCHAR, 3, '0') END || '.jpg' END AS image
+FROM (SELECT *, CASE WHEN number > 4 THEN number * 1000 + 234 ELSE number END AS scene FROM sections_c) WHERE number % 3 = 1 OR number % 2 = 0"""))
 def _(spark, d):
-    s = sections_c(spark, d)
-    scenes = s.select("work_id", F.col("number").alias("scene"), F.when(F.col("number") % 3 == 1, F.concat("work_id", F.lit("/own.jpg"))).otherwise(F.lit("gone.jpg")).alias("image"))
+    s = sections_c(spark, d).withColumn("scene", F.when(F.col("number") > 4, F.col("number") * 1000 + 234).otherwise(F.col("number")))
+    scenes = s.select("work_id", "scene", F.when(F.col("number") % 3 == 1, F.concat("work_id", F.lit("/own.jpg"))).otherwise(F.lit("gone.jpg")).alias("image"))
     listing = s.select(F.concat("work_id", F.lit("/own.jpg")).alias("path")).unionByName(
-        s.filter("number % 2 = 0").select(F.concat("work_id", F.lit("/images/scene_"), F.lpad(F.col("number").cast("string"), 3, "0"), F.lit(".jpg")).alias("path")))
+        s.filter("number % 2 = 0").select(F.concat("work_id", F.lit("/images/scene_"), F.format_string("%03d", "scene"), F.lit(".jpg")).alias("path")))
     return rd.scenes_with_images(scenes, listing)

@@ -48,13 +48,17 @@ def _(spark, d):
     return inc.acknowledge(state, listing.filter("number <= 4"))
 
 
-@query("I1_watch_stream", "SELECT 'https://w.example/' || conv_id AS url, turn + 1 AS number, 0::BIGINT AS mark FROM conversations WHERE role = 'user'")
+@query("I1_watch_stream", """SELECT 'https://w.example/' || conv_id AS url, turn + 1 AS number, (conv_id % 4)::BIGINT AS mark FROM conversations
+WHERE role = 'user' AND turn + 1 > conv_id % 4""")
 def _(spark, d):
     c = stream(spark, d, "conversations")
     events = c.select(
         F.concat(F.lit("https://w.example/"), F.col("conv_id").cast("string"), F.lit("/")).alias("url"),
         F.when(F.col("role") == "user", "listing").otherwise("ack").alias("kind"), (F.col("turn") + 1).alias("number"))
-    return inc.run_to_folder(inc.watch_stream(events), scratch(spark, "watch"))
+    events = events.unionByName(events)  # every listing twice
+    marks = table(spark, d, "conversations").select(
+        F.concat(F.lit("https://w.example/"), F.col("conv_id").cast("string")).alias("url"), (F.col("conv_id") % 4).alias("last_number")).distinct()
+    return inc.run_to_folder(inc.watch_stream(events, marks), scratch(spark, "watch"))
 
 
 @query("I2_watch_add", f"""WITH {STATE} SELECT min(url) AS url FROM listing WHERE regexp_replace(url, '/+$', '') NOT IN (SELECT url FROM state) GROUP BY regexp_replace(url, '/+$', '')""")
@@ -69,14 +73,15 @@ def _(spark, d):
     return ch.watch_remove(state, listing.filter(F.col("url").rlike(r"7/?\z")).select("url")).select("url")
 
 
-@query("I3_incremental_load", "SELECT 'c' || conv_id AS work_id, turn + 1 AS number FROM conversations WHERE NOT (turn % 3 = 1)")
+@query("I3_incremental_load", "SELECT 'c' || conv_id AS work_id, turn + 1 AS number, 1 AS sent FROM conversations WHERE NOT (turn % 3 = 1)")
 def _(spark, d):
     root = scratch(spark, "load")
     rows = stream(spark, d, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("work_id"), (F.col("turn") + 1).alias("number"))
     stored = sections_c(spark, d).filter((F.col("number") - 1) % 3 == 1)
-    job = rows.writeStream.foreachBatch(inc.resume_writer(f"{root}/table", rows.schema, stored)).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    rows = rows.withColumn("sent", F.explode(F.array(F.lit(2), F.lit(1))))  # every number twice
+    job = rows.writeStream.foreachBatch(inc.resume_writer(f"{root}/table", rows.schema, "sent", stored)).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     job.awaitTermination()
-    return inc.read_batches(spark, f"{root}/table", rows.schema).select("work_id", "number")
+    return inc.read_batches(spark, f"{root}/table", rows.schema).select("work_id", "number", "sent")
 
 
 @query("I4_replace_stream", "SELECT 'c' || conv_id AS work_id, turn + 1 AS number FROM conversations WHERE turn <= 2")

@@ -30,15 +30,19 @@ def _vocab(source="SELECT text FROM documents", name="tok"):
 
 
 VOCAB = "WITH " + BASES + ", " + _vocab()
-BENCH = _vocab("SELECT text FROM benchmark UNION ALL SELECT text FROM conversations", "btok")
+TEXTS = "SELECT text FROM documents UNION ALL SELECT text FROM conversations"
+BENCH = _vocab(f"SELECT text FROM benchmark UNION ALL {TEXTS}", "btok")
 LEXICON = BENCH + ", lex AS (SELECT low AS syllable FROM (SELECT low, sum(n) AS n, bool_and(valid) AS valid FROM btok_v GROUP BY low) WHERE n >= 2 AND valid)"
 LEX = "WITH " + BASES + ", " + LEXICON
 
 
 def lexicon(spark, d):
-    """The lexicon of the smaller tables: benchmark items and conversations."""
-    texts = table(spark, d, "benchmark").select("text").unionByName(table(spark, d, "conversations").select("text"))
-    return lx.lexicon_of(lx.token_counts(texts, "text"))
+    """The lexicon of all text tables."""
+    return lx.lexicon_of(lx.token_counts(table(spark, d, "benchmark").select("text").unionByName(all_texts(spark, d)), "text"))
+
+
+def all_texts(spark, d):
+    return table(spark, d, "documents").select("text").unionByName(table(spark, d, "conversations").select("text"))
 
 
 @query("A6_token_counts", VOCAB + " SELECT low AS token, sum(n)::BIGINT AS n FROM tok GROUP BY low")
@@ -104,8 +108,8 @@ def _(spark, d):
 
 
 def damaged(spark, d):
-    """The damaged words of the conversations."""
-    return correct.damaged_words(table(spark, d, "conversations").select("text"), "text")
+    """The damaged words of documents and conversations."""
+    return correct.damaged_words(all_texts(spark, d), "text")
 
 
 @query("C5_collapse_fixes")
@@ -120,7 +124,7 @@ def _onset(x):
     return f"regexp_extract(translate({x}, '{TONED}', '{PLAIN}'), '^({_ONSETS})', 1)"
 
 
-FUZZY = LEX + f""", {_vocab('SELECT text FROM conversations', 'ctok')}, bad AS (SELECT token AS bad, low FROM ctok_v WHERE suspicious AND NOT valid AND length(token) >= 3),
+FUZZY = LEX + f""", {_vocab(TEXTS, 'ctok')}, bad AS (SELECT token AS bad, low FROM ctok_v WHERE suspicious AND NOT valid AND length(token) >= 3),
 bo AS (SELECT *, {_onset('low')} AS o FROM bad), lo AS (SELECT syllable AS cand, {_onset('syllable')} AS o FROM lex),
 cands AS (SELECT bad, low, cand, CASE WHEN length(low) = length(cand) THEN 100 * (1 - 1.0::DOUBLE / length(low)) ELSE 100 * (1 - 1.0::DOUBLE / (length(low) + length(cand))) END AS ratio
   FROM bo JOIN lo ON bo.o = lo.o AND abs(length(low) - length(cand)) <= 1 AND CASE WHEN length(low) = length(cand) THEN len(list_filter(range(1, length(low) + 1), lambda i: substr(low, i, 1) <> substr(cand, i, 1))) = 1
@@ -159,7 +163,7 @@ def _(spark, d):
     return correct.scored_fixes(cands, cands.select("bad", "cand", score.alias("score")))
 
 
-@query("C8_supplied_fixes", LEX + f""", {_vocab('SELECT text FROM conversations', 'ctok')}, v AS (SELECT token AS bad, replace(replace(base, 'ç', 'c'), 'ôô', 'ô') AS good FROM ctok_v WHERE suspicious AND NOT valid)
+@query("C8_supplied_fixes", LEX + f""", {_vocab(TEXTS, 'ctok')}, v AS (SELECT token AS bad, replace(replace(base, 'ç', 'c'), 'ôô', 'ô') AS good FROM ctok_v WHERE suspicious AND NOT valid)
 SELECT bad, good FROM v WHERE good <> '' AND good <> bad AND (NOT regexp_matches(good, '^\\p{{L}}+$') OR good IN (SELECT b FROM bases))""")
 def _(spark, d):
     words = damaged(spark, d)
@@ -208,7 +212,7 @@ def _(spark, d):
     return fixed.select("conv_id", "turn", F.md5("text").alias("digest"))
 
 
-@query("T25_apply_supplied_fixes", LEX + f""", {_vocab('SELECT text FROM conversations', 'ctok')}, fix AS (SELECT token AS bad, base AS good FROM ctok_v WHERE suspicious AND NOT valid AND base IN (SELECT b FROM bases) AND base <> token),
+@query("T25_apply_supplied_fixes", LEX + f""", {_vocab(TEXTS, 'ctok')}, fix AS (SELECT token AS bad, base AS good FROM ctok_v WHERE suspicious AND NOT valid AND base IN (SELECT b FROM bases) AND base <> token),
 seg AS (SELECT conv_id, turn, segs, unnest(range(1, len(segs) + 1)) AS i FROM (SELECT conv_id, turn, regexp_extract_all(text, '{rules.TOKEN}|[^A-Za-zÀ-ỹĐđ]+') AS segs FROM conversations))
 SELECT conv_id, turn, md5(string_agg(coalesce(good, segs[i]), '' ORDER BY i)) AS digest FROM seg LEFT JOIN fix ON fix.bad = segs[i] GROUP BY conv_id, turn""")
 def _(spark, d):

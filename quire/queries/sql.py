@@ -34,7 +34,7 @@ def _works(name: str, base: str) -> str:
 
 def _sections(name: str, base: str) -> str:
     return f"""{name} AS (
-  SELECT 's' || r AS section_id, work_id, number, CASE WHEN r % 4 = 0 THEN 'Phần ' ELSE 'Section ' END || number AS title,
+  SELECT 's' || sid AS section_id, work_id, number, CASE WHEN r % 4 = 0 THEN 'Phần ' ELSE 'Section ' END || number AS title,
     content, {wc('content')} AS word_count,
     CASE WHEN r % 3 = 0 THEN NULL WHEN r % 7 = 0 THEN '' ELSE substr(content, 1, 40) END AS summary,
     CASE WHEN r % 5 = 0 THEN NULL WHEN r % 11 = 0 THEN '' ELSE substr(content, 1, 30) END AS highlight,
@@ -46,9 +46,9 @@ def _sections(name: str, base: str) -> str:
 
 
 WORKS_V = _works("works_v", "SELECT source AS work_id, min(doc_id) AS w, arg_min(text, doc_id) AS first_text FROM documents GROUP BY source")
-SECTIONS_V = _sections("sections_v", "SELECT source AS work_id, doc_id AS r, text AS content, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS number FROM documents")
+SECTIONS_V = _sections("sections_v", "SELECT source AS work_id, doc_id AS r, doc_id::VARCHAR AS sid, text AS content, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS number FROM documents")
 WORKS_C = _works("works_c", "SELECT 'c' || conv_id AS work_id, conv_id AS w, arg_min(text, turn) AS first_text FROM conversations GROUP BY conv_id")
-SECTIONS_C = _sections("sections_c", "SELECT 'c' || conv_id AS work_id, conv_id * 1000 + turn AS r, turn + 1 AS number, text AS content FROM conversations")
+SECTIONS_C = _sections("sections_c", "SELECT 'c' || conv_id AS work_id, conv_id * 1000 + turn AS r, conv_id || '_' || turn AS sid, turn + 1 AS number, text AS content FROM conversations")
 
 
 def with_views(body: str, *views: str, ctes: str = "") -> str:

@@ -103,7 +103,7 @@ digest("T22_sentence_excerpt", f"""CASE WHEN greatest({', '.join(_last('substr(t
 
 @query("T23_contexts")
 def _(spark, d):
-    terms = F.slice(F.array_distinct(t.words(F.substring("text", 1, 4000))), 1, 5)
+    terms = F.filter(F.array_distinct(t.words("text")), lambda w: F.length(w) >= 14)
     return docs(spark, d).select("doc_id", t.contexts("text", terms, 30).alias("context")).filter("context <> ''")
 
 
@@ -114,19 +114,19 @@ def _(spark, d):
     return rows.select("doc_id", t.masked_context("text", "term").alias("masked"))
 
 
-@query("T26_marked_response", f"""SELECT doc_id, {strip('substr(text, 1, 90)')} AS summary, {strip('substr(text, 91, 60)')} AS highlight, '' AS next_preview FROM documents""")
+@query("T26_marked_response", f"""SELECT doc_id, {strip('substr(text, 1, length(text) // 2)')} AS summary, {strip('substr(text, length(text) // 2 + 1)')} AS highlight, '' AS next_preview FROM documents""")
 def _(spark, d):
-    answer = F.concat(F.lit("noise\n=== SUMMARY ===\n"), F.substring("text", 1, 90), F.lit("\n===HIGHLIGHT===\n"), F.substring("text", 91, 60))
+    answer = F.concat(F.lit("noise\n=== SUMMARY ===\n"), F.expr("substr(text, 1, length(text) div 2)"), F.lit("\n===HIGHLIGHT===\n"), F.expr("substr(text, length(text) div 2 + 1)"))
     rows = docs(spark, d).withColumn("a", answer)
     return rows.select("doc_id", *[r.marked("a", k.upper()).alias(k) for k in ("summary", "highlight", "next_preview")])
 
 
-LINE = f"{strip(f'regexp_replace(substr(text, 1, 60), {chr(39)}[{SPACE}]+{chr(39)}, {chr(39)} {chr(39)}, {chr(39)}g{chr(39)})')}"
+LINE = f"{strip(f'regexp_replace(text, {chr(39)}[{SPACE}]+{chr(39)}, {chr(39)} {chr(39)}, {chr(39)}g{chr(39)})')}"
 
 
 @query("T27_faq", f"""SELECT doc_id, pos::INT AS pos, CASE pos WHEN 0 THEN 'why ' || l || '?' ELSE 'w?' END AS q, CASE pos WHEN 0 THEN 'y ' || l ELSE 'v' END AS a FROM (SELECT doc_id, {LINE} AS l FROM documents), (SELECT unnest([0, 1]) AS pos)""")
 def _(spark, d):
-    line = t.strip(t.sub(F.substring("text", 1, 60), f"[{t.SPACE}]+", " "))
+    line = t.strip(t.sub(F.col("text"), f"[{t.SPACE}]+", " "))
     rows = docs(spark, d).withColumn("l", line)
     answer = F.concat(F.lit("Q: why "), "l", F.lit("?\nA: y\n"), "l", F.lit("\n\nQ. w?\nA. v\nQ: open"))
     return rows.select("doc_id", F.posexplode(r.faq(answer)).alias("pos", "x")).select("doc_id", "pos", "x.q", "x.a")
@@ -147,7 +147,7 @@ def _(spark, d):
 @query("T29_scene_script", f"""SELECT doc_id, 'thap-nien' AS era, 'An' AS name, scene::INT AS scene, CASE scene WHEN 1 THEN l ELSE 'two' END AS text, CASE scene WHEN 1 THEN 'fear' ELSE 'neutral' END AS emotion, CASE scene WHEN 1 THEN 'runs' ELSE '' END AS action, CASE scene WHEN 1 THEN 'hall' ELSE '' END AS setting
 FROM (SELECT doc_id, 'x ' || replace(replace({LINE}, ':', ''), '=', '') AS l FROM documents), (SELECT unnest([1, 2]) AS scene)""")
 def _(spark, d):
-    line = t.strip(t.sub(F.substring("text", 1, 60), f"[{t.SPACE}]+", " "))
+    line = t.strip(t.sub(F.col("text"), f"[{t.SPACE}]+", " "))
     line = F.concat(F.lit("x "), F.replace(F.replace(line, F.lit(":"), F.lit("")), F.lit("="), F.lit("")))
     script = F.concat(
         F.lit("===CHARACTER===\nNAME: An\nERA: retro-90\nDECADE: 1990S\nAPPEARANCE: tall\n  more\n===HOOK_STORY===\nstory.\n===SCENES===\nSCENE 1\nTEXT: "),
@@ -159,7 +159,7 @@ def _(spark, d):
 
 @query("T30_bracketed_prompts", f"""SELECT doc_id, nullif(regexp_replace(regexp_replace(l, '^[()]+', ''), '[()]+$', ''), '') AS modern, 'b' AS retro, NULL AS old FROM (SELECT doc_id, {LINE} AS l FROM documents)""")
 def _(spark, d):
-    line = t.strip(t.sub(F.substring("text", 1, 60), f"[{t.SPACE}]+", " "))
+    line = t.strip(t.sub(F.col("text"), f"[{t.SPACE}]+", " "))
     answer = F.concat(F.lit("[HIEN_DAI]\n("), line, F.lit(")\n[THAP_NIEN] \nb\n"))
     rows = docs(spark, d).withColumn("a", answer)
     return rows.select("doc_id", r.bracketed("a", "HIEN_DAI").alias("modern"), r.bracketed("a", "THAP_NIEN").alias("retro"), r.bracketed("a", "CO_TRANG").alias("old"))
@@ -172,7 +172,7 @@ HOOK = f"""(SELECT doc_id, l, '>>' || regexp_replace(l || ' tail', '[. ]+$', '')
   CASE WHEN length(raw || ' | Brand') <= 58 THEN raw WHEN length(h) <= 48 THEN h WHEN {_last('substr(h, 1, 48)', ' ')} > 2 THEN regexp_replace(substr(h, 1, {_last('substr(h, 1, 48)', ' ')}), '[.,;:!? ]+$', '') || '...'
   ELSE {_rstrip('substr(h, 1, 48)')} || '...' END || ' | Brand' END AS title FROM {HOOK}""")
 def _(spark, d):
-    line = F.replace(t.strip(t.sub(F.substring("text", 1, 60), f"[{t.SPACE}]+", " ")), F.lit("|"), F.lit(""))
+    line = F.replace(t.strip(t.sub(F.col("text"), f"[{t.SPACE}]+", " ")), F.lit("|"), F.lit(""))
     k = F.col("doc_id") % 3
     headline = F.concat(F.when(k == 1, "1. ").otherwise("# "), F.lit(">>"), "l", F.lit(" tail | Work | Brand"))
     rows = docs(spark, d).withColumn("l", line).withColumn("raw", F.when(k == 0, F.col("l")).otherwise(headline))
@@ -181,9 +181,9 @@ def _(spark, d):
 
 @query("T32_wrap_title", f"""SELECT doc_id, CASE WHEN length(l) <= 28 THEN l WHEN strpos(l, '...') > 0 THEN {strip("substr(l, 1, strpos(l, '...') - 1)")} || '...' || chr(10) || {strip("substr(l, strpos(l, '...') + 3)")}
  WHEN best > 1 THEN substr(l, 1, best - 1) || chr(10) || substr(l, best + 1) ELSE l END AS wrapped
-FROM (SELECT doc_id, l, list_min(list_transform(list_filter(range(1, length(l) + 1), lambda i: substr(l, i, 1) = ' '), lambda i: abs(i - 1 - length(l) // 2) * 1000 + i)) % 1000 AS best FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN replace({LINE}, ' ', '... ') WHEN 1 THEN substr({LINE}, 1, 20) ELSE {LINE} END AS l FROM documents))""")
+FROM (SELECT doc_id, l, list_min(list_transform(list_filter(range(1, length(l) + 1), lambda i: substr(l, i, 1) = ' '), lambda i: abs(i - 1 - length(l) // 2) * 1000000 + i)) % 1000000 AS best FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN replace({LINE}, ' ', '... ') WHEN 1 THEN substr({LINE}, 1, 20) ELSE {LINE} END AS l FROM documents))""")
 def _(spark, d):
-    line = t.strip(t.sub(F.substring("text", 1, 60), f"[{t.SPACE}]+", " "))
+    line = t.strip(t.sub(F.col("text"), f"[{t.SPACE}]+", " "))
     k = F.col("doc_id") % 5
     line = F.when(k == 0, F.replace(line, F.lit(" "), F.lit("... "))).when(k == 1, F.substring(line, 1, 20)).otherwise(line)
     return docs(spark, d).withColumn("l", line).select("doc_id", t.wrap_title("l").alias("wrapped"))
@@ -265,14 +265,14 @@ digest("T41_substitute_seeded", None, lambda: t.substitute_seeded("text", "doc_i
 
 @query("T43_picked_title", f"""SELECT doc_id, CASE WHEN {wc('l')} <= 15 THEN regexp_replace(l, '\\.+$', '') ELSE 'spare' END AS title FROM (SELECT doc_id, {strip("regexp_replace(l, '^x+', '')")} AS l FROM (SELECT doc_id, 'T ' || replace(replace({LINE}, '*', ''), '"', '') AS l FROM documents))""")
 def _(spark, d):
-    line = t.strip(t.sub(F.substring("text", 1, 60), f"[{t.SPACE}]+", " "))
+    line = t.strip(t.sub(F.col("text"), f"[{t.SPACE}]+", " "))
     answer = F.concat(F.lit('\n"**Title: T '), F.replace(F.replace(line, F.lit("*"), F.lit("")), F.lit('"'), F.lit("")), F.lit('**"\nspare'))
     return docs(spark, d).select("doc_id", r.picked_title(answer).alias("title"))
 
 
 @query("T44_section_lines", f"""SELECT doc_id, {strip("'one ' || l")} AS first, 2 AS n FROM (SELECT doc_id, replace({LINE}, '|', '') AS l FROM documents)""")
 def _(spark, d):
-    line = F.replace(t.strip(t.sub(F.substring("text", 1, 60), f"[{t.SPACE}]+", " ")), F.lit("|"), F.lit(""))
+    line = F.replace(t.strip(t.sub(F.col("text"), f"[{t.SPACE}]+", " ")), F.lit("|"), F.lit(""))
     text = F.concat(F.lit("=== OTHER ===\nx\n=== TITLES ===\n\nPre one "), line, F.lit(" | Brand\ntwo\n=== END ===\nthree"))
     rows = docs(spark, d).withColumn("s", r.section_lines(text, "TITLES", r"Pre\s+", r"\s*\| Brand"))
     return rows.select("doc_id", F.get("s", F.lit(0)).alias("first"), F.size("s").alias("n"))
@@ -280,6 +280,6 @@ def _(spark, d):
 
 @query("T45_without_section", f"""SELECT doc_id, {strip("'head ' || l || chr(10) || '=== KEEP === z'")} AS kept FROM (SELECT doc_id, replace({LINE}, '=', '') AS l FROM documents)""")
 def _(spark, d):
-    line = F.replace(t.strip(t.sub(F.substring("text", 1, 60), f"[{t.SPACE}]+", " ")), F.lit("="), F.lit(""))
+    line = F.replace(t.strip(t.sub(F.col("text"), f"[{t.SPACE}]+", " ")), F.lit("="), F.lit(""))
     text = F.concat(F.lit("head "), line, F.lit("\n=== thumbnail ===\ndrop "), line, F.lit("=== KEEP === z"))
     return docs(spark, d).select("doc_id", r.without_section(text, "THUMBNAIL").alias("kept"))

@@ -19,9 +19,6 @@ def _dir_name(levels_up: int) -> Column:
     return F.element_at(F.split(_file("file_path"), "/"), -1 - levels_up)
 
 
-# --- fixed values: column types of the works and sections tables are in quire.schemas -------------------------------
-
-
 def catalogue_table(spark: SparkSession, path: str, schema) -> DataFrame:
     """A catalogue table with its declared schema."""
     return spark.read.schema(schema).parquet(path)
@@ -47,7 +44,7 @@ def staged_sections(spark: SparkSession, root: str, slug: str = "*", day: str |
 
 def _stem_number(stem: Column) -> Column:
     digits = F.regexp_extract(stem, r"\A\s*(\d+)\s*\z", 1)
-    return F.when(digits != "", digits.cast("int"))
+    return F.when(digits != "", digits.try_cast("int"))
 
 
 def mixed_sections(spark: SparkSession, folder: str) -> DataFrame:
@@ -152,9 +149,9 @@ def sidecars(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def audio_files(listing: DataFrame) -> DataFrame:
-    """(path, number, bytes) of files named chapter_N.mp3; ``listing``: path, length."""
+    """(path, number, bytes) of files named chapter_N.mp3; ``listing``: path, length. A number above int is null."""
     n = F.regexp_extract("path", r"(?:\A|/)chapter_(\d+)\.mp3\z", 1)
-    return listing.filter(n != "").select("path", n.cast("int").alias("number"), F.col("length").alias("bytes"))
+    return listing.filter(n != "").select("path", n.try_cast("int").alias("number"), F.col("length").alias("bytes"))
 
 
 def file_listing(spark: SparkSession, pattern: str) -> DataFrame:
@@ -197,7 +194,7 @@ def scenes_with_images(scenes: DataFrame, listing: DataFrame, folder: str = "ima
     ``scenes``: work_id, scene, image; ``listing``: path, relative to the work's folder as ``work_id/...``.
     """
     paths = listing.select("path").distinct()
-    usual = F.concat("work_id", F.lit(f"/{folder}/scene_"), F.lpad(F.col("scene").cast("string"), 3, "0"), F.lit(".jpg"))
+    usual = F.concat("work_id", F.lit(f"/{folder}/scene_"), F.format_string("%03d", F.col("scene")), F.lit(".jpg"))
     out = scenes.join(paths.select(F.col("path").alias("_named")), F.col("image") == F.col("_named"), "left")
     out = out.withColumn("_u", usual).join(paths.select(F.col("path").alias("_usual")), F.col("_u") == F.col("_usual"), "left")
     return out.withColumn("image", F.coalesce("_named", "_usual")).filter("image is not null").select(*scenes.columns)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from quire.functions import text as t
 from quire.functions import urls
 from quire.functions.predicates import is_published
-from quire.operators.changes import upsert
+from quire.operators.changes import latest
 from quire.operators.ordered import WIDTH, Running, global_rank, ordered
 from quire.operators.segment import pack_sections
 from quire.session import checkpoint, checkpoint_dir
@@ -20,15 +20,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/quire/{name}-{uuid.uuid4().hex}"
 
 
-def stage_sections(stored: DataFrame | None, incoming: DataFrame, path: str) -> None:
+def stage_sections(stored: DataFrame | None, incoming: DataFrame, path: str, order: str) -> None:
     """K1: sections as JSON under ``path/slug=…``; the same (slug, number) is overwritten, untouched works stay.
 
-    ``stored`` is what the folder holds now, read from an earlier version of it.
+    ``stored`` is what the folder holds now, read from an earlier version of it; None is for a new folder only. Of a number sent
+    twice the last by ``order`` is written; ``order`` itself is not.
     """
-    rows = incoming
+    spark = incoming.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if stored is None and folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        raise ValueError("the folder exists: pass what it holds, or its sections would be lost")
+    rows = latest(incoming, ["slug", "number"], order).drop(order)
     if stored is not None:
         touched = stored.join(incoming.select("slug").distinct(), "slug", "left_semi")
-        rows = upsert(touched, incoming, ["slug", "number"])
+        rows = touched.join(rows.select("slug", "number"), ["slug", "number"], "left_anti").unionByName(rows.select(*touched.columns))
     # a work's rows meet in few files, a very long work in one file per block of numbers
     rows = rows.repartition("slug", F.floor(F.col("number") / WIDTH))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slug").json(path)
@@ -42,9 +47,18 @@ def dated_layout(works: DataFrame, stamp: str = "updated_at") -> DataFrame:
     return works.withColumn("load_date", day)
 
 
-def write_dated(works: DataFrame, path: str, stamp: str = "updated_at") -> None:
-    """K2: partitioned by day; days already there are replaced only where new rows arrive for them."""
-    dated_layout(works, stamp).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("load_date").parquet(path)
+def write_dated(works: DataFrame, path: str, stamp: str = "updated_at", key: str = "work_id") -> None:
+    """K2: partitioned by day. What is there stays: a work is added to a day that does not hold it yet, as its latest row."""
+    spark = works.sparkSession
+    rows = dated_layout(works, stamp)
+    rows = latest(rows, ["load_date", key], stamp)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(folder) and fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/load_date=*")):
+        held = spark.read.schema(rows.schema).parquet(path).select("load_date", key)
+        # files are added, none is replaced, so the folder can be read while the rows are written
+        rows = rows.join(held, ["load_date", key], "left_anti")
+    rows.write.mode("append").partitionBy("load_date").parquet(path)
 
 
 # --- fixed values: opening and closing lines of an export -----------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.functions import syllable as sy
 from quire.functions import urls
+from quire.operators.changes import earliest
 
 KEY = ["work_id", "number"]
 
@@ -43,23 +44,34 @@ def acknowledge(state: DataFrame, loaded: DataFrame) -> DataFrame:
     return out.withColumn("last_number", F.greatest("last_number", "_top")).select(*state.columns)
 
 
-def watch_stream(events: DataFrame) -> DataFrame:
+def watch_stream(events: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     """I1 as a stream. ``events``: url, kind (listing / ack), number. Emits (url, number, mark) for listed numbers above
-    the mark of their URL; an acknowledgement moves the mark for the rows after it."""
+    the mark of their URL, each once a batch; an acknowledgement moves the mark for the batches after it. ``marks`` (url,
+    last_number), a static table, gives the marks that URLs begin with."""
 
     def check(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        mark = state.get[0] if state.exists else 0
-        top = mark
+        mark, top, sent = (state.get[0] if state.exists else None), 0, set()
         for frame in frames:
+            if mark is None:
+                mark = int(frame["seed"].iloc[0])
+            top = max(top, mark)
             acked = frame.loc[frame["kind"] == "ack", "number"]
             if len(acked):
                 top = max(top, int(acked.max()))
             listed = frame.loc[(frame["kind"] == "listing") & (frame["number"] > mark), "number"].drop_duplicates().sort_values()
+            # the rows of a URL come in several frames; numbers above the mark of one batch are few
+            listed = listed[~listed.isin(sent)]
+            sent.update(listed.tolist())
             if len(listed):
                 yield pd.DataFrame({"url": key[0], "number": listed.astype("int64"), "mark": mark})
         state.update((top,))
 
     keyed = events.select(urls.trimmed("url").alias("url"), "kind", F.col("number").cast("bigint").alias("number"))
+    if marks is None:
+        keyed = keyed.withColumn("seed", F.lit(0).cast("bigint"))
+    else:
+        known = marks.groupBy(urls.trimmed("url").alias("_u")).agg(F.max("last_number").cast("bigint").alias("seed"))
+        keyed = keyed.join(known, F.col("url") == F.col("_u"), "left").select("url", "kind", "number", F.coalesce("seed", F.lit(0)).alias("seed"))
     return keyed.groupBy("url").applyInPandasWithState(check, "url string, number bigint, mark bigint", "mark bigint", "append", "NoTimeout")
 
 
@@ -80,14 +92,15 @@ def read_batches(spark: SparkSession, root: str, schema) -> DataFrame:
     return spark.read.schema(schema).option("basePath", root).parquet(*folders).withColumn("batch", F.regexp_extract("_metadata.file_path", r"batch=(\d+)", 1).cast("bigint"))
 
 
-def resume_writer(root: str, schema, stored: DataFrame | None = None):
-    """foreachBatch function that adds the (work, number) pairs the table does not have."""
+def resume_writer(root: str, schema, order: str, stored: DataFrame | None = None):
+    """foreachBatch function that adds the (work, number) pairs the table does not have; of one sent twice in a batch
+    the first by ``order``."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         known = read_batches(batch.sparkSession, root, schema).filter(F.col("batch") != batch_id).select(*KEY)
         if stored is not None:
             known = known.unionByName(stored.select(*KEY))
-        fresh = batch.join(known, KEY, "left_anti").dropDuplicates(KEY)
+        fresh = earliest(batch.join(known, KEY, "left_anti"), KEY, order)
         fresh.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
     return write

@@ -28,7 +28,7 @@ _WORK_COLUMNS = (
     "timestamp_millis(1704067200000 + w * 7200000) AS updated_at",
 )
 _SECTION_COLUMNS = (
-    "concat('s', r) AS section_id",
+    "concat('s', sid) AS section_id",
     "work_id",
     "int(number) AS number",
     "concat(CASE WHEN r % 4 = 0 THEN 'Phần ' ELSE 'Section ' END, number) AS title",
@@ -50,14 +50,14 @@ def _works(base: DataFrame) -> DataFrame:
 
 
 def _sections(base: DataFrame) -> DataFrame:
-    """``base``: work_id, r (a number unique over all rows), number, content, word_count."""
+    """``base``: work_id, r (a number), sid (unique over all rows), number, content, word_count."""
     return base.selectExpr(*_SECTION_COLUMNS)
 
 
 def document_sections(documents: DataFrame) -> DataFrame:
     """A work per source; sections numbered by document id. Long texts."""
     base = documents.select(
-        F.col("source").alias("work_id"), F.col("doc_id").alias("r"), F.col("text").alias("content"),
+        F.col("source").alias("work_id"), F.col("doc_id").alias("r"), F.col("doc_id").cast("string").alias("sid"), F.col("text").alias("content"),
         word_count("text").alias("word_count"),
     )
     return _sections(row_number(base, "work_id", "r"))
@@ -75,6 +75,7 @@ def conversation_sections(conversations: DataFrame) -> DataFrame:
     base = conversations.select(
         F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("work_id"),
         (F.col("conv_id") * 1000 + F.col("turn")).alias("r"),
+        F.concat_ws("_", "conv_id", "turn").alias("sid"),
         (F.col("turn") + 1).alias("number"),
         F.col("text").alias("content"),
         word_count("text").alias("word_count"),

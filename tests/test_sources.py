@@ -86,7 +86,11 @@ def test_versions(spark, tmp_path):
 def test_dated_layout(spark, tmp_path):
     df = spark.createDataFrame([("a", "2024-01-02 03:04:05"), ("b", "2024-01-03 00:00:00")], "slug string, updated_at string")
     df = df.withColumn("updated_at", F.to_timestamp("updated_at"))
-    sinks.write_dated(df, str(tmp_path / "d"))
+    sinks.write_dated(df, str(tmp_path / "d"), key="slug")
+    more = df.filter("slug = 'a'").withColumn("slug", F.lit("c")).unionByName(df.withColumn("updated_at", F.expr("updated_at + interval 1 minute")))
+    sinks.write_dated(more, str(tmp_path / "d"), key="slug")
+    rows = sorted((str(r["load_date"]), r["slug"], str(r["updated_at"])[-5:]) for r in spark.read.parquet(str(tmp_path / "d")).collect())
+    assert rows == [("2024-01-02", "a", "04:05"), ("2024-01-02", "c", "04:05"), ("2024-01-03", "b", "00:00")]
     assert sorted(p.name for p in (tmp_path / "d").glob("load_date=*")) == ["load_date=2024-01-02", "load_date=2024-01-03"]
 
 
@@ -95,8 +99,8 @@ def test_imports(spark):
     stored = spark.createDataFrame([("w", 1, "a", "", None, None), ("w", 2, None, None, None, None), ("v", 1, None, None, None, None)], s)
     sent = spark.createDataFrame([("w", 2, None, None, None, None), ("w", 3, None, None, None, None), ("w", 3, None, None, None, None)], s)
     assert [tuple(r) for r in ch.resume_counts(stored, sent).collect()] == [("w", 1, 1)]
-    once = ch.resume(stored, sent)
-    assert once.count() == 4 and ch.resume(once, sent).count() == 4
+    once = ch.resume(stored, sent, "number")
+    assert once.count() == 4 and ch.resume(once, sent, "number").count() == 4
     sent = sent.distinct()
     assert [tuple(r) for r in ch.replace_counts(stored, sent).collect()] == [("w", 2, 2, 1)]
     assert sorted((r["work_id"], r["number"]) for r in ch.replace_works(stored, sent).collect()) == [("v", 1), ("w", 2), ("w", 3)]

@@ -31,7 +31,7 @@ def test_resume_is_replay_safe(spark, tmp_path):
     root, schema = str(tmp_path / "t"), "work_id string, number int, v string"
     one = spark.createDataFrame([("w", 1, "a"), ("w", 1, "a"), ("w", 2, "a")], schema)
     two = spark.createDataFrame([("w", 2, "b"), ("w", 3, "b")], schema)
-    write = inc.resume_writer(root, schema)
+    write = inc.resume_writer(root, schema, "v")
     for batch, i in ((one, 0), (two, 1), (two, 1), (one, 0)):
         write(batch, i)
         rows = sorted((r["number"], r["v"]) for r in inc.read_batches(spark, root, schema).collect())
