@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions import html as h
 from quire.functions import rules, urls
-from quire.functions.text import strip, sub
+from quire.functions.text import let, strip, sub
 
 
 @dataclass(frozen=True)
@@ -72,11 +72,12 @@ def section_links(pages: DataFrame, pattern: str = "", base: str = "", html: str
 
 def listing_cards(pages: DataFrame, pattern: str = "", base: str = "", suffix: str = r"\z", html: str = "html") -> DataFrame:
     """H6: (url, title) cards of a page, the first card of each URL."""
-    found = h.cards(html, pattern, base, suffix)
-    seen = F.aggregate(
-        found, F.slice(found, 1, 0),
-        lambda acc, c: F.when(F.exists(acc, lambda a: a["url"] == c["url"]), acc).otherwise(F.concat(acc, F.array(c))),
-    )
+    def first_of_each(cards):
+        by_url = F.array_sort(F.transform(cards, lambda c, i: F.struct(c["url"].alias("url"), i.alias("i"), c["title"].alias("title"))))
+        firsts = let(by_url, lambda s: F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1)["url"] != x["url"], F.lit(True))))
+        return F.array_sort(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["url"].alias("url"), x["title"].alias("title"))))
+
+    seen = first_of_each(h.cards(html, pattern, base, suffix))
     rows = pages.select(*[c for c in pages.columns if c != html], F.posexplode(seen).alias("pos", "_c"))
     return rows.select(*[c for c in pages.columns if c != html], "pos", F.col("_c.url").alias("card_url"), F.col("_c.title").alias("card_title"))
 

@@ -13,9 +13,15 @@ from quire.session import checkpoint
 
 
 def first_rows(df: DataFrame, order: str, n: int, by: str = "work_id") -> DataFrame:
-    """The first ``n`` rows of each work; 0 keeps all. The limit is applied map-side before the shuffle."""
+    """The first ``n`` rows of each work; 0 keeps all.
+
+    Under a thousand rows the limit is applied map-side before the shuffle. A larger ``n`` is beyond what that can do: then the place
+    of each row is counted in blocks of its work (``order`` must be a whole number).
+    """
     if n <= 0:
         return df
+    if n >= 1_000:
+        return row_number(df, by, order, "_rank").filter(F.col("_rank") <= n).drop("_rank")
     rank = F.row_number().over(Window.partitionBy(by).orderBy(order))
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
@@ -74,19 +80,24 @@ def merge_counts(plan: DataFrame) -> DataFrame:
     return out.filter((F.col("merged") > 0) | (F.col("failed") > 0))
 
 
-def apply_merge(sections: DataFrame, plan: DataFrame) -> DataFrame:
-    """The sections after merging, before renumbering.
+def apply_merge(sections: DataFrame, plan: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
+    """The sections after merging; ``numbers`` (work_id, number, new_number) gives those that stay a new number.
 
-    Only sections of groups with more than one member meet again in a shuffle by (work, head); all others pass.
+    Texts meet the plan in one join. Only sections of groups with more than one member move again, by (work, head).
     """
     moved = plan.filter("head <> number").select("work_id", "number", "head")
-    members = moved.unionByName(moved.select("work_id", F.col("head").alias("number"), "head").distinct())
-    tagged = sections.join(members, ["work_id", "number"], "left")
-    alone = tagged.filter(F.col("head").isNull()).drop("head")
+    tags = moved.unionByName(moved.select("work_id", F.col("head").alias("number"), "head").distinct())
+    if numbers is None:
+        tags = tags.withColumn("new_number", F.col("head").cast("int"))
+    else:
+        tags = tags.join(numbers, ["work_id", "number"], "full")
+    tagged = sections.join(tags, ["work_id", "number"], "left")
+    number = F.coalesce("new_number", "number").cast(sections.schema["number"].dataType).alias("number")
+    alone = tagged.filter(F.col("head").isNull()).select(*[number if c == "number" else F.col(c) for c in sections.columns])
     parts = F.array_sort(F.collect_list(F.struct("number", "content")))
     joined = tagged.filter(F.col("head").isNotNull()).groupBy("work_id", "head").agg(
         parts.alias("_parts"),
-        F.max(F.when(F.col("number") == F.col("head"), F.struct(*[c for c in sections.columns if c != "content"]))).alias("_kept"),
+        F.max(F.when(F.col("number") == F.col("head"), F.struct(*[number if c == "number" else F.col(c) for c in sections.columns if c != "content"]))).alias("_kept"),
     )
     n = F.size("_parts")
     texts = F.transform(
@@ -100,7 +111,7 @@ def apply_merge(sections: DataFrame, plan: DataFrame) -> DataFrame:
             for c in sections.columns
         ]
     )
-    return alone.select(*sections.columns).unionByName(merged)
+    return alone.unionByName(merged)
 
 
 def merge_short(works: DataFrame, sections: DataFrame, min_words: int, renumber: bool = True, max_works: int | None = None,
@@ -114,15 +125,10 @@ def merge_short(works: DataFrame, sections: DataFrame, min_words: int, renumber:
     if max_works is not None:
         touched = touched.join(works.select("work_id", "slug"), "work_id").orderBy("slug").limit(max_works).select("work_id")
         plan = checkpoint(plan.join(touched, "work_id", "left_semi"))
-    merged = apply_merge(sections, plan)
     if not renumber:
-        return merged
+        return apply_merge(sections, plan)
     survivors = plan.join(touched, "work_id", "left_semi").filter("head = number").select("work_id", "number")
-    numbers = renumbered(survivors, width)
-    out = merged.join(numbers, ["work_id", "number"], "left")
-    return out.select(
-        *[F.coalesce("new_number", "number").cast("int").alias("number") if c == "number" else F.col(c) for c in sections.columns]
-    )
+    return apply_merge(sections, plan, renumbered(survivors, width))
 
 
 def merge_one(sections: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -206,7 +212,9 @@ def quartile_rows(sections: DataFrame, width: int | None = None) -> DataFrame:
 
 def quartile_excerpt(sections: DataFrame, limit: int = 5000, label: str = "Chương", tidy=lambda c: c) -> DataFrame:
     """W9 + T22: per work the quartile sections' heads, cut at a sentence, joined in order. At most four rows per work."""
-    picked = quartile_rows(sections.select("work_id", "number", "content"))
+    places = quartile_rows(sections.select("work_id", "number")).select("work_id", "number")
+    # four places a work are found on the numbers alone; only their texts move
+    picked = sections.select("work_id", "number", "content").join(places, ["work_id", "number"], "left_semi")
     per = picked.withColumn("content", t.strip(tidy(F.coalesce("content", F.lit("")))))
     n = F.count(F.lit(1)).over(Window.partitionBy("work_id"))
     cut = per.withColumn("_per", F.floor(F.lit(limit) / n).cast("int")).filter("content <> ''")
