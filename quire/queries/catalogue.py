@@ -3,12 +3,14 @@
 from pyspark.sql import functions as F
 
 from quire.functions import predicates as p
+from quire.functions import rules
 from quire.functions import text as t
 from quire.functions import urls
 from quire.operators import catalog
 from quire.plans.audit import Thresholds, audit_rows, audit_summary
 from quire.queries.base import sections_c, sections_v, works_c, works_v
 from quire.queries.sql import on_c, on_v, strip
+from quire.queries.texts import SENTENCES
 from quire.registry import query, table
 
 SHORT_WORKS = Thresholds(min_words=30)
@@ -176,27 +178,47 @@ def _(spark, d):
     return works.unionByName(french.select("page_id", F.concat("url", F.lit("#cut")).alias("url")))
 
 
-@query("F14_safe_prompts", """SELECT doc_id FROM documents WHERE NOT regexp_matches(lower(text),
+# the sample texts are invented and hold none of the words looked for; every few documents get some at the end
+HINTS = {1: " A NUDE scene.", 2: " Bộ ngực đầy đặn! Số đo 90-60-90 đây…", 3: " Hãy nghe tiếp. Nghe truyện để biết thêm chuyện gì!", 4: " 漢字 kana ひ.", 5: " 😀 ok 🚀."}
+HINTED = "(SELECT doc_id, text || CASE doc_id % 9 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in HINTS.items()) + " ELSE '' END AS text FROM documents)"
+
+
+def hinted(spark, d):
+    rest = F.lit("")
+    for k, v in HINTS.items():
+        rest = F.when(F.col("doc_id") % 9 == k, v).otherwise(rest)
+    return table(spark, d, "documents").select("doc_id", F.concat("text", rest).alias("text"))
+
+
+@query("F14_safe_prompts", f"""SELECT doc_id FROM {HINTED} WHERE NOT regexp_matches(lower(text),
 'nude|nudity|naked|sex|sexual|erotic|porn|breast|nipples|genitals|nsfw|lingerie|topless|seductive|bare skin|exposed skin|undressed|revealing outfit|cleavage|sensual|provocative|explicit|intimate pose|undress|shirtless|bikini|underwear')""")
 def _(spark, d):
-    return table(spark, d, "documents").filter(p.is_safe_prompt("text")).select("doc_id")
+    return hinted(spark, d).filter(p.is_safe_prompt("text")).select("doc_id")
+
+
+def _any(patterns):
+    return " OR ".join("regexp_matches(x, '(?i)" + q.replace("'", "''") + "')" for q in patterns)
+
+
+def _counted(patterns, name):
+    return f"SELECT doc_id, count(*) FILTER ({_any(patterns)}) AS {name}, count(*) AS sentences FROM (SELECT doc_id, unnest({SENTENCES}) AS x FROM {HINTED}) GROUP BY doc_id"
 
 
-@query("F15_blocked_sentences")
+@query("F15_blocked_sentences", _counted(rules.BLOCKED_SENTENCES, "blocked"))
 def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.posexplode(t.sentences("text")).alias("pos", "sentence"))
+    docs = hinted(spark, d).select("doc_id", F.posexplode(t.sentences("text")).alias("pos", "sentence"))
     return docs.groupBy("doc_id").agg(F.count_if(p.is_blocked_sentence("sentence")).alias("blocked"), F.count(F.lit(1)).alias("sentences"))
 
 
-@query("F16_call_to_action_sentences")
+@query("F16_call_to_action_sentences", _counted((rules.CTA_START, rules.CTA_FULL, rules.CTA_END), "calls"))
 def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.explode(t.sentences("text")).alias("sentence"))
+    docs = hinted(spark, d).select("doc_id", F.explode(t.sentences("text")).alias("sentence"))
     return docs.groupBy("doc_id").agg(F.count_if(p.is_call_to_action("sentence")).alias("calls"), F.count(F.lit(1)).alias("sentences"))
 
 
-@query("F17_cjk_texts", r"SELECT doc_id, regexp_matches(text, '[\x{4e00}-\x{9fff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}]') AS has_cjk FROM documents")
+@query("F17_cjk_texts", r"SELECT doc_id, regexp_matches(text, '[\x{4e00}-\x{9fff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}]') AS has_cjk FROM " + HINTED)
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", p.has_cjk("text").alias("has_cjk"))
+    return hinted(spark, d).select("doc_id", p.has_cjk("text").alias("has_cjk"))
 
 
 @query("F18_truncated_texts", f"""SELECT 'd' || doc_id AS id, s = '' OR strpos('.!?…。！？"”'')’', right(s, 1)) = 0 AS truncated
@@ -334,10 +356,10 @@ def _(spark, d):
 
 
 @query("A12_word_conservation", on_v("""SELECT work_id, b AS words_before, a AS words_after, abs(a - b) <= b * 0.02 AS conserved FROM
-(SELECT work_id, sum(word_count)::BIGINT AS b, coalesce(sum(word_count) FILTER (word_count >= 60), 0)::BIGINT AS a FROM sections_v GROUP BY work_id)"""))
+(SELECT work_id, sum(word_count)::BIGINT AS b, coalesce(sum(word_count) FILTER (word_count >= 60 AND NOT (work_id LIKE '%7' AND number % 2 = 0)), 0)::BIGINT AS a FROM sections_v GROUP BY work_id)"""))
 def _(spark, d):
     s = sections_v(spark, d)
-    return catalog.conserved(s, s.filter("word_count >= 60"))
+    return catalog.conserved(s, s.filter("word_count >= 60 AND NOT (work_id LIKE '%7' AND number % 2 = 0)"))
 
 
 @query("A13_highest_numbers", """SELECT 'https://list.example/' || conv_id AS url, max(turn + 1) AS highest, count(*) AS known FROM conversations GROUP BY 1""")

@@ -88,7 +88,7 @@ def _truncated(x, n):
 digest("T18_truncate", _truncated("text", 200), lambda: t.truncate_at_sentence("text", 200))
 digest("T18_truncate_short", _truncated("text", 20), lambda: t.truncate_at_sentence("text", 20))
 EMOJI = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}\x{2702}-\x{27B0}\x{24C2}-\x{1F251}\x{1F900}-\x{1F9FF}\x{1FA00}-\x{1FAFF}\x{2600}-\x{26FF}\x{FE00}-\x{FE0F}\x{200B}-\x{200F}]+"
-digest("T19_strip_emoji", f"regexp_replace(text, '{EMOJI}', '', 'g')", lambda: t.strip_emoji("text"))
+digest("T19_strip_emoji", f"regexp_replace(replace(text, '. ', ' 😀🚀 '), '{EMOJI}', '', 'g')", lambda: t.strip_emoji(F.replace("text", F.lit(". "), F.lit(" 😀🚀 "))))
 
 
 @query("T17_sanitise_description", f"""SELECT doc_id, {_truncated('s', 200)} AS description FROM (SELECT doc_id, {strip(f"regexp_replace(regexp_replace(array_to_string(list_filter(list_transform({SENTENCES}, lambda x: {strip('x')}), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)sex|nude|erotic')), ' '), '{EMOJI}', '', 'g'), '{S}+', ' ', 'g')")} AS s FROM documents)""")
