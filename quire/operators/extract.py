@@ -22,6 +22,7 @@ class InfoRules:
     genre_links: str = r"/category/|/the-loai/"
     min_description: int = 1
     ongoing: str = r"đang\s*(ra|cập\s*nhật)|ongoing|updating"
+    status_in: str = r"\A"  # where the element begins that tells the status; the whole page by default
     base: str = ""
     default_author: str = "Đang cập nhật"
     extra: dict = field(default_factory=dict)
@@ -32,22 +33,25 @@ def _first(page: Column, tries, ok) -> Column:
     return F.coalesce(*[F.when(ok(v), v) for v in values])
 
 
-def work_info(pages: DataFrame, site: InfoRules = InfoRules(), html: str = "html") -> DataFrame:
-    """H1: title, author, description, cover, status and genres; pages without a usable title drop out."""
-    x = F.col(html)
+def info_fields(x: Column, site: InfoRules) -> dict[str, Column]:
+    """H1: the facts of a work as expressions over its page."""
     page_title = strip(F.substring_index(h.inner_text(h.first_element(x, "title")), "|", 1))
     title = F.coalesce(_first(x, site.title, lambda v: (F.length(v) >= 3) & (F.length(v) <= 199)), F.nullif(page_title, F.lit("")))
     cover = _first(x, site.cover, lambda v: v != "")
-    genres = F.transform(F.filter(h.cards(x), lambda c: c["url"].rlike(site.genre_links)), lambda c: F.lower(c["title"]))
-    out = pages.select(
-        *[c for c in pages.columns if c != html],
-        title.alias("title"),
-        F.coalesce(_first(x, site.author, lambda v: v != ""), F.lit(site.default_author)).alias("author"),
-        F.coalesce(_first(x, site.description, lambda v: F.length(v) >= site.min_description), F.lit("")).alias("description"),
-        F.coalesce(F.when(F.startswith(cover, F.lit("http")), cover).otherwise(F.concat(F.lit(site.base), cover)), F.lit("")).alias("cover_image"),
-        F.when(F.lower(h.inner_text(h.without(x))).rlike("(?U)" + site.ongoing), F.lit("ongoing")).otherwise(F.lit("completed")).alias("status"),
-        genres.alias("genres_raw"),
-    )
+    told = x if site.status_in == r"\A" else h.region(x, site.status_in, "</div>")
+    return {
+        "title": title,
+        "author": F.coalesce(_first(x, site.author, lambda v: v != ""), F.lit(site.default_author)),
+        "description": F.coalesce(_first(x, site.description, lambda v: F.length(v) >= site.min_description), F.lit("")),
+        "cover_image": F.coalesce(F.when(F.startswith(cover, F.lit("http")), cover).otherwise(F.concat(F.lit(site.base), cover)), F.lit("")),
+        "status": F.when(F.lower(h.inner_text(h.without(told))).rlike("(?U)" + site.ongoing), F.lit("ongoing")).otherwise(F.lit("completed")),
+        "genres_raw": F.transform(F.filter(h.cards(x), lambda c: c["url"].rlike(site.genre_links)), lambda c: F.lower(c["title"])),
+    }
+
+
+def work_info(pages: DataFrame, site: InfoRules = InfoRules(), html: str = "html") -> DataFrame:
+    """H1: title, author, description, cover, status and genres; pages without a usable title drop out."""
+    out = pages.select(*[c for c in pages.columns if c != html], *[v.alias(k) for k, v in info_fields(F.col(html), site).items()])
     return out.filter("title is not null")
 
 

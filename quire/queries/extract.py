@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import html as h
 from quire.operators import extract as ex
+from quire.operators import sites
 from quire.queries.sql import SPACE, strip
 from quire.registry import query, table
 
@@ -111,3 +112,50 @@ def _(spark, d):
 FROM (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1) AS body FROM pages)""")
 def _(spark, d):
     return ex.region_texts(pages(spark, d), "<article>", "</article>").select("page_id", F.md5("content").alias("digest"))
+
+
+# Pages of four sites: the url and the marks come from the key, the paragraphs from the page itself.
+KIND = "['plain', 'reader', 'newest_first', 'episodes'][page_id % 4 + 1]"
+P_BLOCKS = "(?is)<p(?:\\s[^>]*)?>.*?</p\\s*>"
+SITE_TEXT = f"""list_transform(regexp_extract_all({NOISELESS}, '(?is)<p(?:\\s[^>]*)?>(.*?)</p\\s*>', 1), lambda b: {text('b')})"""
+
+
+def _site_pages(spark, d):
+    k, n = F.col("page_id").cast("string"), F.col("page_id") % 4
+    kind = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), (n + 1).cast("int"))
+    body = F.array_join(F.regexp_extract_all(h.without("html"), F.lit("(?is)<p(?:\\s[^>]*)?>.*?</p\\s*>"), F.lit(0)), "\n")
+    link = lambda i: F.concat(F.lit('<a href="/w-'), k, F.lit(f'/chuong-{i}">{i}</a>'))
+    links = F.when(n == 2, F.concat(link(3), link(2), link(1))).otherwise(F.concat(link(1), link(2), link(1), link(3), F.lit('<a href="/the-loai/x">Love</a>')))
+    page = F.concat(
+        kind('<h3 class="title">', '<h1 class="truyen-title">', '<h3 class="big title">', "<h1>x</h1><h2>"), F.lit("Work "), k, kind("</h3>", "</h1>", "</h3>", "</h2>"),
+        F.lit('<div class="info"><a href="/tac-gia/a">An '), k, F.lit("</a><span>"), F.when(F.col("page_id") % 3 == 0, "Đang ra").otherwise("Full"), F.lit("</span></div>"),
+        kind('<div class="desc-text">', '<div class="description">', '<div class="desc-text">', '<div class="summary">'), F.lit("About "), k, F.lit("</div>"),
+        kind('<div class="book">', '<div class="book-cover">', '<div class="thumb">', '<div class="book-cover">'), F.lit('<img src="/c/'), k, F.lit('.jpg"></div>'),
+        kind('<ul class="list-chapter">', '<div class="chapter-list">', '<ul class="list-chapter">', '<section><div class="episode-title">'), links, kind("</ul>", "</div>", "</ul>", "</div></section>"),
+        kind('<div id="chapter-c">', '<div class="chapter-content">', '<div id="chapter-content">', '<div class="content-container">'),
+        F.when(n <= 1, '<div class="ads"><p>buy this now</p></div>').otherwise(""), F.lit("<p><em>note to the reader</em></p>"), body, F.lit("</div><p>outside of it all</p>"),
+    )
+    rows = table(spark, d, "pages").select("page_id", F.concat(F.lit("https://www.site"), n.cast("string"), F.lit(".example/w-"), k).alias("url"), page.alias("html"))
+    domains = spark.createDataFrame([(f"site{i}.example", s, i) for i, s in enumerate(sites.SITES)], "domain string, source string, reg_order int")
+    return sites.with_source(rows, domains)
+
+
+@query("H1_info_by_site", f"""SELECT page_id, {KIND} AS source, 'Work ' || page_id AS title, 'An ' || page_id AS author, CASE WHEN page_id % 4 = 0 OR length('About ' || page_id) >= 11 THEN 'About ' || page_id ELSE '' END AS description,
+'/c/' || page_id || '.jpg' AS cover_image, CASE WHEN page_id % 3 = 0 AND page_id % 4 <> 3 THEN 'ongoing' ELSE 'completed' END AS status, CASE WHEN page_id % 4 = 2 THEN '' ELSE 'love' END AS genres FROM pages""")
+def _(spark, d):
+    info = sites.work_info(_site_pages(spark, d))
+    return info.select("page_id", "source", "title", "author", "description", "cover_image", "status", F.array_join("genres_raw", ",").alias("genres"))
+
+
+@query("H5_links_by_site", """SELECT page_id, pos::INT AS pos, '/w-' || page_id || '/chuong-' || (pos + 1) AS section_url, (pos + 1)::INT AS number FROM pages, (SELECT unnest([0, 1, 2]) AS pos)
+UNION ALL SELECT page_id, 3, '/the-loai/x', 4 FROM pages WHERE page_id % 4 IN (0, 3)""")
+def _(spark, d):
+    return sites.section_links(_site_pages(spark, d)).select("page_id", "pos", "section_url", "number")
+
+
+@query("H8_text_by_site", f"""SELECT page_id, md5(array_to_string(CASE page_id % 4
+  WHEN 2 THEN list_filter(ps, lambda x: length(x) > 5 AND NOT regexp_matches(x, 'https?://')) WHEN 3 THEN list_filter(ps[2:], lambda x: length(x) > 10 AND NOT regexp_matches(x, 'https?://'))
+  ELSE list_filter(list_transform(ps, lambda x: {strip("regexp_replace(x, '^\\d+[.)]?\\s*$', '')")}), lambda x: x <> '') END, chr(10) || chr(10))) AS digest
+FROM (SELECT page_id, list_concat(['note to the reader'], {SITE_TEXT}) AS ps FROM pages)""")
+def _(spark, d):
+    return sites.section_texts(_site_pages(spark, d)).select("page_id", F.md5("content").alias("digest"))
