@@ -102,7 +102,13 @@ def _(spark, d):
 
 @query("S1_catalogue_scan", on_v("SELECT work_id, slug, title, status, publish_status, source_url FROM works_v"))
 def _(spark, d):
-    return works_v(spark, d).select("work_id", "slug", "title", "status", "publish_status", "source_url")
+    from quire import schemas
+    from quire.sources.readers import catalogue_table
+    from quire.sources.sinks import scratch
+
+    path = scratch(spark, "catalogue")
+    works_v(spark, d).write.parquet(path)
+    return catalogue_table(spark, path, schemas.WORKS).select("work_id", "slug", "title", "status", "publish_status", "source_url")
 
 
 @query("F1_published_sections", on_v("SELECT work_id, number FROM sections_v WHERE publish_status = 'published'"))

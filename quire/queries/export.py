@@ -141,3 +141,54 @@ def _(spark, d):
     listing = s.select(F.concat("work_id", F.lit("/own.jpg")).alias("path")).unionByName(
         s.filter("number % 2 = 0").select(F.concat("work_id", F.lit("/images/scene_"), F.format_string("%03d", "scene"), F.lit(".jpg")).alias("path")))
     return rd.scenes_with_images(scenes, listing)
+
+
+def _write_files(rows):
+    """Small files from rows (folder, name, value) on the shared storage, each written by the task that has its row."""
+
+    def written(frames):
+        from pyarrow import fs
+
+        for frame in frames:
+            for folder, name, value in zip(frame["folder"], frame["name"], frame["value"]):
+                store, path = fs.FileSystem.from_uri(folder.replace("file:///", "/").replace("file:/", "/"))
+                store.create_dir(path)
+                with store.open_output_stream(f"{path}/{name}") as out:
+                    out.write(value.encode())
+            yield frame[["name"]]
+
+    rows.select("folder", "name", "value").mapInPandas(written, "name string").agg(F.count("*")).collect()
+
+
+STAGED = "f AS (SELECT work_id AS slug, number, title, content, number % 4 = 3 AS broken FROM sections_c)"
+
+
+@query("S2_staged_sections", on_c("""SELECT slug, number, title, content, NULL AS file FROM f WHERE NOT broken
+UNION ALL SELECT slug, NULL, NULL, NULL, 'chapter_' || number || '.json' FROM f WHERE broken""", STAGED))
+def _(spark, d):
+    root = sinks.scratch(spark, "novels")
+    s = sections_c(spark, d)
+    whole = F.to_json(F.struct("number", "title", "content"))
+    value = F.when(F.col("number") % 4 == 3, F.expr("substr(j, 1, length(j) div 2)")).otherwise(F.col("j"))
+    _write_files(s.withColumn("j", whole).select(
+        F.concat(F.lit(f"{root}/"), "work_id", F.lit("/chapters")).alias("folder"),
+        F.concat(F.lit("chapter_"), F.col("number").cast("string"), F.lit(".json")).alias("name"), value.alias("value")))
+    good, unreadable = rd.staged_sections(spark, root)
+    none = F.lit(None).cast("string")
+    return good.select("slug", "number", "title", "content", none.alias("file")).unionByName(
+        unreadable.select("slug", F.lit(None).cast("int").alias("number"), none.alias("title"), none.alias("content"), "file"))
+
+
+@query("S3_mixed_sections", """SELECT stem, CASE WHEN k = 4 THEN 0 ELSE page_id END::INT AS number, CASE k WHEN 0 THEN 'json' WHEN 1 THEN 'json' WHEN 4 THEN stem ELSE '' END AS title, CASE WHEN k <= 1 THEN url ELSE url || ' text' END AS content FROM (
+SELECT page_id, url, page_id % 5 AS k, CASE page_id % 5 WHEN 4 THEN 'extra ' || page_id ELSE page_id::VARCHAR END AS stem FROM pages) WHERE k <> 2""")
+def _(spark, d):
+    # by the key: JSON with a number, JSON without one, broken JSON beside a text, a text, a text without a number in its name
+    folder = sinks.scratch(spark, "mixed")
+    k, n = F.col("page_id") % 5, F.col("page_id").cast("string")
+    stem = F.when(k == 4, F.concat(F.lit("extra "), n)).otherwise(n)
+    rows = table(spark, d, "pages").withColumn("title", F.lit("json")).withColumn("number", F.when(k == 0, F.col("page_id")))
+    good = F.to_json(F.struct("number", "title", F.col("url").alias("content")))
+    documents = rows.filter(k <= 2).select(F.concat(stem, F.lit(".json")).alias("name"), F.when(k == 2, '{"number": 7, "ti').otherwise(good).alias("value"))
+    plain = rows.filter((k >= 2) | (k == 1)).select(F.concat(stem, F.lit(".txt")).alias("name"), F.concat("url", F.lit(" text")).alias("value"))
+    _write_files(documents.unionByName(plain).withColumn("folder", F.lit(folder)))
+    return rd.mixed_sections(spark, folder)

@@ -12,7 +12,8 @@ from quire.functions.text import col, lines, strip
 
 
 def _file(part: str) -> Column:
-    return F.col(f"_metadata.{part}")
+    # Spark shows paths with blanks and other signs as %-references
+    return F.url_decode(F.replace(F.col(f"_metadata.{part}"), F.lit("+"), F.lit("%2B")))
 
 
 def _dir_name(levels_up: int) -> Column:
