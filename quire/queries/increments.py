@@ -117,7 +117,7 @@ def _(spark, d):
 @query("I6_first_arrivals", "SELECT DISTINCT 'u' || user_id AS work_id, event_id % 7 AS number FROM events")
 def _(spark, d):
     rows = stream(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("work_id"), (F.col("event_id") % 7).alias("number"))
-    out = inc.run_to_folder(inc.first_arrivals(rows, "ts", "3650 days"), scratch(spark, "arrivals"))
+    out = inc.run_to_folder(inc.first_arrivals(rows, "ts", "30 days"), scratch(spark, "arrivals"))
     return out.select("work_id", "number")
 
 
