@@ -7,8 +7,9 @@ difference. Sets with a Jaccard similarity of 0.8 differ by a quarter of the sma
 symmetric difference as well, and what remains is verified on the whole sets.
 
 Sets are named by a 64-bit hash of their shingles (a node); equal sets are one node, however many copies there are. Within a part's bucket
-all nodes are compared with one leader first. Only where that leaves a bucket in several components, the pairs between different components
-are compared too, so no link that could join two components is lost and no group is expanded into all its pairs.
+all nodes are compared with one leader first. Only where that leaves a bucket in several components, nodes are compared with the nearest node
+(by sketch) of each other component, and in the end with all nodes of the components that are still different: no link that could join two
+components is lost and no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Words, checked_broadcast, grams, in_one_text, map_pieces, mix, stored, words_of
+from quire.llm.common import Words, checked_broadcast, fresh, grams, in_one_text, map_pieces, mix, stored, words_of
 
 WORDS = 5
 #: Sets under SMALL are looked up by single shingles. Size bands grow by GROWTH from there.
@@ -29,6 +30,8 @@ SMALL, GROWTH, SEEDS = 64, 1.5, 8
 SENT = 2_000_000
 #: Nodes of a bucket compared in one place; larger buckets are cut into blocks and compared block by block.
 BLOCK = 4_096
+#: Pairs that a task remembers to have handed on.
+SEEN = 1_000_000
 
 
 @lru_cache(1)
@@ -261,11 +264,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                both = int((x[at] == y).sum())
-                keep.append(100 * both >= 80 * (len(x) + len(y) - both))
+            for a in range(0, batch.num_rows, 128):  # whole sets: few at a time as Python objects
+                part = batch.slice(a, 128)
+                for x, y in zip(part.column("a").to_pylist(), part.column("b").to_pylist()):
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                    both = int((x[at] == y).sum())
+                    keep.append(100 * both >= 80 * (len(x) + len(y) - both))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     one = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
@@ -297,11 +302,13 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-def rest(buckets: DataFrame, tried: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (u, v) of one bucket and different components that may be similar and were not compared with a leader.
+def rest(buckets: DataFrame, tried: DataFrame, comps: DataFrame, classes: DataFrame, nearest: bool) -> tuple[DataFrame, DataFrame]:
+    """Pairs (u, v) of one bucket and different components that may be similar and were not compared with a leader; and the buckets
+    that were looked at (all others lie in one component).
 
     ``buckets``: (sig, leader, node). Only buckets where a node is outside its leader's component are looked at; a bucket of over BLOCK nodes is cut
-    into blocks and every two blocks are compared in a task of their own.
+    into blocks and every two blocks are compared in a task of their own. ``nearest``: nodes outside a bucket's largest component with the nearest
+    node of every other one only.
     """
     of = comps.select(F.col("node").alias("c"), "comp")
     placed = lambda df, node, out: df.join(of.withColumnRenamed("comp", out), F.col(node) == F.col("c"), "left").withColumn(
@@ -309,14 +316,13 @@ def rest(buckets: DataFrame, tried: DataFrame, comps: DataFrame, classes: DataFr
     apart = placed(placed(tried, "u", "cu"), "v", "cv").filter("cu <> cv").select(F.col("u").alias("leader"), F.col("v").alias("node"))
     open_ = buckets.join(checked_broadcast(stored(apart), SENT // 2), ["leader", "node"], "left_semi").select("sig").distinct()
     inside = stored(buckets.join(checked_broadcast(stored(open_), SENT), "sig", "left_semi"))
-    nodes = inside.select("sig", "node").unionByName(inside.select("sig", F.col("leader").alias("node")).distinct())
+    nodes = inside.unionByName(inside.select("sig", "leader", F.col("leader").alias("node")).distinct())
     sizes = nodes.groupBy("sig").agg(F.count("*").alias("size")).filter("size > 2").select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     cut = nodes.join(sizes, "sig").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = placed(cut, "node", "comp").join(classes.select("node", "n", "sketch"), "node")
-    keyed = cut.select(
-        F.struct("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).alias("key"), "block", "node", "comp", "n", "sketch"
-    ).select(F.xxhash64("key").alias("salt"), "key.sig", "key.i", "key.j", "block", "node", "comp", "n", "sketch")
+    # the buckets of one leader meet block by block, so that a pair of many common buckets is handed on once
+    keyed = cut.select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sig", "block", "node", "comp", "n", "sketch")
 
     def compare(rows: list[tuple]) -> tuple[list[int], list[int]]:
         width = min(len(r[4]) for r in rows)
@@ -324,6 +330,21 @@ def rest(buckets: DataFrame, tried: DataFrame, comps: DataFrame, classes: DataFr
         bits = np.stack([fold(np.frombuffer(r[4], np.uint64), width // 8) for r in rows])
         across = block.min() != block.max()
         us, vs = [], []
+        if nearest:
+            names, inverse, counts = np.unique(comp, return_inverse=True, return_counts=True)
+            for i in np.flatnonzero(inverse != counts.argmax()).tolist():
+                ok = (comp != comp[i]) & (5 * np.minimum(n[i], n) >= 4 * np.maximum(n[i], n))
+                if across:
+                    ok &= block != block[i]
+                at = np.flatnonzero(ok)
+                far = np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64)
+                near = 9 * far <= n[i] + n[at]
+                at, far = at[near], far[near]
+                at = at[np.lexsort((node[at], far))]
+                at = at[np.unique(comp[at], return_index=True)[1]]
+                us += [int(node[i])] * len(at)
+                vs += node[at].tolist()
+            return us, vs
         for i in range(len(rows) - 1):
             ok = (comp[i + 1 :] != comp[i]) & (5 * np.minimum(n[i], n[i + 1 :]) >= 4 * np.maximum(n[i], n[i + 1 :]))
             if across:
@@ -335,25 +356,33 @@ def rest(buckets: DataFrame, tried: DataFrame, comps: DataFrame, classes: DataFr
         return us, vs
 
     def run(batches):
-        key, rows = None, []
+        key, rows, seen = None, [], set()
+
+        def fresh_pairs():
+            if len(seen) > SEEN:
+                seen.clear()  # pairs may then be handed on again
+            new = {(min(a, b), max(a, b)) for a, b in zip(*compare(rows))} - seen if len(rows) > 1 else set()
+            seen.update(new)
+            return sorted(new)
+
+        def out(pairs):
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["u", "v"])
+
         for batch in batches:
-            us: list[int] = []
-            vs: list[int] = []
-            columns = [batch.column(c).to_pylist() for c in ("sig", "i", "j", "block", "node", "comp", "n", "sketch")]
-            for sig, i, j, *row in zip(*columns):
-                if (sig, i, j) != key:
-                    if len(rows) > 1:
-                        u, v = compare(rows)
-                        us, vs = us + u, vs + v
-                    key, rows = (sig, i, j), []
+            pairs: list[tuple[int, int]] = []
+            columns = [batch.column(c).to_pylist() for c in ("leader", "i", "j", "sig", "block", "node", "comp", "n", "sketch")]
+            for leader, i, j, sig, *row in zip(*columns):
+                if (leader, i, j, sig) != key:
+                    pairs += fresh_pairs()
+                    if key is None or (leader, i, j) != key[:3]:
+                        seen.clear()
+                    key, rows = (leader, i, j, sig), []
                 rows.append(tuple(row))
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
-        if len(rows) > 1:
-            u, v = compare(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+            yield out(pairs)
+        yield out(fresh_pairs())
 
-    found = keyed.repartition("salt").sortWithinPartitions("salt", "sig", "i", "j").mapInArrow(run, "u long, v long")
-    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    spread = keyed.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "sig")
+    return spread.mapInArrow(run, "u long, v long").distinct(), inside
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -380,9 +409,12 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     links = linked(tried)
     comps = stored(components(links))
-    more = stored(rest(buckets, tried, comps, classes))
-    if more.take(1):
-        comps = stored(components(links.unionByName(linked(more))))
+    for nearest in (True, False):
+        more, buckets = rest(buckets, tried, comps, classes, nearest)
+        more = stored(more)
+        if more.take(1):
+            links = links.unionByName(linked(more))
+            comps = stored(components(links))
     of = comps.join(classes.select("node", "rep"), "node")
     least = of.groupBy("comp").agg(F.min("rep").alias("least"))
     group = stored(classes.select("node", "rep").join(comps, "node", "left").join(least, "comp", "left").select(
@@ -400,11 +432,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     ids to drop are few enough to be sent to the executors.
     """
     groups = stored(near_copies(docs, key, text))
-    drop = checked_broadcast(stored(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct()), SENT)
-    left = docs.join(drop, F.col(f"`{key}`").cast("long") == F.col("dropped_id"), "left_anti")
-    again = stored(groups.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again_id")))
+    gone, twice = fresh(docs, "gone", "twice")
+    drop = checked_broadcast(stored(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()), SENT)
+    left = docs.join(drop, F.col(f"`{key}`").cast("long") == F.col(gone), "left_anti")
+    again = stored(groups.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(twice)))
     if not again.take(1):
         return left
     again = checked_broadcast(again, SENT)
-    same: Column = F.col(f"`{key}`").cast("long") == F.col("again_id")
+    same: Column = F.col(f"`{key}`").cast("long") == F.col(twice)
     return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([key]))
