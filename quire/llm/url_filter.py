@@ -143,7 +143,9 @@ def judge(
     )
     seen = stored(rows.groupBy(F.col(h).alias("host"), F.col(s).alias("shape"), F.substring(F.col(p), 1, 64).alias("start")).count())
     hosts = fitting(seen.select("host").distinct(), table)
-    tokens = stored(host_tokens(seen.select("host").distinct(), word_counts(pages, html)))
+    # counted once: the segmentation needs the total and the counts of strings inside labels
+    counts = stored(word_counts(pages, html))
+    tokens = stored(host_tokens(seen.select("host").distinct(), counts))
 
     longest = max([len(b) for _, b, _ in rules] or [0])
     if longest > 64:
@@ -161,12 +163,12 @@ def judge(
         per_shape.select(F.explode(path_tokens(F.col("shape"))).alias("token"), "verdict", "n")
     )
     n = lambda v: F.coalesce(F.sum(F.when(F.col("verdict") == v, F.col("n"))), F.lit(0))
-    counts = stored(learnt.groupBy("token").agg(n("block").alias("block"), n("allow").alias("allow")))
-    sums = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("block"), F.lit(0)).alias("b"), F.coalesce(F.sum("allow"), F.lit(0)).alias("a")).first()
+    learnt = stored(learnt.groupBy("token").agg(n("block").alias("block"), n("allow").alias("allow")))
+    sums = learnt.agg(F.count("*").alias("v"), F.coalesce(F.sum("block"), F.lit(0)).alias("b"), F.coalesce(F.sum("allow"), F.lit(0)).alias("a")).first()
     urls = per_host.groupBy().agg(n("block").alias("b"), n("allow").alias("a")).first()
     prior = math.log((urls["b"] + smoothing) / (urls["a"] + smoothing))
     scale = math.log((sums["a"] + smoothing * (sums["v"] + 1)) / (sums["b"] + smoothing * (sums["v"] + 1)))
-    weights = counts.select("token", (F.log((F.col("block") + smoothing) / (F.col("allow") + smoothing)) + scale).alias("w"))
+    weights = learnt.select("token", (F.log((F.col("block") + smoothing) / (F.col("allow") + smoothing)) + scale).alias("w"))
 
     def scored(asked: DataFrame, key: str) -> DataFrame:
         return asked.join(weights, "token").groupBy(key).agg(F.sum("w").alias("w"))
