@@ -32,6 +32,8 @@ SENT = 2_000_000
 BLOCK = 4_096
 #: Pairs that a task remembers to have handed on.
 SEEN = 1_000_000
+#: Tasks that the buckets of one leader are dealt out to (per pair of blocks).
+DEALT = 8
 
 
 @lru_cache(1)
@@ -321,8 +323,8 @@ def rest(buckets: DataFrame, tried: DataFrame, comps: DataFrame, classes: DataFr
     cut = nodes.join(sizes, "sig").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = placed(cut, "node", "comp").join(classes.select("node", "n", "sketch"), "node")
-    # the buckets of one leader meet block by block, so that a pair of many common buckets is handed on once
-    keyed = cut.select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sig", "block", "node", "comp", "n", "sketch")
+    # the buckets of one leader meet block by block, dealt out to a few tasks, so that a pair of many common buckets is handed on a few times
+    keyed = cut.select("leader", F.pmod("sig", F.lit(DEALT)).alias("deal"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sig", "block", "node", "comp", "n", "sketch")
 
     def compare(rows: list[tuple]) -> tuple[list[int], list[int]]:
         width = min(len(r[4]) for r in rows)
@@ -370,18 +372,19 @@ def rest(buckets: DataFrame, tried: DataFrame, comps: DataFrame, classes: DataFr
 
         for batch in batches:
             pairs: list[tuple[int, int]] = []
-            columns = [batch.column(c).to_pylist() for c in ("leader", "i", "j", "sig", "block", "node", "comp", "n", "sketch")]
-            for leader, i, j, sig, *row in zip(*columns):
-                if (leader, i, j, sig) != key:
+            columns = [batch.column(c).to_pylist() for c in ("leader", "deal", "i", "j", "sig", "block", "node", "comp", "n", "sketch")]
+            for *task, sig, block, node, comp, n, sketch in zip(*columns):
+                if key != (task, sig):
                     pairs += fresh_pairs()
-                    if key is None or (leader, i, j) != key[:3]:
+                    if key is None or task != key[0]:
                         seen.clear()
-                    key, rows = (leader, i, j, sig), []
-                rows.append(tuple(row))
+                    key, rows = (task, sig), []
+                rows.append((block, node, comp, n, sketch))
             yield out(pairs)
         yield out(fresh_pairs())
 
-    spread = keyed.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "sig")
+    dealt = ["leader", "deal", "i", "j"]
+    spread = keyed.repartition(*dealt).sortWithinPartitions(*dealt, "sig")
     return spread.mapInArrow(run, "u long, v long").distinct(), inside
 
 
