@@ -13,6 +13,7 @@ averaged after each round.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,16 +22,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Words, mix, pieces, stored, words_of
+from quire.llm.common import LOWER, Words, mix, pieces, stored, words_of
 from quire.llm.labels import remainder
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: How the public vocabulary cuts a text before its merges (plain pattern).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space but the plain space.
+ODD = re.compile(r"[^\S ]")
 STEP = 16
 WINDOW = 2 * STEP
 #: One training window in so many is learnt from, in so many rounds.
-SAMPLED, ROUNDS, BATCH, RATE = 32, 3, 128, 0.01
+SAMPLED, ROUNDS, BATCH, RATE = 32, 3, 32, 0.01
+#: Windows that one task learns from: few large parts average better than many small ones.
+PER_TASK = 16_384
 DIM, HEAD, HIDDEN, CLASSES, BUCKETS = 16, 8, 32, 64, 256
 #: Rows of the bigram: the most frequent subwords, then the classes of the others. PRIOR: weight of the overall shares in a row.
 ROWS, PRIOR = BUCKETS - 1 + CLASSES, 4.0
@@ -64,17 +69,28 @@ class Subwords:
             _ENCODINGS[key] = cls(ranks)
         return _ENCODINGS[key]
 
-    def cut(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the subwords of all words, each with a space before it, and where each word's begin (and the last end)."""
-        text = "".join(" " + w for w in words)
-        # white space that is no ASCII could join with the space between two words
-        if len(text.split()) != len(words) or any(not w.isprintable() for w in words):
-            each = [np.array(self.encoding.encode_ordinary(" " + w), np.int64) for w in words]
-            return np.concatenate([np.zeros(0, np.int64), *each]), np.concatenate([[0], np.cumsum([len(e) for e in each])]).astype(np.int64)
+    def cut(self, text: str, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the subwords of all words and where each word's begin (and the last end). ``text``: the words, each with a space before it;
+        ``sizes``: their bytes, the space included."""
+        if ODD.search(text):
+            return self._cut_odd(text, sizes)
         ids = np.asarray(self.encoding.encode_to_numpy(text), np.int64)
         ends = np.cumsum(self.length[ids])
-        sizes = np.cumsum([len(w.encode()) + 1 for w in words])
-        return ids, np.concatenate([[0], np.searchsorted(ends, sizes) + 1]).astype(np.int64) if len(words) else np.zeros(1, np.int64)
+        return ids, np.concatenate([[0], np.searchsorted(ends, np.cumsum(sizes)) + 1]).astype(np.int64) if len(sizes) else np.zeros(1, np.int64)
+
+    def _cut_odd(self, text: str, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """White space that is no ASCII could join with the space between two words: such words are cut on their own."""
+        data, ends = text.encode(), np.cumsum(sizes)
+        words = [data[e - n : e].decode() for e, n in zip(ends.tolist(), sizes.tolist())]
+        odd = np.array([ODD.search(w) is not None for w in words])
+        plain = np.flatnonzero(~odd)
+        ids, begin = self.cut("".join(words[i] for i in plain), sizes[plain])
+        parts: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
+        for k, i in enumerate(plain.tolist()):
+            parts[i] = ids[begin[k] : begin[k + 1]]
+        for i in np.flatnonzero(odd).tolist():
+            parts[i] = np.array(self.encoding.encode_ordinary(words[i]), np.int64)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
 
 
 @dataclass
@@ -92,10 +108,16 @@ def distinct(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.unique(words.hash, return_index=True, return_inverse=True)
 
 
-def strings(words: Words, which: np.ndarray) -> list[str]:
-    data = words.data.tobytes()
-    lower = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-    return [data[a:b].translate(lower).decode("utf-8", "replace") for a, b in zip(words.start[which].tolist(), words.end[which].tolist())]
+def spelled(words: Words, which: np.ndarray) -> tuple[str, np.ndarray]:
+    """The words at ``which`` in lower case (A-Z), each with a space before it, and their bytes, the space included."""
+    sizes = words.end[which] - words.start[which] + 1
+    ends = np.cumsum(sizes)
+    out = np.full(int(ends[-1]) if len(ends) else 0, 0x20, np.uint8)
+    inside = np.ones(len(out), bool)
+    inside[ends - sizes] = False
+    source = np.repeat(words.start[which] - (ends - sizes) - 1, sizes) + np.arange(len(out))
+    out[inside] = LOWER[words.data[source[inside]]]
+    return out.tobytes().decode("utf-8", "replace"), sizes
 
 
 def stream_of(words: Words, inverse: np.ndarray, ids: np.ndarray, begin: np.ndarray, end: int) -> Stream:
@@ -251,21 +273,47 @@ class Model:
     row: np.ndarray
     behind: Behind
 
-    def log10(self, stream: Stream, n_docs: int, rows: int = 2_048) -> np.ndarray:
-        """log10 probability of each text of a stream."""
-        out = np.zeros(n_docs)
+    def log10(self, stream: Stream, n_docs: int, rows: int = 1_024) -> np.ndarray:
+        """log10 probability of each text of a stream: ``forward`` for scoring, with keys and values computed once per position."""
+        p, out = self.weights, np.zeros(n_docs)
         inputs, targets = stream.inputs.reshape(-1, STEP), stream.targets.reshape(-1, STEP)
+        far = np.where(_AHEAD, np.float32(-1e9), p["far"][np.maximum(_FAR, 0)])
+        first = np.where(_BEFORE, np.float32(-1e9), far)
+        qkv = np.concatenate([p["q"], p["k"], p["v"]], 1)
+        last, ones = np.zeros((1, STEP, 2 * HEAD), np.float32), np.ones(max(WINDOW, CLASSES), np.float32)
         for a in range(0, len(inputs), rows):
-            own = inputs[a : a + rows]
-            before = inputs[a - 1 : a + len(own) - 1] if a else np.concatenate([own[:1], own[:-1]])
-            f = forward(self.weights, self.emb, self.row, np.concatenate([before, own], 1), stream.begins[a : a + rows])
-            logits, t = f["logits"], targets[a : a + rows].ravel()
-            real = t >= 0
-            t = np.maximum(t, 0)
-            hit = logits[np.arange(len(t)), self.cls[t]]
+            own, begins = inputs[a : a + rows], stream.begins[a : a + rows]
+            n = len(own)
+            x = np.take(self.emb, own.ravel(), axis=0)
+            here = (x @ qkv).reshape(n, STEP, 3 * HEAD)
+            kv = here[:, :, HEAD:]
+            window = np.empty((n, WINDOW, 2 * HEAD), np.float32)
+            window[:, STEP:] = kv
+            window[1:, :STEP] = kv[:-1]
+            window[:1, :STEP] = last
+            last = kv[-1:].copy()
+            scores = np.matmul(here[:, :, :HEAD], window[:, :, :HEAD].transpose(0, 2, 1))
+            scores += far
+            scores[begins] += first - far
+            np.minimum(scores, 30, out=scores)
+            np.exp(scores, out=scores)
+            o = np.matmul(scores, window[:, :, HEAD:])
+            o /= scores @ ones[:WINDOW, None]
+            r = x @ p["x"]
+            r += o.reshape(-1, HEAD) @ p["o"]
+            r += p["b"]
+            np.maximum(r, 0, out=r)
+            logits = r @ p["w"]
+            row = self.row[own.ravel()]
+            logits += np.take(p["pair"], row, axis=0)
+            np.clip(logits, -30, 30, out=logits)
+            t = targets[a : a + rows].ravel()
+            real = np.flatnonzero(t >= 0)
+            t, row = t[real], row[real]
+            hit = logits[real, self.cls[t]]
             np.exp(logits, out=logits)
-            value = np.where(real, hit - np.log(logits.sum(1)) + self.behind.log(t, self.row[own.ravel()]), 0)
-            out += np.bincount(np.repeat(stream.owner[a : a + rows], STEP), value, n_docs)
+            value = hit - np.log((logits @ ones[:CLASSES])[real]) + self.behind.log(t, row)
+            out += np.bincount(np.repeat(stream.owner[a : a + rows], STEP)[real], value, n_docs)
         return out / math.log(10)
 
 
@@ -366,7 +414,7 @@ def gather(docs: DataFrame, ranks: bytes) -> DataFrame:
             for piece in pieces(batch, "text", 2 << 20):
                 words = words_of(piece.column("text"))
                 keys, where, inverse = distinct(words)
-                ids, begin = sub.cut(strings(words, where))
+                ids, begin = sub.cut(*spelled(words, where))
                 count = np.bincount(inverse, minlength=len(keys))
                 tokens += np.bincount(ids, np.repeat(count, np.diff(begin)), len(tokens)).astype(np.int64)
                 n_docs += piece.num_rows
@@ -479,7 +527,10 @@ def score(
     count = np.zeros(sub.end + 1)
     count[tokens.column("key").to_numpy()] = tokens.column("n").to_numpy()
     count[sub.end] = n_docs
-    windows = raw.filter("kind = 2").select("payload")
+    windows = raw.filter("kind = 2").select("payload", F.xxhash64("payload").alias("h"))
+    parts = max(1, windows.count() // PER_TASK)
+    # by a hash, so that every run learns from the same windows in the same order
+    windows = stored(windows.repartition(parts, "h").sortWithinPartitions("h").select("payload"))
     order = np.argsort(-count, kind="stable")
     bucket = np.full(len(count), BUCKETS - 1, np.int64)
     bucket[order[: BUCKETS - 1]] = np.arange(BUCKETS - 1)
@@ -509,7 +560,7 @@ def score(
             for piece in pieces(batch, "text", 2 << 20):
                 words = words_of(piece.column("text"))
                 keys, where, inverse = distinct(words)
-                ids, begin = sub.cut(strings(words, where))
+                ids, begin = sub.cut(*spelled(words, where))
                 n = piece.num_rows
                 value = model.log10(stream_of(words, inverse, ids, begin, sub.end), n)
                 c = np.zeros(len(keys))
