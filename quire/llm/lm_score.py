@@ -6,8 +6,8 @@ keep; the probability of a subword is that of its class, given the window, times
 of 32 subwords overlap by half: each scores its last 16, so every subword is scored once with 16 to 31 before it (fewer only at the
 start of a text).
 
-Word and subword counts, and the number of training windows (one in SAMPLED), grow with the corpus. Weights are trained where the windows lie and
-averaged after each round.
+Word and subword counts and the training windows grow with the corpus; every window is learnt from. Equal windows are merged and weigh as often
+as they occur; each task passes once over the windows dealt to it, and the weights of all tasks are averaged.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import LOWER, Words, mix, pieces, stored, words_of
+from quire.llm.common import LOWER, Words, pieces, stored, words_of
 from quire.llm.labels import remainder
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -32,10 +32,12 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 ODD = re.compile(r"[^\S ]")
 STEP = 16
 WINDOW = 2 * STEP
-#: One training window in so many is learnt from, in so many rounds.
-SAMPLED, ROUNDS, BATCH, RATE = 32, 3, 32, 0.01
+#: Windows of one step, and its rate at the start (a tenth at the end).
+BATCH, RATE = 128, 0.01
 #: Windows that one task learns from: few large parts average better than many small ones.
-PER_TASK = 16_384
+PER_TASK = 131_072
+#: A window that occurs more often is dealt out in several shares, so no step is one window's and no task has all its copies.
+SHARE = 32
 DIM, HEAD, HIDDEN, CLASSES, BUCKETS = 16, 8, 32, 64, 256
 #: Rows of the bigram: the most frequent subwords, then the classes of the others. PRIOR: weight of the overall shares in a row.
 ROWS, PRIOR = BUCKETS - 1 + CLASSES, 4.0
@@ -186,8 +188,11 @@ def forward(p: dict, emb: np.ndarray, row: np.ndarray, inputs: np.ndarray, begin
     return {"n": n, "x": x, "own": own, "q": q, "k": k, "v": v, "a": a, "att": att, "flat": flat, "r": r, "logits": logits}
 
 
-def gradients(p: dict, emb: np.ndarray, cls: np.ndarray, row: np.ndarray, inputs: np.ndarray, targets: np.ndarray, begins: np.ndarray) -> tuple[dict, float]:
-    """Gradients of the mean loss over the classes of the targets (-1: none), and the loss."""
+def gradients(
+    p: dict, emb: np.ndarray, cls: np.ndarray, row: np.ndarray, inputs: np.ndarray, targets: np.ndarray, begins: np.ndarray,
+    weight: np.ndarray | None = None,
+) -> tuple[dict, float]:
+    """Gradients of the mean loss over the classes of the targets (-1: none), and the loss. ``weight``: of each window, 1 if not given."""
     f = forward(p, emb, row, inputs, begins)
     t = targets.ravel()
     real = t >= 0
@@ -196,10 +201,10 @@ def gradients(p: dict, emb: np.ndarray, cls: np.ndarray, row: np.ndarray, inputs
     rows = np.flatnonzero(real)
     aim = cls[t[rows]]
     n = max(len(rows), 1)
-    loss = -np.log(s[rows, aim] + 1e-30).sum() / n
-    s[~real] = 0
+    each = ((real if weight is None else np.repeat(weight, STEP) * real) / n).astype(s.dtype)
+    loss = -(np.log(s[rows, aim] + 1e-30) * each[rows]).sum()
     s[rows, aim] -= 1
-    s /= n
+    s *= each[:, None]
     g = {"w": f["r"].T @ s, "pair": np.zeros(SHAPES["pair"], np.float32)}
     behind = row[inputs[:, STEP:].ravel()]
     order = np.argsort(behind, kind="stable")
@@ -219,18 +224,20 @@ def gradients(p: dict, emb: np.ndarray, cls: np.ndarray, row: np.ndarray, inputs
     return g, float(loss)
 
 
-def descend(p: dict, emb: np.ndarray, cls: np.ndarray, row: np.ndarray, windows: np.ndarray, rate: float = RATE) -> dict:
-    """One pass of Adam over windows (rows of 32 inputs, 16 targets, one flag)."""
+def descend(p: dict, emb: np.ndarray, cls: np.ndarray, row: np.ndarray, windows: np.ndarray, counts: np.ndarray, rate: float = RATE) -> dict:
+    """One pass of Adam over windows (rows of 32 inputs, 16 targets, one flag), each weighed by its count."""
     p = {k: v.copy() for k, v in p.items()}
     m = {k: np.zeros_like(v) for k, v in p.items()}
     s = {k: np.zeros_like(v) for k, v in p.items()}
+    weight = counts / counts.mean()
     for i, a in enumerate(range(0, len(windows), BATCH), 1):
         w = windows[a : a + BATCH]
-        g, _ = gradients(p, emb, cls, row, w[:, :WINDOW], w[:, WINDOW : WINDOW + STEP], w[:, -1] > 0)
+        g, _ = gradients(p, emb, cls, row, w[:, :WINDOW], w[:, WINDOW : WINDOW + STEP], w[:, -1] > 0, weight[a : a + BATCH])
+        now = rate * (1 - 0.9 * a / len(windows))
         for k in p:
             m[k] = 0.9 * m[k] + 0.1 * g[k]
             s[k] = 0.99 * s[k] + 0.01 * g[k] * g[k]
-            p[k] -= (rate * (m[k] / (1 - 0.9**i)) / (np.sqrt(s[k] / (1 - 0.99**i)) + 1e-8)).astype(np.float32)
+            p[k] -= (now * (m[k] / (1 - 0.9**i)) / (np.sqrt(s[k] / (1 - 0.99**i)) + 1e-8)).astype(np.float32)
     return p
 
 
@@ -396,20 +403,18 @@ class Tally:
 
 
 def gather(docs: DataFrame, ranks: bytes) -> DataFrame:
-    """(kind, key, value, payload) of training texts: word counts (kind 0, by hash), subword counts (1), sampled windows (2), the number
-    of texts (3) and counts of neighbouring subwords (4)."""
+    """(kind, key, value) of training texts: word counts (kind 0, by hash), subword counts (1), the number of windows (2) and
+    of texts (3), and counts of neighbouring subwords (4)."""
 
-    def rows(kind, key, value, payload=None):
-        n = len(key)
-        return pa.RecordBatch.from_arrays([
-            pa.array(np.full(n, kind, np.int8)), pa.array(key.astype(np.int64)), pa.array(value.astype(np.int64)),
-            pa.array([None] * n if payload is None else payload, pa.binary()),
-        ], ["kind", "key", "value", "payload"])
+    def rows(kind, key, value):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(key), kind, np.int8)), pa.array(key.astype(np.int64)), pa.array(value.astype(np.int64))], ["kind", "key", "value"]
+        )
 
     def run(batches):
         sub = Subwords.of(ranks)
         tallies = {0: Tally(), 4: Tally()}
-        tokens, n_docs = np.zeros(sub.end + 1, np.int64), 0
+        tokens, n_docs, n_windows = np.zeros(sub.end + 1, np.int64), 0, 0
         for batch in batches:
             for piece in pieces(batch, "text", 2 << 20):
                 words = words_of(piece.column("text"))
@@ -425,29 +430,64 @@ def gather(docs: DataFrame, ranks: bytes) -> DataFrame:
                     full = tallies[kind].add(*found)
                     if full:
                         yield rows(kind, *full)
-                # steps by a hash of their text and number: the same ones however the texts are dealt out
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.hash, dtype=np.uint64)])
-                text = mix(total[words.first[1:]] - total[words.first[:-1]])
-                step = np.arange(len(stream.owner)) - np.searchsorted(stream.owner, stream.owner)
-                chosen = np.flatnonzero(mix(text[stream.owner] + step.astype(np.uint64)) % np.uint64(SAMPLED) == 0)
-                if len(chosen):
-                    inputs = stream.inputs.reshape(-1, STEP)
-                    block = np.concatenate([
-                        inputs[np.maximum(chosen - 1, 0)], inputs[chosen], stream.targets.reshape(-1, STEP)[chosen], stream.begins[chosen, None]
-                    ], 1).astype(np.int32)
-                    yield rows(2, chosen, chosen, [r.tobytes() for r in block])
+                n_windows += len(stream.owner)
         for kind, tally in tallies.items():
             yield rows(kind, *tally.merged())
         used = np.flatnonzero(tokens)
         yield rows(1, used, tokens[used])
+        yield rows(2, np.zeros(1), np.array([n_windows]))
         yield rows(3, np.zeros(1), np.array([n_docs]))
 
-    return docs.select("text").mapInArrow(run, "kind tinyint, key long, value long, payload binary")
+    return docs.select("text").mapInArrow(run, "kind tinyint, key long, value long")
 
 
-def _windows(batch: pa.RecordBatch) -> np.ndarray:
-    data = b"".join(batch.column("payload").to_pylist())
-    return np.frombuffer(data, np.int32).reshape(-1, WINDOW + STEP + 1)
+def _id(end: int) -> type:
+    return np.uint16 if end < 1 << 16 else np.int32
+
+
+def packed(stream: Stream, end: int) -> pa.Array:
+    """Each step's window in short: its 32 inputs and its last target (the other targets are inputs). What lies before a text is the end, so
+    equal windows of different texts are equal."""
+    inputs, targets = stream.inputs.reshape(-1, STEP), stream.targets.reshape(-1, STEP)
+    n = len(inputs)
+    short = np.empty((n, WINDOW + 1), _id(end))
+    short[1:, :STEP] = inputs[:-1]
+    short[stream.begins, :STEP] = end
+    short[:, STEP:WINDOW] = inputs
+    short[:, WINDOW] = np.where(targets[:, -1] < 0, end, targets[:, -1])
+    offsets = np.arange(n + 1, dtype=np.int32) * (short.itemsize * (WINDOW + 1))
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(short)])
+
+
+def unpacked(payloads: list[bytes], end: int) -> np.ndarray:
+    """Rows of 32 inputs, 16 targets (-1 behind the end) and one flag: whether the text begins here."""
+    short = np.frombuffer(b"".join(payloads), _id(end)).reshape(-1, WINDOW + 1).astype(np.int32)
+    targets = short[:, STEP + 1 :].copy()
+    ends = np.cumsum(targets == end, 1)
+    targets[(ends > 1) | ((ends == 1) & (targets != end))] = -1
+    return np.concatenate([short[:, :WINDOW], targets, short[:, STEP : STEP + 1] == end], 1)
+
+
+def dealt(docs: DataFrame, ranks: bytes, parts: int) -> DataFrame:
+    """(payload, n): every training window once per share of at most SHARE occurrences, dealt out and ordered by a hash of window and share, so
+    that every run learns from the same windows in the same order and shares of one window meet by chance only. The texts are cut a second
+    time, which is less work than keeping the windows."""
+
+    def run(batches):
+        sub = Subwords.of(ranks)
+        for batch in batches:
+            for piece in pieces(batch, "text", 2 << 20):
+                words = words_of(piece.column("text"))
+                _, where, inverse = distinct(words)
+                ids, begin = sub.cut(*spelled(words, where))
+                yield pa.RecordBatch.from_arrays([packed(stream_of(words, inverse, ids, begin, sub.end), sub.end)], ["payload"])
+
+    merged = docs.select("text").mapInArrow(run, "payload binary").groupBy("payload").agg(F.count("*").alias("n"))
+    shares = F.ceil(F.col("n") / SHARE)
+    rows = merged.select("payload", "n", shares.alias("k"), F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("i"))
+    each = F.floor(F.col("n") / F.col("k")) + F.when(F.col("i") < F.col("n") % F.col("k"), 1).otherwise(0)
+    rows = rows.select("payload", each.cast("int").alias("n"), F.xxhash64("payload", "i").alias("h"))
+    return rows.repartition(parts, "h").sortWithinPartitions("h").select("payload", "n")
 
 
 def neighbours(pairs: DataFrame, rows: np.ndarray, n_rows: int, sides: int = 2) -> list[np.ndarray]:
@@ -476,34 +516,27 @@ def bigram(pairs: np.ndarray, cls: np.ndarray) -> np.ndarray:
     return np.log((total.T + 4 * share) / (total.sum(0)[:, None] + 4))
 
 
-def trained(windows: DataFrame, weights: dict, emb: np.ndarray, cls: np.ndarray, row: np.ndarray) -> dict:
-    """Rounds of local descent; the weights of all tasks are averaged in two steps, 64 rows reach the driver."""
-    spark = windows.sparkSession
-    for turn in range(ROUNDS):
-        sent = spark.sparkContext.broadcast((weights, emb, cls, row))
-
-        def run(batches, sent=sent, turn=turn):
-            start, emb, cls, row = sent.value
-            p, n = start, 0
-            for batch in batches:
-                w = _windows(batch)
-                if len(w):
-                    p = descend(p, emb, cls, row, w, RATE / (1 + turn))
-                    n += len(w)
-            if n:
-                task = TaskContext.get().partitionId() % 64
-                yield pa.RecordBatch.from_arrays([pa.array([task]), pa.array([float(n)]), pa.array([pack(p)], pa.binary())], ["task", "n", "p"])
-
-        def average(table: pa.Table) -> pa.Table:
-            n = table.column("n").to_numpy()
-            mean = sum(np.frombuffer(b, np.float32) * (m / n.sum()) for b, m in zip(table.column("p").to_pylist(), n))
-            return pa.table({"n": [float(n.sum())], "p": [mean.astype(np.float32).tobytes()]})
-
-        got = windows.mapInArrow(run, "task long, n double, p binary").groupBy("task").applyInArrow(average, "n double, p binary").collect()
-        total = sum(r["n"] for r in got)
-        if total:
-            weights = unpack(sum(np.frombuffer(r["p"], np.float32) * (r["n"] / total) for r in got).astype(np.float32).tobytes())
-    return weights
+def trained(windows: DataFrame, weights: dict, emb: np.ndarray, cls: np.ndarray, row: np.ndarray, end: int) -> dict:
+    """One pass over all windows; the weights of all tasks are averaged in two steps, 64 rows reach the driver."""
+    sent = windows.sparkSession.sparkContext.broadcast((weights, emb, cls, row))
+
+    def run(batches):
+        start, emb, cls, row = sent.value
+        parts = [(unpacked(b.column("payload").to_pylist(), end), b.column("n").to_numpy()) for b in batches if b.num_rows]
+        if parts:
+            counts = np.concatenate([n for _, n in parts]).astype(float)
+            p = descend(start, emb, cls, row, np.concatenate([w for w, _ in parts]), counts)
+            task = TaskContext.get().partitionId() % 64
+            yield pa.RecordBatch.from_arrays([pa.array([task]), pa.array([counts.sum()]), pa.array([pack(p)], pa.binary())], ["task", "n", "p"])
+
+    def average(table: pa.Table) -> pa.Table:
+        n = table.column("n").to_numpy()
+        mean = sum(np.frombuffer(b, np.float32) * (m / n.sum()) for b, m in zip(table.column("p").to_pylist(), n))
+        return pa.table({"n": [float(n.sum())], "p": [mean.astype(np.float32).tobytes()]})
+
+    got = windows.mapInArrow(run, "task long, n double, p binary").groupBy("task").applyInArrow(average, "n double, p binary").collect()
+    total = sum(r["n"] for r in got)
+    return unpack(sum(np.frombuffer(r["p"], np.float32) * (r["n"] / total) for r in got).astype(np.float32).tobytes()) if total else weights
 
 
 def score(
@@ -522,15 +555,11 @@ def score(
     raw = stored(gather(rows.filter(~F.col("held_out")), ranks))
     words = stored(raw.filter("kind = 0").groupBy(F.col("key").alias("word")).agg(F.sum("value").alias("c")))
     sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n_docs = raw.filter("kind = 3").agg(F.coalesce(F.sum("value"), F.lit(0)).alias("n")).first()["n"]
+    n_windows, n_docs = (raw.filter(F.col("kind") == k).agg(F.coalesce(F.sum("value"), F.lit(0)).alias("n")).first()["n"] for k in (2, 3))
     tokens = raw.filter("kind = 1").groupBy("key").agg(F.sum("value").alias("n")).toArrow()
     count = np.zeros(sub.end + 1)
     count[tokens.column("key").to_numpy()] = tokens.column("n").to_numpy()
     count[sub.end] = n_docs
-    windows = raw.filter("kind = 2").select("payload", F.xxhash64("payload").alias("h"))
-    parts = max(1, windows.count() // PER_TASK)
-    # by a hash, so that every run learns from the same windows in the same order
-    windows = stored(windows.repartition(parts, "h").sortWithinPartitions("h").select("payload"))
     order = np.argsort(-count, kind="stable")
     bucket = np.full(len(count), BUCKETS - 1, np.int64)
     bucket[order[: BUCKETS - 1]] = np.arange(BUCKETS - 1)
@@ -538,7 +567,8 @@ def score(
     emb, cls = classes(count, sub.begins, *neighbours(pairs, bucket, BUCKETS))
     row = np.where(bucket < BUCKETS - 1, bucket, BUCKETS - 1 + cls)
     (pairs,) = neighbours(pairs, row, ROWS, 1)
-    weights = trained(windows, start_weights(bigram(pairs, cls)), emb, cls, row)
+    windows = dealt(rows.filter(~F.col("held_out")), ranks, max(1, n_windows // PER_TASK))
+    weights = trained(windows, start_weights(bigram(pairs, cls)), emb, cls, row, sub.end)
     model = Model(weights, emb, cls, row, Behind(count, cls, pairs))
 
     train_tokens, kinds = sums["n"] + n_docs, sums["v"] + (1 if n_docs else 0)

@@ -127,6 +127,36 @@ def test_base_equals_brute_force(spark, frequent, monkeypatch):
     assert set(CLASHES.split())
 
 
+def test_windows_of_all_texts_are_learnt_from(spark, sub):
+    import pyarrow as pa
+
+    texts = [f"{i} some words of text {i} and more of them " * 9 for i in range(30)] + ["the same text again and again " * 9] * 100 + ["", None]
+    words = words_of(pa.array(texts))
+    keys, where, inverse = lm.distinct(words)
+    ids, begin = sub.cut(*lm.spelled(words, where))
+    s = lm.stream_of(words, inverse, ids, begin, sub.end)
+    inputs, targets = s.inputs.reshape(-1, lm.STEP), s.targets.reshape(-1, lm.STEP)
+    want = collections.Counter(
+        (*([sub.end] * lm.STEP if s.begins[i] else inputs[i - 1]), *inputs[i], *targets[i], int(s.begins[i])) for i in range(len(inputs))
+    )
+    with open(lm.TOKENIZER, "rb") as f:
+        shares = lm.dealt(documents(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)]), f.read(), 3).collect()
+    got = collections.Counter()
+    for r in shares:
+        got[tuple(lm.unpacked([bytes(r["payload"])], sub.end)[0].tolist())] += r["n"]
+    assert got == want and max(r["n"] for r in shares) <= lm.SHARE < max(want.values())
+    assert len(shares) == sum(-(-n // lm.SHARE) for n in want.values())
+
+
+def test_counts_weigh_like_copies():
+    p, emb, cls, row, inputs, targets, begins = small()
+    twice = [0, 0, 1, 2]
+    g, loss = lm.gradients(p, emb, cls, row, inputs[twice], targets[twice], begins[twice])
+    h, merged = lm.gradients(p, emb, cls, row, inputs, targets, begins, np.array([2.0, 1, 1]))
+    share = (targets >= 0).sum() / (targets[twice] >= 0).sum()
+    assert np.isclose(loss, merged * share) and all(np.allclose(g[k], h[k] * share, atol=1e-6) for k in g)
+
+
 def test_empty_table(spark):
     assert lm.score(documents(spark, [])).count() == 0
 
