@@ -2,7 +2,8 @@
 
 A surrogate is made from a keyed hash of the entity's normal form, so all its mentions agree. Surrogates are checked against one
 another and against the real entities; those that clash are made anew from the next round of the hash, so different
-entities stay different. Only DataFrame functions run.
+entities stay different. The names of a person with a title are replaced wherever they stand in the same text, with the surrogates
+of the titled mention. Only DataFrame functions run.
 """
 
 from __future__ import annotations
@@ -17,20 +18,27 @@ _LEFT, _RIGHT = "(?<![\\p{L}\\p{N}])", "(?![\\p{L}\\p{N}])"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 MALE = "Mr|Herr|Monsieur|Señor|Sr|Don|г-н|господин"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Doña|г-жа|госпожа"
-_NAME = "\\p{Lu}[\\p{L}'’-]+"
+# an apostrophe or hyphen belongs to a name if two letters follow (not in a genitive)
+_NAME = "\\p{Lu}(?:\\p{L}|['’-](?=\\p{L}{2}))+"
 KINDS = {
     "email": "(?<![\\p{L}\\p{N}._%+-])[\\p{L}\\p{N}._%+-]++@(?:[\\p{L}\\p{N}-]+\\.)+\\p{L}{2,}",
     "secret": f"{_LEFT}(?:[0-9a-f]{{32,128}}|[0-9A-F]{{32,128}}|AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|sk-[A-Za-z0-9]{{20,}}){_RIGHT}",
     "ip": f"(?<![\\p{{L}}\\p{{N}}.]){_OCTET}(?:\\.{_OCTET}){{3}}(?!\\.?[\\p{{L}}\\p{{N}}])",
     "phone": f"{_LEFT}\\+[0-9]{{1,3}}[ .-]?(?:\\([0-9]{{2,4}}\\)|[0-9]{{2,4}})[ .-]?[0-9]{{3,4}}[ .-]?[0-9]{{3,4}}{_RIGHT}"
+    # groups of two digits at the end, abroad and at home; an area code and a number in one piece
+    f"|{_LEFT}\\+[0-9]{{1,3}}[ .-]?(?:\\(0\\) ?)?[0-9]{{1,3}}(?:[ .-]?[0-9]{{2}}){{3,4}}{_RIGHT}"
+    f"|{_LEFT}(?:\\+7|8)[ -]?(?:\\([0-9]{{3}}\\)|[0-9]{{3}})[ -]?[0-9]{{3}}(?:[ -][0-9]{{2}}){{2}}{_RIGHT}"
+    f"|{_LEFT}[6-9][0-9]{{2}}(?: [0-9]{{2}}){{3}}{_RIGHT}(?! [0-9]{{2}}{_RIGHT})|{_LEFT}0[1-9](?:[ .-][0-9]{{2}}){{4}}{_RIGHT}"
+    f"|{_LEFT}\\+[0-9]{{1,3}}[ .-]?(?:\\(0\\) ?)?[0-9]{{2,4}}[ .-]?[0-9]{{5,8}}{_RIGHT}|{_LEFT}0[1-9][0-9]{{1,3}}[ /-][0-9]{{5,8}}{_RIGHT}"
     f"|{_LEFT}\\([0-9]{{3}}\\) ?[0-9]{{3}}[ .-][0-9]{{4}}{_RIGHT}|{_LEFT}[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}}{_RIGHT}",
     "card": f"{_LEFT}(?:[0-9]{{13,19}}|[0-9]{{4}}(?: [0-9]{{4}}){{3}}|[0-9]{{4}}(?:-[0-9]{{4}}){{3}}){_RIGHT}",
     "ssn": f"{_LEFT}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_RIGHT}",
-    "person": f"{_LEFT}(?:{MALE}|{FEMALE})\\.? {_NAME}(?: {_NAME})?",
+    "person": f"{_LEFT}(?:{MALE}|{FEMALE})\\.? {_NAME}(?: {_NAME})*",
 }
 PATTERN = "|".join(KINDS.values())
 #: A text without any of these holds no entity; this is much quicker to test.
-HINT = f"[0-9@]|{_LEFT}(?:{MALE}|{FEMALE})\\.? "
+TITLED = f"{_LEFT}(?:{MALE}|{FEMALE})\\.? "
+HINT = f"[0-9@]|{TITLED}"
 # Syllables and endings of surrogate names, by script and gender (plain values).
 SYLLABLES = {
     "latin": "ba be bo da do fe ga ka ko la le lo ma mi mo na ne ni no ra re ri ro sa se si ta te ti to va vi".split(),
@@ -54,9 +62,9 @@ def _unit(kind: Column, raw: Column, norm: Column) -> Column:
     return F.struct(kind.alias("kind"), raw.alias("raw"), norm.alias("norm"))
 
 
-def _units(mention: Column) -> Column:
-    """What a mention consists of: one unit, or for a person the title (no kind) and the names, so that a surname alone and after a
-    given name is replaced alike."""
+def _units(mention: Column, names: Column | None = None) -> Column:
+    """What a mention consists of: one unit, or for a person the title (no kind) and the names, so that a surname alone and after given
+    names is replaced alike. A mention of no kind is one of ``names``."""
     none = F.lit(None).cast("string")
 
     def person(words: Column) -> Column:
@@ -67,8 +75,8 @@ def _units(mention: Column) -> Column:
         last = F.element_at(words, -1)
         head = F.array(_unit(none, words[0], none))
         tail = F.array(_unit(surname, last, F.lower(last)))
-        middle = F.array(_unit(given, F.get(words, F.lit(1)), F.lower(F.get(words, F.lit(1)))))
-        return F.when(F.size(words) > 2, F.concat(head, middle, tail)).otherwise(F.concat(head, tail))
+        middle = F.transform(F.slice(words, F.lit(2), F.size(words) - 2), lambda w: _unit(given, w, F.lower(w)))
+        return F.concat(head, middle, tail)
 
     def one(kind: Column) -> Column:
         norm = (
@@ -76,11 +84,31 @@ def _units(mention: Column) -> Column:
             .when(kind.isin("phone", "card", "ssn"), F.regexp_replace(mention, "[^0-9]", ""))
             .otherwise(mention)
         )
-        return F.when(kind == "person", let(F.split(mention, " "), person)).otherwise(F.array(_unit(kind, mention, norm)))
+        out = F.when(kind == "person", let(F.split(mention, " "), person))
+        if names is not None:
+            again = F.get(F.filter(names, lambda n: (n["raw"] == mention) | (F.upper(n["raw"]) == mention)), F.lit(0))
+            out = out.when(kind.isNull(), F.array(_unit(again["kind"], mention, again["norm"])))
+        return out.otherwise(F.array(_unit(kind, mention, norm)))
 
     return let(_kind(mention), one)
 
 
+def _names(value: Column) -> Column:
+    """The names of the persons with a title in a text, as units."""
+    titled = F.flatten(F.transform(F.regexp_extract_all(value, F.lit(KINDS["person"]), F.lit(0)), lambda m: _units(m)))
+    found = F.array_distinct(F.filter(titled, lambda u: u["kind"].isNotNull()))
+    return F.when(value.rlike(TITLED), found).otherwise(F.filter(titled, lambda u: F.lit(False)))
+
+
+def _pattern(names: Column) -> Column:
+    """What is found in a text with these names: they are found again, as written or in capitals."""
+    raw = F.array_distinct(F.flatten(F.transform(names, lambda n: F.array(n["raw"], F.upper(n["raw"])))))
+    # longer names first, as one may begin another
+    raw = F.transform(F.sort_array(F.transform(raw, lambda r: F.struct(F.length(r), r.alias("r"))), asc=False), lambda x: x["r"])
+    again = F.concat(F.lit(f"{PATTERN}|{_LEFT}(?:"), F.array_join(raw, "|"), F.lit(f"){_RIGHT}"))
+    return F.when(F.size(names) > 0, again).otherwise(F.lit(PATTERN))
+
+
 def luhn(digits: Column) -> Column:
     """The checksum of a card number, 0 if it is valid."""
     values = F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(
@@ -204,7 +232,7 @@ def replace(docs: DataFrame, key: str, text: str = "text", out: str = "entities"
     clean = docs.filter(~has).select(*[F.col(f"`{c}`") for c in rest], F.array().cast(kind).alias(out))
     found = docs.filter(has)
     print_ = F.md5(value)
-    mentions = F.transform(F.regexp_extract_all(value, F.lit(PATTERN), F.lit(0)), _units)
+    mentions = let(_names(value), lambda names: F.transform(F.regexp_extract_all(value, _pattern(names), F.lit(0)), lambda m: _units(m, names)))
     kept = stored(found.select(print_.alias("print"), mentions.alias("mentions")).groupBy("print").agg(F.any_value("mentions").alias("mentions")))
     flat = kept.select("print", F.posexplode("mentions").alias("at", "units")).select(
         "print", "at", F.posexplode("units").alias("part", "unit")
@@ -218,7 +246,7 @@ def replace(docs: DataFrame, key: str, text: str = "text", out: str = "entities"
     )
     p, r, g = fresh(docs, "print", "pieces", "gaps")
     pieces = shown.groupBy(F.col("print").alias(p)).agg(F.sort_array(F.collect_list("piece")).alias(r))
-    joined = found.withColumn(p, print_).join(pieces, p).withColumn(g, F.split(value, PATTERN, -1))
+    joined = found.withColumn(p, print_).join(pieces, p).withColumn(g, let(_names(value), lambda names: F.split(value, _pattern(names), -1)))
     gaps = F.col(g)
     new = F.concat(
         F.array_join(F.transform(F.col(r), lambda x: F.concat(F.when(x["part"] == 0, F.get(gaps, x["at"])).otherwise(" "), x["shown"])), ""),

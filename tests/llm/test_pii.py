@@ -39,6 +39,25 @@ def test_people_keep_gender_script_and_identity(spark):
     assert re.search(r"Frau (\w+na) ", out[2][0])
 
 
+def test_names_come_again_and_phones_in_pairs(spark):
+    out = run(spark, [
+        "Herr Peter Schmidt kam. Schmidt ging, PETER blieb; Schmidthaus.", "Frau Anna Maria Meier und Maria Meier", "Mr. Smith's car. Smith went.",
+        "Schmidt kam.", "+33 6 12 34 56 78, +34 612 34 56 78, 01 23 45 67 89, +49 30 1234567, 612 34 56 78, +7 495 123-45-67", "г-н Пётр Иванов. Иванов",
+        "01 02 03 and 2020-01-02 10:30, 600 34 56",
+    ])
+    given, last, again, upper = re.fullmatch(r"Herr (\w+) (\w+) kam\. (\w+) ging, (\w+) blieb; Schmidthaus\.", out[0][0]).groups()
+    assert last == again != "Schmidt" and upper == given.upper() != "PETER"
+    names = re.fullmatch(r"Frau (\w+) (\w+) (\w+) und (\w+) (\w+)", out[1][0]).groups()
+    assert names[1:3] == names[3:] and not {"Anna", "Maria", "Meier"} & set(names)
+    first, second = re.fullmatch(r"Mr\. (\w+)'s car\. (\w+) went\.", out[2][0]).groups()
+    assert first == second != "Smith"
+    assert out[3] == ("Schmidt kam.", [])
+    assert out[4][1] == ["phone"] * 6 and re.sub(r"\d", "0", out[4][0]) == "+00 0 00 00 00 00, +00 000 00 00 00, 00 00 00 00 00, +00 00 0000000, 000 00 00 00, +0 000 000-00-00"
+    assert not [n for n in ("12 34 56 78", "23 45 67 89", "1234567", "123-45-67") if n in out[4][0]]
+    assert len(set(re.findall("[И-Я]?\\w+ов\\b", out[5][0]))) == 1 and "Иванов" not in out[5][0]
+    assert out[6] == ("01 02 03 and 2020-01-02 10:30, 600 34 56", [])
+
+
 def test_distinct_entities_stay_distinct(spark):
     # two digits each: the surrogates of one round must clash
     mails = [f"{i:02d}@x.org" for i in range(100)]
