@@ -15,15 +15,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import ALNUM, Words, grams, map_pieces, mix, words_of
+from quire.llm.common import ALNUM, Words, checked_broadcast, grams, map_pieces, mix, stored, words_of
 from quire.llm.labels import labelled, logistic, remainder, sample
 
 #: Words of reporting, and of direct address (plain values).
 REPORTING = "said says wrote writes quote quoted quotes called word words term sagte schrieb zitat wort dit écrit mot dijo palabra".split()
 ADDRESS = "you your yours yourself du dich dir dein deine ihr euch tu te toi ton vous votre tú ti usted eres".split()
 WINDOW = 5
-#: At most so many labelled documents are learnt from, and so many terms kept.
-SAMPLE, TERMS = 60_000, 1_000
+#: At most so many labelled documents are learnt from.
+SAMPLE = 60_000
+#: A term is held by so many families of toxic texts at least. Its share of toxic families among those that hold it (both labels weighed
+#: alike) is RATE at least, and the lower end of the share's 95 % interval (Wilson) is SURE at least.
+LEAST, RATE, SURE, Z = 5, 0.9, 0.55, 1.96
 FEATURES = 6
 #: A task remembers the outcome of the walk for so many words.
 MET = 200_000
@@ -60,9 +63,13 @@ class Trie:
         return best[1] if best else None
 
 
+#: Terms of so many letters are found with one edit; shorter ones only as they are, since most of their neighbours are other words.
+EDITED = 5
+
+
 def edits(length: int) -> int:
-    """Edits allowed for a word of so many letters."""
-    return 0 if length < 5 else 1
+    """Edits allowed for a written word of so many letters: a term may have lost one."""
+    return 0 if length < EDITED - 1 else 1
 
 
 def text_of(words: Words, i: int) -> str:
@@ -97,7 +104,7 @@ class Lexicon:
     unseen: float = 0.0
 
     def __post_init__(self) -> None:
-        self.trie = Trie(sorted(self.weights))
+        self.trie = Trie(sorted(t for t in self.weights if len(t) >= EDITED))
         known = {**self.weights, **self.seen}
         names = sorted(known)
         hashes = hash_of(names)
@@ -108,7 +115,7 @@ class Lexicon:
         # bytes that a word must begin and end with
         wanted: dict[tuple[int, int, int], set[tuple[bytes, bytes]]] = {}
         for term in self.weights:
-            if edits(len(term)):
+            if len(term) >= EDITED:
                 x, y = len(term) // 3, len(term) - len(term) // 3
                 parts = [(term[:y], ""), ("", term[x:]), (term[:x], term[y:])]
                 for head, tail in ((h.encode(), t.encode()) for h, t in parts):
@@ -210,11 +217,11 @@ def families(words: Words) -> np.ndarray:
     return out
 
 
-def learn_lexicon(rows: DataFrame, terms: int = TERMS) -> Lexicon:
-    """Terms from (text, label): words that families of toxic texts hold and clean ones hardly do.
+def learn_lexicon(rows: DataFrame) -> Lexicon:
+    """Terms from (text, label): words that families of toxic texts hold and clean ones hardly do, as many as are certain. The rows are a bounded
+    sample and a term takes LEAST of their families, which bounds the terms.
 
-    First the words of toxic texts are counted, then those that are frequent enough in clean texts; so the large class is counted for a
-    few thousand words at most. Words near a term are counted in a third pass: those that clean texts hold too are no misspellings.
+    First the words of toxic texts are counted, then those that LEAST families hold in clean texts. Words near a term are counted in a third pass: those that clean texts hold too are no misspellings.
     """
     prints = map_pieces(rows, lambda b: pa.RecordBatch.from_arrays(
         [b.column("text"), b.column("label"), pa.array(families(words_of(b.column("text"), ALNUM)).view(np.int64))], ["text", "label", "family"]
@@ -226,27 +233,22 @@ def learn_lexicon(rows: DataFrame, terms: int = TERMS) -> Lexicon:
     toxic, clean = size.get(1, 0), size.get(0, 0)
     if not toxic or not clean:
         return Lexicon({})
-    least = max(5, math.ceil(0.006 * toxic))
-    one = held.filter("label = 1").select("family", F.explode("words").alias("word")).distinct().groupBy("word").count()
-    # a text has finitely many words, so few words can be this frequent among toxic texts
-    frequent = {r["word"]: r["count"] for r in one.filter((F.col("count") >= least) & (F.length("word").between(3, 40))).collect()}
-
-    def clean_counts(wanted: list[str]) -> dict[str, int]:
-        if not wanted:
-            return {}
-        table = held.sparkSession.createDataFrame([(w,) for w in wanted], "word string")
-        got = held.filter("label = 0").select("family", F.explode("words").alias("word")).join(F.broadcast(table), "word")
-        return {r["word"]: r["n"] for r in got.groupBy("word").agg(F.approx_count_distinct("family", 0.02).alias("n")).collect()}
-
-    other = clean_counts(sorted(frequent))
+    each = held.filter("label = 1").select("family", F.explode("words").alias("word")).distinct().groupBy("word").agg(F.count("*").alias("t"))
+    wanted = stored(each.filter((F.col("t") >= LEAST) & F.length("word").between(3, 40)))
+    other = held.filter("label = 0").select("family", F.explode("words").alias("word")).join(checked_broadcast(wanted.select("word")), "word")
+    other = other.groupBy("word").agg(F.approx_count_distinct("family", 0.02).alias("c"))
+    both = wanted.join(other, "word", "left").select("word", "t", F.coalesce("c", F.lit(0)).alias("c"))
+    # the families that hold a word, as if there were as many clean ones as toxic ones
+    n = F.col("t") + F.col("c") * F.lit(toxic / clean)
+    rate = F.col("t") / n
+    sure = (rate + Z * Z / (2 * n) - Z * F.sqrt(rate * (1 - rate) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
+    found = both.filter((rate >= RATE) & (sure >= SURE)).collect()
 
     def odds(t: int, c: int) -> float:
         return math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
 
-    rate = {w: (n / toxic) / (n / toxic + other.get(w, 0) / clean + 1e-12) for w, n in frequent.items()}
-    chosen = sorted((w for w in frequent if rate[w] >= 0.9), key=lambda w: (-frequent[w] * rate[w], w))[:terms]
-    lexicon = Lexicon({w: odds(frequent[w], other.get(w, 0)) for w in chosen})
-    if not chosen:
+    lexicon = Lexicon({r["word"]: odds(r["t"], r["c"]) for r in sorted(found, key=lambda r: r["word"])})
+    if not found:
         return lexicon
 
     def variants(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -264,7 +266,7 @@ def learn_lexicon(rows: DataFrame, terms: int = TERMS) -> Lexicon:
     counts = map_pieces(rows, variants, "word string, label int").groupBy("word").agg(
         F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("t"), F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).alias("c")
     )
-    seen = {r["word"]: odds(r["t"], r["c"]) for r in counts.orderBy((F.col("t") + F.col("c")).desc(), "word").limit(20 * terms).collect()}
+    seen = {r["word"]: odds(r["t"], r["c"]) for r in counts.collect()}
     # a variant not met before is worth a fraction of an average term
     return Lexicon(lexicon.weights, {w: v for w, v in seen.items()}, 0.4 * float(np.mean(list(lexicon.weights.values()))))
 

@@ -39,6 +39,21 @@ def test_automaton_equals_edit_distance():
         assert (w in near) == (toxicity.edits(len(w)) > 0 and best[0] == 1), w
 
 
+def test_edits_go_by_the_length_of_the_term():
+    lexicon = toxicity.Lexicon({"idiot": 4.0, "scum": 4.0}, {}, 1.0)
+    x = toxicity.features(lexicon, words_of(pa.array(["an idot here", "an idiots here", "idt", "scam scums", "scum"]), ALNUM))
+    assert x[:, 0].tolist() == [1.0, 1.0, 0.0, 0.0, 4.0]
+
+
+def test_rare_terms_are_learnt_however_many_labels(spark):
+    # 1,500 families of toxic texts; six of them hold a term that the others do not
+    own = lambda i: " ".join(f"x{i}y{j}" for j in range(6))
+    toxic = [(f"{own(i)} {'rarely' if i < 6 else 'often'} even", 1) for i in range(1_500)]
+    clean = [(f"{own(i)} even {'once' if i % 2 else 'twice'}", 0) for i in range(1_500, 4_500)]
+    terms = toxicity.learn_lexicon(spark.createDataFrame(toxic + clean, "text string, label int")).weights
+    assert set(terms) == {"rarely", "often"}
+
+
 def test_context_lowers_quotation_and_raises_address():
     lexicon = toxicity.Lexicon({"idiot": 4.0, "moron": 4.0}, {}, 1.0)
     texts = ["he said \"idiot\" there", "the idiot there", "you idiot there", "you idiot moron there", "the idoit there", "the idiiot there", "", None, "nothing"]
