@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import sys
 import unicodedata
 
 import pandas as pd
@@ -13,17 +15,30 @@ def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
-def _not_composed() -> str:
-    """A class of the code points that a composed text cannot be sure to hold: marks, and all that change on their own or may
-    combine with what stands before them (jamo among them)."""
-    doubtful = [c for c in range(0x300, 0x110000) if not 0xD800 <= c <= 0xDFFF and _may_change(chr(c))]
-    runs: list[list[int]] = []
-    for c in doubtful:
-        if runs and c == runs[-1][1] + 1:
-            runs[-1][1] = c
+def _class(runs: list[list[int]], negated: bool = False) -> str:
+    parts = (rf"\x{{{a:x}}}" if a == b else rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs)
+    return "[" + "^" * negated + "".join(parts) + "]"
+
+
+#: A run of composed characters of this length or more is worth a part of its own in the first test.
+LONG = 128
+
+
+@functools.cache
+def _patterns() -> tuple[str, str]:
+    """Two classes. The second holds the code points that a composed text cannot be sure to hold: marks, and all that change on their own or
+    may combine with what stands before them (jamo among them). It has hundreds of parts, and a character outside is compared
+    with each. So the first, of few parts, finds the texts with anything outside the long runs of characters that are safe."""
+    doubtful: list[list[int]] = []
+    safe = [[0, 0x2FF]]
+    for c in range(0x300, sys.maxunicode + 1):
+        kind = doubtful if 0xD800 <= c <= 0xDFFF or _may_change(chr(c)) else safe
+        if kind[-1:] and kind[-1][1] == c - 1:
+            kind[-1][1] = c
         else:
-            runs.append([c, c])
-    return "[" + "".join(rf"\x{{{a:x}}}" if a == b else rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs) + "]"
+            kind.append([c, c])
+    doubtful = [[a, b] for a, b in doubtful if not 0xD800 <= a <= 0xDFFF]
+    return _class([r for r in safe if r[1] - r[0] >= LONG], negated=True), _class(doubtful)
 
 
 def _may_change(c: str) -> bool:
@@ -31,10 +46,8 @@ def _may_change(c: str) -> bool:
     return hangul or unicodedata.category(c)[0] == "M" or unicodedata.normalize("NFC", c) != c
 
 
-_DOUBTFUL = _not_composed()
-
-
 def nfc(df: DataFrame, column: str) -> DataFrame:
     """T4: NFC form of ``column``. Only rows with a code point that may not be composed leave the JVM."""
-    marked = F.coalesce(F.col(column).rlike(_DOUBTFUL), F.lit(False))
+    first, doubtful = _patterns()
+    marked = F.coalesce(F.col(column).rlike(first) & F.col(column).rlike(doubtful), F.lit(False))
     return df.filter(~marked).unionByName(df.filter(marked).withColumn(column, _nfc(column)))
