@@ -10,19 +10,91 @@ from pyspark.sql import Column, functions as F
 from quire.functions.text import SPACE, col, let, lines, strip, sub
 
 NOISE = ("script", "style", "iframe", "button", "ins")
-# the named references, from the standard table
-_NAMED = "map(" + ", ".join(f"'{name}', '{chr(cp)}'" for name, cp in name2codepoint.items() if name != "amp") + ")"
+# the named references, from the standard table: one node in the plan, folded to a literal
+_NAMED = " ".join(f"{name}={chr(cp)}" for name, cp in name2codepoint.items() if name != "amp")
 
 
 def without(html, tags=NOISE) -> Column:
-    """Comments and whole elements of the given tags removed."""
+    """Comments and whole elements of the given tags removed, with all that is nested in them."""
     html = sub(col(html), r"(?s)<!--.*?-->")
-    return sub(html, rf"(?is)<({'|'.join(tags)})\b[^>]*>.*?</\1\s*>")
+    plain = [t for t in tags if t in RAW]
+    if plain:
+        html = sub(html, rf"(?is)<({'|'.join(plain)})\b[^>]*>.*?</\1\s*>")
+    for tag in tags:
+        if tag not in RAW:
+            html = without_elements(html, tag)
+    return html
+
+
+#: Elements whose content is no markup: the first end tag closes them.
+RAW = ("script", "style", "iframe")
+
+
+def _parts(html: Column, tag: str) -> Column:
+    """A page cut before every start tag of ``tag`` and round every end tag."""
+    closed = sub(html, rf"(?i)</{tag}\s*>", f"</{tag}>")
+    return F.split(closed, rf"(?=<(?i:{tag})[\s/>])|(?=</{tag}>)|(?<=</{tag}>)")
+
+
+def _step(part: Column, tag: str) -> Column:
+    """What a part adds to the depth; a tag that closes itself adds nothing."""
+    opens = part.rlike(rf"(?is)\A<{tag}[\s/>]") & ~part.rlike(rf"(?is)\A<{tag}(?:\s[^>]*)?/>")
+    return F.when(part == f"</{tag}>", F.lit(-1)).when(opens, F.lit(1)).otherwise(F.lit(0))
+
+
+def without_elements(html, tag: str, marked: str = "") -> Column:
+    """Whole elements of ``tag`` removed whose start tag matches ``marked``, however deep elements of that tag are nested in them. One that
+    is never closed goes to the end of the page."""
+    start = rf"(?is)\A<{tag}(?=[\s/>])[^>]*{marked}[^>]*>"
+
+    def cut(parts: Column) -> Column:
+        marks = F.transform(parts, lambda p, i: F.struct(i.alias("i"), _step(p, tag).alias("step"), p.rlike(start).alias("hit")))
+        # only the runs of parts that stay are collected; ``begin`` is where the open one starts
+        empty = F.array().cast("array<struct<a:int,n:int>>")
+        first = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("begin"), empty.alias("runs"))
+
+        def walk(at: Column, m: Column) -> Column:
+            outside, depth = at["depth"] == 0, at["depth"] + m["step"]
+            enters = outside & m["hit"] & (m["step"] == 1)
+            run = F.struct((at["begin"] + 1).alias("a"), (m["i"] - at["begin"]).alias("n"))
+            return F.struct(
+                F.when(outside, F.when(enters, F.lit(1)).otherwise(F.lit(0))).otherwise(depth).alias("depth"),
+                F.when(~outside & (depth == 0), m["i"] + 1).otherwise(at["begin"]).alias("begin"),
+                F.when(enters, F.concat(at["runs"], F.array(run))).otherwise(at["runs"]).alias("runs"),
+            )
+
+        def close(at: Column) -> Column:
+            last = F.struct((at["begin"] + 1).alias("a"), (F.size(parts) - at["begin"]).alias("n"))
+            return F.when(at["depth"] == 0, F.concat(at["runs"], F.array(last))).otherwise(at["runs"])
+
+        kept = F.aggregate(marks, first, walk, close)
+        return F.array_join(F.transform(kept, lambda r: F.array_join(F.slice(parts, r["a"], r["n"]), "")), "")
+
+    return let(col(html), lambda x: F.when(x.rlike(start.replace(r"\A", "")), let(_parts(x, tag), cut)).otherwise(x))
+
+
+def until_closed(html, tag: str) -> Column:
+    """A page that begins inside an element of ``tag``, up to the end tag that closes it; all of it where none does."""
+
+    def cut(parts: Column) -> Column:
+        steps = F.transform(parts, lambda p, i: F.struct(i.alias("i"), _step(p, tag).alias("step")))
+        first = F.struct(F.lit(1).alias("depth"), F.size(parts).alias("end"))
+
+        def walk(at: Column, m: Column) -> Column:
+            depth = F.when(at["depth"] == 0, F.lit(0)).otherwise(at["depth"] + m["step"])
+            return F.struct(depth.alias("depth"), F.when((at["depth"] > 0) & (depth == 0), m["i"]).otherwise(at["end"]).alias("end"))
+
+        return F.array_join(F.slice(parts, F.lit(1), F.aggregate(steps, first, walk, lambda at: at["end"])), "")
+
+    # most elements hold no other of their tag: the first end tag is theirs
+    near = F.regexp_extract(col(html), rf"(?is)\A(.*?)(?:</{tag}\s*>|\z)", 1)
+    return let(F.struct(near.alias("near"), col(html).alias("all")), lambda x: F.when(
+        ~x["near"].rlike(rf"(?i)<{tag}[\s/>]"), x["near"]).otherwise(let(_parts(x["all"], tag), cut)))
 
 
 def without_blocks(html, css_class: str, tag: str = "div") -> Column:
-    """Elements of a class removed (ad and read-more blocks)."""
-    return sub(col(html), rf"""(?is)<{tag}\b[^>]*class=["'][^"']*\b{re.escape(css_class)}\b[^"']*["'][^>]*>.*?</{tag}\s*>""")
+    """Elements of a class removed (ad and read-more blocks), with all that is nested in them."""
+    return without_elements(html, tag, rf"""class=["'][^"']*\b{re.escape(css_class)}\b[^"']*["']""")
 
 
 def unescape(c) -> Column:
@@ -31,7 +103,7 @@ def unescape(c) -> Column:
 
 
 def _decoded(c: Column) -> Column:
-    table = F.expr(_NAMED)
+    table = F.str_to_map(F.lit(_NAMED), F.lit(" "), F.lit("="))
     found = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"), F.lit(0)))
     found = F.filter(found, lambda e: e != "&amp;")
 
@@ -62,8 +134,14 @@ def elements(html, tag: str) -> Column:
     return F.regexp_extract_all(col(html), F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>"), F.lit(1))
 
 
+#: Elements that hold others of their kind.
+NESTING = ("div", "section", "article", "ul", "ol", "span", "table")
+
+
 def first_element(html, tag: str, attribute: str | None = None) -> Column:
     """Inner HTML of the first ``tag`` element whose start tag matches ``attribute``; '' when there is none."""
+    if tag in NESTING:
+        return region(html, rf"(?i:<{tag}(?=[\s>])[^>]*{attribute or ''}[^>]*>)", f"</{tag}>")
     inside = rf"\s[^>]*{attribute}[^>]*" if attribute else r"(?:\s[^>]*)?"
     return F.regexp_extract(col(html), rf"(?is)<{tag}{inside}>(.*?)</{tag}\s*>", 1)
 
@@ -102,7 +180,11 @@ def section_text(html, **rules) -> Column:
 
 
 def region(html, start: str, end: str) -> Column:
-    """What lies between two markers (patterns), to the end when the second is missing."""
+    """What lies between two markers (patterns), to the end when the second is missing. Where the second is an end tag, the one
+    that closes the element in which the region begins, not that of an element within it."""
+    tag = re.fullmatch(r"</([a-z][a-z0-9]*)>", end)
+    if tag:
+        return until_closed(F.regexp_extract(col(html), rf"(?s){start}(.*)\z", 1), tag[1])
     return F.regexp_extract(col(html), rf"(?s){start}(.*?)(?:{end}|\z)", 1)
 
 

@@ -29,8 +29,7 @@ class InfoRules:
 
 
 def _first(page: Column, tries, ok) -> Column:
-    values = [h.inner_text(t(page)) for t in tries]
-    return F.coalesce(*[F.when(ok(v), v) for v in values])
+    return F.coalesce(*[let(h.inner_text(t(page)), lambda v: F.when(ok(v), v)) for t in tries])
 
 
 def info_fields(x: Column, site: InfoRules) -> dict[str, Column]:

@@ -114,7 +114,17 @@ def _(spark, d):
     return ex.region_texts(pages(spark, d), "<article>", "</article>").select("page_id", F.md5("content").alias("digest"))
 
 
-# Pages of four sites: the url and the marks come from the key, the paragraphs from the page itself.
+# every second article holds another one, with a paragraph before and one behind
+@query("H10_nested_region", f"""SELECT page_id, md5(array_to_string(list_filter(list_concat(CASE WHEN page_id % 2 = 0 THEN ['within ' || page_id, 'behind it'] ELSE [] END,
+  list_transform(regexp_extract_all(body, '(?is)<p(?:\\s[^>]*)?>(.*?)</p\\s*>', 1), lambda b: regexp_replace({text('b')}, '\\s{{2,}}', ' ', 'g'))), lambda x: length(x) > 1), chr(10) || chr(10))) AS digest
+FROM (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1) AS body FROM pages)""")
+def _(spark, d):
+    within = F.concat(F.lit("<article><ARTICLE class='x'><p>within "), F.col("page_id").cast("string"), F.lit("</p></article ><p>behind it</p>"))
+    html = F.when(F.col("page_id") % 2 == 0, F.replace("html", F.lit("<article>"), within)).otherwise(F.col("html"))
+    return ex.region_texts(pages(spark, d).withColumn("html", html), "<article>", "</article>").select("page_id", F.md5("content").alias("digest"))
+
+
+# Pages of four sites: the url, the marks and the elements nested in lists, containers and ads come from the key, the paragraphs from the page itself.
 KIND = "['plain', 'reader', 'newest_first', 'episodes'][page_id % 4 + 1]"
 P_BLOCKS = "(?is)<p(?:\\s[^>]*)?>.*?</p\\s*>"
 SITE_TEXT = f"""list_transform(regexp_extract_all({NOISELESS}, '(?is)<p(?:\\s[^>]*)?>(.*?)</p\\s*>', 1), lambda b: {text('b')})"""
@@ -128,12 +138,13 @@ def _site_pages(spark, d):
     links = F.when(n == 2, F.concat(link(3), link(2), link(1))).otherwise(F.concat(link(1), link(2), link(1), link(3), F.lit('<a href="/the-loai/x">Love</a>')))
     page = F.concat(
         kind('<h3 class="title">', '<h1 class="truyen-title">', '<h3 class="big title">', "<h1>x</h1><h2>"), F.lit("Work "), k, kind("</h3>", "</h1>", "</h3>", "</h2>"),
-        F.lit('<div class="info"><a href="/tac-gia/a">An '), k, F.lit("</a><span>"), F.when(F.col("page_id") % 3 == 0, "Đang ra").otherwise("Full"), F.lit("</span></div>"),
-        kind('<div class="desc-text">', '<div class="description">', '<div class="desc-text">', '<div class="summary">'), F.lit("About "), k, F.lit("</div>"),
-        kind('<div class="book">', '<div class="book-cover">', '<div class="thumb">', '<div class="book-cover">'), F.lit('<img src="/c/'), k, F.lit('.jpg"></div>'),
-        kind('<ul class="list-chapter">', '<div class="chapter-list">', '<ul class="list-chapter">', '<section><div class="episode-title">'), links, kind("</ul>", "</div>", "</ul>", "</div></section>"),
+        F.lit('<div class="info"><div><a href="/tac-gia/a">An '), k, F.lit("</a></div><span>"), F.when(F.col("page_id") % 3 == 0, "Đang ra").otherwise("Full"), F.lit("</span></div>"),
+        kind('<div class="desc-text">', '<div class="description">', '<div class="desc-text">', '<div class="summary">'), F.lit("<div> </div>About "), k, F.lit("</div>"),
+        kind('<div class="book">', '<div class="book-cover">', '<div class="thumb">', '<div class="book-cover">'), F.lit('<div>cover</div><img src="/c/'), k, F.lit('.jpg"></div>'),
+        kind('<ul class="list-chapter">', '<div class="chapter-list">', '<ul class="list-chapter">', '<section><div class="episode-title">'), kind("<ul></ul>", "<div>all</div>", "<ul></ul>", "</div><section></section><div>"), links, kind("</ul>", "</div>", "</ul>", "</div></section>"),
         kind('<div id="chapter-c">', '<div class="chapter-content">', '<div id="chapter-content">', '<div class="content-container">'),
-        F.when(n <= 1, '<div class="ads"><p>buy this now</p></div>').otherwise(""), F.lit("<p><em>note to the reader</em></p>"), body, F.lit("</div><p>outside of it all</p>"),
+        F.when(n <= 1, '<div class="ads"><div><div>ad</div></div><p>buy this now</p></div>').otherwise(""), F.lit("<div><p><em>note to the reader</em></p></div>"),
+        F.when(F.col("page_id") % 5 == 0, F.concat(F.lit('<div class="part"><div>'), body, F.lit("</div></div>"))).otherwise(body), F.lit("</div><p>outside of it all</p>"),
     )
     rows = table(spark, d, "pages").select("page_id", F.concat(F.lit("https://www.site"), n.cast("string"), F.lit(".example/w-"), k).alias("url"), page.alias("html"))
     domains = spark.createDataFrame([(f"site{i}.example", s, i) for i, s in enumerate(sites.SITES)], "domain string, source string, reg_order int")

@@ -61,3 +61,47 @@ def test_region(spark):
     html = '<div class="nav">x</div><div class="actions">y</div><p>Một  hai</p><p>b</p><p>ba</p><div class="nav">z</div><p>no</p>'
     out = ex.region_texts(page(spark, html), 'class="actions">y</div>', '<div class="nav">').first()
     assert out["content"] == "Một hai\n\nba"
+
+
+def test_nested_blocks(value):
+    cut = lambda page: value(lambda c: h.without_blocks(c, "ads"), page)
+    assert cut('<p>a</p><div class="ads"><div>x</div><p>buy now</p></div><p>b</p>') == "<p>a</p><p>b</p>"
+    assert cut('<DIV class="ads big"><div><div class="ads">x</div >y</div>z</DIV>kept<div>in</div>') == "kept<div>in</div>"
+    assert cut('a<div class="ads"/>b<div class="ads">c<div/>d</div>e') == 'a<div class="ads"/>be'
+    assert cut('a<div class="ads">never closed<div>x</div>') == "a"
+    assert cut("a</div>b") == "a</div>b" and cut("") == "" and cut('<div class="roads">x</div>') == '<div class="roads">x</div>'
+    assert value(h.without, "a<ins>b<ins>c</ins>d</ins>e<button>f</button><!-- <ins> -->g") == "aeg"
+    many = '<div class="ads"><div>' * 300 + "</div></div>" * 300
+    assert cut(f"a{many}b" * 3) == "abab" + "ab"
+
+
+def test_nested_regions(value):
+    text = lambda page: value(lambda c: h.region(c, r'<div id="c">', "</div>"), page)
+    assert text('<div>0</div><div id="c">1<div>2<div>3</div></div>4</div>5') == "1<div>2<div>3</div></div>4"
+    assert text('<div id="c">1<div>2</div>3') == "1<div>2</div>3"
+    assert text('<div id="c">1</div >2') == "1" and text("<div>1</div>") == ""
+    assert value(lambda c: h.first_element(c, "div", 'class="d"'), '<div class="x">0</div><div class="d">a<div>b</div>c</div>') == "a<div>b</div>c"
+
+
+def brute_depth(page, mark):
+    """The page without div elements that hold ``mark`` in their start tag, by a walk over its tags."""
+    import re
+
+    out, depth = [], 0
+    for piece in re.split(r"(<div[^>]*>|</div>)", page):
+        if depth:
+            depth += piece.startswith("<div") - (piece == "</div>")
+        elif piece.startswith("<div") and mark in piece:
+            depth = 1
+        else:
+            out.append(piece)
+    return "".join(out)
+
+
+def test_nesting_against_a_walk(value):
+    import random
+
+    rng = random.Random(3)
+    pages = ["".join(rng.choice(['<div class="ads">', "<div>", "</div>", "</div>", "t", "<p>u</p>"]) for _ in range(rng.randrange(60))) for _ in range(40)]
+    for page in pages:
+        assert value(lambda c: h.without_blocks(c, "ads"), page) == brute_depth(page, "ads")
