@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from quire.llm.common import fresh
 
 
+#: A sample of so many ids may be broadcast.
+SENT = 200_000
+
+
 def remainder(key: Column, folds: int) -> Column:
     """The fold of a row: crc32 of its id as text; a null id counts as ''."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds
@@ -18,14 +22,14 @@ def sample(labels: DataFrame, label: str, fold: int, folds: int, bound: int, key
     """(key, label): labelled ids outside the held-out fold, about ``bound`` of them at most (all, where there are fewer).
 
     Of repeated ids the largest label counts; null ids and labels are left out. The number of rows is bounded whatever the
-    input, so the result may be broadcast.
+    input, so up to SENT of them are broadcast.
     """
     rows = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & (remainder(F.col(key), folds) != fold))
     rows = rows.groupBy(F.col(key).alias("label_key")).agg(F.max(label).cast("int").alias("label"))
     n = rows.count()
     if n > bound:
         rows = rows.filter(F.pmod(F.xxhash64("label_key", F.lit(11)), F.lit(n)) < bound)
-    return F.broadcast(rows)
+    return F.broadcast(rows) if bound <= SENT else rows
 
 
 def labelled(docs: DataFrame, chosen: DataFrame, key: str, text: str) -> DataFrame:

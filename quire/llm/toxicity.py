@@ -1,8 +1,9 @@
 """Toxicity: a learnt lexicon, misspelled terms by Levenshtein automata, and context windows.
 
-The lexicon is stored as a trie. A word's Levenshtein automaton (a row of the edit table per state) walks the trie and leaves
-a branch as soon as no term below it can be near enough. Every hit is weighed by its neighbourhood: quotation marks and
-words of reporting lower it, a direct address and further hits raise it. A logistic model turns the sums into a score.
+The lexicon is stored as a trie. A word's Levenshtein automaton (a row of the edit table per state; two letters exchanged are one edit)
+walks the trie and leaves a branch as soon as no term below it can be near enough. Every hit is weighed by its neighbourhood:
+quotation marks and words of reporting lower it, a direct address and further hits raise it; quoted, reported and addressed hits are
+summed apart as well, so that a logistic model, which turns the sums into a score, can weigh them anew.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +29,27 @@ SAMPLE = 60_000
 #: A term is held by so many families of toxic texts at least. Its share of toxic families among those that hold it (both labels weighed
 #: alike) is RATE at least, and the lower end of the share's 95 % interval (Wilson) is SURE at least.
 LEAST, RATE, SURE, Z = 5, 0.9, 0.55, 1.96
-FEATURES = 6
+FEATURES = 9
 #: A task remembers the outcome of the walk for so many words.
 MET = 200_000
 
 
+#: Quotation marks and other punctuation beyond ASCII, which the word class would take for letters.
+QUOTES = "[\u00ab\u00bb\u201c-\u201f\u2039\u203a\u300c-\u300f\uff02]"
+SIGNS = "[\u00a0\u00a1\u00b7\u00bf\u2000-\u206f\u3000-\u303f\uff01-\uff0f\uff1a\uff1b\uff1f]"
+
+
+def cleaned(texts: pa.Array) -> pa.Array:
+    """Texts in which typographic quotation marks are straight ones and other signs beyond ASCII are blanks; null is empty."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    texts = pc.fill_null(texts, "")
+    for pattern, plain in ((QUOTES, '"'), (SIGNS, " ")):
+        if pc.any(pc.match_substring_regex(texts, pattern)).as_py():
+            texts = pc.replace_substring_regex(texts, pattern, plain)
+    return texts
+
+
 class Trie:
     """Terms by letter, with the automaton walk."""
 
@@ -46,9 +64,10 @@ class Trie:
     def near(self, word: str, limit: int) -> str | None:
         """The term with the fewest edits to ``word``, ``limit`` at most; ties by code point."""
         best: tuple[int, str] | None = None
-        stack = [(self.root, tuple(range(len(word) + 1)))]
+        start = tuple(range(len(word) + 1))
+        stack = [(self.root, start, start, "")]
         while stack:
-            node, row = stack.pop()
+            node, row, above, last = stack.pop()
             for letter, below in node.items():
                 if letter == "":
                     found = (row[-1], below)
@@ -57,9 +76,13 @@ class Trie:
                     continue
                 state = [row[0] + 1]
                 for i, own in enumerate(word):
-                    state.append(min(row[i] + (own != letter), row[i + 1] + 1, state[i] + 1))
-                if min(state) <= limit:
-                    stack.append((below, tuple(state)))
+                    cost = min(row[i] + (own != letter), row[i + 1] + 1, state[i] + 1)
+                    if i and last == own and word[i - 1] == letter:
+                        cost = min(cost, above[i - 1] + 1)
+                    state.append(cost)
+                # an exchange may still lead from this row to the one after the next
+                if min(state) <= limit or min(row) < limit:
+                    stack.append((below, tuple(state), row, letter))
         return best[1] if best else None
 
 
@@ -118,6 +141,8 @@ class Lexicon:
             if len(term) >= EDITED:
                 x, y = len(term) // 3, len(term) - len(term) // 3
                 parts = [(term[:y], ""), ("", term[x:]), (term[:x], term[y:])]
+                # letters exchanged across a cut damage two parts
+                parts += [(term[: k - 1] + term[k] + term[k - 1] + term[k + 1 :], "") for k in (x, y)]
                 for head, tail in ((h.encode(), t.encode()) for h, t in parts):
                     wanted.setdefault((len(head), len(tail), len(term.encode())), set()).add((head, tail))
         self.frames = {k: np.sort(_both(hash_bytes([h for h, _ in v]), hash_bytes([t for _, t in v]))) for k, v in wanted.items()}
@@ -165,7 +190,8 @@ class Lexicon:
 
 
 def features(lexicon: Lexicon, words: Words) -> np.ndarray:
-    """Per text: sum of weights of distinct terms, hits, hits per hundred words, distinct terms, weight after context, near misses."""
+    """Per text: sum of weights of distinct terms, hits, hits per hundred words, distinct terms, weight after context, near misses, and the
+    weights of quoted, reported and addressed terms."""
     n_docs = len(words.first) - 1
     out = np.zeros((n_docs, FEATURES))
     if not len(words.hash):
@@ -204,6 +230,8 @@ def features(lexicon: Lexicon, words: Words) -> np.ndarray:
     out[:, 3] = np.log1p(distinct)
     out[:, 4] = np.clip(add(context * first), -10, 30)
     out[:, 5] = np.log1p(add((~exact).astype(float)))
+    for j, flag in enumerate((quoted, reported, addressed)):
+        out[:, 6 + j] = np.clip(add(weight * first * flag), -10, 30)
     return out
 
 
@@ -217,26 +245,34 @@ def families(words: Words) -> np.ndarray:
     return out
 
 
+def sampled(rows: DataFrame) -> DataFrame:
+    """The labelled rows (text, label) stored once: text without typographic signs, label, family, and whether the row speaks for its family."""
+    prints = map_pieces(rows, lambda b: pa.RecordBatch.from_arrays(
+        [clean := cleaned(b.column("text")), b.column("label"), pa.array(families(words_of(clean, ALNUM)).view(np.int64))], ["text", "label", "family"]
+    ), "text string, label int, family long")
+    held = stored(prints.withColumn("row", F.monotonically_increasing_id()))
+    # a row number per family of a bounded sample
+    first = held.groupBy("label", "family").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("speaks"))
+    return held.join(checked_broadcast(stored(first), SAMPLE), "row", "left").select("text", "label", F.coalesce("speaks", F.lit(False)).alias("speaks"))
+
+
 def learn_lexicon(rows: DataFrame) -> Lexicon:
-    """Terms from (text, label): words that families of toxic texts hold and clean ones hardly do, as many as are certain. The rows are a bounded
-    sample and a term takes LEAST of their families, which bounds the terms.
+    """Terms from ``sampled`` rows: words that families of toxic texts hold and clean ones hardly do, as many as are certain. A family counts by one
+    of its texts. The rows are a bounded sample and a term takes LEAST of their families, which bounds the terms.
 
     First the words of toxic texts are counted, then those that LEAST families hold in clean texts. Words near a term are counted in a third pass: those that clean texts hold too are no misspellings.
     """
-    prints = map_pieces(rows, lambda b: pa.RecordBatch.from_arrays(
-        [b.column("text"), b.column("label"), pa.array(families(words_of(b.column("text"), ALNUM)).view(np.int64))], ["text", "label", "family"]
-    ), "text string, label int, family long")
-    lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = rows.filter("speaks")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.array_distinct(F.array_remove(F.split(lower, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), ""))
-    held = prints.select("label", "family", words.alias("words"))
-    size = {r["label"]: r["n"] for r in prints.groupBy("label").agg(F.count_distinct("family").alias("n")).collect()}
+    size = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
     if not toxic or not clean:
         return Lexicon({})
-    each = held.filter("label = 1").select("family", F.explode("words").alias("word")).distinct().groupBy("word").agg(F.count("*").alias("t"))
-    wanted = stored(each.filter((F.col("t") >= LEAST) & F.length("word").between(3, 40)))
-    other = held.filter("label = 0").select("family", F.explode("words").alias("word")).join(checked_broadcast(wanted.select("word")), "word")
-    other = other.groupBy("word").agg(F.approx_count_distinct("family", 0.02).alias("c"))
+    each = rows.filter("label = 1").select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("t"))
+    wanted = stored(each.filter(F.col("t") >= LEAST))
+    other = rows.filter("label = 0").select(F.explode(words).alias("word")).join(checked_broadcast(wanted.select("word")), "word")
+    other = other.groupBy("word").agg(F.count("*").alias("c"))
     both = wanted.join(other, "word", "left").select("word", "t", F.coalesce("c", F.lit(0)).alias("c"))
     # the families that hold a word, as if there were as many clean ones as toxic ones
     n = F.col("t") + F.col("c") * F.lit(toxic / clean)
@@ -281,7 +317,7 @@ def score(
     texts have no hits and get the model's score for that, copies agree, an empty table stays empty; without labels of both kinds every score
     is the share of label 1 (0.5 with none). Other columns are not read.
     """
-    rows = labelled(docs, sample(labels, label, fold, folds, bound, key), key, text)
+    rows = sampled(labelled(docs, sample(labels, label, fold, folds, bound, key), key, text))
     lexicon = learn_lexicon(rows)
     measured = map_pieces(rows, lambda b: pa.RecordBatch.from_arrays(
         [pa.array(list(features(lexicon, words_of(b.column("text"), ALNUM)))), b.column("label")], ["x", "y"]
@@ -294,7 +330,7 @@ def score(
         weights, mean, scale = np.append(np.zeros(FEATURES), math.log(share / (1 - share))), np.zeros(FEATURES), np.ones(FEATURES)
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = (features(lexicon, words_of(batch.column("text"), ALNUM)) - mean) / scale
+        x = (features(lexicon, words_of(cleaned(batch.column("text")), ALNUM)) - mean) / scale
         p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))],

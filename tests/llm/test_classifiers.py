@@ -14,12 +14,14 @@ LABELS = "doc_id long, quality int, toxic int"
 
 
 def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a):
-        last, row[0] = row[0], i + 1
-        for j, y in enumerate(b):
-            last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
-    return row[-1]
+    """Edits from ``a`` to ``b``; two neighbouring letters exchanged are one, and stay as they are."""
+    d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
 
 
 def test_automaton_equals_edit_distance():
@@ -29,6 +31,7 @@ def test_automaton_equals_edit_distance():
     words = ["".join(rng.choice(letters) for _ in range(rng.randrange(4, 10))) for _ in range(3_000)]
     words += ["".join(c for i, c in enumerate(t) if i != k) for t in terms for k in (0, 2, len(t) - 1)]
     words += [t[:k] + "x" + t[k + j :] for t in terms for k in (0, 3, len(t)) for j in (0, 1)]
+    words += [t[: k - 1] + t[k] + t[k - 1] + t[k + 1 :] for t in terms for k in range(1, len(t))]
     trie = toxicity.Trie(terms)
     lexicon = toxicity.Lexicon({t: 1.0 for t in terms}, {}, 0.4)
     found = words_of(pa.array([" ".join(words)]), ALNUM)
@@ -50,7 +53,7 @@ def test_rare_terms_are_learnt_however_many_labels(spark):
     own = lambda i: " ".join(f"x{i}y{j}" for j in range(6))
     toxic = [(f"{own(i)} {'rarely' if i < 6 else 'often'} even", 1) for i in range(1_500)]
     clean = [(f"{own(i)} even {'once' if i % 2 else 'twice'}", 0) for i in range(1_500, 4_500)]
-    terms = toxicity.learn_lexicon(spark.createDataFrame(toxic + clean, "text string, label int")).weights
+    terms = toxicity.learn_lexicon(toxicity.sampled(spark.createDataFrame(toxic + clean, "text string, label int"))).weights
     assert set(terms) == {"rarely", "often"}
 
 
@@ -62,6 +65,21 @@ def test_context_lowers_quotation_and_raises_address():
     assert x[5, 5] > 0 and x[5, 0] == 1.0 and not x[6:].any()
 
 
+def test_typographic_signs_end_words():
+    lexicon = toxicity.Lexicon({"idiot": 4.0}, {}, 1.0)
+    texts = ["he meant “idiot” there", "il dit «idiot» et", "er ist „idiot“ hier", "an idiot—there", "the idoit… here", "¡idiot!", None, "x\u00a0idiot"]
+    x = toxicity.features(lexicon, words_of(toxicity.cleaned(pa.array(texts)), ALNUM))
+    assert x[:, 0].tolist() == [4.0, 4.0, 4.0, 4.0, 1.0, 4.0, 0.0, 4.0]
+    assert x[:, 6].tolist() == [4.0, 4.0, 4.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+
+
+def test_copies_count_once(spark):
+    own = lambda i: " ".join(f"x{i}y{j}" for j in range(6))
+    rows = [(f"{own(1)} copied", 1)] * 50 + [(f"{own(i)} told", 1) for i in range(10, 40)] + [(own(i), 0) for i in range(100, 200)]
+    terms = toxicity.learn_lexicon(toxicity.sampled(spark.createDataFrame(rows, "text string, label int").repartition(4))).weights
+    assert set(terms) == {"told"}
+
+
 def test_logistic_separates():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((400, 2))
