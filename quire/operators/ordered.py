@@ -2,17 +2,21 @@
 
 A window ``PARTITION BY work ORDER BY number`` sends a whole work to one task, and one work may hold a third of all
 rows. Here the order column, an integer that is unique in its work, is cut into value blocks of ``width`` numbers.
-The window runs per (work, block); one small row per block carries the state across blocks. A 32-bit number gives at
-most 32,768 blocks of at most 65,536 rows at the default width, so no task sees an unbounded group.
+The window runs per (work, block); one small row per block carries the state across blocks. Where the order column has more
+numbers than FAN blocks, as a 64-bit id has, the blocks are cut into blocks in their turn, and so on until a work has at most FAN of
+them. So no window sees more than ``width`` rows or FAN blocks, whether the numbers lie dense or are hashes.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 WIDTH = 65_536
+#: Blocks that one window may carry its state across.
+FAN = 65_536
 BLOCK = "_block"
 
 
@@ -24,19 +28,17 @@ class Running:
     how: str = "sum"
     inclusive: bool = True
 
-    def local(self, by, order):
+    def local(self, group, order):
         last = Window.currentRow if self.inclusive else -1
         return self._agg()(self.value).over(
-            Window.partitionBy(*by, BLOCK).orderBy(order).rowsBetween(Window.unboundedPreceding, last)
+            Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, last)
         )
 
     def block(self, order):
         return self._agg()(self.value)
 
-    def carry(self, col, by):
-        return self._agg()(col).over(
-            Window.partitionBy(*by).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-        )
+    def above(self, state):
+        return Running(state, self.how, inclusive=False)
 
     def merge(self, local, carried):
         if self.how == "sum":
@@ -58,15 +60,15 @@ class Neighbour:
     def _fn(self):
         return F.lag if self.step < 0 else F.lead
 
-    def local(self, by, order):
-        return self._fn()(F.struct(self.value.alias("v"))).over(Window.partitionBy(*by, BLOCK).orderBy(order))
+    def local(self, group, order):
+        return self._fn()(F.struct(self.value.alias("v"))).over(Window.partitionBy(*group).orderBy(order))
 
     def block(self, order):
         pick = F.max_by if self.step < 0 else F.min_by
         return pick(F.struct(self.value.alias("v")), F.col(order))
 
-    def carry(self, col, by):
-        return self._fn()(col).over(Window.partitionBy(*by).orderBy(BLOCK))
+    def above(self, state):
+        return Neighbour(state, self.step)
 
     def merge(self, local, carried):
         return F.coalesce(local, carried)["v"]
@@ -74,47 +76,56 @@ class Neighbour:
 
 @dataclass
 class Total:
-    """Aggregate of ``value`` over the whole work, on every row."""
+    """``sum``, ``max`` or ``min`` of ``value`` over the whole work, on every row."""
 
     value: Column
     how: str = "sum"
 
-    def local(self, by, order):
-        return F.lit(None)
+    def local(self, group, order):
+        return getattr(F, self.how)(self.value).over(Window.partitionBy(*group))
 
     def block(self, order):
         return getattr(F, self.how)(self.value)
 
-    def carry(self, col, by):
-        return getattr(F, self.how)(col).over(Window.partitionBy(*by))
+    def above(self, state):
+        return Total(state, self.how)
 
     def merge(self, local, carried):
-        return carried
+        return F.coalesce(carried, local)
+
+
+_BITS = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}
 
 
-def with_block(df: DataFrame, order: str, width: int = WIDTH) -> DataFrame:
-    return df.withColumn(BLOCK, ((F.col(order) - F.pmod(F.col(order), F.lit(width))) / width).cast("bigint"))
+def block_of(order: str, width: int = WIDTH) -> Column:
+    """The block of a number, rounded down."""
+    return F.floor(F.expr(f"`{order}` div {width}") - F.when(F.expr(f"`{order}` % {width} < 0"), F.lit(1)).otherwise(F.lit(0))).cast("bigint")
 
 
 def ordered(df: DataFrame, by: list[str] | str, order: str, width: int = WIDTH, **columns) -> DataFrame:
     """Add ``columns`` (Running / Neighbour / Total) computed over each work in ``order``."""
     by = [by] if isinstance(by, str) else list(by)
-    base = with_block(df, order, width)
-    blocks = base.groupBy(*by, BLOCK).agg(*[spec.block(order).alias(f"_b_{n}") for n, spec in columns.items()])
-    carried = blocks.select(
-        *[F.col(k).alias(f"_k_{k}") for k in [*by, BLOCK]],
-        *[spec.carry(F.col(f"_b_{n}"), by).alias(f"_c_{n}") for n, spec in columns.items()],
-    )
-    local = base.select("*", *[spec.local(by, order).alias(f"_l_{n}") for n, spec in columns.items()])
-    same_block = [F.col(k) == F.col(f"_k_{k}") for k in [*by, BLOCK]]
+    return _ordered(df, by, order, columns, width, 1 << _BITS[df.schema[order].dataType.simpleString()], 0)
+
+
+def _ordered(df: DataFrame, by: list[str], order: str, columns: dict, width: int, numbers: int, level: int) -> DataFrame:
+    """``numbers``: how many different ones the order column may hold in a work."""
+    kept = [c for c in df.columns if c not in columns]
+    if level and numbers <= FAN:
+        return df.select(*kept, *[spec.merge(spec.local(by, order), F.lit(None)).alias(n) for n, spec in columns.items()])
+    block = f"{BLOCK}{level}"
+    base = df.withColumn(block, block_of(order, width))
+    blocks = base.groupBy(*by, block).agg(*[spec.block(order).alias(f"_b_{n}") for n, spec in columns.items()])
+    above = {f"_c_{n}": spec.above(F.col(f"_b_{n}")) for n, spec in columns.items()}
+    carried = _ordered(blocks, by, block, above, FAN, math.ceil(numbers / width), level + 1)
+    carried = carried.select(*[F.col(k).alias(f"_k_{k}") for k in [*by, block]], *above)
+    local = base.select("*", *[spec.local([*by, block], order).alias(f"_l_{n}") for n, spec in columns.items()])
+    same_block = [F.col(k) == F.col(f"_k_{k}") for k in [*by, block]]
     condition = same_block[0]
     for term in same_block[1:]:
         condition = condition & term
     joined = local.join(carried, condition)
-    kept = [c for c in df.columns if c not in columns]
-    return joined.select(
-        *kept, *[spec.merge(F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n, spec in columns.items()]
-    )
+    return joined.select(*kept, *[spec.merge(F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n, spec in columns.items()])
 
 
 def row_number(df: DataFrame, by, order: str, name: str = "number", width: int = WIDTH) -> DataFrame:
@@ -131,7 +142,7 @@ def run_heads(df: DataFrame, by, order: str, joins: Column, name: str = "head",
     by = [by] if isinstance(by, str) else list(by)
     in_block = Window.partitionBy(*by, BLOCK).orderBy(order)
     o = F.col(order)
-    base = with_block(df.withColumn("_joins", F.coalesce(joins, F.lit(False))), order, width)
+    base = df.withColumn("_joins", F.coalesce(joins, F.lit(False))).withColumn(BLOCK, block_of(order, width))
     before = F.lag(order).over(in_block)
     # null = the block's first row, which may continue the block before it
     starts = F.when(
@@ -147,17 +158,16 @@ def run_heads(df: DataFrame, by, order: str, joins: Column, name: str = "head",
         F.max("_head").alias("_tail_head"),
         F.max(F.col("_starts").isNull()).alias("_open"),
     )
-    in_work = Window.partitionBy(*by).orderBy(BLOCK)
-    blocks = blocks.withColumn("_linked", F.col("_open") & (F.lag("_last").over(in_work) == F.col("_first") - 1))
-    entry = F.when(~F.coalesce(F.col("_linked"), F.lit(False)), F.col("_first"))
-    carried = blocks.withColumn(
-        "_entry",
-        F.coalesce(
-            entry,
-            F.max(F.coalesce(F.col("_tail_head"), entry)).over(in_work.rowsBetween(Window.unboundedPreceding, -1)),
-        ),
-    ).select(*by, BLOCK, "_entry")
-    out = local.join(carried, [*by, BLOCK])
+    numbers = math.ceil((1 << _BITS[df.schema[order].dataType.simpleString()]) / width)
+
+    def across(blocks: DataFrame, **columns) -> DataFrame:
+        return _ordered(blocks, by, BLOCK, columns, FAN, numbers, 1)
+
+    blocks = across(blocks, _before=Neighbour(F.col("_last")))
+    linked = F.coalesce(F.col("_open") & (F.col("_before") == F.col("_first") - 1), F.lit(False))
+    blocks = blocks.withColumn("_own", F.when(~linked, F.col("_first")))
+    blocks = across(blocks, _came=Running(F.coalesce("_tail_head", "_own"), "max", inclusive=False))
+    out = local.join(blocks.select(*by, BLOCK, F.coalesce("_own", "_came").alias("_entry")), [*by, BLOCK])
     return out.select(*df.columns, F.coalesce("_head", "_entry").alias(name))
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quire.functions import text as t
 from quire.functions.predicates import is_published
 from quire.functions.text import SPACE, col
 from quire.operators.changes import section_id
-from quire.operators.ordered import BLOCK, WIDTH, with_block
+from quire.operators.ordered import BLOCK, WIDTH, Running, ordered
+from quire.session import checkpoint
 
 
 def _parts_of(c: Column, pattern: str) -> Column:
@@ -220,14 +224,50 @@ def numbered_paragraphs(parts: Column, label: str = "Đoạn") -> Column:
 #
 # The part a section falls into depends on everything before it, but only through one number: the characters already
 # in the open part. Each block of a work is reduced to how it maps that number at its start to the number at its end
-# (a step function with one step per section that fits the first part), the steps are followed block by block, and
-# then every block is packed on its own.
+# (a step function with one step per section that fits the first part). Two neighbouring functions compose to one of the
+# same kind, so the blocks of a long work are composed as a tree: up, FOLD functions to one, until a work has one; down, every
+# function gets the number at its start from the one above. Then every block is packed on its own.
+
+#: Functions that one group composes.
+FOLD = 32
+#: What the number is before the first section: nothing fits, so that section opens a part.
+_FULL = 1
+
 
+@dataclass
+class Steps:
+    """From ``chars`` in the open part at the start of some sections to those at the end, and how many parts are opened between.
 
-def _first_breaks(lengths, limit):
-    """Prefix sums, the next start after each start, parts opened and open characters when starting at each row."""
-    import numpy as np
+    With room for less than ``sums[j]`` characters more but for ``sums[j - 1]``, the first part opened begins there: ``tails[j]`` characters are open at
+    the end and ``opened[j]`` parts were opened. With room for all sums nothing is opened and ``total`` is added. ``sums`` ends with the first
+    over the limit, so a function has at most as many steps as a part can have different lengths.
+    """
 
+    total: int
+    sums: np.ndarray
+    opened: np.ndarray
+    tails: np.ndarray
+
+    def after(self, chars, parts, limit: int):
+        """The numbers at the end for those at the start."""
+        at = np.searchsorted(self.sums, limit - np.asarray(chars), side="right")
+        breaks = at < len(self.sums)
+        at = np.minimum(at, len(self.sums) - 1)
+        return np.where(breaks, self.tails[at], chars + self.total), parts + np.where(breaks, self.opened[at], 0)
+
+    def then(self, other: Steps, limit: int) -> Steps:
+        """This function, then the ``other``."""
+        tails, opened = other.after(self.tails, self.opened, limit)
+        sums, more = self.sums, other.sums[:0]
+        if sums[-1] <= limit:
+            more = other.sums + self.total
+            more = more[: int(np.searchsorted(more, limit, side="right")) + 1]
+        n = len(more)
+        return Steps(self.total + other.total, np.concatenate([sums, more]), np.concatenate([opened, other.opened[:n]]), np.concatenate([tails, other.tails[:n]]))
+
+
+def steps_of(lengths: np.ndarray, limit: int) -> Steps:
+    """The step function of sections of these lengths."""
     m = len(lengths)
     sums = np.cumsum(lengths)
     upto = np.concatenate([[0], sums])
@@ -241,45 +281,59 @@ def _first_breaks(lengths, limit):
             tail[i] = tail[nxt[i]]
         else:
             tail[i] = sums[-1] - upto[i]
-    return sums, nxt, opened, tail
+    stop = min(int(np.searchsorted(sums, limit, side="right")), m - 1)
+    at = np.flatnonzero(np.concatenate([[True], sums[1 : stop + 1] > sums[:stop]]))
+    return Steps(int(sums[-1]), sums[at], opened[at], tail[at])
+
+
+_STEPS = f"work_id string, {BLOCK} bigint, total bigint, sums array<bigint>, opened array<bigint>, tails array<bigint>"
+_ENTRIES = f"work_id string, {BLOCK} bigint, entry_chars bigint, entry_part bigint"
+
+
+def _steps_in(frame) -> list[Steps]:
+    return [Steps(r.total, *[np.asarray(x, np.int64) for x in (r.sums, r.opened, r.tails)]) for r in frame.itertuples(index=False)]
+
+
+def _entries(functions: DataFrame, top: int, limit: int) -> DataFrame:
+    """(work, block, entry_chars, entry_part) from a step function per block, blocks 0 to ``top``. No group holds more than FOLD functions."""
+    import pandas as pd
+
+    parent = F.floor(F.col(BLOCK) / FOLD).cast("bigint")
+
+    def compose(key, frame):
+        first, *rest = _steps_in(frame.sort_values(BLOCK))
+        for f in rest:
+            first = first.then(f, limit)
+        return pd.DataFrame({"work_id": [key[0]], BLOCK: [key[1]], "total": [first.total], "sums": [first.sums], "opened": [first.opened], "tails": [first.tails]})
+
+    def hand_down(key, children, start):
+        children = children.sort_values(BLOCK)
+        chars, part = (int(start["entry_chars"].iloc[0]), int(start["entry_part"].iloc[0])) if len(start) else (limit + _FULL, 0)
+        rows = []
+        for block, f in zip(children[BLOCK], _steps_in(children)):
+            rows.append((key[0], block, chars, part))
+            chars, part = (int(x) for x in f.after(chars, part, limit))
+        return pd.DataFrame(rows, columns=["work_id", BLOCK, "entry_chars", "entry_part"])
+
+    if top < FOLD:
+        return functions.groupBy("work_id").applyInPandas(lambda key, frame: hand_down(key, frame, frame.iloc[:0]), _ENTRIES)
+    composed = checkpoint(functions.groupBy("work_id", parent.alias(BLOCK)).applyInPandas(compose, _STEPS))
+    above = _entries(composed, top // FOLD, limit)
+    return functions.groupBy("work_id", parent).cogroup(above.groupBy("work_id", BLOCK)).applyInPandas(hand_down, _ENTRIES)
 
 
 def pack_sections(sections: DataFrame, limit: int = 60_000, width: int = WIDTH) -> DataFrame:
     """(work_id, number, length, part): sections in order, parts of at most ``limit`` characters, a longer section
-    alone. ``sections``: work_id, number, length."""
-    import numpy as np
+    alone. ``sections``: work_id, number, length. Blocks are ``width`` sections, whatever their numbers are."""
     import pandas as pd
 
-    rows = with_block(sections.select("work_id", F.col("number").cast("bigint").alias("number"), F.col("length").cast("bigint").alias("length")), "number", width)
-
-    def reduce_block(key, pdf):
-        lengths = pdf.sort_values("number")["length"].to_numpy()
-        sums, _, opened, tail = _first_breaks(lengths, limit)
-        stop = min(int(np.searchsorted(sums, limit, side="right")), len(sums) - 1)
-        keep = np.concatenate([[True], sums[1 : stop + 1] > sums[:stop]])
-        at = np.flatnonzero(keep)
-        return pd.DataFrame(
-            {"work_id": [key[0]], BLOCK: [key[1]], "total": [int(sums[-1])], "first_opened": [int(opened[0])], "first_tail": [int(tail[0])],
-             "sums": [sums[at].tolist()], "opened": [opened[at].tolist()], "tails": [tail[at].tolist()]}
-        )
-
-    def follow_blocks(pdf):
-        import bisect
+    rows = sections.select("work_id", F.col("number").cast("bigint").alias("number"), F.col("length").cast("bigint").alias("length"))
+    rows = ordered(rows, "work_id", "number", width, _at=Running(F.lit(1), inclusive=False))
+    rows = checkpoint(rows.select("work_id", "number", "length", F.floor(F.col("_at") / width).cast("bigint").alias(BLOCK)))
 
-        pdf = pdf.sort_values(BLOCK)
-        chars, part, entry_chars, entry_part = 0, 0, [], []
-        for i, b in enumerate(pdf.itertuples(index=False)):
-            entry_chars.append(chars)
-            entry_part.append(part)
-            if i == 0:
-                chars, part = b.first_tail, b.first_opened
-                continue
-            j = bisect.bisect_right(b.sums, limit - chars)
-            if j < len(b.sums):
-                chars, part = int(b.tails[j]), part + int(b.opened[j])
-            else:
-                chars = chars + b.total
-        return pd.DataFrame({"work_id": pdf["work_id"], BLOCK: pdf[BLOCK], "entry_chars": entry_chars, "entry_part": entry_part})
+    def reduce_block(key, frame):
+        f = steps_of(frame.sort_values("number")["length"].to_numpy(), limit)
+        return pd.DataFrame({"work_id": [key[0]], BLOCK: [key[1]], "total": [f.total], "sums": [f.sums], "opened": [f.opened], "tails": [f.tails]})
 
     def pack(frame):
         works, blocks = frame["work_id"].to_numpy(), frame[BLOCK].to_numpy()
@@ -290,7 +344,7 @@ def pack_sections(sections: DataFrame, limit: int = 60_000, width: int = WIDTH)
         for n, new_group, chars_0, part_0 in zip(lengths, first.tolist(), chars_in, part_in):
             if new_group:
                 part, chars = part_0, chars_0
-            if part == 0 or chars + n > limit:
+            if chars + n > limit:
                 part, chars = part + 1, 0
             chars += n
             parts.append(part)
@@ -311,16 +365,15 @@ def pack_sections(sections: DataFrame, limit: int = 60_000, width: int = WIDTH)
         if held is not None and len(held):
             yield pack(held)
 
-    # a work that fits one block starts empty; only longer ones need their blocks followed
-    long_works = rows.groupBy("work_id").agg(F.min(BLOCK).alias("_a"), F.max(BLOCK).alias("_z")).filter("_a < _z").select("work_id")
-    reduced = rows.join(long_works, "work_id", "left_semi").groupBy("work_id", BLOCK).applyInPandas(
-        reduce_block,
-        f"work_id string, {BLOCK} bigint, total bigint, first_opened bigint, first_tail bigint, sums array<bigint>, opened array<bigint>, tails array<bigint>",
-    )
-    entries = reduced.groupBy("work_id").applyInPandas(follow_blocks, f"work_id string, {BLOCK} bigint, entry_chars bigint, entry_part bigint")
-    placed = rows.join(entries, ["work_id", BLOCK], "left").select(
-        "work_id", BLOCK, "number", "length", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("entry_chars", "entry_part")]
-    )
+    # a work that fits one block starts empty; only longer ones need their blocks composed
+    top = rows.agg(F.max(BLOCK)).first()[0] or 0
+    placed = rows.withColumns({"entry_chars": F.lit(limit + _FULL).cast("bigint"), "entry_part": F.lit(0).cast("bigint")})
+    if top:
+        long_works = rows.filter(f"{BLOCK} = 1").select("work_id").distinct()
+        functions = checkpoint(rows.join(long_works, "work_id", "left_semi").groupBy("work_id", BLOCK).applyInPandas(reduce_block, _STEPS))
+        placed = rows.join(_entries(functions, top, limit), ["work_id", BLOCK], "left").withColumns(
+            {"entry_chars": F.coalesce("entry_chars", F.lit(limit + _FULL)), "entry_part": F.coalesce("entry_part", F.lit(0))}
+        )
     placed = placed.repartition("work_id", BLOCK).sortWithinPartitions("work_id", BLOCK, "number")
-    packed = placed.mapInPandas(pack_sorted, "work_id string, number bigint, length bigint, part bigint")
+    packed = placed.select("work_id", BLOCK, "number", "length", "entry_chars", "entry_part").mapInPandas(pack_sorted, "work_id string, number bigint, length bigint, part bigint")
     return packed.select("work_id", F.col("number").cast("int").alias("number"), "length", F.col("part").cast("int").alias("part"))

@@ -1,10 +1,12 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from quire.operators import ordered as od
 from quire.operators import segment as sg
 from quire.operators import sequence as sq
-from quire.operators.ordered import Neighbour, Running, Total, global_rank, ordered
+from quire.operators.ordered import BLOCK, Neighbour, Running, Total, global_rank, ordered
 
 S = "work_id string, number int, title string, content string, word_count int, publish_status string"
 
@@ -81,6 +83,43 @@ def test_ordered_blocks(spark):
             assert r["p"] == (mine[i - 1][2] if i else None) and r["n"] == (mine[i + 1][2] if i + 1 < len(mine) else None)
 
 
+def test_ordered_by_hashed_numbers(spark, monkeypatch):
+    """A work of 10**5 rows under hashed 64-bit numbers: no window holds more than a block or FAN blocks."""
+    monkeypatch.setattr(od, "FAN", 1 << 11)
+    n = 100_000
+    rows = spark.range(n).select(F.lit("w").alias("work_id"), F.xxhash64("id").alias("number"), (F.col("id") % 7).alias("v"))
+    rows = rows.unionByName(spark.createDataFrame([("x", -(2**63), 1), ("x", 2**63 - 1, 2), ("x", 0, 3)], rows.schema)).cache()
+    seen = []
+    real = Running.local
+    monkeypatch.setattr(Running, "local", lambda self, group, order: seen.append(tuple(group)) or real(self, group, order))
+    out = ordered(rows, "work_id", "number", 1 << 10, s=Running(F.col("v")), p=Neighbour(F.col("v")), t=Total(F.col("v"), "max"))
+    got = out.filter("work_id = 'w'").orderBy("number").toPandas()
+    want = rows.filter("work_id = 'w'").orderBy("number").toPandas()
+    assert (got["number"] == want["number"]).all() and (got["v"] == want["v"]).all()
+    assert (got["s"] == want["v"].cumsum()).all() and (got["t"] == 6).all()
+    assert got["p"].isna()[0] and (got["p"][1:].to_numpy() == want["v"][:-1].to_numpy()).all()
+    assert [(r["s"], r["p"], r["t"]) for r in out.filter("work_id = 'x'").orderBy("number").collect()] == [(1, None, 3), (4, 1, 3), (6, 3, 3)]
+    assert seen[0] == ("work_id",) and seen[-1] == ("work_id", "_block0") and len(seen) == 6
+    # what the windows hold: the numbers of a block, and its blocks at every level
+    blocks = rows.select("work_id", od.block_of("number", 1 << 10).alias("b"))
+    assert rows.groupBy("work_id", od.block_of("number", 1 << 10)).count().agg(F.max("count")).first()[0] <= 1 << 10
+    for _ in range(4):
+        assert blocks.distinct().groupBy("work_id", od.block_of("b", od.FAN)).count().agg(F.max("count")).first()[0] <= od.FAN
+        blocks = blocks.select("work_id", od.block_of("b", od.FAN).alias("b"))
+
+
+def test_runs_by_large_numbers(spark):
+    base = 2**40
+    rows = [("w", base + n, n % 10 != 0) for n in range(0, 200) if n % 37] + [("w", -5, True), ("w", -4, True), ("w", -3, False)]
+    df = spark.createDataFrame(rows, "work_id string, number long, joins boolean")
+    got = {r["number"]: r["head"] for r in od.run_heads(df, "work_id", "number", F.col("joins"), width=4).collect()}
+    head, last = None, None
+    for _, n, joins in sorted(rows, key=lambda r: r[1]):
+        head = head if joins and last == n - 1 else n
+        assert got[n] == head, n
+        last = n
+
+
 def test_global_rank(spark):
     df = spark.range(500).select((F.col("id") * 37 % 500).alias("k"), F.concat(F.lit("x"), F.col("id") % 3).alias("g"))
     rows = sorted((r["g"], r["k"], r["rank"]) for r in global_rank(df, ["g", "k"]).collect())
@@ -112,6 +151,33 @@ def test_packing(spark):
         assert got == want, width
 
 
+def test_packing_a_long_work(spark, monkeypatch):
+    """One work of many one-character sections, under numbers far apart, and one of mixed lengths."""
+    monkeypatch.setattr(sg, "FOLD", 4)
+    rng = random.Random(2)
+    mixed = [rng.choice([0, 1, 7, 30, 61, 200]) for _ in range(3_000)]
+    rows = [("long", i * 19_997, 1) for i in range(100_000)] + [("mixed", i, n) for i, n in enumerate(mixed)]
+    df = spark.createDataFrame(rows, "work_id string, number int, length int")
+    groups = []
+    real = sg._entries
+    monkeypatch.setattr(sg, "_entries", lambda f, top, limit: groups.append(f.groupBy("work_id", F.floor(F.col(BLOCK) / 4)).count().agg(F.max("count")).first()[0]) or real(f, top, limit))
+    got = sg.pack_sections(df, 60, 1_000).orderBy("work_id", "number").collect()
+    assert [r["part"] for r in got] == [i // 60 + 1 for i in range(100_000)] + pack(mixed, 60)
+    assert len(groups) == 4 and max(groups) <= 4
+
+
+def test_steps_compose():
+    rng = random.Random(4)
+    for _ in range(300):
+        limit = rng.choice([1, 10, 60])
+        a, b, c = ([rng.choice([0, 0, 1, 5, 30, 61, 90]) for _ in range(rng.randint(1, 12))] for _ in range(3))
+        f, g, h = (sg.steps_of(np.array(x), limit) for x in (a, b, c))
+        left, right, whole = f.then(g, limit).then(h, limit), f.then(g.then(h, limit), limit), sg.steps_of(np.array(a + b + c), limit)
+        for chars in range(limit + 40):
+            want = tuple(int(x) for x in whole.after(chars, 2, limit))
+            assert tuple(int(x) for x in left.after(chars, 2, limit)) == tuple(int(x) for x in right.after(chars, 2, limit)) == want
+
+
 def allocate(words, target, piece):
     total = sum(words)
     if total < target * piece:
