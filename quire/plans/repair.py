@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from quire.functions import syllable as sy
 from quire.functions import text as t
 from quire.operators import correct
+from quire.operators import phrases as ph
 from quire.operators.normalise import nfc
 from quire.session import checkpoint
 
@@ -31,5 +32,8 @@ def clean_and_repair(sections: DataFrame, lexicon: DataFrame, key: list[str], te
     if collapse:
         fixed = fixed.withColumn(text, t.collapse_repeats(text))
     fixed = fixed.withColumn(text, t.remove_hesitation(t.normalise_quotes(text)))
-    fixed = fixed.withColumn(text, t.replace_foreign_words(t.replace_phrases(text, phrases), foreign))
+    if phrases:
+        fixed = fixed.withColumn(text, ph.replace_phrases(text, phrases))
+    if foreign:
+        fixed = fixed.withColumn(text, ph.replace_foreign_words(text, foreign))
     return fixed.withColumn(text, t.sub(t.col(text), r"(?dm)^[ \t]+$"))

@@ -7,6 +7,7 @@ from quire.functions import responses as r
 from quire.functions import rules
 from quire.functions import text as t
 from quire.functions import urls
+from quire.operators import phrases as ph
 from quire.operators.normalise import nfc
 from quire.queries.base import sections_c, works_v
 from quire.queries.sql import SPACE, on_c, on_v, strip, wc
@@ -49,6 +50,46 @@ digest("T9_replace_phrases", None, lambda: t.replace_phrases("text", (("the", "l
 digest("T10_replace_foreign", None, lambda: t.replace_foreign_words("text", (("the", "le"), ("of", "de"))))
 
 
+# phrase lists from a table: every word of `benchmark`, with a replacement made from it or the word that follows it there
+WORD = r"[\p{L}\p{M}\p{N}_]"
+LISTED = f"""dict AS (SELECT w, min(n) AS n FROM (SELECT ws[i] AS w, ws[i % len(ws) + 1] AS n FROM (SELECT ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT regexp_extract_all(lower(text), '{WORD}+') AS ws FROM benchmark))) GROUP BY w),
+seg AS (SELECT doc_id, segs, i, segs[i] AS s FROM (SELECT doc_id, segs, unnest(range(1, len(segs) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{WORD}+|[^{WORD[1:-1]}]+') AS segs FROM documents)))"""
+
+
+def _capital(c):
+    return f"CASE WHEN lower(substr(s, 1, 1)) <> substr(s, 1, 1) AND upper(substr(s, 1, 1)) = substr(s, 1, 1) THEN upper(substr({c}, 1, 1)) || substr({c}, 2) ELSE {c} END"
+
+
+def _listed(spark, d):
+    """(word, the first of those that follow it) in `benchmark`; the first word follows the last."""
+    words = table(spark, d, "benchmark").select(F.regexp_extract_all(F.lower("text"), F.lit(WORD + "+"), F.lit(0)).alias("ws")).filter(F.size("ws") > 0)
+    pairs = words.select(F.explode(F.transform("ws", lambda w, i: F.struct(w.alias("w"), F.element_at(F.col("ws"), (i + 1) % F.size("ws") + 1).alias("n")))).alias("p"))
+    return [(r["w"], r["n"]) for r in pairs.groupBy("p.w").agg(F.min("p.n").alias("n")).collect()]
+
+
+@query("T9_phrase_list", f"""WITH {LISTED} SELECT d.doc_id, md5(coalesce(out, '')) AS digest FROM documents d LEFT JOIN (
+SELECT doc_id, string_agg(CASE WHEN w IS NULL THEN s ELSE {_capital("('q' || w)")} END, '' ORDER BY i) AS out FROM seg LEFT JOIN dict ON lower(s) = w GROUP BY doc_id) USING (doc_id)""")
+def _(spark, d):
+    pairs = [(w, "q" + w) for w, _ in _listed(spark, d)]
+    return docs(spark, d).select("doc_id", F.md5(F.coalesce(ph.replace_phrases("text", pairs), F.lit(""))).alias("digest"))
+
+
+@query("T10_foreign_list", f"""WITH {LISTED} SELECT d.doc_id, md5(regexp_replace(coalesce(out, ''), '  +', ' ', 'g')) AS digest FROM documents d LEFT JOIN (
+SELECT doc_id, string_agg(CASE WHEN w IS NULL THEN s WHEN coalesce(segs[i - 1] = ' ' AND ends_with(lower(segs[i - 2]), n), false) OR coalesce(segs[i + 1] = ' ' AND starts_with(lower(segs[i + 2]), n), false) THEN ''
+  ELSE {_capital('n')} END, '' ORDER BY i) AS out FROM seg LEFT JOIN dict ON lower(s) = w GROUP BY doc_id) USING (doc_id)""")
+def _(spark, d):
+    return docs(spark, d).select("doc_id", F.md5(F.coalesce(ph.replace_foreign_words("text", _listed(spark, d)), F.lit(""))).alias("digest"))
+
+
+@query("F14_listed_terms", f"""WITH {LISTED} SELECT d.doc_id, coalesce(n_found, 0) AS n_found, coalesce(n_found, 0) > 0 AS found FROM documents d LEFT JOIN (
+SELECT doc_id, count(*) AS n_found FROM seg JOIN dict ON lower(s) = w WHERE length(w) >= 12 GROUP BY doc_id) USING (doc_id)""")
+def _(spark, d):
+    terms = [w for w, _ in _listed(spark, d) if len(w) >= 12]
+    n = F.aggregate(F.map_values("counts"), F.lit(0).cast("long"), lambda a, x: a + x)
+    rows = docs(spark, d).select("doc_id", ph.holds_any("text", terms, bounded=True).alias("found"), ph.phrase_counts("text", terms).alias("counts"))
+    return rows.select("doc_id", F.coalesce(n, F.lit(0)).alias("n_found"), F.coalesce("found", F.lit(False)).alias("found"))
+
+
 def _nested(expr, steps):
     for pattern, to in steps:
         expr = f"regexp_replace({expr}, '{pattern}', {to}, 'g')"
