@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quire.functions import predicates as p
 from quire.functions import urls
+from quire.operators.held import held, without_held
 
 
 def section_counts(sections: DataFrame, name: str = "sections") -> DataFrame:
@@ -111,7 +112,7 @@ def new_listings(listing: DataFrame, works: DataFrame) -> DataFrame:
 
 def missing_sections(incoming: DataFrame, sections: DataFrame) -> DataFrame:
     """Incoming rows whose (work, number) is not stored."""
-    return incoming.join(sections.select("work_id", "number"), ["work_id", "number"], "left_anti")
+    return without_held(incoming, held(sections))
 
 
 def match_works(incoming: DataFrame, works: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions import urls
 from quire.functions.predicates import is_blank
+from quire.operators.held import held, with_held, without_held
 
 KEY = ["work_id", "number"]
 
@@ -41,16 +42,14 @@ def resume(stored: DataFrame, incoming: DataFrame, order: str) -> DataFrame:
 
 
 def resume_inserts(stored: DataFrame, incoming: DataFrame, order: str) -> DataFrame:
-    return earliest(incoming.join(stored.select(*KEY), KEY, "left_anti"), KEY, order)
+    """The rows that ``resume`` inserts. The stored side enters the join as bitmaps of its numbers."""
+    return earliest(without_held(incoming, held(stored)), KEY, order)
 
 
 def resume_counts(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Inserted and skipped per work."""
-    known = stored.select(*KEY).distinct().withColumn("_known", F.lit(True))
-    marked = incoming.select(*KEY).distinct().join(known, KEY, "left")
-    return marked.groupBy("work_id").agg(
-        F.count_if(F.col("_known").isNull()).alias("inserted"), F.count_if("_known").alias("skipped")
-    )
+    marked = with_held(incoming.select(*KEY).distinct(), held(stored), "_known")
+    return marked.groupBy("work_id").agg(F.count_if(~F.col("_known")).alias("inserted"), F.count_if("_known").alias("skipped"))
 
 
 def replace_works(stored: DataFrame, incoming: DataFrame) -> DataFrame:

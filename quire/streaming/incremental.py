@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quire.functions import syllable as sy
 from quire.functions import urls
 from quire.operators.changes import earliest
+from quire.operators.held import SCHEMA, held, merged, without_held
 
 KEY = ["work_id", "number"]
 
@@ -83,25 +84,56 @@ def watch_stream(events: DataFrame, marks: DataFrame | None = None) -> DataFrame
 
 def read_batches(spark: SparkSession, root: str, schema) -> DataFrame:
     """All rows of a streamed table with the batch that wrote them; empty when nothing was written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/batch=*/_SUCCESS")) if fs.exists(path) else None
-    if not found:
+    folders = list(_complete(spark, root, "batch").values())
+    if not folders:
         return spark.createDataFrame([], schema).withColumn("batch", F.lit(None).cast("bigint"))
-    folders = [s.getPath().getParent().toString() for s in found]
     return spark.read.schema(schema).option("basePath", root).parquet(*folders).withColumn("batch", F.regexp_extract("_metadata.file_path", r"batch=(\d+)", 1).cast("bigint"))
 
 
-def resume_writer(root: str, schema, order: str, stored: DataFrame | None = None):
+def _complete(spark: SparkSession, root: str, name: str) -> dict[int, str]:
+    """The complete folders ``name``=N below ``root`` by N."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}=*/_SUCCESS")) if fs.exists(path) else None
+    folders = [s.getPath().getParent() for s in (found or [])]
+    return {int(f.getName().split("=")[1]): f.toString() for f in folders}
+
+
+def held_numbers(spark: SparkSession, root: str, before: int | None = None, but: int | None = None) -> tuple[DataFrame, int, list[int]]:
+    """The numbers a streamed table holds, as bitmaps (a work's may come in several rows), from the newest merged folder and the batches
+    after it; that folder's batch (-1 without one) and those batches. ``but``: a batch that is left out."""
+    top = max(_complete(spark, f"{root}/numbers", "upto"), default=-1)
+    batches = {i: f for i, f in _complete(spark, f"{root}/numbers", "batch").items() if i > top and i != but and (before is None or i < before)}
+    folders = ([f"{root}/numbers/upto={top}"] if top >= 0 else []) + list(batches.values())
+    rows = spark.read.schema(SCHEMA).parquet(*folders) if folders else spark.createDataFrame([], SCHEMA)
+    return rows, top, sorted(batches)
+
+
+def resume_writer(root: str, schema, order: str, stored: DataFrame | None = None, most: int = 32):
     """foreachBatch function that adds the (work, number) pairs the table does not have; of one sent twice in a batch
-    the first by ``order``."""
+    the first by ``order``.
+
+    Beside its rows a batch leaves bitmaps of their numbers, and the next ones read those only, never the rows. After ``most`` batches the
+    bitmaps are merged. A batch that runs again overwrites what it left; one before the last merge is done and passes by.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        known = read_batches(batch.sparkSession, root, schema).filter(F.col("batch") != batch_id).select(*KEY)
+        spark = batch.sparkSession
+        known, top, batches = held_numbers(spark, root, but=batch_id)
+        if batch_id <= top:
+            return
         if stored is not None:
-            known = known.unionByName(stored.select(*KEY))
-        fresh = earliest(batch.join(known, KEY, "left_anti"), KEY, order)
+            if not _complete(spark, f"{root}/numbers", "stored"):
+                held(stored).write.mode("overwrite").parquet(f"{root}/numbers/stored=0")
+            known = known.unionByName(spark.read.schema(SCHEMA).parquet(f"{root}/numbers/stored=0"))
+        fresh = earliest(without_held(batch, merged(known)), KEY, order)
         fresh.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+        added = spark.read.schema(fresh.schema).parquet(f"{root}/batch={batch_id}")
+        held(added).write.mode("overwrite").parquet(f"{root}/numbers/batch={batch_id}")
+        if len(batches) >= most:
+            earlier, _, done = held_numbers(spark, root, before=batch_id)
+            if done:
+                merged(earlier).write.mode("overwrite").parquet(f"{root}/numbers/upto={done[-1]}")
 
     return write
 
