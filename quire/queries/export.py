@@ -23,12 +23,34 @@ def _(spark, d):
     return spark.read.schema(ddl).json(path).select("slug", "number", "title")
 
 
-@query("K4_text_export", on_v(f"""SELECT work_id, NULL::INT AS part, 1 AS parts, md5(concat_ws(chr(10), title || ' — ' || coalesce(author, ''), '', body, 'Hoàn văn.')) AS digest FROM (
-SELECT work_id, string_agg(line || chr(10), chr(10) ORDER BY number, i) AS body FROM (SELECT work_id, number, i, ls[i] AS line FROM (SELECT work_id, number, ls, unnest(range(1, len(ls) + 1)) AS i FROM (
-SELECT work_id, number, list_filter(list_transform(string_split(replace(content, chr(13), chr(10)), chr(10)), lambda x: {strip('x')}), lambda x: x <> '') AS ls FROM sections_v))) GROUP BY work_id) JOIN works_v USING (work_id)"""))
+def _parts_sql(limit, head, on, tail, file):
+    """Texts by work and part: sections packed by a walk over their positions, lines trimmed, a blank line behind each."""
+    return on_v(f"""SELECT work_id, CASE WHEN chars > {limit} THEN part END AS part, parts, {file} AS file, md5(concat_ws(chr(10), {head} || CASE WHEN chars > {limit} THEN ' (Phần ' || part || '/' || parts || ')' ELSE '' END, '', body,
+  CASE WHEN chars > {limit} AND part < parts THEN {on} ELSE {tail} END)) AS digest
+FROM (SELECT work_id, part, string_agg(line || chr(10), chr(10) ORDER BY number, j) AS body FROM (SELECT work_id, part, number, j, ls[j] AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS j FROM (
+  SELECT work_id, part, number, list_filter(list_transform(string_split(replace(coalesce(content, ''), chr(13), chr(10)), chr(10)), lambda x: {strip('x')}), lambda x: x <> '') AS ls FROM walk JOIN seq USING (work_id, number)))) GROUP BY work_id, part)
+RIGHT JOIN (SELECT DISTINCT work_id, part FROM walk) USING (work_id, part) JOIN (SELECT work_id, max(part) AS parts, sum(length) AS chars FROM walk GROUP BY work_id) USING (work_id) JOIN works_v USING (work_id)""", f"""
+seq AS (SELECT work_id, number, content, length(coalesce(content, '')) AS length, row_number() OVER (PARTITION BY work_id ORDER BY number) AS i FROM sections_v),
+walk AS (SELECT work_id, number, length, i, 1 AS part, length AS open FROM seq WHERE i = 1 UNION ALL
+  SELECT s.work_id, s.number, s.length, s.i, CASE WHEN w.open + s.length > {limit} THEN w.part + 1 ELSE w.part END, CASE WHEN w.open + s.length > {limit} THEN s.length ELSE w.open + s.length END
+  FROM walk w JOIN seq s ON s.work_id = w.work_id AND s.i = w.i + 1)""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_NEXT = "'Hết phần ' || part || '. Mời các bạn nghe tiếp phần ' || (part + 1) || '.'"
+
+
+@query("K4_text_export", _parts_sql(60_000, "title || ' — ' || coalesce(author, '')", _NEXT, "'Hoàn văn.'", "slug || CASE WHEN chars > 60000 THEN '_p' || part ELSE '' END || '.txt'"))
 def _(spark, d):
-    out = sinks.export_texts(works_v(spark, d), sections_v(spark, d), 10**9, clean=lambda c: c)
-    return out.select("work_id", "part", "parts", F.md5("text").alias("digest"))
+    out = sinks.export_texts(works_v(spark, d), sections_v(spark, d), clean=lambda c: c)
+    return out.select("work_id", "part", "parts", "file", F.md5("text").alias("digest"))
+
+
+@query("K4_channel_parts", _parts_sql(
+    6_000, "'Chào mừng các bạn đến với Q. Chúc các bạn nghe truyện vui vẻ.'", _NEXT + " || ' Nhớ like và đăng ký kênh Q.'",
+    "'Hoàn văn. Nhớ like và đăng ký kênh Q để nghe nhiều chuyện ngôn tình hay.'", "slug || CASE WHEN chars > 6000 THEN '_p' || part ELSE '' END || '.txt'"))
+def _(spark, d):
+    out = sinks.export_texts(works_v(spark, d), sections_v(spark, d), 6_000, "Q", clean=lambda c: c)
+    return out.select("work_id", "part", "parts", "file", F.md5("text").alias("digest"))
 
 
 @query("K4_text_export_parts")
