@@ -1,7 +1,7 @@
 """Toxicity: a learnt lexicon, misspelled terms by Levenshtein automata, and context windows.
 
-The lexicon is stored as a trie. A word's Levenshtein automaton (a row of the edit table per state; two letters exchanged are one edit)
-walks the trie and leaves a branch as soon as no term below it can be near enough. Every hit is weighed by its neighbourhood:
+The lexicon is stored as a trie. A word's Levenshtein automaton (a bit per state, all states of as many edits in one number; two letters
+exchanged are one edit) walks the trie and leaves a branch as soon as no term below it can be near enough. Every hit is weighed by its neighbourhood:
 quotation marks and words of reporting lower it, a direct address and further hits raise it; quoted, reported and addressed hits are
 summed apart as well, so that a logistic model, which turns the sums into a score, can weigh them anew.
 """
@@ -63,26 +63,30 @@ class Trie:
 
     def near(self, word: str, limit: int) -> str | None:
         """The term with the fewest edits to ``word``, ``limit`` at most; ties by code point."""
+        places: dict[str, int] = {}
+        for i, letter in enumerate(word):
+            places[letter] = places.get(letter, 0) | 1 << i
+        end = 1 << len(word)
         best: tuple[int, str] | None = None
-        start = tuple(range(len(word) + 1))
-        stack = [(self.root, start, start, "")]
+        # bit i of states[k]: with k edits, the letters so far may stand for the first i of the word; turned[k]: those i behind which the letter
+        # read last stands second, so that an exchange may follow
+        start = [(1 << k + 1) - 1 for k in range(limit + 1)]
+        stack = [(self.root, start, [0] * limit)]
         while stack:
-            node, row, above, last = stack.pop()
+            node, states, turned = stack.pop()
             for letter, below in node.items():
                 if letter == "":
-                    found = (row[-1], below)
-                    if row[-1] <= limit and (best is None or found < best):
-                        best = found
+                    edits = next((k for k in range(limit + 1) if states[k] & end), None)
+                    if edits is not None and (best is None or (edits, below) < best):
+                        best = edits, below
                     continue
-                state = [row[0] + 1]
-                for i, own in enumerate(word):
-                    cost = min(row[i] + (own != letter), row[i + 1] + 1, state[i] + 1)
-                    if i and last == own and word[i - 1] == letter:
-                        cost = min(cost, above[i - 1] + 1)
-                    state.append(cost)
-                # an exchange may still lead from this row to the one after the next
-                if min(state) <= limit or min(row) < limit:
-                    stack.append((below, tuple(state), row, letter))
+                here = places.get(letter, 0)
+                after = [(states[0] & here) << 1]
+                for k in range(1, limit + 1):
+                    less = states[k - 1]
+                    after.append((states[k] & here) << 1 | less | less << 1 | after[-1] << 1 | (turned[k - 1] & here) << 2)
+                if after[-1] & 2 * end - 1:
+                    stack.append((below, after, [s & here >> 1 for s in states[:limit]]))
         return best[1] if best else None
 
 
@@ -144,7 +148,7 @@ class Lexicon:
                 # letters exchanged across a cut damage two parts
                 parts += [(term[: k - 1] + term[k] + term[k - 1] + term[k + 1 :], "") for k in (x, y)]
                 for head, tail in ((h.encode(), t.encode()) for h, t in parts):
-                    wanted.setdefault((len(head), len(tail), len(term.encode())), set()).add((head, tail))
+                    wanted.setdefault((len(head), len(tail), len(term)), set()).add((head, tail))
         self.frames = {k: np.sort(_both(hash_bytes([h for h, _ in v]), hash_bytes([t for _, t in v]))) for k, v in wanted.items()}
         self.met: dict[int, str] = {}
         self.report, self.address = np.sort(hash_of(REPORTING)), np.sort(hash_of(ADDRESS))
@@ -155,10 +159,14 @@ class Lexicon:
             return {}
         start, end = words.start[which], words.end[which]
         size = end - start
+        begun = np.concatenate([[0], np.cumsum(words.data & 0xC0 != 0x80)])
+        letters = begun[end] - begun[start]
         possible = np.zeros(len(which), bool)
+        by_length = {n: np.flatnonzero(np.abs(letters - n) <= 1) for n in {k[2] for k in self.frames}}
         for (head, tail, length), found in self.frames.items():
-            # an edit changes the length by one letter, four bytes at most
-            fits = np.flatnonzero((np.abs(size - length) <= 4) & (size >= head + tail) & ~possible)
+            # an edit changes the length by one letter
+            fits = by_length[length]
+            fits = fits[(size[fits] >= head + tail) & ~possible[fits]]
             keys = _both(words.span_hash(start[fits], start[fits] + head), words.span_hash(end[fits] - tail, end[fits]))
             at = np.minimum(np.searchsorted(found, keys), len(found) - 1)
             possible[fits[found[at] == keys]] = True
