@@ -58,7 +58,20 @@ def _(spark, d):
     events = events.unionByName(events)  # every listing twice
     marks = table(spark, d, "conversations").select(
         F.concat(F.lit("https://w.example/"), F.col("conv_id").cast("string")).alias("url"), (F.col("conv_id") % 4).alias("last_number")).distinct()
-    return inc.run_to_folder(inc.watch_stream(events, marks), scratch(spark, "watch"))
+    folder = scratch(spark, "watch")
+    inc.run_to_folder(inc.watch_stream(events, marks), folder, settings=inc.STORE)
+    # once more from its checkpoint: nothing is sent again
+    return inc.run_to_folder(inc.watch_stream(events, marks), folder, settings=inc.STORE).select("url", "number", "mark")
+
+
+# a user who is silent for twelve hours is forgotten
+@query("I1_forgotten", """SELECT 'u' || user_id AS url, (max(event_id) FILTER (event_type <> 'click'))::BIGINT AS last_open FROM events GROUP BY user_id
+HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def _(spark, d):
+    e = stream(spark, d, "events").withColumn("at_", F.col("ts").cast("timestamp"))
+    events = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url"), F.lit("listing").alias("kind"), F.when(F.col("event_type") == "click", F.lit(-1)).otherwise(F.col("event_id")).alias("number"), "at_")
+    out = inc.run_to_folder(inc.watch_stream(events, stamp="at_", forget_hours=12), scratch(spark, "forgotten"), settings=inc.STORE)
+    return out.filter("forgotten").groupBy("url").agg(F.max("number").alias("last_open"))
 
 
 @query("I2_watch_add", f"""WITH {STATE} SELECT min(url) AS url FROM listing WHERE regexp_replace(url, '/+$', '') NOT IN (SELECT url FROM state) GROUP BY regexp_replace(url, '/+$', '')""")

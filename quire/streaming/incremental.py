@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from quire.functions import syllable as sy
 from quire.functions import urls
@@ -45,35 +44,81 @@ def acknowledge(state: DataFrame, loaded: DataFrame) -> DataFrame:
     return out.withColumn("last_number", F.greatest("last_number", "_top")).select(*state.columns)
 
 
-def watch_stream(events: DataFrame, marks: DataFrame | None = None) -> DataFrame:
-    """I1 as a stream. ``events``: url, kind (listing / ack), number. Emits (url, number, mark) for listed numbers above
-    the mark of their URL, each once a batch; an acknowledgement moves the mark for the batches after it. ``marks`` (url,
-    last_number), a static table, gives the marks that URLs begin with."""
-
-    def check(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        mark, top, sent = (state.get[0] if state.exists else None), 0, set()
-        for frame in frames:
-            if mark is None:
-                mark = int(frame["seed"].iloc[0])
-            top = max(top, mark)
+class Watch(StatefulProcessor):
+    """The mark of a watched URL, the numbers sent and not acknowledged yet, and when the URL is forgotten."""
+
+    def __init__(self, forget_ms: int):
+        self.forget_ms = forget_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.mark = handle.getValueState("mark", "mark bigint")
+        self.open = handle.getMapState("open", "number bigint", "times bigint")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.mark.update((int(initialState["last_number"].max()),))
+        if self.forget_ms:
+            self._wait(timerValues.getCurrentWatermarkInMs())
+
+    def _wait(self, since: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(since, 0) + self.forget_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
+        known = self.mark.get()
+        mark = int(known[0]) if known is not None else 0
+        top, newest, sent = mark, 0, set()
+        for frame in rows:
             acked = frame.loc[frame["kind"] == "ack", "number"]
-            if len(acked):
-                top = max(top, int(acked.max()))
-            listed = frame.loc[(frame["kind"] == "listing") & (frame["number"] > mark), "number"].drop_duplicates().sort_values()
-            # the rows of a URL come in several frames; numbers above the mark of one batch are few
-            listed = listed[~listed.isin(sent)]
-            sent.update(listed.tolist())
-            if len(listed):
-                yield pd.DataFrame({"url": key[0], "number": listed.astype("int64"), "mark": mark})
-        state.update((top,))
-
-    keyed = events.select(urls.trimmed("url").alias("url"), "kind", F.col("number").cast("bigint").alias("number"))
-    if marks is None:
-        keyed = keyed.withColumn("seed", F.lit(0).cast("bigint"))
-    else:
-        known = marks.groupBy(urls.trimmed("url").alias("_u")).agg(F.max("last_number").cast("bigint").alias("seed"))
-        keyed = keyed.join(known, F.col("url") == F.col("_u"), "left").select("url", "kind", "number", F.coalesce("seed", F.lit(0)).alias("seed"))
-    return keyed.groupBy("url").applyInPandasWithState(check, "url string, number bigint, mark bigint", "mark bigint", "append", "NoTimeout")
+            top = max(top, int(acked.max()) if len(acked) else top)
+            if self.forget_ms:
+                newest = max(newest, int(frame["at"].max()))
+            listed = set(frame.loc[(frame["kind"] == "listing") & (frame["number"] > mark), "number"].tolist()) - sent
+            sent |= listed
+            if listed:
+                yield pd.DataFrame({"url": key[0], "number": sorted(listed), "mark": mark, "forgotten": False})
+        for number in sent:
+            before = self.open.getValue((number,)) if self.open.containsKey((number,)) else (0,)
+            self.open.updateValue((number,), (int(before[0]) + 1,))
+        if top > mark or known is None:
+            self.mark.update((top,))
+        for number in [k[0] for k in self.open.keys() if k[0] <= top]:
+            self.open.removeKey((number,))
+        if self.forget_ms:
+            self._wait(newest)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        mark = self.mark.get()
+        numbers = sorted(k[0] for k in self.open.keys())
+        self.mark.clear()
+        self.open.clear()
+        yield pd.DataFrame({"url": key[0], "number": pd.array(numbers or [None], "Int64"), "mark": int(mark[0]) if mark is not None else 0, "forgotten": True})
+
+
+#: The store that Spark's stateful processors keep their state in.
+STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def watch_stream(events: DataFrame, marks: DataFrame | None = None, stamp: str | None = None, late: str = "1 hour", forget_hours: int = 0) -> DataFrame:
+    """I1 as a stream. ``events``: url, kind (listing / ack), number. Emits (url, number, mark, forgotten) for listed numbers above
+    the mark of their URL, each once a batch; an acknowledgement moves the mark for the batches after it. ``marks`` (url,
+    last_number), a static table, is the state that URLs begin with.
+
+    With ``stamp``, the time of an event, and ``forget_hours``, a URL without an event for so long is forgotten: its state goes, and the numbers
+    sent and never acknowledged come out once more as ``forgotten`` (one null where there are none). Start it with ``run_to_folder``
+    or under the settings of STORE.
+    """
+    keyed = events.withWatermark(stamp, late) if stamp else events
+    columns = [urls.trimmed("url").alias("url"), F.col("kind"), F.col("number").cast("bigint").alias("number")]
+    if stamp:
+        columns += [F.col(stamp), F.unix_millis(stamp).alias("at")]
+    start = None
+    if marks is not None:
+        start = marks.groupBy(urls.trimmed("url").alias("url")).agg(F.max("last_number").cast("bigint").alias("last_number")).groupBy("url")
+    return keyed.select(*columns).groupBy("url").transformWithStateInPandas(
+        Watch(forget_hours * 3_600_000 if stamp else 0), "url string, number bigint, mark bigint, forgotten boolean", "append", "EventTime" if stamp else "None", start,
+    )
 
 
 # --- I3 / I4: replay-safe loading -----------------------------------------------------------------------------------
@@ -183,13 +228,20 @@ def quality_monitor(sections: DataFrame, stamp: str, width: str, key: str, text:
     )
 
 
-def run_to_folder(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and return what it wrote."""
+def run_to_folder(stream: DataFrame, folder: str, mode: str = "append", settings: dict[str, str] | None = None) -> DataFrame:
+    """Run a stream over what is there now and return what it wrote. ``settings`` hold for this stream only."""
     spark = stream.sparkSession
     out = f"{folder}/out"
-    job = (
-        stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", f"{folder}/state")
-        .trigger(availableNow=True).start()
-    )
+    before = {k: spark.conf.get(k, None) for k in settings or {}}
+    for k, v in (settings or {}).items():
+        spark.conf.set(k, v)
+    try:
+        job = (
+            stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", f"{folder}/state")
+            .trigger(availableNow=True).start()
+        )
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     job.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)

@@ -22,11 +22,36 @@ def test_watch_stream_waits_for_the_acknowledgement(spark, tmp_path):
     for i, rows in enumerate([[("u", "listing", 1), ("u", "listing", 2)], [("u", "listing", 3), ("u", "ack", 2)], [("u/", "listing", 2), ("u", "listing", 3)]]):
         write_rows(spark, tmp_path, "in", rows, schema)
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        out = inc.run_to_folder(inc.watch_stream(stream), str(tmp_path / "job"))
+        out = inc.run_to_folder(inc.watch_stream(stream), str(tmp_path / "job"), settings=inc.STORE)
         seen.append(sorted((r["number"], r["mark"]) for r in out.collect()))
     assert seen[0] == [(1, 0), (2, 0)] and seen[1] == [(1, 0), (2, 0), (3, 0)] and seen[2] == [(1, 0), (2, 0), (3, 0), (3, 2)]
 
 
+def test_watch_begins_with_marks_and_forgets(spark, tmp_path):
+    schema = "url string, kind string, number int, hour int"
+    marks = spark.createDataFrame([("u/", 5), ("u", 4), ("never", 9)], "url string, last_number int")
+
+    def go():
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).withColumn("t", F.timestamp_seconds(F.col("hour") * 3600))
+        out = inc.run_to_folder(inc.watch_stream(stream, marks, "t", "1 hour", 10), str(tmp_path / "job"), settings=inc.STORE)
+        return sorted((r["url"], r["number"] or -1, r["mark"], r["forgotten"]) for r in out.collect())
+
+    write_rows(spark, tmp_path, "in", [("u", "listing", 5, 100), ("u", "listing", 6, 100), ("u", "listing", 7, 100), ("v", "listing", 1, 100)], schema)
+    first = [("u", 6, 5, False), ("u", 7, 5, False), ("v", 1, 0, False)]
+    assert [r for r in go() if r[0] != "never"] == first
+    write_rows(spark, tmp_path, "in", [("u", "ack", 6, 101), ("v", "ack", 1, 108)], schema)
+    assert [r for r in go() if r[0] != "never"] == first
+    assert [r for r in go() if r[0] != "never"] == first  # from its checkpoint, nothing new
+    # u was heard of at 101, v at 108: at 114 only u has been silent for ten hours, with 7 still open
+    write_rows(spark, tmp_path, "in", [("w", "listing", 1, 114)], schema)
+    got = go()
+    assert ("u", 7, 6, True) in got and not any(r[0] == "v" and r[3] for r in got)
+    write_rows(spark, tmp_path, "in", [("u", "listing", 2, 130)], schema)
+    got = go()
+    # the forgotten one begins anew; v has nothing open
+    assert ("u", 2, 0, False) in got and ("v", -1, 1, True) in got
+
+
 def test_resume_is_replay_safe(spark, tmp_path):
     root, schema = str(tmp_path / "t"), "work_id string, number int, v string"
     one = spark.createDataFrame([("w", 1, "a"), ("w", 1, "a"), ("w", 2, "a")], schema)
