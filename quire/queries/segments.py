@@ -6,7 +6,7 @@ from quire.functions import text as t
 from quire.operators import catalog, segment as sg
 from quire.operators import sequence as sq
 from quire.queries.base import sections_c, sections_v, works_c, works_v
-from quire.queries.sql import SPACE, on_c, on_v, strip, wc
+from quire.queries.sql import SPACE, cascade, on_c, on_v, strip, wc
 from quire.registry import query, table
 
 
@@ -43,7 +43,7 @@ def _(spark, d):
     return sections_c(spark, d).select("work_id", "number", F.size(parts).alias("n"), F.md5(F.array_join(parts, "|")).alias("digest"))
 
 
-@query("G1_paragraph_cascade")
+@query("G1_paragraph_cascade", f"WITH {cascade('cas', 'documents', 'doc_id', 'text', 100)} SELECT doc_id, len(ps) AS n, md5(array_to_string(ps, '|')) AS digest FROM cas")
 def _(spark, d):
     docs = table(spark, d, "documents").withColumn("parts", sg.paragraphs("text", 100))
     return docs.select("doc_id", F.size("parts").alias("n"), F.md5(F.array_join("parts", "|")).alias("digest"))
@@ -62,6 +62,28 @@ cut AS (SELECT work_id, number, piece, CASE WHEN k = 1 THEN title ELSE 'Phần '
   FROM (SELECT *, unnest(range(k)) AS piece FROM sized))"""
 
 
+@query("G2_even_cuts_documents", f"WITH {cascade('cas', 'documents', 'doc_id', 'text', 800)} SELECT doc_id, len(ps) AS n, (len(ps) // 3) || ',' || (2 * (len(ps) // 3)) AS cuts FROM cas")
+def _(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.size(sg.paragraphs("text")).alias("n"))
+    return docs.select("doc_id", "n", F.array_join(sg.even_cuts(F.col("n"), F.lit(3)).cast("array<string>"), ",").alias("cuts"))
+
+
+def split_documents(least):
+    """The cut pieces of the document works, all branches of the paragraphs on."""
+    return _alloc("sections_v", 600, 20) + f""", {cascade('cas', 'sections_v', 'work_id, number', 'content', least)},
+sized AS (SELECT a.work_id, a.number, s.title, s.content, ps, CASE WHEN a.pieces > 1 AND len(ps) >= 2 * a.pieces THEN a.pieces ELSE 1 END AS k FROM alloc a JOIN sections_v s USING (work_id, number) JOIN cas USING (work_id, number)),
+cut AS (SELECT work_id, number, piece, CASE WHEN k = 1 THEN title ELSE 'Phần ' || (piece + 1) END AS title,
+  CASE WHEN k = 1 THEN content ELSE array_to_string(ps[piece * (len(ps) // k) + 1 : CASE WHEN piece = k - 1 THEN len(ps) ELSE (piece + 1) * (len(ps) // k) END], chr(10) || chr(10)) END AS content
+  FROM (SELECT *, unnest(range(k)) AS piece FROM sized)),
+whole AS (SELECT work_id FROM (SELECT work_id, sum({wc('content')}) AS a FROM cut GROUP BY 1) JOIN (SELECT work_id, sum(words) AS b FROM alloc GROUP BY 1) USING (work_id) WHERE abs(a - b) <= b * 0.02)"""
+
+
+@query("G3_split_documents", on_v("SELECT work_id, number, piece::INT AS piece, title, md5(content) AS digest FROM cut", split_documents(800)))
+def _(spark, d):
+    s = sections_v(spark, d)
+    return sg.split_pieces(s, sg.allocate(s, 600, 20)).select("work_id", "number", "piece", "title", F.md5("content").alias("digest"))
+
+
 @query("G3_split_pieces", on_c(f"SELECT work_id, number, piece::INT AS piece, title, md5(content) AS digest FROM cut", _alloc("sections_c", 12, 20) + ", " + SPLIT))
 def _(spark, d):
     s = sections_c(spark, d)
@@ -80,7 +102,8 @@ def _(spark, d):
     return sg.split_status(sections_c(spark, d), 5, 40)
 
 
-@query("G4_split_documents")
+@query("G4_split_documents", on_v(f"""SELECT work_id, row_number() OVER (PARTITION BY work_id ORDER BY number, piece) AS number, title, md5(content) AS digest, {wc('content')} AS word_count
+FROM cut WHERE work_id IN (SELECT work_id FROM whole)""", split_documents(40)))
 def _(spark, d):
     out = sg.split_to_target(sections_v(spark, d), 600, 20)
     return out.select("work_id", "number", "title", F.md5("content").alias("digest"), "word_count")
@@ -93,6 +116,13 @@ def _(spark, d):
     return out.select("work_id", "number", "title", F.md5("content").alias("digest"))
 
 
+@query("G5_split_thin_documents", on_v("""SELECT work_id, row_number() OVER (PARTITION BY work_id ORDER BY number, piece) AS number, title, md5(content) AS digest FROM cut
+WHERE work_id IN (SELECT work_id FROM whole) AND work_id IN (SELECT work_id FROM sections_v WHERE publish_status = 'published' GROUP BY 1 HAVING count(*) < 600) AND work_id IN (SELECT work_id FROM works_v WHERE publish_status = 'published')""", split_documents(40)))
+def _(spark, d):
+    out = sg.split_thin(works_v(spark, d), sections_v(spark, d), 600, 600, 20)
+    return out.select("work_id", "number", "title", F.md5("content").alias("digest"))
+
+
 def _cue_sql(size, wps):
     return f"""SELECT doc_id, (k + 1)::INT AS idx, k * {size} / {wps} AS s, least(n, (k + 1) * {size}) / {wps} AS e, array_to_string(w[k * {size} + 1 : (k + 1) * {size}], ' ') AS text
 FROM (SELECT doc_id, w, len(w) AS n, unnest(range((len(w) + {size} - 1) // {size})) AS k FROM (SELECT doc_id, regexp_extract_all(text, '[^{SPACE}]+') AS w FROM documents))"""
@@ -161,6 +191,11 @@ def _(spark, d):
     return sections_c(spark, d).select("work_id", "number", F.md5(sg.numbered_paragraphs(sg.paragraphs("content", 10**6))).alias("digest"))
 
 
+@query("P3_numbered_documents", f"WITH {cascade('cas', 'documents', 'doc_id', 'text', 100)} SELECT doc_id, md5(array_to_string(list_transform(ps, lambda x, i: '[Đoạn ' || i || '] ' || x), chr(10) || chr(10))) AS digest FROM cas")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(sg.numbered_paragraphs(sg.paragraphs("text", 100))).alias("digest"))
+
+
 @query("P4_section_contexts", on_c(f"""SELECT s.work_id, s.number, md5(concat_ws(chr(10), w.title, coalesce(nullif(w.genres, ''), '(unknown)'), s.number || ': ' || s.title, CASE WHEN length(c) <= 500 THEN c ELSE substr(c, 1, 250) || chr(10) || chr(91) || ' cut ' || chr(93) || chr(10) || right(c, 250) END,
 coalesce('next: ' || nxt, 'next: -'))) AS digest FROM (SELECT *, {strip('content')} AS c, lead(title) OVER (PARTITION BY work_id ORDER BY number) AS nxt FROM sections_c) s JOIN works_c w USING (work_id)"""))
 def _(spark, d):

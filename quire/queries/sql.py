@@ -61,3 +61,35 @@ def on_v(body: str, ctes: str = "") -> str:
 
 def on_c(body: str, ctes: str = "") -> str:
     return with_views(body, WORKS_C, SECTIONS_C, ctes=ctes)
+
+
+_SIGN = "[.?!…]"
+_CAPITAL = "[A-ZÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚĂĐĨŨƠƯẠ-Ỹ]"
+
+
+def reflow(c: str) -> str:
+    """Glued dialogue on lines of its own. RE2 can't look behind, so the letter before a quote is matched too, and twice: it may close the match before."""
+    nl = "chr(10)"
+    glued = rf'([\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}])(["»])[{SPACE}]+({_CAPITAL})'
+    steps = [
+        (r"\r\n|\r", nl), (r"\n{3,}", f"{nl} || {nl}"), (rf'({_SIGN}["»])[{SPACE}]*([^\n"«{SPACE}])', rf"'\1' || {nl} || '\2'"),
+        (rf'([:：])[{SPACE}]*(["«])', rf"'\1' || {nl} || '\2'"), (glued, rf"'\1\2' || {nl} || '\3'"), (glued, rf"'\1\2' || {nl} || '\3'"),
+        (r'([.?!…"»])\n([^\n])', rf"'\1' || {nl} || {nl} || '\2'"), (rf'\n[{SPACE}]*(["«»])[{SPACE}]*\n+', rf"{nl} || '\1'"), (r"\n{3,}", f"{nl} || {nl}"),
+    ]
+    for pattern, to in steps:
+        c = f"regexp_replace({c}, '{pattern}', {to}, 'g')"
+    return strip(c)
+
+
+def pieces_of(c: str, sep: str) -> str:
+    return f"list_filter(list_transform(string_split({c}, {sep}), lambda x: {strip('x')}), lambda x: x <> '')"
+
+
+def cascade(name: str, source: str, keys: str, text: str, least: int) -> str:
+    """CTEs that end in ``name`` (keys, ps): the paragraphs of a text by blank lines or lines, by those of the reflowed text, or by sentences."""
+    told = f"regexp_replace({strip(text)}, '([.!?…])[{SPACE}]+', '\\1' || chr(1), 'g')"
+    return f"""{name}_f AS (SELECT {keys}, {wc(text)} AS words, CASE WHEN contains({text}, chr(10) || chr(10)) THEN {pieces_of(text, 'chr(10) || chr(10)')} ELSE {pieces_of(text, 'chr(10)')} END AS plain,
+  {reflow(text)} AS flowed, {pieces_of(told, 'chr(1)')} AS told FROM {source}),
+{name}_p AS (SELECT *, {pieces_of('flowed', 'chr(10) || chr(10)')} AS gaps, {pieces_of('flowed', 'chr(10)')} AS lns, greatest(3, len(told) // 18) AS step FROM {name}_f),
+{name} AS (SELECT {keys}, CASE WHEN len(plain) >= 5 OR words < {least} THEN plain WHEN len(gaps) >= 5 THEN gaps WHEN len(lns) >= 5 THEN lns
+  WHEN len(told) >= 10 THEN list_transform(range(0, (len(told) - 1) // step + 1), lambda i: array_to_string(told[i * step + 1 : (i + 1) * step], ' ')) ELSE plain END AS ps FROM {name}_p)"""

@@ -10,7 +10,7 @@ from quire.functions import urls
 from quire.operators import phrases as ph
 from quire.operators.normalise import nfc
 from quire.queries.base import sections_c, works_v
-from quire.queries.sql import SPACE, on_c, on_v, strip, wc
+from quire.queries.sql import SPACE, on_c, on_v, reflow, strip, wc
 from quire.registry import query, table
 
 
@@ -43,7 +43,7 @@ def _(spark, d):
 
 digest("T5_repair_mojibake", "text", lambda: t.repair_mojibake(F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")))
 digest("T6_strip_foreign", rf"""{strip(rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x{{4e00}}-\x{{9fff}}\x{{3400}}-\x{{4dbf}}\x{{f900}}-\x{{faff}}\x{{3000}}-\x{{303f}}\x{{0400}}-\x{{04ff}}\x{{ac00}}-\x{{d7af}}\x{{1100}}-\x{{11ff}}\x{{3040}}-\x{{30ff}}]+', '', 'g'), '(?:[a-zA-Z]+[{SPACE}]+){{3,}}[a-zA-Z]+', '', 'g'), '  +', ' ', 'g'), '(?m)^ +| +$', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')")}""", lambda: t.strip_foreign("text"))
-digest("T7_reflow", None, lambda: t.reflow(F.replace("text", F.lit(". "), F.lit('."'))))
+digest("T7_reflow", reflow("""replace(text, '. ', '."')"""), lambda: t.reflow(F.replace("text", F.lit(". "), F.lit('."'))))
 LEXICON = (("the", "le"), ("the of", "du"), ("une", "un"))
 digest("T8_clean_body", None, lambda: t.clean_body("text", LEXICON))
 digest("T9_replace_phrases", None, lambda: t.replace_phrases("text", (("the", "le"), ("un la", "une"))))
