@@ -112,11 +112,6 @@ def damaged(spark, d):
     return correct.damaged_words(all_texts(spark, d), "text")
 
 
-@query("C5_collapse_fixes")
-def _(spark, d):
-    return correct.collapse_fixes(damaged(spark, d), lexicon(spark, d))
-
-
 _ONSETS = "|".join(sorted((o for o in rules.ONSETS if o), key=lambda o: -len(o)))
 
 
@@ -124,7 +119,9 @@ def _onset(x):
     return f"regexp_extract(translate({x}, '{TONED}', '{PLAIN}'), '^({_ONSETS})', 1)"
 
 
-FUZZY = LEX + f""", {_vocab(TEXTS, 'ctok')}, bad AS (SELECT token AS bad, low FROM ctok_v WHERE suspicious AND NOT valid AND length(token) >= 3),
+def _fuzzy(source):
+    """CTEs: the damaged words of some texts (bad) and the lexicon words one edit away (cands)."""
+    return LEX + f""", {_vocab(source, 'ctok')}, bad AS (SELECT token AS bad, low FROM ctok_v WHERE suspicious AND NOT valid AND length(token) >= 3),
 bo AS (SELECT *, {_onset('low')} AS o FROM bad), lo AS (SELECT syllable AS cand, {_onset('syllable')} AS o FROM lex),
 cands AS (SELECT bad, low, cand, CASE WHEN length(low) = length(cand) THEN 100 * (1 - 1.0::DOUBLE / length(low)) ELSE 100 * (1 - 1.0::DOUBLE / (length(low) + length(cand))) END AS ratio
   FROM bo JOIN lo ON bo.o = lo.o AND abs(length(low) - length(cand)) <= 1 AND CASE WHEN length(low) = length(cand) THEN len(list_filter(range(1, length(low) + 1), lambda i: substr(low, i, 1) <> substr(cand, i, 1))) = 1
@@ -133,13 +130,68 @@ cands AS (SELECT bad, low, cand, CASE WHEN length(low) = length(cand) THEN 100 *
   ELSE len(list_filter(range(1, length(cand) + 1), lambda i: substr(cand, 1, i - 1) || substr(cand, i + 1) = low)) > 0 END)"""
 
 
+FUZZY = _fuzzy(TEXTS)
+VOWELS = "".join(rules.TONES.values())
+VOWEL_BASES = "".join(b * 6 for b in rules.TONES)
+TONE_DIGITS = "012345" * len(rules.TONES)
+SAME_BASE = "|".join(v + v for v in rules.TONES)
+
+
+def _same(e):
+    """Two neighbours of one base vowel become the one with the higher tone, left to right, by a fold over the letters."""
+    base, tone = (lambda x: f"translate({x}, '{VOWELS}', '{VOWEL_BASES}')"), (lambda x: f"translate({x}, '{VOWELS}', '{TONE_DIGITS}')")
+    fold = f"""list_reduce(list_transform(string_split({e}, ''), lambda ch: {{'done': '', 'open': ch}}), lambda a, x:
+  CASE WHEN a.open <> '' AND contains('{VOWELS}', a.open) AND {base('a.open')} = {base('x.open')} THEN {{'done': a.done || CASE WHEN {tone('a.open')} >= {tone('x.open')} THEN a.open ELSE x.open END, 'open': ''}}
+  ELSE {{'done': a.done || a.open, 'open': x.open}} END)"""
+    return f"CASE WHEN regexp_matches({base(e)}, '{SAME_BASE}') THEN ({fold}).done || ({fold}).open ELSE {e} END"
+
+
+def _runs(e):
+    return f"array_to_string(list_filter(string_split({e}, ''), lambda ch, i: i = 1 OR substr({e}, i, 1) <> substr({e}, i - 1, 1)), '')"
+
+
+def _repeated(e, k):
+    """Repeats of a block of ``k`` letters are dropped, left to right."""
+    times = f"coalesce(list_max(list_filter(range(1, (length({e}) - x.skip + 1) // {k} + 1), lambda j: substr({e}, x.skip, j * {k}) = repeat(substr({e}, x.skip, {k}), j))), 0)"
+    return f"""(list_reduce(list_prepend({{'done': '', 'skip': 0::BIGINT}}, list_transform(range(1, length({e}) + 1), lambda i: {{'done': '', 'skip': i::BIGINT}})), lambda a, x:
+  CASE WHEN a.skip > 0 THEN {{'done': a.done, 'skip': a.skip - 1}} WHEN {times} >= 2 THEN {{'done': a.done || substr({e}, x.skip, {k}), 'skip': ({times} * {k} - 1)::BIGINT}}
+  ELSE {{'done': a.done || substr({e}, x.skip, 1), 'skip': 0::BIGINT}} END)).done"""
+
+
+def _valid(c):
+    return f"""({c} <> '' AND (NOT regexp_matches({c}, '^\\p{{L}}+$') OR (length(regexp_replace({c}, '[^{TONED}{TONED.upper()}]+', '', 'g')) <= 1 AND translate(lower({c}), '{TONED}', '{PLAIN}') IN (SELECT b FROM bases))))"""
+
+
+CASED = "CASE WHEN regexp_matches(substr(bad, 1, 1), '\\p{Lu}') THEN upper(substr(c, 1, 1)) || substr(c, 2) ELSE c END"
+IS_VOWEL = f"contains('{VOWELS}', substr(low, i, 1)) AND contains('{VOWELS}', substr(low, i + 1, 1)) AND translate(substr(low, i, 1), '{VOWELS}', '{VOWEL_BASES}') <> translate(substr(low, i + 1, 1), '{VOWELS}', '{VOWEL_BASES}')"
+#: CTEs after ``_fuzzy``: words (all damaged ones), first (tier 1), second (tier 2).
+TIERS = f""", words AS (SELECT token AS bad, low FROM ctok_v WHERE suspicious AND NOT valid),
+one AS (SELECT *, {_same('low')} AS same, {_runs('low')} AS runs, {_repeated('low', 2)} AS twos FROM words),
+two AS (SELECT *, {_repeated('twos', 3)} AS blocks, {_repeated('same', 2)} AS same_twos FROM one),
+safe AS (SELECT bad, arg_min(c, k) AS c FROM (SELECT bad, unnest(list_value(same, runs, blocks, {_runs('same')}, {_same('runs')}, {_repeated('same_twos', 3)}, {_same('blocks')})) AS c, unnest(range(1, 8)) AS k FROM two)
+  WHERE {_valid('c')} GROUP BY bad),
+deleted AS (SELECT DISTINCT bad, unnest(list_value(substr(low, 1, i - 1) || substr(low, i + 1), substr(low, 1, i) || substr(low, i + 2))) AS c
+  FROM (SELECT bad, low, unnest(range(1, length(low))) AS i FROM words WHERE bad NOT IN (SELECT bad FROM safe)) WHERE {IS_VOWEL}),
+votes AS (SELECT bad, count(*) FILTER (is_real) AS n_real, max(c) FILTER (is_real) AS one_real, count(*) FILTER (is_valid) AS n_valid, max(c) FILTER (is_valid) AS one_valid
+  FROM (SELECT bad, c, c IN (SELECT syllable FROM lex) AS is_real, {_valid('c')} AS is_valid FROM deleted) GROUP BY bad),
+picked AS (SELECT bad, c FROM safe UNION ALL SELECT bad, CASE WHEN n_real = 1 THEN one_real ELSE one_valid END AS c FROM votes WHERE n_real = 1 OR (n_real = 0 AND n_valid = 1)),
+first AS (SELECT bad, {CASED} AS good FROM picked WHERE c <> '' AND {CASED} <> bad),
+second AS (SELECT bad, {CASED} AS good FROM (SELECT bad, max(cand) AS c FROM cands WHERE ratio >= 75 AND bad NOT IN (SELECT bad FROM first) GROUP BY bad HAVING count(*) = 1))"""
+CASCADE = FUZZY + TIERS + f""", tiers AS (SELECT bad, good, 1 AS tier FROM first UNION ALL SELECT bad, good, 2 FROM second),
+given AS (SELECT bad, translate(low, '{TONED}', '{PLAIN}') AS good FROM words WHERE bad NOT IN (SELECT bad FROM tiers)),
+fixes AS (SELECT * FROM tiers UNION ALL SELECT bad, good, 4 FROM given WHERE good <> bad AND {_valid('good')}),
+cascade AS (SELECT bad, good, tier FROM words LEFT JOIN fixes USING (bad))"""
+
+
 @query("J11_fuzzy_candidates", FUZZY + """ SELECT bad, cand, round(ratio, 6) AS ratio, 1 AS ed FROM (SELECT *, row_number() OVER (PARTITION BY bad ORDER BY ratio DESC, cand) AS k FROM cands WHERE ratio >= 75) WHERE k <= 8""")
 def _(spark, d):
     out = correct.fuzzy_candidates(damaged(spark, d), lexicon(spark, d))
     return out.withColumn("ratio", F.round("ratio", 6))
 
 
-CASED = "CASE WHEN regexp_matches(substr(bad, 1, 1), '\\p{Lu}') THEN upper(substr(c, 1, 1)) || substr(c, 2) ELSE c END"
+@query("C5_collapse_fixes", FUZZY + TIERS + " SELECT bad, good FROM first")
+def _(spark, d):
+    return correct.collapse_fixes(damaged(spark, d), lexicon(spark, d))
 
 
 @query("C6_fuzzy_fixes", FUZZY + f" SELECT bad, {CASED} AS good FROM (SELECT bad, max(cand) AS c FROM cands WHERE ratio >= 75 GROUP BY bad HAVING count(*) = 1)")
@@ -177,17 +229,18 @@ def _cascade(spark, d):
     return correct.cascade(words, lexicon(spark, d), supplied=supplied)
 
 
-@query("C9_cascade")
+@query("C9_cascade", CASCADE + " SELECT bad, good, tier FROM cascade")
 def _(spark, d):
     return _cascade(spark, d)
 
 
-@query("A9_tier_coverage")
+@query("A9_tier_coverage", CASCADE + """ SELECT k::INT AS tier, fixed, remaining, CASE WHEN fixed + remaining = 0 THEN 0.0 ELSE round(100 * fixed / (fixed + remaining), 6) END AS percent
+FROM (SELECT k, count(*) FILTER (tier = k) AS fixed, count(*) FILTER (tier IS NULL OR tier > k) AS remaining FROM cascade, (SELECT unnest([1, 2, 3, 4]) AS k) GROUP BY k)""")
 def _(spark, d):
     return correct.tier_coverage(_cascade(spark, d))
 
 
-@query("A8_residual_words")
+@query("A8_residual_words", CASCADE + " SELECT bad FROM cascade WHERE good IS NULL ORDER BY bad")
 def _(spark, d):
     return correct.residuals(_cascade(spark, d)).orderBy("bad")
 
@@ -205,7 +258,9 @@ def _(spark, d):
     return correct.agreement(pick, seen)
 
 
-@query("T14_token_rewrite")
+@query("T14_token_rewrite", _fuzzy("SELECT nfc_normalize(text) AS text FROM conversations") + TIERS + f""", fix AS (SELECT * FROM first UNION ALL SELECT * FROM second),
+seg AS (SELECT conv_id, turn, segs, unnest(range(1, len(segs) + 1)) AS i FROM (SELECT conv_id, turn, regexp_extract_all(nfc_normalize(text), '{rules.TOKEN}|[^A-Za-zÀ-ỹĐđ]+') AS segs FROM conversations))
+SELECT conv_id, turn, md5(string_agg(coalesce(good, segs[i]), '' ORDER BY i)) AS digest FROM seg LEFT JOIN fix ON fix.bad = segs[i] GROUP BY conv_id, turn""")
 def _(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", "turn", "text")
     fixed, _ = repair_words(rows, lexicon(spark, d), ["conv_id", "turn"], "text")
