@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quire.functions import urls
 from quire.functions.predicates import is_blank
 from quire.operators.held import held, with_held, without_held
+from quire.session import checkpoint
 
 KEY = ["work_id", "number"]
 
@@ -95,19 +96,40 @@ def delete_works(works: DataFrame, sections: DataFrame, doomed: DataFrame) -> tu
     return works.join(ids, "work_id", "left_anti"), sections.join(ids, "work_id", "left_anti")
 
 
+def slug_candidate(slug: Column, work_id: Column, k: int) -> Column:
+    """The ``k``-th slug a work asks for: its own, then one with a suffix from its id, then that one numbered."""
+    if not k:
+        return slug
+    return F.concat(slug, F.lit("-"), F.substring(F.sha2(work_id, 256), 1, 8), F.lit(f"-{k}" if k > 1 else ""))
+
+
 def unique_slugs(incoming: DataFrame, works: DataFrame) -> DataFrame:
-    """A slug that is taken, by a stored work or by an earlier incoming row, gets a suffix from the work id.
+    """A slug that is taken, by a stored work or by an earlier incoming row, gets suffixes until one is free.
 
-    Earliest by (created_at, work_id); only that minimum is shuffled, so a popular slug does not gather its rows.
+    In round k every work without a slug asks for its k-th candidate. It gets it if no stored work and no work of an earlier round has it and it
+    is the earliest by (created_at, work_id) of those that ask now. Works that lost ask again, so after the first round only clashing rows
+    move; a popular slug does not gather its rows, its minimum is found by partial aggregates. Null slugs stay null.
     """
-    first = incoming.groupBy("slug").agg(F.min(F.struct("created_at", "work_id")).alias("_first"))
-    taken = works.select("slug").distinct().withColumn("_taken", F.lit(True))
-    out = incoming.join(first, "slug").join(taken, "slug", "left")
-    clash = F.col("_taken").isNotNull() | (F.struct("created_at", "work_id") != F.col("_first"))
-    suffixed = F.concat("slug", F.lit("-"), F.substring(F.sha2("work_id", 256), 1, 8))
-    return out.select(
-        *[F.when(clash, suffixed).otherwise(F.col("slug")).alias("slug") if c == "slug" else F.col(c) for c in incoming.columns]
-    )
+    taken = works.select("slug").distinct()
+    asking = incoming.filter(F.col("slug").isNotNull()).select("work_id", "created_at", "slug")
+    placed, k = [], 0
+    while True:
+        asked = asking.withColumn("_try", slug_candidate(F.col("slug"), F.col("work_id"), k))
+        first = asked.groupBy("_try").agg(F.min(F.struct("created_at", "work_id")).alias("_first"))
+        free = first.join(taken, first["_try"] == taken["slug"], "left_anti").select(F.col("_try").alias("_free"), "_first")
+        judged = checkpoint(asked.join(free, (F.col("_try") == F.col("_free")) & (F.struct("created_at", "work_id") == F.col("_first")), "left"))
+        won = judged.filter("_free IS NOT NULL").select("work_id", "_try")
+        placed.append(won)
+        asking = judged.filter("_free IS NULL").select("work_id", "created_at", "slug")
+        if asking.isEmpty():
+            break
+        taken = checkpoint(taken.unionByName(won.select(F.col("_try").alias("slug"))))
+        k += 1
+    names = placed[0]
+    for part in placed[1:]:
+        names = names.unionByName(part)
+    out = incoming.join(names.withColumnRenamed("_try", "_name").distinct(), "work_id", "left")
+    return out.select(*[F.col("_name").alias("slug") if c == "slug" else F.col(c) for c in incoming.columns])
 
 
 def change_log(df: DataFrame, key: list[str], column: str, new: Column) -> DataFrame:

@@ -125,6 +125,38 @@ def _(spark, d):
     return ch.unique_slugs(incoming, works_c(spark, d)).select("work_id", "slug")
 
 
+def _slug_sql(k):
+    return "slug" if not k else "slug || '-' || substr(sha256(work_id), 1, 8)" + (f" || '-{k}'" if k > 1 else "")
+
+
+def _rounds(n):
+    """The rounds of X9, written out: who asks in round k and who gets the slug."""
+    out = []
+    for k in range(n):
+        lost = "".join(f" AND work_id NOT IN (SELECT work_id FROM won{j})" for j in range(k))
+        free = "".join(f" AND t NOT IN (SELECT t FROM won{j})" for j in range(k))
+        out.append(f"""won{k} AS (SELECT work_id, t FROM (SELECT work_id, t, row_number() OVER (PARTITION BY t ORDER BY created_at, work_id) AS rn FROM (SELECT *, {_slug_sql(k)} AS t FROM new_works WHERE true{lost}))
+  WHERE rn = 1 AND t NOT IN (SELECT slug FROM stored_slugs){free})""")
+    return ", ".join(out)
+
+
+# stored works own the first suffix of every tenth new one, and the second of every twentieth
+PLANTED = """stored_slugs AS (SELECT slug FROM works_c UNION SELECT slug || '-' || substr(sha256(work_id), 1, 8) FROM new_works WHERE doc_id % 10 = 3
+  UNION SELECT slug || '-' || substr(sha256(work_id), 1, 8) || '-2' FROM new_works WHERE doc_id % 20 = 3)"""
+
+
+@query("X9_slugs_until_free", on_c("SELECT work_id, t AS slug FROM won0 UNION ALL SELECT work_id, t FROM won1 UNION ALL SELECT work_id, t FROM won2 UNION ALL SELECT work_id, t FROM won3",
+                                   f"{NEW_WORKS.replace('SELECT ', 'SELECT doc_id, ', 1)}, {PLANTED}, {_rounds(4)}"))
+def _(spark, d):
+    k = F.col("doc_id")
+    new = table(spark, d, "documents").select(
+        "doc_id", F.concat(F.lit("n"), k.cast("string")).alias("work_id"), F.concat(F.lit("c"), (k % 150).cast("string")).alias("slug"),
+        (F.lit("2024-05-01 00:00:00").cast("timestamp") + F.make_interval(hours=(k % 7).cast("int"))).alias("created_at"))
+    name = lambda i: ch.slug_candidate(F.col("slug"), F.col("work_id"), i).alias("slug")
+    stored = works_c(spark, d).select("slug").unionByName(new.filter("doc_id % 10 = 3").select(name(1))).unionByName(new.filter("doc_id % 20 = 3").select(name(2)))
+    return ch.unique_slugs(new, stored).select("work_id", "slug")
+
+
 @query("K10_change_log", on_v("""SELECT slug, before, after FROM (SELECT slug, description AS before,
 CASE WHEN length(description) <= 40 THEN description ELSE substr(description, 1, 40) END AS after FROM works_v) WHERE before IS DISTINCT FROM after"""))
 def _(spark, d):

@@ -29,3 +29,17 @@ def test_audit(spark):
     assert [r["section_id"] for r in found["unenriched_sections"]] == ["s2"]
     assert [(r["work_slug"], r["word_count"]) for r in found["short_sections"]] == [("p", 5), ("w", 10)]
     assert audit_rows(works, sections).filter(F.col("signal") == "thresholds").count() == 1
+
+
+def test_slugs_until_one_is_free(spark):
+    from quire.operators import changes as ch
+
+    new = spark.createDataFrame([("a", "s", 2), ("b", "s", 1), ("c", "s", 1), ("d", "t", 1), ("e", None, 1)], "work_id string, slug string, created_at int")
+    name = lambda w, k: new.filter(F.col("work_id") == w).select(ch.slug_candidate(F.col("slug"), F.col("work_id"), k)).first()[0]
+    stored = spark.createDataFrame([("t",), (name("a", 1),), (name("a", 2),), (name("d", 1),)], "slug string")
+    got = {r["work_id"]: r["slug"] for r in ch.unique_slugs(new, stored).collect()}
+    assert got == {"a": name("a", 3), "b": "s", "c": name("c", 1), "d": name("d", 2), "e": None}
+    # a suffixed slug that another new work asks for as its own
+    both = spark.createDataFrame([("d", "t", 1), ("x", name("d", 1), 5)], "work_id string, slug string, created_at int")
+    assert {r["work_id"]: r["slug"] for r in ch.unique_slugs(both, stored.limit(1)).collect()} == {"d": name("d", 2), "x": name("d", 1)}
+    assert ch.unique_slugs(new.filter("false"), stored).count() == 0
