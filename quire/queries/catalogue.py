@@ -417,10 +417,11 @@ def _(spark, d):
     return counts.join(works_v(spark, d).select("work_id", "slug"), "work_id").select("slug", "open_sections").orderBy(F.desc("open_sections"), "slug").limit(15)
 
 
-@query("L6_seeded_pick")
+@query("L6_seeded_pick", on_c("""SELECT slug, title FROM listing l WHERE NOT EXISTS (SELECT 1 FROM works_c w WHERE w.slug = l.slug)
+AND NOT EXISTS (SELECT 1 FROM works_c w WHERE lower(trim(w.title)) = lower(trim(l.title))) ORDER BY md5('42' || slug), slug LIMIT 20""", LISTING))
 def _(spark, d):
     unseen = catalog.new_listings(_listing(spark, d), works_c(spark, d))
-    return unseen.orderBy(F.xxhash64(F.lit(42), "slug"), "slug").limit(20).select("slug", "title")
+    return unseen.orderBy(F.md5(F.concat(F.lit("42"), "slug")), "slug").limit(20).select("slug", "title")
 
 
 @query("L9_first_sections", on_v("SELECT work_id, number FROM sections_v WHERE number <= 3"))

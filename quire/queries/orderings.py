@@ -135,14 +135,14 @@ def _(spark, d):
     return sq.quartile_rows(sections_v(spark, d).select("work_id", "number")).select("work_id", "number")
 
 
-def _excerpt_sql():
+def excerpt_sql():
     last = "greatest(" + ", ".join(f"CASE WHEN strpos(reverse(sn), '{m}') = 0 THEN -1 ELSE length(sn) - strpos(reverse(sn), '{m}') END" for m in ".!?") + ")"
     return f"""SELECT work_id, string_agg('[Chương ' || number || ']' || chr(10) || CASE WHEN {last} > per * 0.7 THEN substr(sn, 1, {last} + 1) ELSE sn END, chr(10) || chr(10) ORDER BY number) AS excerpt FROM (
 SELECT *, substr(c, 1, per) AS sn FROM (SELECT work_id, number, {strip('content')} AS c, (5000 // count(*) OVER (PARTITION BY work_id))::INT AS per FROM (
 SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY number) - 1 AS pos, count(*) OVER (PARTITION BY work_id) AS n FROM sections_v) WHERE pos IN (0, n // 3, 2 * n // 3, n - 1)) WHERE c <> '') GROUP BY work_id"""
 
 
-@query("W9_quartile_excerpt", on_v(_excerpt_sql()))
+@query("W9_quartile_excerpt", on_v(excerpt_sql()))
 def _(spark, d):
     return sq.quartile_excerpt(sections_v(spark, d))
 

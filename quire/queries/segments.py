@@ -6,6 +6,7 @@ from quire.functions import text as t
 from quire.operators import catalog, segment as sg
 from quire.operators import sequence as sq
 from quire.queries.base import sections_c, sections_v, works_c, works_v
+from quire.queries.orderings import excerpt_sql
 from quire.queries.sql import SPACE, cascade, on_c, on_v, strip, wc
 from quire.registry import query, table
 
@@ -205,7 +206,9 @@ def _(spark, d):
     return out.select("work_id", "number", F.md5("context").alias("digest"))
 
 
-@query("P4_work_contexts")
+@query("P4_work_contexts", on_v("""SELECT work_id, coalesce(n, 0) AS sections, md5(concat_ws(chr(10), title, coalesce(nullif(author, ''), '(unknown)'), coalesce(nullif(genres, ''), '(unknown)'),
+  substr(coalesce(nullif(description, ''), '(none)'), 1, 500), coalesce(n, 0)::VARCHAR, excerpt)) AS digest
+FROM works_v LEFT JOIN (SELECT work_id, count(*) AS n FROM sections_v GROUP BY work_id) USING (work_id) LEFT JOIN ex USING (work_id)""", f"ex AS ({excerpt_sql()})"))
 def _(spark, d):
     from quire.plans.contexts import work_contexts
 

@@ -101,7 +101,12 @@ digest("T11_repair_punctuation", _nested("text", [
     (rf"([.!?,:;])([{t.LETTERS}])", r"'\1 \2'"), *[(rf"[{m}][{m}]+", f"'{m}'") for m in ".!?,;:"],
     (rf",{S}*\.", "'.'"), (rf",{S}*,+", "','"), (rf"{S}+,({S}*\n)", r"'\1'"), (rf"(\n){S}*,{S}*", r"'\1'"), (rf"{S}+([.!?,:;])", r"'\1'")]),
     lambda: t.repair_punctuation("text"))
-digest("T12_collapse_repeats", None, lambda: t.collapse_repeats("text"))
+# a fold over words and what lies between them: ``pend`` is the word that the next one may repeat, empty once it has been repeated
+REPEATS = f"""list_reduce(list_prepend({{'done': '', 'pend': '', 'sep': ''}}, list_transform(regexp_extract_all(text, '{WORD}+|[^{WORD[1:-1]}]+'), lambda s: {{'done': '', 'pend': s, 'sep': ''}})), lambda a, x:
+  CASE WHEN NOT regexp_matches(x.pend, '^{WORD}') THEN {{'done': a.done, 'pend': a.pend, 'sep': x.pend}}
+  WHEN length(a.pend) >= 2 AND lower(a.pend) = lower(x.pend) AND regexp_matches(a.sep, '^[{SPACE}]+$') THEN {{'done': a.done || a.pend, 'pend': '', 'sep': ''}}
+  ELSE {{'done': a.done || a.pend || a.sep, 'pend': x.pend, 'sep': ''}} END)"""
+digest("T12_collapse_repeats", f"({REPEATS}).done || ({REPEATS}).pend || ({REPEATS}).sep", lambda: t.collapse_repeats("text"))
 digest("T13_remove_hesitation", None, lambda: t.remove_hesitation("text"))
 SENTENCES = rf"""string_split(regexp_replace(regexp_replace(text, '([.?!…])[{SPACE}]+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1))"""
 
@@ -142,7 +147,11 @@ digest("T21_head_tail", f"CASE WHEN length({strip('text')}) <= 500 THEN {strip('
 digest("T22_sentence_excerpt", f"""CASE WHEN greatest({', '.join(_last('substr(text, 1, 300)', m) for m in '.!?')}) > 210 THEN substr(substr(text, 1, 300), 1, greatest({', '.join(_last('substr(text, 1, 300)', m) for m in '.!?')}) + 1) ELSE substr(text, 1, 300) END""", lambda: t.sentence_excerpt("text", 300))
 
 
-@query("T23_contexts")
+@query("T23_contexts", f"""WITH hits AS (SELECT doc_id, text, greatest(0, strpos(text, w) - 31) AS s, least(length(text), strpos(text, w) - 1 + length(w) + 30) AS e
+  FROM (SELECT doc_id, text, unnest(list_distinct(regexp_extract_all(text, '[^{SPACE}]+'))) AS w FROM documents) WHERE length(w) >= 14),
+marked AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM hits),
+spans AS (SELECT doc_id, any_value(text) AS text, min(s) AS s, max(e) AS e FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM marked) GROUP BY doc_id, g)
+SELECT doc_id, string_agg(substr(text, s + 1, e - s), chr(10) || '…' || chr(10) ORDER BY s) AS context FROM spans GROUP BY doc_id""")
 def _(spark, d):
     terms = F.filter(F.array_distinct(t.words("text")), lambda w: F.length(w) >= 14)
     return docs(spark, d).select("doc_id", t.contexts("text", terms, 30).alias("context")).filter("context <> ''")
