@@ -179,9 +179,11 @@ def apply_fixes(sections: DataFrame, fixes: DataFrame, key: list[str], text: str
     marked = marked_words(sections, key, text) if marked is None else marked
     pairs = marked.select(*key, F.explode("words").alias("bad")).join(fixes.select("bad", "good"), "bad")
     maps = pairs.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("bad", "good"))).alias("_map"))
-    is_dirty = F.exists(sy.tokens(text), sy.is_damaged)
-    clean = sections.filter(~F.coalesce(is_dirty, F.lit(False)))
-    joined = sections.filter(is_dirty).join(maps, key, "left")
+    is_dirty = F.coalesce(F.exists(sy.tokens(text), sy.is_damaged), F.lit(False))
+    # as in ``marked_words``, and not below a repartitioning either
+    rows = sections.select("*", F.explode(F.array(is_dirty)).alias("_dirty"))
+    clean = rows.filter(~F.col("_dirty")).drop("_dirty")
+    joined = rows.filter("_dirty").drop("_dirty").join(maps, key, "left")
     fixed = F.array_join(F.transform(sy.segments(text), lambda s: F.coalesce(F.try_element_at(F.col("_map"), s), s)), "")
     joined = joined.withColumn(text, F.when(F.col("_map").isNull(), F.col(text)).otherwise(fixed))
     return clean.unionByName(joined.select(*sections.columns))

@@ -1,4 +1,4 @@
-"""Unicode normalisation, the one text step Spark has no expression for."""
+"""Unicode normalisation."""
 
 from __future__ import annotations
 
@@ -6,13 +6,7 @@ import functools
 import sys
 import unicodedata
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
-
-
-@F.pandas_udf(T.StringType())
-def _nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+from pyspark.sql import DataFrame, functions as F
 
 
 def _class(runs: list[list[int]], negated: bool = False) -> str:
@@ -20,15 +14,15 @@ def _class(runs: list[list[int]], negated: bool = False) -> str:
     return "[" + "^" * negated + "".join(parts) + "]"
 
 
-#: A run of composed characters of this length or more is worth a part of its own in the first test.
-LONG = 128
+#: Where nearly all letters and signs of Latin texts lie, and the least run of safe characters that is worth a part of its own.
+LATIN, LONG = ([0x0, 0x2FF], [0x1E00, 0x1EFF], [0x2002, 0x20CF]), 128
 
 
 @functools.cache
-def _patterns() -> tuple[str, str]:
-    """Two classes. The second holds the code points that a composed text cannot be sure to hold: marks, and all that change on their own or
-    may combine with what stands before them (jamo among them). It has hundreds of parts, and a character outside is compared
-    with each. So the first, of few parts, finds the texts with anything outside the long runs of characters that are safe."""
+def _patterns() -> tuple[str, str, str]:
+    """Three classes, each dearer than the one before. The last holds the code points that a composed text cannot be sure to hold: marks, and
+    all that change on their own or may combine with what stands before them (jamo among them). It has hundreds of parts, and a
+    character outside is compared with each. The first two find the texts with anything outside of LATIN, and outside of the long safe runs."""
     doubtful: list[list[int]] = []
     safe = [[0, 0x2FF]]
     for c in range(0x300, sys.maxunicode + 1):
@@ -38,7 +32,8 @@ def _patterns() -> tuple[str, str]:
         else:
             kind.append([c, c])
     doubtful = [[a, b] for a, b in doubtful if not 0xD800 <= a <= 0xDFFF]
-    return _class([r for r in safe if r[1] - r[0] >= LONG], negated=True), _class(doubtful)
+    latin = [[a, b] for a, b in LATIN if any(x <= a and b <= y for x, y in safe)]
+    return _class(latin, negated=True), _class([r for r in safe if r[1] - r[0] >= LONG], negated=True), _class(doubtful)
 
 
 def _may_change(c: str) -> bool:
@@ -47,7 +42,9 @@ def _may_change(c: str) -> bool:
 
 
 def nfc(df: DataFrame, column: str) -> DataFrame:
-    """T4: NFC form of ``column``. Only rows with a code point that may not be composed leave the JVM."""
-    first, doubtful = _patterns()
-    marked = F.coalesce(F.col(column).rlike(first) & F.col(column).rlike(doubtful), F.lit(False))
-    return df.filter(~marked).unionByName(df.filter(marked).withColumn(column, _nfc(column)))
+    """T4: NFC form of ``column``, by the Unicode library that Spark's collations use. Only texts with a code point that may not be composed are
+    handed to it."""
+    text = F.col(column)
+    marked = functools.reduce(lambda a, b: a & b, [text.rlike(p) for p in _patterns()])
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
+    return df.withColumn(column, F.when(marked, composed).otherwise(text))

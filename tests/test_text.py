@@ -133,3 +133,17 @@ def test_seeds_are_stable(value):
     words = {"gió": ["bão"]}
     one = value(lambda c: t.substitute_seeded(c, F.lit("k"), words), "gió " * 40)
     assert one == value(lambda c: t.substitute_seeded(c, F.lit("k"), words), "gió " * 40) and 5 < one.count("bão") < 35
+
+
+def test_nfc_equals_the_standard_library(spark):
+    import random
+    import unicodedata
+
+    from quire.operators.normalise import nfc
+
+    rng = random.Random(1)
+    pool = [chr(c) for c in range(0x20, 0x3000) if unicodedata.category(chr(c)) not in ("Cs", "Cn")]
+    pool += [chr(c) for c in (0xAC00, 0x1F600, 0x2F800, 0xF900, 0xFB1D, 0x1161, 0x11A8, 0x1100, 0x110BA, 0x11099)] + [*"eoau", *(chr(c) for c in (0x301, 0x302, 0x323, 0x309))] * 300
+    texts = ["".join(rng.choice(pool) for _ in range(30)) for _ in range(2_000)] + [None, "", "plain"]
+    got = [r["t"] for r in nfc(spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1), "t").collect()]
+    assert got == [None if t is None else unicodedata.normalize("NFC", t) for t in texts]
