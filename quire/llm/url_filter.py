@@ -20,8 +20,8 @@ RULES = (
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
     ("net", "/es/", "block"), ("net", "/fr/", "block"),
 )
-#: Longest word that a label is split into; DNS labels have at most 63 characters.
-LONGEST = 24
+#: Letters of a label that are split together. DNS labels have at most 63; a longer run than this is split in blocks.
+BLOCK = 253
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -32,22 +32,15 @@ def parts(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(value, pattern, 1), UPPER, LOWER), F.regexp_extract(value, pattern, 2)
 
 
-def path_shape(path: Column) -> Column:
-    """The path with a run of digits replaced by its length: the pages of a site share few shapes."""
-    digits = F.lower(path)
-    for n in range(1, 9):
-        digits = F.regexp_replace(digits, f"(?<![0-9]){'[0-9]' * n}(?![0-9])", f"#{n}#")
-    return F.regexp_replace(F.regexp_replace(digits, "#([0-9])#", "$1"), "[0-9]{9,}", "9")
-
-
-def path_tokens(shape: Column) -> Column:
-    return F.transform(F.array_remove(F.split(shape, "[^\\p{L}\\p{N}]+"), ""), lambda t: F.concat(F.lit("p:"), t))
+def path_tokens(path: Column) -> Column:
+    """The runs of letters and digits of a path, as they are but for their case."""
+    return F.transform(F.array_remove(F.split(F.lower(path), "[^\\p{L}\\p{N}]+"), ""), lambda t: F.concat(F.lit("p:"), t))
 
 
 def word_counts(html: DataFrame, column: str) -> DataFrame:
-    """How often each word of at most 24 ASCII letters occurs in the texts of ``html``."""
+    """How often each word of ASCII letters occurs in the texts of ``html``; a word with any other letter is none."""
     text = F.regexp_replace(F.lower(F.coalesce(F.col(column), F.lit(""))), "<[^>]*>", " ")
-    words = html.select(F.explode(F.regexp_extract_all(text, F.lit(f"(?<![a-z])[a-z]{{1,{LONGEST}}}(?![a-z])"), F.lit(0))).alias("word"))
+    words = html.select(F.explode(F.regexp_extract_all(text, F.lit(r"(?<!\p{L})[a-z]++(?!\p{L})"), F.lit(0))).alias("word"))
     return words.groupBy("word").count()
 
 
@@ -58,7 +51,7 @@ def viterbi(label: str, words: dict[tuple[int, int], float], unknown: float) ->
         options = [(best[end - 1][0] + unknown, -(end - 1))]
         options += [
             (best[begin][0] + words[begin, end], -begin)
-            for begin in range(max(0, end - LONGEST), end) if (begin, end) in words
+            for begin in range(end) if (begin, end) in words
         ]
         score, begin = max(options)
         best.append((score, -begin))
@@ -82,7 +75,7 @@ def segment(labels: DataFrame, counts: DataFrame) -> DataFrame:
     total = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")).first()["n"]
     n = F.length("label")
     begins = labels.select("label", F.explode(F.sequence(F.lit(1), n)).alias("begin"))
-    ends = begins.select("label", "begin", F.explode(F.sequence(F.col("begin"), F.least(n, F.col("begin") + LONGEST - 1))).alias("end"))
+    ends = begins.select("label", "begin", F.explode(F.sequence(F.col("begin"), n)).alias("end"))
     spans = ends.select("label", "begin", "end", F.expr("substring(label, begin, end - begin + 1)").alias("word"))
     known = spans.join(counts, "word").groupBy("label").agg(F.collect_list(F.struct("begin", "end", "count")).alias("found"))
     unknown = -math.log(max(total, 1)) - 3.0
@@ -102,10 +95,10 @@ def host_tokens(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     """(host, token): one row per token of each distinct host."""
     labels = hosts.select("host", F.posexplode(F.array_remove(F.split("host", "\\."), "")).alias("at", "label"))
     # digits and other signs cut a label; they form tokens of their own
-    runs = labels.select("host", "at", F.posexplode(F.regexp_extract_all("label", F.lit("[a-z]+|[^a-z]+"), F.lit(0))).alias("run", "label"))
-    named = runs.filter(F.col("label").rlike("^[a-z]+$") & (F.length("label") <= 253))
+    runs = labels.select("host", "at", F.posexplode(F.regexp_extract_all("label", F.lit(f"[a-z]{{1,{BLOCK}}}|[^a-z]+"), F.lit(0))).alias("run", "label"))
+    is_name = F.col("label").rlike("^[a-z]")
+    named, other = runs.filter(is_name), runs.filter(~is_name).select("host", F.col("label").alias("token"))
     words = segment(named.select("label").distinct(), counts)
-    other = runs.filter(~(F.col("label").rlike("^[a-z]+$") & (F.length("label") <= 253))).select("host", F.col("label").alias("token"))
     split = named.join(words, "label").select("host", F.explode("words").alias("token"))
     return split.unionByName(other).select("host", F.concat(F.lit("h:"), "token").alias("token"))
 
@@ -129,19 +122,19 @@ def judge(
     A rule fits its host and all subdomains where the path starts with the rule's; the longest rule wins, ties by code point. Urls
     without a rule are blocked when their log odds are above 0. Null urls, and those without ``://``, have an empty host and path, fit no rule
     and are judged by the prior alone. Copies agree; an empty table stays empty; columns named like the new ones are replaced, the html is only
-    counted. Scores are kept per distinct host and per distinct path shape, so a host with a third of all pages is scored once; the
-    join of its pages with that one row is split by the adaptive planner, or broadcast where the table of hosts is small.
+    counted. Scores are kept per distinct host and per distinct path (A-Z and other letters in lower case), so a host with a third of all pages
+    is scored once; the join of its pages with that one row is split by the adaptive planner, or broadcast where the table of hosts is small.
     """
     spark = pages.sparkSession
     new = ("host", "path", "rule", "block_score", "verdict")
     rest = [c for c in pages.columns if c.lower() not in new]
-    h, p, s, hk, hv, sk, sw = fresh(pages, "host_", "path_", "shape_", "host_key", "host_got", "shape_key", "shape_got")
+    h, p, s, hk, hv, sk, sw = fresh(pages, "host_", "path_", "low_path_", "host_key", "host_got", "path_key", "path_got")
     host, path = parts(F.col(url))
-    rows = pages.select(*[F.col(f"`{c}`") for c in rest], host.alias(h), path.alias(p)).withColumn(s, path_shape(F.col(p)))
+    rows = pages.select(*[F.col(f"`{c}`") for c in rest], host.alias(h), path.alias(p)).withColumn(s, F.lower(p))
     table = spark.createDataFrame(
         [(a, b, v, a + b) for a, b, v in rules], "rule_host string, rule_path string, rule_verdict string, rule string"
     )
-    seen = stored(rows.groupBy(F.col(h).alias("host"), F.col(s).alias("shape"), F.substring(F.col(p), 1, 64).alias("start")).count())
+    seen = stored(rows.groupBy(F.col(h).alias("host"), F.col(s).alias("low"), F.substring(F.col(p), 1, 64).alias("start")).count())
     hosts = fitting(seen.select("host").distinct(), table)
     # counted once: the segmentation needs the total and the counts of strings inside labels
     counts = stored(word_counts(pages, html))
@@ -158,9 +151,9 @@ def judge(
     hosts = stored(hosts)
     labelled = seen.join(hosts, "host").withColumn("verdict", first_rule(F.col("start"))["rule_verdict"]).filter("verdict IS NOT NULL")
     per_host = labelled.groupBy("host", "verdict").agg(F.sum("count").alias("n"))
-    per_shape = labelled.groupBy("shape", "verdict").agg(F.sum("count").alias("n"))
+    per_path = labelled.groupBy("low", "verdict").agg(F.sum("count").alias("n"))
     learnt = per_host.join(tokens, "host").select("token", "verdict", "n").unionByName(
-        per_shape.select(F.explode(path_tokens(F.col("shape"))).alias("token"), "verdict", "n")
+        per_path.select(F.explode(path_tokens(F.col("low"))).alias("token"), "verdict", "n")
     )
     n = lambda v: F.coalesce(F.sum(F.when(F.col("verdict") == v, F.col("n"))), F.lit(0))
     learnt = stored(learnt.groupBy("token").agg(n("block").alias("block"), n("allow").alias("allow")))
@@ -168,20 +161,21 @@ def judge(
     urls = per_host.groupBy().agg(n("block").alias("b"), n("allow").alias("a")).first()
     prior = math.log((urls["b"] + smoothing) / (urls["a"] + smoothing))
     scale = math.log((sums["a"] + smoothing * (sums["v"] + 1)) / (sums["b"] + smoothing * (sums["v"] + 1)))
-    weights = learnt.select("token", (F.log((F.col("block") + smoothing) / (F.col("allow") + smoothing)) + scale).alias("w"))
+    weights = checked_broadcast(learnt).select("token", (F.log((F.col("block") + smoothing) / (F.col("allow") + smoothing)) + scale).alias("w"))
 
     def scored(asked: DataFrame, key: str) -> DataFrame:
+        # tokens that many names share are looked up on both sides of the adaptive planner's splits, or broadcast where they are few
         return asked.join(weights, "token").groupBy(key).agg(F.sum("w").alias("w"))
 
     by_host = hosts.join(scored(tokens, "host"), "host", "left").select(
         F.col("host").alias(hk), F.struct("rules", F.coalesce("w", F.lit(0.0)).alias("w")).alias(hv)
     )
-    shapes = seen.select("shape").distinct()
-    by_shape = scored(shapes.select("shape", F.explode(path_tokens(F.col("shape"))).alias("token")), "shape").select(
-        F.col("shape").alias(sk), F.col("w").alias(sw)
+    paths = seen.select("low").distinct()
+    by_path = scored(paths.select("low", F.explode(path_tokens(F.col("low"))).alias("token")), "low").select(
+        F.col("low").alias(sk), F.col("w").alias(sw)
     )
-    by_host, by_shape = checked_broadcast(stored(by_host)), checked_broadcast(stored(by_shape))
-    joined = rows.join(by_host, F.col(h) == F.col(hk), "left").join(by_shape, F.col(s) == F.col(sk), "left")
+    by_host, by_path = checked_broadcast(stored(by_host)), checked_broadcast(stored(by_path))
+    joined = rows.join(by_host, F.col(h) == F.col(hk), "left").join(by_path, F.col(s) == F.col(sk), "left")
     rule = F.get(F.filter(F.col(hv)["rules"], lambda r: F.startswith(F.col(p), r["rule_path"])), F.lit(0))
     score = F.round(F.lit(prior) + F.coalesce(F.col(hv)["w"], F.lit(0.0)) + F.coalesce(F.col(sw), F.lit(0.0)), 9)
     return joined.select(

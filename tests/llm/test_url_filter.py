@@ -65,8 +65,7 @@ def test_scores_equal_brute_force(spark):
                     out += [f"h:{w}" for w in url_filter.viterbi(run, words, -math.log(total) - 3.0)]
                 else:
                     out.append(f"h:{run}")
-        shape = re.sub(r"[0-9]+", lambda m: str(len(m.group())) if len(m.group()) < 9 else "9", path.lower())
-        return out, [f"p:{t}" for t in re.split(r"[\W_]+", shape) if t]
+        return out, [f"p:{t}" for t in re.split(r"[\W_]+", path.lower()) if t]
 
     seen = {"block": Counter(), "allow": Counter()}
     urls = Counter()
@@ -88,6 +87,17 @@ def test_scores_equal_brute_force(spark):
         assert abs(want - r["block_score"]) < 1e-6, r["url"]
 
 
+def test_numbers_and_letters_are_told_apart(spark):
+    got = spark.createDataFrame([("/4chan/mp3/18Plus-über.html",)], "p string").select(url_filter.path_tokens(F.col("p")).alias("t")).first()["t"]
+    assert got == ["p:4chan", "p:mp3", "p:18plus", "p:über", "p:html"]
+    html = spark.createDataFrame([("<b>für</b> Straße the <i>the</i> " + "x" * 40 + " a1b",), (None,)], "html string")
+    assert {r["word"]: r["count"] for r in url_filter.word_counts(html, "html").collect()} == {"the": 2, "x" * 40: 1, "a": 1, "b": 1}
+    long = "shop" * 100
+    rows = [(1, f"http://{long}.net/es/1", "<p>shop</p>"), (2, f"http://{long}.org/", "shop")]
+    scored = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(scored) == 2 and all(r["host"].startswith(long) for r in scored)
+
+
 def test_viterbi_is_the_best_split():
     words = {"th": 5, "the": 9, "er": 4, "there": 2, "in": 3, "rein": 1, "ing": 2}
     total = sum(words.values())
