@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from fixtures_llm import CLASHES, documents, edge_rows
+from fixtures_llm import documents, edge_rows
 
 from quire.llm import line_quality, toxicity
 from quire.llm.common import ALNUM, words_of
@@ -133,8 +133,10 @@ def test_edges(spark, module):
         assert sorted(r["doc_id"] or 0 for r in got) == sorted(r[0] or 0 for r in edge_rows())
         assert all(0 <= r["score"] <= 1 for r in got)
         assert len({r["score"] for r in got if r["doc_id"] == 7}) == 1
+        # other columns, whatever they are called, change nothing
+        plain = module.score(documents(spark), labels).collect()
+        assert sorted((r["doc_id"] or 0, r["score"]) for r in plain) == sorted((r["doc_id"] or 0, r["score"]) for r in got)
     assert module.score(documents(spark, []), some).count() == 0
-    assert set(CLASHES.split())
 
 
 @pytest.mark.parametrize("module,label,least", [(toxicity, "toxic", 0.97), (line_quality, "quality", 0.98)])
