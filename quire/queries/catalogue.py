@@ -12,6 +12,7 @@ from quire.queries.base import sections_c, sections_v, works_c, works_v
 from quire.queries.sql import on_c, on_v, strip
 from quire.queries.texts import SENTENCES
 from quire.registry import query, table
+from quire.sources import sinks
 
 SHORT_WORKS = Thresholds(min_words=30)
 
@@ -368,6 +369,20 @@ def _(spark, d):
     return catalog.conserved(s, s.filter("word_count >= 60 AND NOT (work_id LIKE '%7' AND number % 2 = 0)"))
 
 
+@query("A11_totals_while_writing", on_v(f"SELECT {OUTCOME} AS status, count(*) AS rows, sum(word_count)::BIGINT AS amount FROM sections_v GROUP BY 1"))
+def _(spark, d):
+    status = F.when(F.length("content") < 200, "failed").when(~p.is_blank("summary"), "skipped").otherwise("ok")
+    return sinks.write_outcomes(sections_v(spark, d).select("work_id", "number", status.alias("status"), F.col("word_count").alias("amount")), sinks.scratch(spark, "outcomes"))
+
+
+@query("A12_conserved_while_writing", on_v("""SELECT *, abs(words_after - words_before) <= words_before * 0.02 AS conserved FROM (
+SELECT count(*) AS rows_before, count(*) FILTER (word_count >= 60) AS rows_after, sum(word_count)::BIGINT AS words_before, coalesce(sum(word_count) FILTER (word_count >= 60), 0)::BIGINT AS words_after FROM sections_v)"""))
+def _(spark, d):
+    s = sections_v(spark, d).select("work_id", "number", "word_count")
+    got = sinks.write_conserved(s, F.col("word_count") >= 60, sinks.scratch(spark, "conserved"))
+    return spark.createDataFrame([tuple(got.values())], "rows_before long, rows_after long, words_before long, words_after long, conserved boolean")
+
+
 @query("A13_highest_numbers", """SELECT 'https://list.example/' || conv_id AS url, max(turn + 1) AS highest, count(*) AS known FROM conversations GROUP BY 1""")
 def _(spark, d):
     s = sections_c(spark, d).withColumn("url", F.concat(F.lit("https://list.example/"), F.substring("work_id", 2, 20)))

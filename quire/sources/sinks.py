@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from quire.functions import text as t
 from quire.functions import urls
@@ -61,6 +61,40 @@ def write_dated(works: DataFrame, path: str, stamp: str = "updated_at", key: str
     rows.write.mode("append").partitionBy("load_date").parquet(path)
 
 
+# --- totals from the pass that writes --------------------------------------------------------------------------------
+
+
+def write_counted(df: DataFrame, path: str, mode: str = "overwrite", **totals: Column) -> dict:
+    """Write ``df`` as Parquet and return ``totals`` (aggregates over all its rows) as that same pass saw them."""
+    seen = Observation()
+    df.observe(seen, *[value.alias(name) for name, value in totals.items()]).write.mode(mode).parquet(path)
+    return seen.get
+
+
+def write_outcomes(outcomes: DataFrame, path: str, statuses: tuple[str, ...] = ("ok", "skipped", "failed")) -> DataFrame:
+    """The rows written, and (status, rows, amount) of each status met, counted on the way; null statuses and others count as ``other``."""
+    status = F.when(F.col("status").isin(*statuses), F.col("status")).otherwise("other")
+    names = (*statuses, "other")
+    per = {f"n{i}": F.count_if(status == s) for i, s in enumerate(names)} | {f"a{i}": F.sum(F.when(status == s, F.col("amount"))) for i, s in enumerate(names)}
+    got = write_counted(outcomes, path, **per)
+    rows = [(s, got[f"n{i}"], got[f"a{i}"]) for i, s in enumerate(names) if got[f"n{i}"]]
+    return outcomes.sparkSession.createDataFrame(rows, "status string, rows long, amount long")
+
+
+def write_conserved(sections: DataFrame, keep: Column, path: str, tolerance: float = 0.02) -> dict:
+    """The sections that ``keep`` keeps are written; rows and words before and after, and whether the words differ by at most
+    ``tolerance``, come from the one scan that reads and writes them. A null ``keep`` drops the row."""
+    before = Observation()
+    words = F.coalesce(F.sum("word_count"), F.lit(0))
+    read = sections.observe(before, F.count(F.lit(1)).alias("rows"), words.alias("words"))
+    after = write_counted(read.filter(keep), path, rows=F.count(F.lit(1)), words=words)
+    was = before.get
+    return {
+        "rows_before": was["rows"], "rows_after": after["rows"], "words_before": was["words"], "words_after": after["words"],
+        "conserved": abs(after["words"] - was["words"]) <= was["words"] * tolerance,
+    }
+
+
 # --- fixed values: opening and closing lines of an export -----------------------------------------------------------
 GREETING = "Chào mừng các bạn đến với %s. Chúc các bạn nghe truyện vui vẻ."
 GREETING_PART = " (Phần %d/%d)"

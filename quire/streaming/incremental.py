@@ -228,8 +228,16 @@ def quality_monitor(sections: DataFrame, stamp: str, width: str, key: str, text:
     )
 
 
-def run_to_folder(stream: DataFrame, folder: str, mode: str = "append", settings: dict[str, str] | None = None) -> DataFrame:
-    """Run a stream over what is there now and return what it wrote. ``settings`` hold for this stream only."""
+def told_rows(job) -> dict[str, int]:
+    """How many rows a stream has read, and how many came too late and were dropped, by the progress of its last batches (Spark keeps
+    spark.sql.streaming.numRecentProgressUpdates of them)."""
+    progress = [p for p in job.recentProgress]
+    late = sum(o.numRowsDroppedByWatermark for p in progress for o in p.stateOperators)
+    return {"read": sum(max(p.numInputRows, 0) for p in progress), "late": late}
+
+
+def run_to_folder(stream: DataFrame, folder: str, mode: str = "append", settings: dict[str, str] | None = None, told: dict[str, int] | None = None) -> DataFrame:
+    """Run a stream over what is there now and return what it wrote. ``settings`` hold for this stream only; ``told`` gets ``told_rows``."""
     spark = stream.sparkSession
     out = f"{folder}/out"
     before = {k: spark.conf.get(k, None) for k in settings or {}}
@@ -244,4 +252,6 @@ def run_to_folder(stream: DataFrame, folder: str, mode: str = "append", settings
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     job.awaitTermination()
+    if told is not None:
+        told |= told_rows(job)
     return spark.read.schema(stream.schema).parquet(out)

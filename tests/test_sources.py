@@ -116,3 +116,24 @@ def test_domains(spark):
 def test_schemas_read_back(spark, tmp_path):
     spark.createDataFrame([], schemas.SECTIONS).write.parquet(str(tmp_path / "s"))
     assert rd.catalogue_table(spark, str(tmp_path / "s"), schemas.SECTIONS).columns[:3] == ["section_id", "work_id", "number"]
+
+
+def test_totals_come_from_the_writing_pass(spark, tmp_path):
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([("ok", 3), ("ok", 4), ("failed", None), (None, 1), ("odd", 2)], "status string, amount int")
+    rows = rows.coalesce(1).mapInArrow(counted, rows.schema)
+    got = {r["status"]: (r["rows"], r["amount"]) for r in sinks.write_outcomes(rows, str(tmp_path / "o")).collect()}
+    assert got == {"ok": (2, 7), "failed": (1, None), "other": (2, 3)} and reads.value == 5
+    assert spark.read.parquet(str(tmp_path / "o")).count() == 5
+    words = spark.createDataFrame([(50,), (1,), (None,)], "word_count int").coalesce(1)
+    words = words.mapInArrow(counted, words.schema)
+    done = sinks.write_conserved(words, F.col("word_count") > 1, str(tmp_path / "w"))
+    assert done == {"rows_before": 3, "rows_after": 1, "words_before": 51, "words_after": 50, "conserved": True} and reads.value == 8
+    none = sinks.write_conserved(words.filter("false"), F.lit(True), str(tmp_path / "n"))
+    assert none["rows_before"] == none["words_after"] == 0 and none["conserved"]

@@ -84,11 +84,15 @@ def test_first_arrivals(spark, tmp_path):
 
 def test_late_arrivals_are_dropped(spark, tmp_path):
     schema = "work_id string, number int, at timestamp"
+    late = []
     for rows in ([("w", 1, "10:00"), ("w", 2, "10:05")], [("w", 1, "10:20"), ("w", 3, "08:00"), ("w", 4, "12:00")], [("w", 1, "12:10"), ("w", 5, "09:00")]):
         df = spark.createDataFrame(rows, "work_id string, number int, at string").withColumn("at", F.to_timestamp(F.concat(F.lit("2024-01-01 "), "at", F.lit(":00"))))
         df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        out = inc.run_to_folder(inc.first_arrivals(stream, "at", "1 hour"), str(tmp_path / "job"))
+        told = {}
+        out = inc.run_to_folder(inc.first_arrivals(stream, "at", "1 hour"), str(tmp_path / "job"), told=told)
+        late.append((told["read"], told["late"]))
+    assert late == [(2, 0), (3, 1), (2, 1)]
     got = sorted((r["number"], str(r["at"])[11:16]) for r in out.collect())
     # 3 and 5 came over an hour late; the second 1 is a repeat, the third comes when the first is forgotten
     assert got == [(1, "10:00"), (1, "12:10"), (2, "10:05"), (4, "12:00")]
