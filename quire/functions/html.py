@@ -215,10 +215,20 @@ def cards(html, pattern: str = "", base: str = "", suffix: str = r"\z") -> Colum
 
 
 def json_ld(html, path: str) -> Column:
-    """H3: first non-empty value at ``path`` in the JSON-LD scripts."""
+    """H3: first non-empty value at ``path`` in the JSON-LD scripts. A script may hold one object, a list of them or a graph, and an object may tell of
+    its main entity; what is no JSON is passed by."""
     scripts = F.regexp_extract_all(col(html), F.lit(r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
-    values = F.filter(F.transform(scripts, lambda s: F.get_json_object(s, path)), lambda v: v.isNotNull() & (v != ""))
-    return F.get(values, F.lit(0))
+
+    def objects(script: Column) -> Column:
+        whole = F.try_parse_json(script)
+        none = F.array().cast("array<variant>")
+        listed = F.coalesce(F.try_variant_get(whole, "$", "array<variant>"), none)
+        graph = F.coalesce(F.try_variant_get(whole, '$["@graph"]', "array<variant>"), none)
+        top = F.concat(F.array(whole), graph, listed)
+        return F.concat(top, F.transform(top, lambda o: F.try_variant_get(o, "$.mainEntity", "variant")))
+
+    found = F.transform(F.flatten(F.transform(scripts, objects)), lambda o: F.try_variant_get(o, path, "string"))
+    return F.get(F.filter(found, lambda v: v.isNotNull() & (v != "")), F.lit(0))
 
 
 def next_data(html) -> Column:

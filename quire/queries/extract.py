@@ -74,6 +74,18 @@ def _(spark, d):
     return p.select("page_id", h.json_ld("html", "$.description").alias("description"))
 
 
+# the field at the top, in a list, in a graph, in the main entity, behind a broken script, and not at all
+@query("H3_moved_fields", "SELECT page_id, CASE page_id % 6 WHEN 5 THEN NULL ELSE 'told \"' || page_id || '\"' END AS description FROM pages WHERE html LIKE '%<head>%'")
+def _(spark, d):
+    k = F.col("page_id").cast("string")
+    told = F.concat(F.lit('{"@type":"Book","description":"told \\"'), k, F.lit('\\""}'))
+    shapes = [told, F.concat(F.lit('[{"name":"x","description":""},'), told, F.lit("]")), F.concat(F.lit('{"@graph":[{"name":"x"},'), told, F.lit("]}")), F.concat(F.lit('{"name":7,"mainEntity":'), told, F.lit("}")),
+              F.concat(F.lit('{"description": broken</script><script type="application/ld+json">'), told), F.lit('{"name":"x","@graph":[1,null]}')]
+    script = F.concat(F.lit('<script type="application/ld+json">'), F.element_at(F.array(*shapes), (F.col("page_id") % 6 + 1).cast("int")), F.lit("</script>"))
+    p = _with_head(spark, d, script).filter(F.col("html").contains("<head>"))
+    return p.select("page_id", h.json_ld("html", "$.description").alias("description"))
+
+
 @query("H4_embedded_data", "SELECT page_id, pos::INT AS pos, 'https://b.example/book/77_book/' || (page_id * 10 + pos) || '_part-' || (pos + 1) || '-x' AS section_url, 'one' || chr(10) || chr(10) || 'two & ' || repeat('z', 60) AS content FROM pages, (SELECT unnest([0, 1]) AS pos) WHERE html LIKE '%<head>%'")
 def _(spark, d):
     k = F.col("page_id") * 10
