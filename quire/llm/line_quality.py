@@ -12,11 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import NOT_SPACE, grams, in_one_text, map_pieces, mix, words_of
+from quire.llm.common import NOT_SPACE, grams, in_one_text, map_pieces, mix, stored, words_of
 from quire.llm.labels import labelled, remainder, sample
 
-#: At most so many labelled documents are learnt from; those with more lines than LINES are passed over in training.
-SAMPLE, LINES = 8_000, 2_000
+#: At most so many labelled documents are learnt from, a longer one in blocks of BLOCK lines; MOST bounds the lines of all (60 bytes each on the
+#: driver): beyond it blocks are drawn by a hash.
+SAMPLE, BLOCK, MOST = 8_000, 2_000, 2_000_000
 OWN = 15
 
 
@@ -170,19 +171,27 @@ def text_scores(model: dict, column: pa.Array) -> np.ndarray:
     return out
 
 
-def learn(rows: DataFrame) -> dict:
-    """The model from (text, label): features of the sampled texts come to the driver, a few numbers a line."""
+def learn(rows: DataFrame, most: int = MOST) -> dict:
+    """The model from (text, label): features of the sampled texts come to the driver, a few numbers a line, of about ``most`` lines at most."""
 
     def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
         lines = Lines(batch.column("text"))
-        counts = np.diff(lines.first)
-        few = counts <= LINES
-        x = [lines.own[a:b].astype(np.float32).tobytes() if ok else b"" for a, b, ok in zip(lines.first[:-1], lines.first[1:], few)]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column("label")], ["x", "y"])
-
-    got = map_pieces(rows, describe, "x binary, y int").toPandas()
+        labels = batch.column("label").to_numpy(zero_copy_only=False)
+        x, y, heads = [], [], []
+        for i, (a, b) in enumerate(zip(lines.first[:-1].tolist(), lines.first[1:].tolist())):
+            cuts = range(a, max(b, a + 1), BLOCK)
+            x += [lines.own[c : min(c + BLOCK, b)].astype(np.float32).tobytes() for c in cuts]
+            y += [int(labels[i])] * len(cuts)
+            heads += [c == a for c in cuts]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.int32()), pa.array(heads, pa.bool_())], ["x", "y", "head"])
+
+    blocks = stored(map_pieces(rows, describe, "x binary, y int, head boolean"))
+    total = blocks.agg(F.coalesce(F.sum(F.octet_length("x")), F.lit(0))).first()[0] // (4 * OWN)
+    if total > most:
+        blocks = blocks.filter(F.pmod(F.xxhash64("x", F.lit(7)), F.lit(total)) < most)
+    got = blocks.orderBy("x", "y", "head").toPandas()
     labels = got["y"].to_numpy(int)
-    prior = float(labels.mean()) if len(labels) else 0.5
+    prior = float(labels[got["head"].to_numpy(bool)].mean()) if got["head"].any() else 0.5
     blocks = [np.frombuffer(x, np.float32).reshape(-1, OWN) for x in got["x"]]
     lines = Lines.__new__(Lines)
     lines.first = np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype(int)
@@ -200,7 +209,7 @@ def score(
 ) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row; ``score``: length-weighted probability that its lines are good.
 
-    Learns from at most about ``bound`` labelled rows whose fold is not ``fold``. Lines without a word are no lines. Null and empty texts get the
+    Learns from at most about ``bound`` labelled rows whose fold is not ``fold`` (and MOST of their lines). Lines without a word are no lines. Null and empty texts get the
     share of label 1 among the training rows. Rows are scored one by one, without a shuffle: copies agree, an empty table stays empty; other
     columns are not read.
     """

@@ -145,3 +145,14 @@ def test_held_out_accuracy(spark, module, label, least):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     got = module.score(spark.read.parquet(f"{sf}/documents.parquet"), labels).filter("held_out").join(labels, "doc_id").collect()
     assert sum(r["predicted"] == r[label] for r in got) / len(got) >= least
+
+
+def test_long_texts_are_learnt_in_blocks(spark, monkeypatch):
+    """A labelled text of many lines counts like its blocks do, and the bound on lines draws among blocks."""
+    good, bad = "A clear line of plain words, told in order.\n", "BUY $$$ now!!! ### click\n"
+    rows = [(good * 5_000, 1), (bad * 5_000, 0), ("", 1), (None, 0)]
+    model = line_quality.learn(spark.createDataFrame(rows, "text string, label int"))
+    scores = line_quality.text_scores(model, pa.array([good * 4, bad * 4, good * 3_000]))
+    assert scores[0] > 0.9 and scores[1] < 0.1 and scores[2] > 0.9
+    few = line_quality.learn(spark.createDataFrame([(good * (i + 1), 1) for i in range(60)] + [(bad * (i + 1), 0) for i in range(60)], "text string, label int"), 1_500)
+    assert line_quality.text_scores(few, pa.array([good * 4]))[0] > line_quality.text_scores(few, pa.array([bad * 4]))[0]
