@@ -189,7 +189,8 @@ def learn(rows: DataFrame, most: int = MOST) -> dict:
     total = blocks.agg(F.coalesce(F.sum(F.octet_length("x")), F.lit(0))).first()[0] // (4 * OWN)
     if total > most:
         blocks = blocks.filter(F.pmod(F.xxhash64("x", F.lit(7)), F.lit(total)) < most)
-    got = blocks.orderBy("x", "y", "head").toPandas()
+    # the order of the rows must not depend on that of the tasks
+    got = blocks.toPandas().sort_values(["x", "y", "head"], ignore_index=True)
     labels = got["y"].to_numpy(int)
     prior = float(labels[got["head"].to_numpy(bool)].mean()) if got["head"].any() else 0.5
     blocks = [np.frombuffer(x, np.float32).reshape(-1, OWN) for x in got["x"]]
