@@ -405,9 +405,11 @@ def _wrapped(c: Column, limit: int) -> Column:
     at_dots = F.concat(
         strip(F.substring(c, F.lit(1), dots - 1)), F.lit("...\n"), strip(F.substring(c, dots + 3, F.length(c)))
     )
-    mid = F.floor(F.length(c) / 2)
-    blanks = F.filter(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.substring(c, i, F.lit(1)) == " ")
-    best = F.array_min(F.transform(blanks, lambda i: F.struct(F.abs(i - 1 - mid).alias("d"), i.alias("i"))))["i"]
+    # the blanks next to the middle on both sides, one search each: a test of every place would count the letters before it again
+    mid = F.floor(F.length(c) / 2).cast("int")
+    left = last_index(F.substring(c, F.lit(1), mid + 1), " ") + 1
+    right = F.coalesce(F.nullif(F.instr(F.substring(c, mid + 2, F.length(c)), " "), F.lit(0)) + mid + 1, F.lit(0))
+    best = F.when((left > 0) & ((right == 0) | (mid + 1 - left <= right - 1 - mid)), left).otherwise(right)
     return (
         F.when(F.contains(c, F.lit("\n")) | (F.length(c) <= limit), c)
         .when(dots > 0, at_dots)

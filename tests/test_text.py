@@ -147,3 +147,29 @@ def test_nfc_equals_the_standard_library(spark):
     texts = ["".join(rng.choice(pool) for _ in range(30)) for _ in range(2_000)] + [None, "", "plain"]
     got = [r["t"] for r in nfc(spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1), "t").collect()]
     assert got == [None if t is None else unicodedata.normalize("NFC", t) for t in texts]
+
+
+def test_wrap_title_nearest_blank(spark):
+    import random
+
+    def plain(x):
+        if len(x) <= 28 or "\n" in x:
+            return x
+        places = [i for i, ch in enumerate(x) if ch == " "]
+        best = min(places, key=lambda i: (abs(i - len(x) // 2), i), default=0)
+        return x[:best] + "\n" + x[best + 1 :] if best > 0 else x
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abđ" + " " * k) for _ in range(rng.randrange(27, 60))) for k in (0, 1, 1, 2) for _ in range(60)] + [" " + "a" * 40, "a" * 40 + " "]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string").select("x", t.wrap_title("x").alias("y")).collect()
+    assert [r["y"] for r in rows] == [plain(r["x"]) for r in rows]
+
+
+def test_wrap_title_is_not_quadratic(spark):
+    import time
+
+    start = time.time()
+    # a million letters without a blank near the middle, and blanks all over
+    rows = spark.range(1).select(F.expr("concat(repeat('a b', 300000), repeat('đ', 100000))").alias("x"))
+    assert rows.select(F.length(t.wrap_title("x")).alias("n")).first()["n"] == 1_000_000
+    assert time.time() - start < 20
