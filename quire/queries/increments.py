@@ -7,14 +7,18 @@ from quire.operators import changes as ch
 from quire.queries.repair import BASES, _vocab
 from quire.queries.base import sections_c
 from quire.registry import query, table
+from quire.session import is_folder
 from quire.sources.sinks import scratch
 from quire.streaming import incremental as inc
 
 
 def stream(spark, d, name):
-    """A file stream over one of the tables."""
-    schema = spark.read.parquet(f"{d}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    """A file stream over one of the tables, which comes as one file or as a folder of files."""
+    path = f"{d}/{name}.parquet"
+    rows = spark.readStream.schema(spark.read.parquet(path).schema)
+    if is_folder(spark, path):
+        return rows.parquet(path)
+    return rows.option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
 STATE = """listing AS (SELECT 'https://w.example/' || conv_id || CASE WHEN turn % 2 = 0 THEN '/' ELSE '' END AS url, (turn + 1)::INT AS number FROM conversations),

@@ -48,6 +48,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Is ``path``, in any store Spark reads, a folder?"""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use every core for a CPU-heavy projection over a few large files.
 

@@ -96,3 +96,13 @@ def test_late_arrivals_are_dropped(spark, tmp_path):
     got = sorted((r["number"], str(r["at"])[11:16]) for r in out.collect())
     # 3 and 5 came over an hour late; the second 1 is a repeat, the third comes when the first is forgotten
     assert got == [(1, "10:00"), (1, "12:10"), (2, "10:05"), (4, "12:00")]
+
+
+def test_stream_over_a_folder_of_files(spark, tmp_path):
+    from quire import registry
+
+    registry.load_all()
+    spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    for name in ("I1_watch_stream", "I3_incremental_load", "I4_replace_stream"):
+        got, whole = (registry.QUERIES[name](spark, d).collect() for d in (str(tmp_path), "/root/testdata/sf0.001"))
+        assert got and sorted(map(tuple, got)) == sorted(map(tuple, whole))
