@@ -46,6 +46,12 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
+def capitalised(word: str) -> str:
+    """``word`` with its first letter in upper case; one letter stays one letter, as in Unicode's simple case mapping."""
+    first = "ẞ" if word[:1] == "ß" else word[:1].upper()
+    return word if len(first) > 1 else first + word[1:]
+
+
 def rstrip(c: Column) -> Column:
     return F.rtrim(c, F.lit(BLANKS))
 
@@ -183,7 +189,7 @@ def replace_phrases(c, pairs, bounded: bool = True) -> Column:
     for phrase, replacement in pairs:
         edge = r"\b" if bounded and " " not in phrase else ""
         first, rest = phrase[0], re.escape(phrase[1:])
-        capital = replacement[:1].upper() + replacement[1:]
+        capital = capitalised(replacement)
         if first.upper() != first.lower():
             c = sub(c, rf"(?U){edge}{re.escape(first.upper())}(?i){rest}{edge}", capital)
         c = sub(c, rf"(?iU){edge}{re.escape(phrase)}{edge}", replacement)
@@ -196,7 +202,7 @@ def replace_foreign_words(c, pairs) -> Column:
     for word, native in pairs:
         w, n = re.escape(word), re.escape(native)
         c = sub(c, rf"(?iU)(?<={n} )\b{w}\b|(?<={n})\b{w}\b|\b{w}\b(?= ?{n})")
-        capital = native[:1].upper() + native[1:]
+        capital = capitalised(native)
         if word[0].upper() != word[0].lower():
             c = sub(c, rf"(?U)\b{re.escape(word[0].upper())}(?i){re.escape(word[1:])}\b", capital)
         c = sub(c, rf"(?iU)\b{w}\b", native)

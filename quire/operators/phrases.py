@@ -13,7 +13,7 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
-from quire.functions.text import col
+from quire.functions.text import capitalised, col
 
 Match = tuple[int, int, str]
 
@@ -84,7 +84,7 @@ def _rewrite(phrases: list[str], bounded: bool, put: Callable[[str, str, Match],
 
 def _cased(text: str, start: int, replacement: str) -> str:
     c = text[start]
-    return replacement[:1].upper() + replacement[1:] if c != c.lower() and c == c.upper() else replacement
+    return capitalised(replacement) if c != c.lower() and c == c.upper() else replacement
 
 
 def _table(pairs) -> dict[str, str]:

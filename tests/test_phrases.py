@@ -84,3 +84,9 @@ def test_a_long_list_is_one_pass(spark):
     timed(50)
     (few, short), (many, long) = timed(50), timed(5_000)
     assert many > 50 * few > 0 and long < 5 * short + 2
+
+
+def test_a_capital_is_one_letter(value):
+    run = lambda t: value(lambda c: ph.replace_foreign_words(c, (("heit", "ßung"), ("keit", "ﬁn"))), t)
+    assert run("Heit heit Keit") == "ẞung ßung ﬁn"
+    assert value(lambda c: ph.replace_phrases(c, (("heit", "ßung"),)), "Heit") == "ẞung"
