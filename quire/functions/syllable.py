@@ -18,6 +18,7 @@ _BASES = "".join(base * 5 for base in rules.TONES)
 _VOWELS = "".join(rules.TONES.values())
 _VOWEL_BASES = "".join(base * 6 for base in rules.TONES)
 _VOWEL_RANGES = "aeiouyAEIOUYÀ-ÃÈ-ÊÌÍÒ-ÕÙÚÝà-ãè-êìíò-õùúýĂăĨĩŨũƠơƯưẠ-ỹ"
+_BEYOND = rules.TOKEN[1:-2].removeprefix("A-Za-z")
 _TONE_DIGITS = "012345" * len(rules.TONES)
 FRONT = ("e", "ê", "i")
 
@@ -104,6 +105,11 @@ def tokens(c) -> Column:
     return F.regexp_extract_all(col(c), F.lit(rules.TOKEN), F.lit(0))
 
 
+def marked_tokens(c) -> Column:
+    """The tokens with a letter outside ASCII, found by the pattern itself: the others cannot be damaged, and most words are such."""
+    return F.regexp_extract_all(col(c), F.lit(f"[A-Za-z]*+[{_BEYOND}]{rules.TOKEN[:-1]}*+"), F.lit(0))
+
+
 def segments(c) -> Column:
     """Tokens and what lies between them; joined together they give the text back."""
     return F.regexp_extract_all(col(c), F.lit(f"{rules.TOKEN}|[^{rules.TOKEN[1:-2]}]+"), F.lit(0))

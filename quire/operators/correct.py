@@ -15,14 +15,16 @@ from quire.session import checkpoint
 
 def marked_words(sections: DataFrame, key: list[str], text: str = "content") -> DataFrame:
     """(key, words): the distinct damaged words of each text that has any."""
-    found = F.filter(F.array_distinct(sy.tokens(text)), sy.is_damaged)
+    found = F.filter(F.array_distinct(sy.marked_tokens(text)), sy.is_damaged)
     # exploding a one-element array keeps the filter from judging the words a second time
     return sections.select(*key, F.explode(F.array(found)).alias("words")).filter(F.size("words") > 0)
 
 
 def damaged_words(sections: DataFrame, text: str = "content") -> DataFrame:
-    """Distinct damaged words (bad). Tokens are made distinct per text before they leave the row."""
-    return marked_words(sections, [], text).select(F.explode("words").alias("bad")).distinct()
+    """Distinct damaged words (bad). Tokens are made distinct per text before they leave the row, and a word is judged once for all texts."""
+    words = sections.select(F.explode(F.array_distinct(sy.marked_tokens(text))).alias("bad")).distinct()
+    # out of a one-element explode, so that no filter on it, here or later, is pushed below and judges every occurrence
+    return words.select(F.explode(F.array(F.when(sy.is_damaged("bad"), F.col("bad")))).alias("bad")).filter("bad is not null")
 
 
 def _spread_words(words: DataFrame) -> DataFrame:
@@ -38,21 +40,25 @@ def collapse_fixes(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     The first valid collapse candidate wins. Else deleting one of two neighbouring vowels is accepted when exactly one
     result stands in the lexicon or, if none does, exactly one is valid.
     """
+    # each step in a projection of its own, so that a candidate is made and judged once; one pass for both kinds
     rows = words.select("bad", F.lower("bad").alias("_low"))
-    safe_pick = F.get(F.filter(F.array(*sy.collapse_candidates(F.col("_low"))), sy.is_valid), F.lit(0))
+    names = [f"_c{i}" for i in range(7)]
+    made = F.struct(*[c.alias(n) for c, n in zip(sy.collapse_candidates(F.col("_low")), names)])
+    rows = rows.select("bad", "_low", F.explode(F.array(made)).alias("_m")).select("bad", "_low", "_m.*")
+    safe_pick = F.coalesce(*[F.when(sy.is_valid(n), F.col(n)) for n in names])
     rows = rows.select("bad", "_low", F.explode(F.array(safe_pick)).alias("_safe"))
-    safe = rows.filter("_safe is not null").select("bad", F.col("_safe").alias("_fix"))
-    rest = rows.filter("_safe is null").select("bad", F.explode(sy.deletion_candidates(F.col("_low"))).alias("_cand"))
+    cands = F.when(F.col("_safe").isNotNull(), F.array("_safe")).otherwise(sy.deletion_candidates(F.col("_low")))
+    rest = rows.select("bad", F.col("_safe").isNotNull().alias("_is_safe"), F.explode(cands).alias("_cand"))
     known = lexicon.select(F.col("syllable").alias("_cand"), F.lit(True).alias("_known"))
     tried = rest.join(known, "_cand", "left").withColumn("_real", F.col("_known").isNotNull()).withColumn("_valid", sy.is_valid("_cand"))
     votes = tried.groupBy("bad").agg(
+        F.max(F.when(F.col("_is_safe"), F.col("_cand"))).alias("_one_safe"),
         F.count_if("_real").alias("_n_real"), F.max(F.when(F.col("_real"), F.col("_cand"))).alias("_one_real"),
         F.count_if("_valid").alias("_n_valid"), F.max(F.when(F.col("_valid"), F.col("_cand"))).alias("_one_valid"),
     )
-    pick = F.when(F.col("_n_real") == 1, F.col("_one_real")).when((F.col("_n_real") == 0) & (F.col("_n_valid") == 1), F.col("_one_valid"))
-    deleted = votes.select("bad", pick.alias("_fix")).filter("_fix is not null and _fix <> ''")
-    fixes = safe.unionByName(deleted).select("bad", sy.restore_case("bad", "_fix").alias("good"))
-    return fixes.filter("good <> bad")
+    pick = F.when(F.col("_one_safe").isNotNull(), F.col("_one_safe")).when(F.col("_n_real") == 1, F.col("_one_real")).when((F.col("_n_real") == 0) & (F.col("_n_valid") == 1), F.col("_one_valid"))
+    fixes = votes.select("bad", pick.alias("_fix")).filter("_fix is not null and _fix <> ''")
+    return fixes.select("bad", sy.restore_case("bad", "_fix").alias("good")).filter("good <> bad")
 
 
 def _variants(word):
@@ -102,9 +108,8 @@ def fuzzy_candidates(words: DataFrame, lexicon: DataFrame, min_ratio: float = 75
 
 def fuzzy_fixes(candidates: DataFrame) -> DataFrame:
     """C6, tier 2: (bad, good) where exactly one candidate is nearest."""
-    nearest = candidates.groupBy("bad").agg(F.min("ed").alias("_min"))
-    tied = candidates.join(nearest, "bad").filter(F.col("ed") == F.col("_min"))
-    one = tied.groupBy("bad").agg(F.count(F.lit(1)).alias("_n"), F.max("cand").alias("_cand")).filter("_n = 1")
+    per = candidates.groupBy("bad", "ed").agg(F.count(F.lit(1)).alias("_n"), F.max("cand").alias("_cand"))
+    one = per.groupBy("bad").agg(F.min_by(F.struct("_n", "_cand"), "ed").alias("_p")).select("bad", "_p.*").filter("_n = 1")
     one = one.filter(sy.is_valid("_cand") & (F.col("_cand") != F.lower("bad")))
     return one.select("bad", sy.restore_case("bad", "_cand").alias("good"))
 
@@ -179,7 +184,7 @@ def apply_fixes(sections: DataFrame, fixes: DataFrame, key: list[str], text: str
     marked = marked_words(sections, key, text) if marked is None else marked
     pairs = marked.select(*key, F.explode("words").alias("bad")).join(fixes.select("bad", "good"), "bad")
     maps = pairs.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("bad", "good"))).alias("_map"))
-    is_dirty = F.coalesce(F.exists(sy.tokens(text), sy.is_damaged), F.lit(False))
+    is_dirty = F.coalesce(F.exists(sy.marked_tokens(text), sy.is_damaged), F.lit(False))
     # as in ``marked_words``, and not below a repartitioning either
     rows = sections.select("*", F.explode(F.array(is_dirty)).alias("_dirty"))
     clean = rows.filter(~F.col("_dirty")).drop("_dirty")

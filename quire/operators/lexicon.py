@@ -16,7 +16,9 @@ def token_counts(sections: DataFrame, *columns: str) -> DataFrame:
 
 def lexicon_of(counts: DataFrame, min_count: int = 2) -> DataFrame:
     """(syllable): tokens seen ``min_count`` times that are valid syllables."""
-    return counts.filter((F.col("n") >= min_count) & sy.is_valid("token")).select(F.col("token").alias("syllable"))
+    # the one-element explode keeps the verdict above the count: pushed below, it would be passed on every token of the texts
+    often = counts.filter(F.col("n") >= min_count)
+    return often.select("token", F.explode(F.array(sy.is_valid("token"))).alias("_valid")).filter("_valid").select(F.col("token").alias("syllable"))
 
 
 def verdicts(tokens: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from quire.operators import correct, lexicon as lx
 from quire.plans.repair import clean_and_repair, repair_words
 from quire.queries.texts import docs
 from quire.registry import query, table
+from quire.session import checkpoint
 
 TONED = "".join(row[1:] for row in rules.TONES.values())
 PLAIN = "".join(b * 5 for b in rules.TONES)
@@ -108,8 +109,8 @@ def _(spark, d):
 
 
 def damaged(spark, d):
-    """The damaged words of documents and conversations."""
-    return correct.damaged_words(all_texts(spark, d), "text")
+    """The damaged words of documents and conversations, stored: most queries use them more than once."""
+    return checkpoint(correct.damaged_words(all_texts(spark, d), "text"))
 
 
 _ONSETS = "|".join(sorted((o for o in rules.ONSETS if o), key=lambda o: -len(o)))
@@ -210,7 +211,7 @@ scored AS (SELECT bad, cand, (('0x' || substr(md5(bad || cand), 1, 6))::BIGINT %
 ranked AS (SELECT *, lead(score) OVER w AS nxt, row_number() OVER w AS rn FROM scored WHERE n >= 2 WINDOW w AS (PARTITION BY bad ORDER BY score DESC, cand))
 SELECT bad, {CASED} AS good FROM (SELECT bad, cand AS c FROM ranked WHERE rn = 1 AND score - nxt >= 1.5)""")
 def _(spark, d):
-    cands = correct.fuzzy_candidates(damaged(spark, d), lexicon(spark, d))
+    cands = checkpoint(correct.fuzzy_candidates(damaged(spark, d), lexicon(spark, d)))
     score = (F.conv(F.substring(F.md5(F.concat("bad", "cand")), 1, 6), 16, 10).cast("bigint") % 1000) / 100.0
     return correct.scored_fixes(cands, cands.select("bad", "cand", score.alias("score")))
 
@@ -250,7 +251,7 @@ seen AS (SELECT bad, cand AS variant FROM cands UNION SELECT bad, translate(low,
 SELECT p.bad, p.good, count(*) FILTER (variant = good) = 0 AS mismatch, count(DISTINCT variant) > 1 AS inconsistent FROM pick p JOIN seen USING (bad) GROUP BY ALL""")
 def _(spark, d):
     words = damaged(spark, d)
-    cands = correct.fuzzy_candidates(words, lexicon(spark, d), min_ratio=0.0, top=10**6)
+    cands = checkpoint(correct.fuzzy_candidates(words, lexicon(spark, d), min_ratio=0.0, top=10**6))
     strict = cands.filter("ratio >= 75")
     pick = strict.groupBy("bad").agg(F.count(F.lit(1)).alias("n"), F.max("cand").alias("good")).filter("n = 1").drop("n")
     other = words.filter((F.length("bad") % 2 == 0) & (F.length("bad") >= 3)).select("bad", sy.strip_tones(F.lower("bad")).alias("variant"))

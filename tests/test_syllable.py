@@ -118,3 +118,26 @@ def test_corrupted_words(value):
 def test_segments_rejoin(value):
     text = "Tôi — đi\n\nvề; 12.5%  «ừ»!\t"
     assert value(lambda c: F.array_join(sy.segments(c), ""), text) == text
+
+
+def _below_counts(df):
+    """The operators below the first aggregation of the optimized plan that judge a token by the pattern of bases."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return "RLIKE" in plan.split("Aggregate", 1)[1]
+
+
+def test_words_are_judged_once_not_per_occurrence(spark):
+    from quire.operators import correct, lexicon as lx
+
+    texts = spark.createDataFrame([("nghièệng thưởng nghièệng the",), ("Ngiêu thưởng the",), (None,)], "text string")
+    assert not _below_counts(lx.lexicon_of(lx.token_counts(texts, "text")))
+    words = correct.damaged_words(texts, "text")
+    assert not _below_counts(words.filter(~sy.is_valid("bad")))
+    assert "nghièệng" in [r["bad"] for r in words.collect()]
+    assert "thưởng" in [r["syllable"] for r in lx.lexicon_of(lx.token_counts(texts, "text")).collect()]
+
+
+def test_marked_tokens_are_the_tokens_beyond_ascii(spark):
+    text = "abc đá xyzé éa-b Ünter plain x9é ỹ A"
+    row = spark.createDataFrame([(text,)], "t string").select(sy.tokens("t").alias("a"), sy.marked_tokens("t").alias("m")).first()
+    assert row["m"] == [w for w in row["a"] if not w.isascii()] and len(row["m"]) == 6
