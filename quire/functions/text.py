@@ -370,16 +370,20 @@ def title_line(c, prefix: str, suffix: str, limit: int = 100) -> Column:
 
     A leading list number or ``# `` is kept; lines without ``prefix`` pass unchanged.
     """
-    c = col(c)
-    lead = F.regexp_extract(c, rf"\A(\d+\.[{SPACE}]+|# )", 1)
-    body = F.substring(c, F.length(lead) + 1, F.length(c))
-    parts = F.transform(F.split(body, r"\|"), strip)
-    body = F.when(F.size(parts) >= 3, F.concat(parts[0], F.lit(suffix))).otherwise(body)
-    at = last_index(body, suffix)
-    hook = sub(F.substring(body, F.lit(1), at), r"[. ]+\z")
-    hook = word_bounded_at(limit - len(prefix) - len(suffix), len(prefix))(hook)
-    body = F.when((F.length(body) > limit) & (at > 0), F.concat(hook, F.lit(suffix))).otherwise(body)
-    return F.when(F.contains(c, F.lit(prefix)), F.concat(lead, body)).otherwise(c)
+    return let(col(c), lambda x: F.when(F.contains(x, F.lit(prefix)), _titled(x, prefix, suffix, limit)).otherwise(x))
+
+
+def _titled(c: Column, prefix: str, suffix: str, limit: int) -> Column:
+    def fitted(s):
+        hook = let(sub(F.substring(s["b"], F.lit(1), s["at"]), r"[. ]+\z"), word_bounded_at(limit - len(prefix) - len(suffix), len(prefix)))
+        return F.when((F.length(s["b"]) > limit) & (s["at"] > 0), F.concat(hook, F.lit(suffix))).otherwise(s["b"])
+
+    def body(lead):
+        rest = F.substring(c, F.length(lead) + 1, F.length(c))
+        first = let(F.transform(F.split(rest, r"\|"), strip), lambda parts: F.when(F.size(parts) >= 3, F.concat(parts[0], F.lit(suffix))).otherwise(rest))
+        return F.concat(lead, let(let(first, lambda b: F.struct(b.alias("b"), last_index(b, suffix).alias("at"))), fitted))
+
+    return let(F.regexp_extract(c, rf"\A(\d+\.[{SPACE}]+|# )", 1), body)
 
 
 def short_title(c, suffix: str, brand: str, limit: int = 100) -> Column:
