@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
@@ -430,12 +432,14 @@ def _wrapped(c: Column, limit: int) -> Column:
 
 def first_label(c, rule_list) -> Column:
     """Label of the first rule that has a keyword in the lowercased text, else ''."""
-    low = F.lower(col(c))
-    out = None
-    for keywords, label in rule_list:
-        hit = low.rlike("|".join(re.escape(k) for k in keywords))
-        out = F.when(hit, F.lit(label)) if out is None else out.when(hit, F.lit(label))
-    return out.otherwise(F.lit(""))
+    def label(low):
+        out = F.when(F.lit(False), F.lit(""))
+        for keywords, name in rule_list:
+            # a search of bytes per keyword: alternatives of a pattern are tried at every letter
+            out = out.when(reduce(or_, [F.contains(low, F.lit(k)) for k in keywords]), F.lit(name))
+        return out.otherwise(F.lit(""))
+
+    return let(F.lower(col(c)), label)
 
 
 def visual_sentence(c, limit: int = 250, min_length: int = 40) -> Column:
