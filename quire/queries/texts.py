@@ -178,7 +178,9 @@ LINE = f"{strip(f'regexp_replace(text, {chr(39)}[{SPACE}]+{chr(39)}, {chr(39)} {
 def _(spark, d):
     line = t.strip(t.sub(F.col("text"), f"[{t.SPACE}]+", " "))
     rows = docs(spark, d).withColumn("l", line)
-    answer = F.concat(F.lit("Q: why "), "l", F.lit("?\nA: y\n"), "l", F.lit("\n\nQ. w?\nA. v\nQ: open"))
+    # the line goes on below the answer, or beside it where it would be read as a question or an answer of its own
+    gap = F.when(F.col("l").rlike(rf"(?i)\A[QA][{t.SPACE}]*[:.]"), " ").otherwise("\n")
+    answer = F.concat(F.lit("Q: why "), "l", F.lit("?\nA: y"), gap, "l", F.lit("\n\nQ. w?\nA. v\nQ: open"))
     return rows.select("doc_id", F.posexplode(r.faq(answer)).alias("pos", "x")).select("doc_id", "pos", "x.q", "x.a")
 
 

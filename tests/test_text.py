@@ -173,3 +173,36 @@ def test_wrap_title_is_not_quadratic(spark):
     rows = spark.range(1).select(F.expr("concat(repeat('a b', 300000), repeat('đ', 100000))").alias("x"))
     assert rows.select(F.length(t.wrap_title("x")).alias("n")).first()["n"] == 1_000_000
     assert time.time() - start < 20
+
+
+def _steps(spark, column, piece):
+    """How often a long step stands in the plan of a column over a text."""
+    rows = spark.createDataFrame([("x",)], "text string").select(column.alias("out"))
+    return rows._jdf.queryExecution().analyzed().toString().count(piece)
+
+
+def test_long_texts_are_cut_once(spark):
+    assert _steps(spark, t.title_line("text", ">>", " | Brand"), "split(") == 1
+    script = r.scene_script("text")
+    assert _steps(spark, script, "SCENE\\s+") == 1 and _steps(spark, script, "===CHARACTER===") == 1
+    assert _steps(spark, script, "===SCENES===, 1") == 2  # the story as a column and for the scenes
+    assert _steps(spark, t.first_label("text", ((("a", "b"), "x"), (("c",), "y"))), "lower(") == 1
+
+
+def test_title_lines_and_labels(value):
+    run = lambda x: value(lambda c: t.title_line(c, ">>", " | B", 20), x)
+    assert run("1. >>a b c. | w | B") == "1. >>a b c. | B" and run("no | prefix | here") == "no | prefix | here" and run(None) is None
+    assert run("# >>aaaa bbbb cccc dddd. | w | B") == "# >>aaaa bbbb... | B"
+    label = lambda x: value(lambda c: t.first_label(c, ((("a.", "b"), "x"), (("c",), "y"))), x)
+    assert [label("cab"), label("xA."), label("axC"), label("z"), label(None)] == ["x", "x", "y", "", ""]
+
+
+def test_faq_query_on_texts_that_begin_like_an_answer(spark, tmp_path):
+    from quire import registry
+
+    registry.load_all()
+    rows = [(1, "A. b c"), (2, "q: x"), (3, "plain\ntext"), (4, "a\u00a0. b")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(x["doc_id"], x["pos"]): (x["q"], x["a"]) for x in registry.QUERIES["T27_faq"](spark, str(tmp_path)).collect()}
+    for k, line in ((1, "A. b c"), (2, "q: x"), (3, "plain text"), (4, "a . b")):
+        assert got[k, 0] == (f"why {line}?", f"y {line}") and got[k, 1] == ("w?", "v")
