@@ -51,23 +51,26 @@ class Watch(StatefulProcessor):
         self.forget_ms = forget_ms
 
     def init(self, handle) -> None:
+        # every call of a state goes to the JVM and back: a key makes a fixed number of them in a batch, however many its numbers
         self.handle = handle
-        self.mark = handle.getValueState("mark", "mark bigint")
-        self.open = handle.getMapState("open", "number bigint", "times bigint")
+        self.mark = handle.getValueState("mark", "mark bigint, wake bigint")
+        self.open = handle.getListState("open", "number bigint")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.mark.update((int(initialState["last_number"].max()),))
-        if self.forget_ms:
-            self._wait(timerValues.getCurrentWatermarkInMs())
+        self._store(int(initialState["last_number"].max()), None, timerValues.getCurrentWatermarkInMs() if self.forget_ms else 0)
 
-    def _wait(self, since: int) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(max(since, 0) + self.forget_ms)
+    def _store(self, mark: int, wake: int | None, since: int) -> None:
+        """Keep the mark, and move the timer from ``wake`` to where it belongs after an event at ``since``."""
+        at = max(since, 0) + self.forget_ms if self.forget_ms else None
+        if at != wake:
+            if wake is not None:
+                self.handle.deleteTimer(wake)
+            self.handle.registerTimer(at)
+        self.mark.update((mark, at))
 
     def handleInputRows(self, key, rows, timerValues):
         known = self.mark.get()
-        mark = int(known[0]) if known is not None else 0
+        mark, wake = (int(known[0]), known[1]) if known is not None else (0, None)
         top, newest, sent = mark, 0, set()
         for frame in rows:
             acked = frame.loc[frame["kind"] == "ack", "number"]
@@ -78,19 +81,17 @@ class Watch(StatefulProcessor):
             sent |= listed
             if listed:
                 yield pd.DataFrame({"url": key[0], "number": sorted(listed), "mark": mark, "forgotten": False})
-        for number in sent:
-            before = self.open.getValue((number,)) if self.open.containsKey((number,)) else (0,)
-            self.open.updateValue((number,), (int(before[0]) + 1,))
-        if top > mark or known is None:
-            self.mark.update((top,))
-        for number in [k[0] for k in self.open.keys() if k[0] <= top]:
-            self.open.removeKey((number,))
-        if self.forget_ms:
-            self._wait(newest)
+        before = {int(n) for (n,) in self.open.get()} if known is not None else set()
+        after = {int(n) for n in before | sent if n > top}
+        if before - after:
+            self.open.put([(n,) for n in sorted(after)]) if after else self.open.clear()
+        elif after - before:
+            self.open.appendList([(n,) for n in sorted(after - before)])
+        self._store(top, wake, newest)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         mark = self.mark.get()
-        numbers = sorted(k[0] for k in self.open.keys())
+        numbers = sorted(int(n) for (n,) in self.open.get())
         self.mark.clear()
         self.open.clear()
         yield pd.DataFrame({"url": key[0], "number": pd.array(numbers or [None], "Int64"), "mark": int(mark[0]) if mark is not None else 0, "forgotten": True})

@@ -106,3 +106,26 @@ def test_stream_over_a_folder_of_files(spark, tmp_path):
     for name in ("I1_watch_stream", "I3_incremental_load", "I4_replace_stream"):
         got, whole = (registry.QUERIES[name](spark, d).collect() for d in (str(tmp_path), "/root/testdata/sf0.001"))
         assert got and sorted(map(tuple, got)) == sorted(map(tuple, whole))
+
+
+def test_watch_calls_its_state_no_oftener_for_many_numbers():
+    import pandas as pd
+
+    def calls(count):
+        made = []
+
+        class Handle:
+            def __getattr__(self, name):
+                def call(*_):
+                    made.append(name)
+                    return None if name == "get" and len(made) < 5 else False if name == "containsKey" else Handle() if name.endswith("State") else []
+
+                return call
+
+        watch = inc.Watch(3_600_000)
+        watch.init(Handle())
+        rows = pd.DataFrame({"kind": "listing", "number": range(1, count + 1), "at": 0})
+        assert [len(f) for f in watch.handleInputRows(("u",), iter([rows]), None)] == [count]
+        return len(made)
+
+    assert calls(1) == calls(500)
