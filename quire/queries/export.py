@@ -169,12 +169,19 @@ def _write_files(rows):
     """Small files from rows (folder, name, value) on the shared storage, each written by the task that has its row."""
 
     def written(frames):
+        from functools import lru_cache
+
         from pyarrow import fs
 
+        @lru_cache(1_024)
+        def made(folder):
+            store, path = fs.FileSystem.from_uri(folder.replace("file:///", "/").replace("file:/", "/"))
+            store.create_dir(path)
+            return store, path
+
         for frame in frames:
             for folder, name, value in zip(frame["folder"], frame["name"], frame["value"]):
-                store, path = fs.FileSystem.from_uri(folder.replace("file:///", "/").replace("file:/", "/"))
-                store.create_dir(path)
+                store, path = made(folder)
                 with store.open_output_stream(f"{path}/{name}") as out:
                     out.write(value.encode())
             yield frame[["name"]]
@@ -195,10 +202,7 @@ def _(spark, d):
     _write_files(s.withColumn("j", whole).select(
         F.concat(F.lit(f"{root}/"), "work_id", F.lit("/chapters")).alias("folder"),
         F.concat(F.lit("chapter_"), F.col("number").cast("string"), F.lit(".json")).alias("name"), value.alias("value")))
-    good, unreadable = rd.staged_sections(spark, root)
-    none = F.lit(None).cast("string")
-    return good.select("slug", "number", "title", "content", none.alias("file")).unionByName(
-        unreadable.select("slug", F.lit(None).cast("int").alias("number"), none.alias("title"), none.alias("content"), "file"))
+    return rd.staged_files(spark, root).select("slug", "number", "title", "content", "file")
 
 
 @query("S3_mixed_sections", """SELECT stem, CASE WHEN k = 4 THEN 0 ELSE page_id END::INT AS number, CASE k WHEN 0 THEN 'json' WHEN 1 THEN 'json' WHEN 4 THEN stem ELSE '' END AS title, CASE WHEN k <= 1 THEN url ELSE url || ' text' END AS content FROM (

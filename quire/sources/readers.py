@@ -5,12 +5,17 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from quire import schemas
 from quire.functions.text import col, lines, strip
 
 
+def _section() -> StructType:
+    return StructType.fromDDL(schemas.SECTION_JSON)
+
+
 def _file(part: str) -> Column:
     # Spark shows paths with blanks and other signs as %-references
     return F.url_decode(F.replace(F.col(f"_metadata.{part}"), F.lit("+"), F.lit("%2B")))
@@ -25,22 +30,38 @@ def catalogue_table(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def _section_documents(spark: SparkSession, paths) -> DataFrame:
-    return (
-        spark.read.schema(schemas.SECTION_JSON)
-        .option("multiLine", True)
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .json(paths)
-    )
+def _section_files(spark: SparkSession, folders: str, names: str) -> DataFrame:
+    """(value) of every file of these ``names`` right in the ``folders``, one row each. The folders are listed, not one path per file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folders)
+    depth = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).depth()
+    files = spark.read.option("pathGlobFilter", names).option("recursiveFileLookup", True).text(folders, wholetext=True)
+    below = F.regexp_replace("_metadata.file_path", r"\A[^/]*:(//[^/]*)?/", "")
+    return files.filter(F.size(F.split(below, "/")) == depth + 1)
+
+
+def _section_documents(value: Column) -> Column:
+    """The sections of a JSON text, an array: of one object, or of a list of them; none of a blank text. What cannot be read has ``_corrupt_record``."""
+    value = F.regexp_replace(value, r"\A\x{FEFF}", "")
+    listed = F.when(value.rlike(r"\A\s*\["), F.from_json(value, "array<string>"))
+    parsed = F.transform(F.coalesce(listed, F.array(value)), lambda x: F.from_json(x, _section(), {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    return F.when(value.rlike(r"\A\s*\z"), F.array().cast(ArrayType(_section()))).otherwise(parsed)
+
+
+def staged_files(spark: SparkSession, root: str, slug: str = "*", day: str | None = None) -> DataFrame:
+    """(slug, the columns of a section, file) of ``root/[day/]slug/chapters/*.json``, every file read once: its sections or, where
+    it is unreadable, its name as ``file``, which is null elsewhere."""
+    rows = _section_files(spark, f"{root}/{day}/{slug}/chapters" if day else f"{root}/{slug}/chapters", "*.json")
+    rows = rows.select("value", _dir_name(2).alias("slug"), _file("file_name").alias("_name"), F.explode_outer(_section_documents(F.col("value"))).alias("_f"))
+    bad = F.col("_f").isNull() | F.col("_f._corrupt_record").isNotNull()
+    rows = rows.filter(~bad | F.get_json_object("value", "$").isNull())
+    section = [F.when(~bad, F.col(f"_f.{c}")).alias(c) for c in _section().names if c not in ("number", "_corrupt_record")]
+    return rows.select("slug", F.when(~bad, F.coalesce("_f.number", F.lit(0))).alias("number"), *section, F.when(bad, F.col("_name")).alias("file"))
 
 
 def staged_sections(spark: SparkSession, root: str, slug: str = "*", day: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(sections, unreadable files) of ``root/[day/]slug/chapters/*.json``."""
-    paths = f"{root}/{day}/{slug}/chapters/*.json" if day else f"{root}/{slug}/chapters/*.json"
-    good = _section_documents(spark, paths).withColumn("slug", _dir_name(2)).filter("_corrupt_record is null").drop("_corrupt_record")
-    texts = spark.read.text(paths, wholetext=True).select("value", _dir_name(2).alias("slug"), _file("file_name").alias("file"))
-    unreadable = texts.filter(F.get_json_object("value", "$").isNull()).select("slug", "file")
-    return good.withColumn("number", F.coalesce("number", F.lit(0))), unreadable
+    """(sections, unreadable files); ``staged_files`` has both from one scan."""
+    rows = staged_files(spark, root, slug, day)
+    return rows.filter("file is null").select(*[c for c in _section().names if c != "_corrupt_record"], "slug"), rows.filter("file is not null").select("slug", "file")
 
 
 def _stem_number(stem: Column) -> Column:
@@ -51,17 +72,19 @@ def _stem_number(stem: Column) -> Column:
 def mixed_sections(spark: SparkSession, folder: str) -> DataFrame:
     """S3: (stem, number, title, content) of a folder of .json and .txt sections; JSON wins where both exist."""
     stem = F.regexp_replace(_file("file_name"), r"\.[^.]+\z", "")
-    documents = _section_documents(spark, f"{folder}/*.json").withColumn("stem", stem)
-    documents = documents.select("stem", "number", "title", "content", (F.col("_corrupt_record").isNotNull()).alias("broken"))
-    plain = spark.read.text(f"{folder}/*.txt", wholetext=True).select("value", stem.alias("stem"))
-    plain = plain.join(documents.select("stem"), "stem", "left_anti")
-    by_stem = _stem_number(F.col("stem"))
-    numbered = documents.filter("not broken").select("stem", F.coalesce("number", by_stem).alias("number"), "title", "content").filter("number is not null")
-    texts = plain.select(
-        "stem", F.coalesce(by_stem, F.lit(0)).alias("number"), F.when(by_stem.isNull(), F.col("stem")).otherwise("").alias("title"),
-        F.col("value").alias("content"),
+    is_json = F.endswith(_file("file_name"), F.lit(".json"))
+    rows = _section_files(spark, folder, "*.{json,txt}").select("value", stem.alias("stem"), is_json.alias("_json"))
+    none = F.array(F.lit(None).cast(_section()))
+    rows = rows.select("stem", "_json", F.when(~F.col("_json"), F.col("value")).alias("value"), F.explode(F.when(F.col("_json"), _section_documents(F.col("value"))).otherwise(none)).alias("_f"))
+    # a stem has one file of each kind
+    rows = rows.withColumn("_wins", F.max("_json").over(Window.partitionBy("stem"))).filter(F.col("_json") == F.col("_wins"))
+    rows = rows.filter(F.col("_f._corrupt_record").isNull())
+    by_stem, is_json = _stem_number(F.col("stem")), F.col("_json")
+    rows = rows.withColumn("number", F.when(is_json, F.coalesce("_f.number", by_stem)).otherwise(F.coalesce(by_stem, F.lit(0)))).filter("number is not null")
+    return rows.select(
+        "stem", "number", F.when(is_json, F.col("_f.title")).when(by_stem.isNull(), F.col("stem")).otherwise("").alias("title"),
+        F.when(is_json, F.col("_f.content")).otherwise(F.col("value")).alias("content"),
     )
-    return numbered.unionByName(texts)
 
 
 def listed_urls(documents: DataFrame) -> DataFrame:

@@ -58,6 +58,8 @@ def write_dated(works: DataFrame, path: str, stamp: str = "updated_at", key: str
         held = spark.read.schema(rows.schema).parquet(path).select("load_date", key)
         # files are added, none is replaced, so the folder can be read while the rows are written
         rows = rows.join(held, ["load_date", key], "left_anti")
+    # a day's rows meet in one file, not in one per shuffle partition; the adaptive planner splits a day of very many
+    rows = rows.hint("rebalance", "load_date")
     rows.write.mode("append").partitionBy("load_date").parquet(path)
 
 

@@ -137,3 +137,33 @@ def test_totals_come_from_the_writing_pass(spark, tmp_path):
     assert done == {"rows_before": 3, "rows_after": 1, "words_before": 51, "words_after": 50, "conserved": True} and reads.value == 8
     none = sinks.write_conserved(words.filter("false"), F.lit(True), str(tmp_path / "n"))
     assert none["rows_before"] == none["words_after"] == 0 and none["conserved"]
+
+
+def test_section_files_are_listed_by_folder_and_read_once(spark, tmp_path):
+    for n in range(40):
+        put(tmp_path / f"work {n}" / "chapters" / "1.json", json.dumps({"number": n, "title": "t", "content": "x"}))
+    put(tmp_path / "odd" / "chapters" / "list.json", json.dumps([{"number": 1}, {"title": "two, [3]"}]))
+    put(tmp_path / "odd" / "chapters" / "bom.json", "\ufeff" + json.dumps({"number": 5}))
+    put(tmp_path / "odd" / "chapters" / "type.json", '{"number": "many"}')
+    put(tmp_path / "odd" / "chapters" / "deep" / "2.json", json.dumps({"number": 9}))
+    for name, text in (("cut.json", '[{"number": 1}, {'), ("empty.json", ""), ("blank.json", " \n"), ("x.txt", "no")):
+        put(tmp_path / "odd" / "chapters" / name, text)
+    rows = rd.staged_files(spark, f"file://{tmp_path}")
+    assert len(rows.inputFiles()) == 40 + 6 + 1  # found by their folders; the deeper one is not read
+    assert rows._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    odd = sorted(((r["number"], r["title"], r["file"]) for r in rows.filter("slug = 'odd'").collect()), key=str)
+    assert odd == [(0, "two, [3]", None), (1, None, None), (5, None, None), (None, None, "blank.json"), (None, None, "cut.json")]  # Spark passes over files of no bytes
+    assert rows.filter("slug like 'work %' and file is null").count() == 40
+
+
+def test_mixed_sections_read_every_file_once(spark, tmp_path):
+    put(tmp_path / "1.json", '{"number": 7, "ti')
+    put(tmp_path / "1.txt", "hidden by broken JSON")
+    put(tmp_path / "2.json", "")
+    put(tmp_path / "2.txt", "beside an empty file")
+    put(tmp_path / "3.json", json.dumps([{"title": "a"}, {"number": 8, "title": "b"}]))
+    put(tmp_path / "x.json", json.dumps({"title": "no number"}))
+    put(tmp_path / "sub" / "9.txt", "deeper")
+    out = rd.mixed_sections(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in out.collect()) == [("2", 2, "", "beside an empty file"), ("3", 3, "a", None), ("3", 8, "b", None)]
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
